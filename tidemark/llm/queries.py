@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, exact_dedup, line_dedup, mixing, quality, toxicity
+from . import bpe, chat, exact_dedup, language, licenses, line_dedup, mixing, quality, toxicity
 
 #: The tokenizer file that query op7 and the pipeline read.
 TOKENIZER = "/opt/tokenizers/word_bpe_49k.json"
@@ -26,6 +26,14 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.digests(_table(spark, sf_dir, "documents"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.report(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "documents"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.pages_report(_table(spark, sf_dir, "pages"))
 
@@ -49,6 +57,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_license_scan": op4_license_scan,
+    "op5_language_id": op5_language_id,
     "op6_line_dedup": op6_line_dedup,
     "op7_bpe": op7_bpe,
     "op8_chat": op8_chat,
