@@ -23,6 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 
 from .common import WORD
+from .hashing import joined, mixed
 
 SHINGLE, CONTAINMENT, CATCH, SEED = 3, 0.8, 0.999, 11
 #: Words of a block; windows are whole blocks.
@@ -52,22 +53,8 @@ def words(text: str | None) -> list[str]:
     return [s for w in _words(text or "") if (s := w.lower().strip(".,;:!?\"'()[]{}<>*#/-"))]
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
-    return (x ^ (x >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
-
-
-def _joined(codes: np.ndarray) -> np.ndarray:
-    """The shingle that begins at each word, while there is one."""
-    n = max(0, len(codes) - SHINGLE + 1)
-    out = np.zeros(n, "uint64")
-    for k in range(SHINGLE):
-        out = _mixed(out + codes[k : k + n] + np.uint64(k + 1))
-    return out
-
-
 def shingles(ws: list[str]) -> np.ndarray:
-    return _joined(np.array([xxhash.xxh3_64_intdigest(w) for w in ws], "uint64"))
+    return joined(np.array([xxhash.xxh3_64_intdigest(w) for w in ws], "uint64"), SHINGLE)
 
 
 def bands_for(similarity: float, catch: float = CATCH) -> int:
@@ -110,7 +97,7 @@ class Scanner:
         for b, group in self.classes.items():
             for i, key in enumerate(self.keys):
                 for at, (_, s) in enumerate(group):
-                    self.wanted[b][i].setdefault(int(_mixed(s * key).min()), []).append(at)
+                    self.wanted[b][i].setdefault(int(mixed(s * key).min()), []).append(at)
 
     def scan(self, texts: list[str | None]) -> list[tuple[int, str, float, int, int]]:
         """(text's number, template, best containment, first word of its window, matching windows)."""
@@ -129,12 +116,12 @@ class Scanner:
         left = np.zeros(total, "int64")
         left[at] = np.repeat(np.cumsum(sizes), sizes) - np.arange(int(sizes.sum()))
         real = left >= SHINGLE
-        grams = _joined(flat)
+        grams = joined(flat, SHINGLE)
         text = np.repeat(np.arange(len(ws)), room // UNIT)
         nth = np.arange(len(text)) - start[text] // UNIT
         found: set[tuple[int, int, int]] = set()
         for i, key in enumerate(self.keys):
-            values = np.where(real, _mixed(grams * key), ONES).reshape(-1, UNIT).min(1)
+            values = np.where(real, mixed(grams * key), ONES).reshape(-1, UNIT).min(1)
             for blocks in self.classes:
                 wanted = self.wanted[blocks][i]
                 least = _min_ahead(values, text, blocks)
