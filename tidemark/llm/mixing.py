@@ -33,7 +33,7 @@ STEPS = 60
 
 
 def _bisect(fits: Callable[[float], bool]) -> float:
-    """The largest exponent in [0, 1] that fits, where all smaller ones fit too (0 if none does)."""
+    """The largest number in [0, 1] that fits, where all smaller ones fit too (0 if none does)."""
     if fits(1.0):
         return 1.0
     low, high = 0.0, 1.0
@@ -75,7 +75,9 @@ def exponent(totals: DataFrame, entropy: float | None = None, repeats: float | N
     if totals.where(F.col("tokens") > 0).isEmpty():
         return 1.0
     of = _figures(totals)
-    return _bisect((lambda a: of(a)[1] >= entropy) if entropy is not None else (lambda a: of(a)[2] <= repeats))
+    if entropy is not None:  # as near to the natural shares as the entropy allows
+        return _bisect(lambda a: of(a)[1] >= entropy)
+    return 1.0 - _bisect(lambda b: of(1.0 - b)[2] <= repeats)  # as even as the limit allows
 
 
 def _keys(docs: DataFrame, source: str, text: str, id_col: str) -> DataFrame:
