@@ -153,7 +153,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str =
                 part = whole.iloc[at:end]
                 rows = scanner.scan(part[text_col].tolist())
                 ids = part[id_col].iloc[[r[0] for r in rows]].reset_index(drop=True)
-                yield pd.DataFrame({id_col: ids, "template_id": [r[1] for r in rows], "containment": [r[2] for r in rows], "first_word": [r[3] for r in rows], "n_windows": [r[4] for r in rows]})
+                yield pd.DataFrame({id_col: ids, "template_id": pd.Series([r[1] for r in rows], dtype=object), "containment": [r[2] for r in rows], "first_word": [r[3] for r in rows], "n_windows": [r[4] for r in rows]})
                 at = end
 
     kind = docs.schema[id_col].dataType.simpleString()

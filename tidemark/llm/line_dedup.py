@@ -76,7 +76,7 @@ def page_host(url: Column) -> Column:
 def page_lines(html: Column) -> Column:
     """Stretches of text between tags, without scripts, styles and comments."""
     text = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?s)<script.*?</script>|<style.*?</style>|<!--.*?-->", "\n")
-    return F.filter(F.transform(F.split(text, r"(?s)<[^>]*>|\n"), lambda x: F.regexp_replace(x, r"^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$", "")), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, r"(?s)<[^>]*>|\n"), lambda x: F.btrim(x, F.lit(SPACES))), lambda x: x != "")
 
 
 def pages_report(pages: DataFrame) -> DataFrame:
