@@ -50,7 +50,7 @@ def without_boilerplate(pages: DataFrame, host: Column, lines: Column, to: str,
     else:
         full = scratch.write(full.withColumn("__row", F.monotonically_increasing_id()))
         salted = full.select("__row", F.col("__host").alias("host"), F.explode(F.array_distinct(_hashes(F.col("__lines")))).alias("line"), F.pmod("__row", F.lit(SALTS)).alias("salt"))
-        keys = gone.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long").alias("salt"))
+        keys = gone.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
         here = salted.join(keys, ["host", "line", "salt"]).groupBy("__row").agg(F.collect_set("line").alias("__here"))
         found = full.join(here, "__row", "left")
     stays = F.filter("__lines", lambda x: ~F.coalesce(F.array_contains("__here", F.xxhash64(x)), F.lit(False)))
