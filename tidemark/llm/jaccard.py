@@ -234,11 +234,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, like: Likeness, scratch: Scratc
             yield pd.DataFrame({"id": part["id"], "hashes": [s.tobytes() for s in like.sets(part["text"].tolist())]})
 
     have = keep_ids(docs, ids, "id").mapInPandas(sets, "id long, hashes binary")
-    salted = pairs.join(load, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("k")).cast("int").alias("salt"))
-    firsts = load.select(F.col("a").alias("id"), F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("salt"))
-    small = F.broadcast if few else (lambda x: x)
-    one = have.join(small(firsts), "id").select(F.col("id").alias("a"), "salt", F.lit(None).cast("long").alias("b"), "hashes")
-    two = have.join(small(salted.withColumnRenamed("b", "id")), "id").select("a", "salt", F.col("id").alias("b"), "hashes")
+    roles = load.select(F.col("a").alias("id"), "a", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("salt"), F.lit(None).cast("long").alias("b"))
+    roles = roles.unionByName(pairs.join(load, "a").select(F.col("b").alias("id"), "a", F.pmod(F.xxhash64("b"), F.col("k")).cast("int").alias("salt"), "b"))
+    sent = have.join(F.broadcast(roles) if few else roles, "id").select("a", "salt", "b", "hashes")
 
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, held = None, []
@@ -260,7 +258,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, like: Likeness, scratch: Scratc
                         break
             yield pd.DataFrame({"a": np.array(a, "int64"), "b": np.array(b, "int64")})
 
-    return one.unionByName(two).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first()).mapInPandas(probe, "a long, b long")
+    return sent.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first()).mapInPandas(probe, "a long, b long")
 
 
 def _in_parts(shared: DataFrame, parts: DataFrame | None) -> DataFrame:
@@ -315,6 +313,8 @@ def joined_documents(docs: DataFrame, like: Likeness, id_col: str = "doc_id", te
             break
         if turn < STARS:
             found = _led(mixed_rows, like, turn).groupBy("a", "b").agg(F.sum("c").alias("c"))
+            # Leaders only save work, so a pair may be passed over here; half of t keeps chance meetings out.
+            found = found.join(facts.select(F.col("id").alias("b"), "n"), "b").where(2 * F.col("c") >= like.spare_column(F.col("n")))
             found = found.groupBy("b").agg(F.max(F.struct("c", "a")).alias("best")).select("best.a", "b")
         else:
             found = _crossed(mixed_rows, like).groupBy("a", "b").agg(F.sum("c").alias("c"))
