@@ -131,26 +131,52 @@ def _postings(rows: DataFrame, like: Likeness, frequent) -> DataFrame:
     return rows.mapInPandas(work, "shingle long, id long, n int, pos int")
 
 
-def _shared(postings: DataFrame) -> DataFrame:
-    """Postings whose list has several documents; lists stream by in order of shingle."""
+def _leaders(rows: np.ndarray, like: Likeness) -> np.ndarray:
+    """For rows (shingle, n, ...) in order: the place of each one's leader, the last before it that opened a span of sizes."""
+    at, last, room, out = 0, None, 0, []
+    for i, (key, n) in enumerate(zip(rows[:, 0].tolist(), rows[:, 1].tolist(), strict=True)):
+        if key != last or like.percent * n > room:
+            at, last, room = i, key, 100 * n
+        out.append(at)
+    return np.array(out, "int64")
+
+
+def _shared(postings: DataFrame, like: Likeness) -> DataFrame:
+    """Postings whose list has several documents; whether it is longer than LONG; the id of the leader there, or the own
+    id. Lists stream by in order of shingle; of one list at most LONG rows are held."""
+
+    def given(rows: np.ndarray, leaders: np.ndarray, long: np.ndarray, take: np.ndarray) -> pd.DataFrame:
+        led = rows[leaders]
+        ok = _meets(led[:, 1], led[:, 3], rows[:, 1], rows[:, 3], like)
+        lead = np.where(ok, led[:, 2], rows[:, 2])
+        r = rows[take]
+        return pd.DataFrame({"shingle": r[:, 0], "id": r[:, 2], "n": r[:, 1].astype("int32"), "pos": r[:, 3].astype("int32"), "long": long[take], "lead": lead[take]})
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, used = None, False  # the row before, and whether it was given out
+        none = np.zeros((0, 4), "int64")
+        carried, held = none, none  # leader of an open list that is known to be long; rows of an open list that is not
         for part in batches:
             if not len(part):
                 continue
-            key = part["shingle"].to_numpy()
-            same = np.append(False, key[1:] == key[:-1])
-            if last is not None and last["shingle"].iloc[0] == key[0]:
-                same[0] = True
-                if not used:
-                    yield last
-            keep = same.copy()
-            keep[:-1] |= same[1:]
-            yield part[keep]
-            last, used = part.iloc[-1:], bool(keep[-1])
+            rows = np.concatenate([carried, held, part[["shingle", "n", "id", "pos"]].to_numpy("int64")])
+            starts = np.append(0, np.flatnonzero(rows[1:, 0] != rows[:-1, 0]) + 1)
+            length = np.diff(np.append(starts, len(rows)))
+            over = length > LONG
+            over[0] |= len(carried) > 0
+            leaders = _leaders(rows, like)
+            take = np.repeat((length > 1) | over, length)
+            take[: len(carried)] = False
+            if over[-1]:
+                carried, held = rows[leaders[-1:]], none
+            else:
+                take[starts[-1] :] = False
+                carried, held = none, rows[starts[-1] :]
+            yield given(rows, leaders, np.repeat(over, length), take)
+        if len(held) > 1:
+            yield given(held, _leaders(held, like), np.zeros(len(held), bool), np.ones(len(held), bool))
 
-    return postings.repartition("shingle").sortWithinPartitions("shingle", "n", "id").mapInPandas(work, postings.schema)
+    runs = postings.repartition("shingle").sortWithinPartitions("shingle", "n", F.xxhash64("id", F.lit(0)))
+    return runs.mapInPandas(work, "shingle long, id long, n int, pos int, long boolean, lead long")
 
 
 def _meets(na: np.ndarray, pa: np.ndarray, nb: np.ndarray, pb: np.ndarray, like: Likeness) -> np.ndarray:
@@ -164,8 +190,9 @@ def _counted(a: list[np.ndarray], b: list[np.ndarray]) -> pd.DataFrame:
     return pairs.groupby(["a", "b"], sort=False).size().rename("c").reset_index()
 
 
-def _led(lists: DataFrame, like: Likeness, turn: int) -> DataFrame:
-    """(a, b, c): each document b of a list with its leader a, if in another component; c counts lists of a task."""
+def _led(rows: DataFrame, like: Likeness, turn: int) -> DataFrame:
+    """(a, b, n, c): each document b of a list, of size n, with its leader a, if in another component; c counts lists of
+    a task."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = np.zeros((0, 5), "int64")  # the leader of the batch before
@@ -173,27 +200,26 @@ def _led(lists: DataFrame, like: Likeness, turn: int) -> DataFrame:
             if not len(part):
                 continue
             rows = np.concatenate([held, part[["shingle", "n", "id", "pos", "part"]].to_numpy("int64")])
-            at, leaders, last, room = 0, [], None, 0
-            for i, (key, n) in enumerate(zip(rows[:, 0].tolist(), rows[:, 1].tolist(), strict=True)):
-                if key != last or like.percent * n > room:
-                    at, last, room = i, key, 100 * n
-                leaders.append(at)
-            led = rows[leaders]
+            led = rows[_leaders(rows, like)]
             held = led[-1:]
             ok = (led[:, 4] != rows[:, 4]) & _meets(led[:, 1], led[:, 3], rows[:, 1], rows[:, 3], like)
-            yield _counted([led[ok, 2]], [rows[ok, 2]])
+            yield pd.DataFrame({"a": led[ok, 2], "b": rows[ok, 2], "n": rows[ok, 1]}).groupby(["a", "b", "n"], sort=False).size().rename("c").reset_index()
 
     tie = F.xxhash64("id", F.lit(turn))
-    return lists.repartition("shingle").sortWithinPartitions("shingle", "n", tie).mapInPandas(work, "a long, b long, c long")
+    runs = rows.select("shingle", "n", "id", "pos", "part").repartition("shingle").sortWithinPartitions("shingle", "n", tie)
+    return runs.mapInPandas(work, "a long, b long, n long, c long")
 
 
 def _crossed(lists: DataFrame, like: Likeness) -> DataFrame:
     """(a, b, c): all pairs of different components on a list; lists over CHUNK documents are split to pairs of chunks."""
+    many = lists.where("long")
+    sizes = many.groupBy("shingle").agg(F.count("*").alias("m"), F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("shingle", "m")
     k = F.ceil(F.col("m") / CHUNK).cast("int")
-    mine = F.pmod(F.xxhash64("id"), k).cast("int")
     other = F.explode(F.sequence(F.lit(0), k - 1))
-    rows = lists.withColumn("chunk", mine).withColumn("other", other)
-    rows = rows.select("shingle", "n", "id", "pos", "part", "chunk", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"))
+    many = many.join(sizes, "shingle").withColumn("chunk", F.pmod(F.xxhash64("id"), k).cast("int")).withColumn("other", other)
+    names = ["shingle", "n", "id", "pos", "part", "chunk", "low", "high"]
+    many = many.withColumns({"low": F.least("chunk", "other"), "high": F.greatest("chunk", "other")}).select(*names)
+    rows = many.unionByName(lists.where("not long").withColumns({c: F.lit(0) for c in names[5:]}).select(*names))
 
     def pairs(g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """g: rows of one group in order of n."""
@@ -208,42 +234,62 @@ def _crossed(lists: DataFrame, like: Likeness) -> DataFrame:
             b.append(np.maximum(doc[i], doc[j]))
         return (np.concatenate(a), np.concatenate(b)) if a else (doc[:0], doc[:0])
 
+    def near(rows: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Pairs of the short groups: each row with the one `off` places on, for all distances at once."""
+        a, b = [], []
+        for off in range(1, LONG):
+            x, y = rows[:-off], rows[off:]
+            same = (x[:, [0, 6, 7]] == y[:, [0, 6, 7]]).all(1)
+            if not same.any():
+                break
+            x, y = x[same], y[same]
+            ok = (x[:, 4] != y[:, 4]) & ((x[:, 6] == x[:, 7]) | (x[:, 5] != y[:, 5])) & _meets(x[:, 1], x[:, 3], y[:, 1], y[:, 3], like)
+            a.append(np.minimum(x[ok, 2], y[ok, 2]))
+            b.append(np.maximum(x[ok, 2], y[ok, 2]))
+        return a, b
+
+    def found(rows: np.ndarray, starts: np.ndarray) -> pd.DataFrame:
+        """Pairs of the whole groups that begin at starts."""
+        if not len(rows):
+            return _counted([], [])
+        length = np.diff(np.append(starts, len(rows)))
+        mixed_ = np.minimum.reduceat(rows[:, 4], starts) < np.maximum.reduceat(rows[:, 4], starts)
+        a, b = near(rows[np.repeat(mixed_ & (length <= LONG), length)])
+        for i in np.flatnonzero(mixed_ & (length > LONG)):
+            x, y = pairs(rows[starts[i] : starts[i] + length[i]])
+            a.append(x)
+            b.append(y)
+        return _counted(a, b)
+
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = np.zeros((0, 8), "int64")
         for part in batches:
-            rows = np.concatenate([held, part[["shingle", "n", "id", "pos", "part", "chunk", "low", "high"]].to_numpy("int64")])
+            if not len(part):
+                continue
+            rows = np.concatenate([held, part[names].to_numpy("int64")])
             key = rows[:, [0, 6, 7]]
-            starts = np.append(0, np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1) if len(rows) else np.zeros(1, int)
+            starts = np.append(0, np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1)
             held = rows[starts[-1] :]
-            got = [pairs(rows[i:j]) for i, j in zip(starts[:-1], starts[1:], strict=True)]
-            yield _counted([x for x, _ in got], [y for _, y in got])
-        a, b = pairs(held)
-        yield _counted([a], [b])
+            yield found(rows[: starts[-1]], starts[:-1])
+        yield found(held, np.zeros(1, "int64"))
 
     return rows.repartition("shingle", "low", "high").sortWithinPartitions("shingle", "low", "high", "n", "id").mapInPandas(work, "a long, b long, c long")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, like: Likeness, scratch: Scratch) -> DataFrame:
-    """Those pairs (a, b) that link. Each a's set comes first in its group, the sets of its b stream by."""
-    ids = scratch.write(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct())
+    """Those pairs (a, b) that link. Each a's text comes first in its group, the texts of its b stream by; texts are sent
+    and not sets, as they take less than half of the room."""
     load = pairs.groupBy("a").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("k"))
     few = pairs.count() <= BROADCAST_ROWS
-
-    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in _slices(batches):
-            yield pd.DataFrame({"id": part["id"], "hashes": [s.tobytes() for s in like.sets(part["text"].tolist())]})
-
-    have = keep_ids(docs, ids, "id").mapInPandas(sets, "id long, hashes binary")
     roles = load.select(F.col("a").alias("id"), "a", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("salt"), F.lit(None).cast("long").alias("b"))
     roles = roles.unionByName(pairs.join(load, "a").select(F.col("b").alias("id"), "a", F.pmod(F.xxhash64("b"), F.col("k")).cast("int").alias("salt"), "b"))
-    sent = have.join(F.broadcast(roles) if few else roles, "id").select("a", "salt", "b", "hashes")
+    sent = docs.join(F.broadcast(roles) if few else roles, "id").select("a", "salt", "b", "text")
 
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, held = None, []
-        for part in batches:
+        for part in _slices(batches):
             a, b = [], []
-            for key, salt, other, raw in zip(part["a"], part["salt"], part["b"], part["hashes"], strict=True):
-                s = np.frombuffer(raw, "uint64")
+            for key, salt, other, s in zip(part["a"], part["salt"], part["b"], like.sets(part["text"].tolist()), strict=True):
                 if (key, salt) != at:
                     at, held = (key, salt), []
                 if pd.isna(other):
@@ -269,12 +315,6 @@ def _in_parts(shared: DataFrame, parts: DataFrame | None) -> DataFrame:
     return shared.join(small, "id", "left").withColumn("part", F.coalesce("component", "id")).drop("component")
 
 
-def _mixed_lists(rows: DataFrame) -> DataFrame:
-    """Rows on lists that hold several components."""
-    sizes = rows.groupBy("shingle").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("shingle")
-    return rows.join(sizes, "shingle", "left_semi")
-
-
 def joined_documents(docs: DataFrame, like: Likeness, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(rows, links): for each row of docs id_col, n_shingles and component_id; and the verified links (a, b) between
     class representatives, which connect every pair of linked documents but need not name each pair of a component."""
@@ -288,17 +328,13 @@ def joined_documents(docs: DataFrame, like: Likeness, id_col: str = "doc_id", te
     classes = scratch.write(each.where("n > 0 and id is not null").groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("size"), F.first("n").alias("n")))
     reps = scratch.write(classes.select(F.col("rep").alias("id")).distinct())
     texts = keep_ids(rows.where("id is not null"), reps, "id")
-    shared = scratch.write(_shared(_postings(texts, like, spark.sparkContext.broadcast(often))))
+    shared = scratch.write(_shared(_postings(texts, like, spark.sparkContext.broadcast(often)), like))
 
     # DivideSkip: long lists are set aside but for the documents that have too many of them.
-    length = shared.groupBy("shingle").agg(F.count("*").alias("m"))
-    rows_m = scratch.write(shared.join(length, "shingle"))
-    scratch.drop(shared)
     least = like.spare_column(F.floor(F.col("n") * like.percent / 100))
-    dense = rows_m.where(F.col("m") > LONG).groupBy("id").agg(F.count("*").alias("d"))
+    dense = scratch.write(shared.where("long").groupBy("id").agg(F.count("*").cast("int").alias("d")))
     few = dense.count() <= BROADCAST_ROWS
-    rows_d = rows_m.join(F.broadcast(dense) if few else dense, "id", "left").withColumn("d", F.coalesce("d", F.lit(0)).cast("int"))
-    kept = scratch.write(rows_d.where((F.col("m") <= LONG) | (F.col("d") >= least)).select("shingle", "id", "n", "pos", "m", "d"))
+    kept = shared.join(F.broadcast(dense) if few else dense, "id", "left").withColumn("d", F.coalesce("d", F.lit(0))).where(~F.col("long") | (F.col("d") >= least))
     facts = kept.groupBy("id").agg(F.min("n").alias("n"), F.max("d").alias("d"))
 
     # Classes that share a document (its rows differ) belong together.
@@ -308,23 +344,22 @@ def joined_documents(docs: DataFrame, like: Likeness, id_col: str = "doc_id", te
     parts = components(links, scratch) if not links.isEmpty() else None
 
     for turn in range(STARS + 1):
-        mixed_rows = scratch.write(_mixed_lists(_in_parts(kept, parts)))
-        if mixed_rows.isEmpty():
-            break
         if turn < STARS:
-            found = _led(mixed_rows, like, turn).groupBy("a", "b").agg(F.sum("c").alias("c"))
+            if turn:
+                found = _led(_in_parts(kept, parts), like, turn).groupBy("a", "b").agg(F.sum("c").alias("c"), F.min("n").alias("n"))
+            else:  # the leaders that were seen when the lists were merged
+                found = kept.where("lead <> id").groupBy(F.col("lead").alias("a"), F.col("id").alias("b")).agg(F.count("*").alias("c"), F.min("n").alias("n"))
             # Leaders only save work, so a pair may be passed over here; half of t keeps chance meetings out.
-            found = found.join(facts.select(F.col("id").alias("b"), "n"), "b").where(2 * F.col("c") >= like.spare_column(F.col("n")))
+            found = found.where(2 * F.col("c") >= like.spare_column(F.col("n")))
             found = found.groupBy("b").agg(F.max(F.struct("c", "a")).alias("best")).select("best.a", "b")
         else:
-            found = _crossed(mixed_rows, like).groupBy("a", "b").agg(F.sum("c").alias("c"))
+            found = _crossed(_in_parts(kept, parts), like).groupBy("a", "b").agg(F.sum("c").alias("c"))
             side = {x: facts.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("d").alias(f"d_{x}")) for x in "ab"}
             t = like.spare_column(F.least("n_a", "n_b"))
             found = found.join(side["a"], "a").join(side["b"], "b").where(F.col("c") >= F.greatest(F.lit(1), t - F.least("d_a", "d_b"))).select("a", "b")
         found = scratch.write(found)
         links = scratch.write(links.unionByName(_verified(found, rows.where("id is not null"), like, scratch)))
         parts = components(links, scratch) if not links.isEmpty() else None
-        scratch.drop(mixed_rows)
 
     whole = classes if parts is None else classes.join(parts.withColumnRenamed("id", "rep"), "rep", "left")
     whole = scratch.write(whole.select("digest", "size", (F.coalesce("component", "rep") if parts is not None else F.col("rep")).alias("component_id")))
