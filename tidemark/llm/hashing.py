@@ -20,8 +20,12 @@ def joined(codes: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def coded(texts: list[list[str]]) -> list[np.ndarray]:
-    """Each text's words as hashes."""
-    number = {w: i for i, w in enumerate(set().union(*texts))}
-    hashed = np.fromiter((xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in number), "uint64", len(number))
-    return [hashed[np.fromiter(map(number.__getitem__, t), "int64", len(t))] for t in texts]
+def coded(words: list[bytes]) -> np.ndarray:
+    """A text's words, in UTF-8, as hashes."""
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), "uint64", len(words))
+
+
+def distinct(values: np.ndarray) -> np.ndarray:
+    """The values once each, sorted."""
+    values = np.sort(values)
+    return values[np.append(True, values[1:] != values[:-1])] if len(values) else values

@@ -27,7 +27,6 @@ with a null component. Empty input: empty result.
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -36,17 +35,17 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, WORD, Scratch, join_by_hot_key, keep_ids
+from .common import BROADCAST_ROWS, Scratch, join_by_hot_key, keep_ids
 from .components import components
-from .hashing import coded, joined, mixed
+from .hashing import coded, distinct, joined, mixed
 
 #: Counters of a partition's summary of shingles; most frequent shingles that are kept, from so many documents on.
 COUNTERS, FREQUENT, LEAST = 1 << 18, 1 << 18, 12
 #: Longest short list; documents in a chunk of a long list; rounds against leaders.
 LONG, CHUNK, STARS = 32, 1000, 2
 SLICE_CHARS = 4_000_000
-_words = re.compile(WORD).findall
-_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+#: Shingles that are gathered before they are added to a summary.
+GATHERED = 2_000_000
 
 
 @dataclass(frozen=True)
@@ -59,9 +58,11 @@ class Likeness:
     def sets(self, texts: list[str | None]) -> list[np.ndarray]:
         """Sorted distinct shingle hashes of each text."""
         out = []
-        for codes in coded([_words((t or "").translate(_LOWER)) for t in texts]):
+        # Of bytes, lower() and split() know just A-Z and the white space of WORD.
+        for text in texts:
+            codes = coded((text or "").encode("utf-8", "surrogatepass").lower().split())
             if len(codes) >= self.size:
-                out.append(np.unique(joined(codes, self.size)))
+                out.append(distinct(joined(codes, self.size)))
             else:
                 out.append(mixed(joined(codes, len(codes)) + np.uint64(len(codes))) if len(codes) else np.zeros(0, "uint64"))
         return out
@@ -90,21 +91,36 @@ def _slices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             at = end
 
 
+def _summed(keys: np.ndarray, counts: np.ndarray, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The Misra-Gries summary (sorted keys, counts) with the sets added, of COUNTERS keys at most."""
+    seen, n = np.unique(np.concatenate([*sets, keys[:0]]), return_counts=True)
+    at = np.searchsorted(keys, seen)
+    old = keys[np.minimum(at, len(keys) - 1)] == seen if len(keys) else np.zeros(len(seen), bool)
+    counts = counts.copy()
+    counts[at[old]] += n[old]
+    total = np.concatenate([counts, n[~old]])
+    keys = np.concatenate([keys, seen[~old]])
+    if len(keys) > COUNTERS:
+        total = total - np.partition(total, -COUNTERS - 1)[-COUNTERS - 1]
+        keys, total = keys[total > 0], total[total > 0]
+    order = np.argsort(keys)
+    return keys[order], total[order]
+
+
 def _described(rows: DataFrame, like: Likeness) -> DataFrame:
     """For each row: kind 0, id, n, digest of its set; at each partition's end kind 1: frequent shingles and counts."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        keys, counts = np.zeros(0, "uint64"), np.zeros(0, "int64")
+        keys, counts, waiting = np.zeros(0, "uint64"), np.zeros(0, "int64"), []
         for part in _slices(batches):
             sets = like.sets(part["text"].tolist())
             digest = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
             yield pd.DataFrame({"kind": 0, "id": part["id"].array, "n": [len(s) for s in sets], "digest": digest})
-            seen, n = np.unique(np.concatenate(sets), return_counts=True)
-            keys, at = np.unique(np.concatenate([keys, seen]), return_inverse=True)
-            counts = np.bincount(at, np.concatenate([counts, n]), len(keys)).astype("int64")
-            if len(keys) > COUNTERS:
-                counts = counts - np.partition(counts, -COUNTERS - 1)[-COUNTERS - 1]
-                keys, counts = keys[counts > 0], counts[counts > 0]
+            waiting.extend(sets)
+            if sum(map(len, waiting)) >= GATHERED:
+                keys, counts = _summed(keys, counts, waiting)
+                waiting = []
+        keys, counts = _summed(keys, counts, waiting)
         some = counts > 1
         yield pd.DataFrame({"kind": 1, "id": pd.array(keys[some].view("int64"), "Int64"), "n": counts[some], "digest": None})
 
