@@ -82,6 +82,7 @@ def page_lines(html: Column) -> Column:
 def pages_report(pages: DataFrame) -> DataFrame:
     """For each page: its host, number of lines, dropped lines and the remaining text."""
     rows = pages.select("page_id", page_host(F.col("url")).alias("host"), page_lines(F.col("html")).alias("lines"))
+    rows = Scratch(pages.sparkSession, "pages").write(rows)  # both passes read the lines, and splitting costs the most
     done = without_boilerplate(rows, F.col("host"), F.col("lines"), "kept")
     return done.select("page_id", "host", F.size("lines").cast("long").alias("n_lines"), F.col("__dropped").cast("long").alias("n_dropped"), F.array_join("kept", "\n").alias("text"))
 
