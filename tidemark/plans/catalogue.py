@@ -456,7 +456,9 @@ def scalar_values(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("c_custkey")
     raw = F.when(k % 3 == 0, "x").otherwise((k % 40).cast("string"))
     date = F.when(k % 4 == 0, "1999").when(k % 4 == 1, " 1999-13 ").when(k % 4 == 2, "1999-01-02").otherwise("1999/1")
-    return table(spark, sf, "customer").where("c_custkey < 1000").select(k.alias("row_id"), X.positive_integer(raw).alias("number"), X.clean_date(date).alias("date"), F.lpad(k.cast("string"), 3, "0").alias("tail"))
+    digits = k.cast("string")
+    tail = F.lpad(digits, F.greatest(F.length(digits), F.lit(3)), F.lit("0"))
+    return table(spark, sf, "customer").select(k.alias("row_id"), X.positive_integer(raw).alias("number"), X.clean_date(date).alias("date"), tail.alias("tail"))
 
 
 @query(r"SELECT event_id AS row_id, json_extract_string(props, '$.' || json_keys(props)[1]) AS value FROM events")
