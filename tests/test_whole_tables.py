@@ -1,6 +1,9 @@
 """Queries that once read a share of their table: all rows, held against plain Python."""
 
+import re
+
 from tidemark.plans import catalogue
+from tidemark.plans.fixtures import dirty
 
 SF = "/root/testdata/sf0.01"
 
@@ -11,3 +14,10 @@ def test_scalar_values_all_customers(spark):
     dates = {0: "1999", 1: "1999-13", 2: "1999-01-02", 3: None}
     assert max(keys) > 999
     assert rows == {k: (None if k % 3 == 0 else k % 40 or None, dates[k % 4], f"{k:03d}") for k in keys}
+
+
+def test_canonical_identity_all_titles(spark):
+    fold = lambda x: re.sub("[^a-z0-9]+", " ", x.lower()).strip()
+    wanted = {r["row_id"]: (fold(r["artist"].split(" feat. ")[0]), fold(r["title"])) for r in dirty(spark, SF).collect()}
+    got = {r["row_id"]: (r["artist_key"], r["title_key"]) for r in catalogue.QUERIES["canonical_identity"](spark, SF).collect()}
+    assert len(wanted) == 2000 and got == wanted
