@@ -21,3 +21,8 @@ def test_canonical_identity_all_titles(spark):
     wanted = {r["row_id"]: (fold(r["artist"].split(" feat. ")[0]), fold(r["title"])) for r in dirty(spark, SF).collect()}
     got = {r["row_id"]: (r["artist_key"], r["title_key"]) for r in catalogue.QUERIES["canonical_identity"](spark, SF).collect()}
     assert len(wanted) == 2000 and got == wanted
+
+
+def test_audit_sanitised_all_rows(spark):
+    got = {r["row_id"]: r["kept"] for r in catalogue.QUERIES["audit_sanitised"](spark, SF).collect()}
+    assert got == {r["row_id"]: r["row_id"] % 2 == 0 for r in dirty(spark, SF).collect()} and len(got) == 2000

@@ -523,7 +523,7 @@ def playlist_choice(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT p_partkey AS row_id, p_partkey % 2 = 0 AS kept FROM part WHERE p_partkey % 5 = 0")
 def audit_sanitised(spark: SparkSession, sf: str) -> DataFrame:
-    rows = dirty(spark, sf).where("row_id % 5 = 0").withColumns({"album_artist": F.lit(None).cast("string"), "needs_review": F.lit(False), "evidence": F.lit(""), "title": F.lit("Song (Remix)")})
+    rows = dirty(spark, sf).withColumns({"album_artist": F.lit(None).cast("string"), "needs_review": F.lit(False), "evidence": F.lit(""), "title": F.lit("Song (Remix)")})
     said = F.when(F.col("row_id") % 2 == 0, "The title is junk: source tag TIT2 reads 'Other Song'.").otherwise("Remove the Remix from the title, source tag TIT2.")
     return rows.select("row_id", review.conservative(said).alias("kept"))
 
