@@ -2,8 +2,9 @@
 
 import re
 
+from tidemark.operators import plan
 from tidemark.plans import catalogue
-from tidemark.plans.fixtures import dirty
+from tidemark.plans.fixtures import dirty, tracks
 
 SF = "/root/testdata/sf0.01"
 
@@ -26,3 +27,14 @@ def test_canonical_identity_all_titles(spark):
 def test_audit_sanitised_all_rows(spark):
     got = {r["row_id"]: r["kept"] for r in catalogue.QUERIES["audit_sanitised"](spark, SF).collect()}
     assert got == {r["row_id"]: r["row_id"] % 2 == 0 for r in dirty(spark, SF).collect()} and len(got) == 2000
+
+
+def test_identity_groups_all_tracks(spark):
+    fold = lambda x: re.sub("[^a-z0-9]+", " ", x.lower()).strip()
+    wanted = {}
+    for r in plan.with_paths(tracks(spark, SF), catalogue.ROOT).collect():
+        path = r["new_path"] or f"D:/library/held/{r['row_id']}.mp3"
+        wanted.setdefault((fold(r["artist"]), fold(r["title"])), []).append(path)
+    wanted = {k: (len(v), " | ".join(sorted(v, key=lambda p: (p.lower(), p)))) for k, v in wanted.items()}
+    got = {(r["normalized_artist"], r["normalized_title"]): (r["n"], r["paths"]) for r in catalogue.QUERIES["identity_groups"](spark, SF).collect()}
+    assert sum(n for n, _ in got.values()) == 2000 and got == wanted

@@ -74,14 +74,19 @@ def identity_norm(spark: SparkSession, sf: str) -> DataFrame:
     return one.union(table(spark, sf, "customer").select("c_custkey", X.normalize_identity(F.col("c_name")), X.normalize_identity(F.col("c_mktsegment"))))
 
 
-def _index(spark: SparkSession, sf: str) -> DataFrame:
-    """Every third track as a library, with its destination as path; every fifth of them unreadable."""
-    rows = plan.with_paths(tracks(spark, sf), ROOT).where("row_id % 3 = 0")
+def _whole_index(spark: SparkSession, sf: str) -> DataFrame:
+    """All tracks as a library, with their destinations as paths; every fifth unreadable."""
+    rows = plan.with_paths(tracks(spark, sf), ROOT)
     path = F.coalesce("new_path", F.concat(F.lit(ROOT + "/held/"), F.col("row_id").cast("string"), F.lit(".mp3")))
     rows = rows.select("row_id", path.alias("path"), "artist", "title", F.when(F.col("row_id") % 5 == 0, "unreadable").alias("error"))
     return rows.withColumns({"key": X.path_key(F.col("path")), "normalized_artist": X.normalize_identity(F.col("artist")), "normalized_title": X.normalize_identity(F.col("title"))})
 
 
+def _index(spark: SparkSession, sf: str) -> DataFrame:
+    """Every third track as the library that the others are planned into."""
+    return _whole_index(spark, sf).where("row_id % 3 = 0")
+
+
 INDEX_SQL = (
     PATHS_SQL
     + f""", idx AS (SELECT row_id, coalesce(new_path, 'D:/library/held/' || row_id || '.mp3') AS path, artist, title,
@@ -92,7 +97,7 @@ INDEX_SQL = (
 
 @query(f"WITH {INDEX_SQL} SELECT na AS normalized_artist, nt AS normalized_title, n, paths FROM grp")
 def identity_groups(spark: SparkSession, sf: str) -> DataFrame:
-    return library.identity_groups(_index(spark, sf))
+    return library.identity_groups(_whole_index(spark, sf))
 
 
 COLLISION_SQL = (
