@@ -38,3 +38,29 @@ def test_identity_groups_all_tracks(spark):
     wanted = {k: (len(v), " | ".join(sorted(v, key=lambda p: (p.lower(), p)))) for k, v in wanted.items()}
     got = {(r["normalized_artist"], r["normalized_title"]): (r["n"], r["paths"]) for r in catalogue.QUERIES["identity_groups"](spark, SF).collect()}
     assert sum(n for n, _ in got.values()) == 2000 and got == wanted
+
+
+def test_bundles_of_all_tracks(spark):
+    fold = lambda x: re.sub("[^a-z0-9]+", " ", x.lower()).strip()
+    rows = {r["row_id"]: r for r in plan.with_paths(tracks(spark, SF), catalogue.ROOT).collect() if r["new_path"]}
+    at = {i: i for i in rows}
+
+    def find(i):
+        while at[i] != i:
+            i = at[i]
+        return i
+
+    first = {}
+    for i, r in rows.items():
+        for key in (r["new_path"].lower(), (fold(r["artist"]), fold(r["title"]))):
+            one, two = sorted((find(i), find(first.setdefault(key, i))))
+            at[two] = one
+    wanted = {i: find(i) for i in rows}
+    got = {r["row_id"]: r["component"] for r in catalogue.QUERIES["bundle_components"](spark, SF).collect()}
+    assert {i % 4 for i in got} == {0, 1, 2, 3} and got == wanted
+    skips = catalogue.QUERIES["bundle_skips"](spark, SF).collect()
+    kept = {r["component"]: r["kept_row_id"] for r in skips}
+    groups = {c for c in wanted.values() if c not in kept}
+    assert all(wanted[k] == c for c, k in kept.items())
+    assert sorted(r["row_id"] for r in skips) == sorted(i for i, c in wanted.items() if c not in groups and i != kept[c])
+    assert all(sum(c == g for c in wanted.values()) == 1 for g in groups)

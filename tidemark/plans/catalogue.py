@@ -189,7 +189,7 @@ def index_verify_stats(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _bundle(spark: SparkSession, sf: str) -> DataFrame:
-    return plan.with_paths(tracks(spark, sf), ROOT).withColumn("plan_id", F.concat(F.lit("plan "), (F.col("row_id") % 3).cast("string"))).where("row_id % 4 < 2")
+    return plan.with_paths(tracks(spark, sf), ROOT).withColumn("plan_id", F.concat(F.lit("plan "), (F.col("row_id") % 3).cast("string")))
 
 
 BUNDLE_SQL = (
