@@ -64,3 +64,10 @@ def test_bundles_of_all_tracks(spark):
     assert all(wanted[k] == c for c, k in kept.items())
     assert sorted(r["row_id"] for r in skips) == sorted(i for i, c in wanted.items() if c not in groups and i != kept[c])
     assert all(sum(c == g for c in wanted.values()) == 1 for g in groups)
+
+
+def test_link_confidence_counts_unmatched(spark, tmp_path):
+    rows = [(10, "Band", "same words here", "x"), (11, "Band", "same words here", "x"), (20, "Band", "zzzzz qqqqq", "x"), (30, "Other", "here " + "v" * 40, "y")]
+    spark.createDataFrame(rows, "p_partkey long, p_brand string, p_name string, p_type string").write.parquet(str(tmp_path / "part.parquet"))
+    got = {r["confidence"]: r["n"] for r in catalogue.QUERIES["link_confidence"](spark, str(tmp_path)).collect()}
+    assert got == {"high": 1, "unmatched": 2}

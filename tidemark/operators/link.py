@@ -64,14 +64,15 @@ def top(scored_rows: DataFrame, k: int = 5, tie: str = "key") -> DataFrame:
     return scored_rows.withColumn("candidate_rank", rank).where(F.col("candidate_rank") <= k)
 
 
-def confidence(ranked: DataFrame) -> DataFrame:
-    """(item_id, confidence) from the two best candidates; items without any are not in ranked."""
+def confidence(ranked: DataFrame, items: DataFrame) -> DataFrame:
+    """(item_id, confidence) of all items from their two best candidates; those without any are unmatched."""
     w = Window.partitionBy("item_id").orderBy("candidate_rank")
     first = ranked.withColumn("gap", F.col("score") - F.coalesce(F.lead("score").over(w), F.lit(0.0))).where("candidate_rank = 1")
     clear = ~F.col("version_conflict")
     high = clear & (((F.col("title_ratio") >= 0.96) & (F.col("artist_similarity") >= 0.7)) | (F.col("core_title_equal") & (F.col("artist_similarity") >= 0.6) & (F.col("score") >= 80)))
     possible = clear & (F.col("score") >= 68) & (F.col("title_ratio") >= 0.6) & ((F.col("gap") >= 5) | (F.col("artist_similarity") >= 0.6))
-    return first.select("item_id", F.when(high, "high").when(possible, "possible").otherwise("review").alias("confidence"))
+    found = first.select("item_id", F.when(high, "high").when(possible, "possible").otherwise("review").alias("found"))
+    return items.select("item_id").join(found, "item_id", "left").select("item_id", F.coalesce("found", F.lit("unmatched")).alias("confidence"))
 
 
 def chosen(memberships: DataFrame, linked: DataFrame) -> DataFrame:

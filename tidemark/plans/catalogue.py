@@ -382,7 +382,7 @@ def link_ratio_score(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def link_confidence(spark: SparkSession, sf: str) -> DataFrame:
-    return link.confidence(link_ratio_score(spark, sf)).groupBy("confidence").agg(F.count("*").alias("n"))
+    return link.confidence(link_ratio_score(spark, sf), _link(spark, sf)[0]).groupBy("confidence").agg(F.count("*").alias("n"))
 
 
 @query("SELECT conv_id, turn, (row_number() OVER (ORDER BY conv_id * 1000 + turn) - 1) // 5 AS batch_id FROM conversations")
