@@ -36,6 +36,13 @@ def test_columns(spark, column, given, wanted):
     assert values(spark, column, *given) == wanted
 
 
+def test_noise_of_any_depth(spark):
+    deep = "Song" + " " + "(" * 12 + ")" * 12
+    many = "Song" + " [HQ] - promo" * 15
+    assert values(spark, X.remove_noise, deep, many, "", None) == ["Song", "Song", "", None]
+    assert values(spark, X.noise_settled, deep, many, "", None) == [True, True, True, None]
+
+
 def test_title_with_artist(spark):
     rows = spark.createDataFrame([("Band - Song", "Band"), ("Song (Band - 5A)", "Band"), ("01 - Song_mp3", "B.*"), ("Song", None)], "t string, a string")
     assert [r[0] for r in rows.select(X.clean_title(F.col("t"), F.col("a"))).collect()] == ["Song", "Song", "Song", "Song"]

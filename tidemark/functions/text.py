@@ -14,7 +14,6 @@ from pyspark.sql import types as T
 from . import fixed
 
 #: Passes over the noise patterns; each takes off one layer of suffixes.
-NOISE_PASSES = 6
 
 
 def _sub(c: Column, pattern: str, by: str = "", flags: str = "iuU") -> Column:
@@ -94,18 +93,27 @@ def _noise_pass(c: Column) -> Column:
     return _sub(_sub(c, r"([\[(])\s+", "$1"), r"\s+([\])])", "$1")
 
 
-def _noise_passes(c: Column, passes: int) -> Column:
+def _noise_passes(c: Column) -> Column:
+    """Passes until one changes nothing. Each that changes a text shortens it, so its length bounds their number."""
     start = _sub(_sub(_sub(c, fixed.DOMAIN, " "), fixed.BPM, " "), fixed.EMPTY_BRACKETS, " ")
-    return F.aggregate(F.sequence(F.lit(1), F.lit(passes)), start, lambda acc, _: _noise_pass(acc))
 
+    def step(acc: Column, _: Column) -> Column:
+        return F.when(acc["text"] == acc["before"], acc).otherwise(F.struct(_noise_pass(acc["text"]).alias("text"), acc["text"].alias("before")))
 
-def remove_noise(c: Column, passes: int = NOISE_PASSES) -> Column:
-    return strip_marks(_sub(_noise_passes(c, passes), r"\s+", " ", "U"))
+    def settled(x: Column) -> Column:
+        first = F.struct(x.alias("text"), F.lit(None).cast("string").alias("before"))
+        return F.aggregate(F.sequence(F.lit(0), F.length(x)), first, step, lambda acc: acc["text"])
 
+    return let(start, settled)
 
-def noise_settled(c: Column, passes: int = NOISE_PASSES) -> Column:
+
+def remove_noise(c: Column) -> Column:
+    return strip_marks(_sub(_noise_passes(c), r"\s+", " ", "U"))
+
+
+def noise_settled(c: Column) -> Column:
     """Whether another pass would change nothing."""
-    return _noise_passes(c, passes) == _noise_passes(c, passes + 1)
+    return let(_noise_passes(c), lambda x: x == _noise_pass(x))
 
 
 def clean_artist(c: Column, unicode_forms: bool = True) -> Column:
