@@ -61,6 +61,22 @@ def test_windows_cover_every_word():
         assert seen == set(range(n))
 
 
+def test_pieces_cover_long_words():
+    for n in (1, 63, 64, 65, 96, 97, 128, 129, 1000):
+        word = "".join(chr(0x4E00 + i) for i in range(n))
+        pieces = toxicity._words("a " + word + " b")[1:-1]
+        assert "".join(sorted(set("".join(pieces)))) == word and all(p in word and len(p) <= toxicity.LONG for p in pieces)
+        assert len(pieces) == 1 or all(any(word[i : i + 32] in p for p in pieces) for i in range(n - 31))
+
+
+def test_toxicity_reads_long_words_to_the_end():
+    clean = babble(160, 1, 60)
+    net = toxicity.train([t + (" vile scum vile" if i % 4 == 0 else "") for i, t in enumerate(clean)], np.arange(160) % 4 == 0)
+    start = "_".join(babble(6, 3, 12)).replace(" ", "_")
+    one, two = net.scores([start + "_" + "_".join(["bade"] * 90), start + "_" + "_".join(["vile"] * 90)])
+    assert len(start.split(" ")[0]) > 64 and abs(one - two) > 1e-3
+
+
 def test_toxicity(spark):
     clean = babble(160, 1, 60)
     texts = [t + (" vile scum vile" if i % 4 == 0 else "") for i, t in enumerate(clean)] + ODD

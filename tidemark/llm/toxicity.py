@@ -1,8 +1,8 @@
 """Toxicity of whole texts: a bidirectional GRU with attention pooling, trained in numpy.
 
 A word enters as its own embedding (if the training sample had it) beside the mean of its character trigrams'
-embeddings, so unknown spellings still carry evidence. Windows of WINDOW words, STRIDE apart, cover the whole text;
-each is read in both directions, its states are pooled by attention, and a document's score is the calibrated
+embeddings, so unknown spellings still carry evidence. Windows of WINDOW words, STRIDE apart, cover the whole text
+(runs without white space enter as overlapping pieces of LONG characters); each is read in both directions, its states are pooled by attention, and a document's score is the calibrated
 logit of its worst window.
 
 Only documents are labelled, so training is by witnesses: each toxic document gives the window that looks worst so
@@ -29,6 +29,7 @@ from .common import WORD
 
 MAX_LABELLED, MAX_CHARS = 4000, 20_000
 WINDOW, STRIDE = 32, 16
+LONG, PACE = 64, 32
 #: Sizes: word and trigram tables, their dimensions, hidden units of one direction, attention units.
 WORDS, GRAMS, DW, DC, H, A = 8192, 4096, 10, 10, 12, 10
 ROUNDS, EPOCHS, BATCH, RATE, SEED = 4, 4, 64, 0.006, 7
@@ -42,7 +43,15 @@ APART = 5
 SLICE_CHARS, READ = 4_000_000, 4096
 
 Params = dict[str, np.ndarray]
-_words = re.compile(WORD).findall
+_runs = re.compile(WORD).findall
+
+
+def _words(text: str) -> list[str]:
+    """Runs between white space; longer ones than LONG as pieces of LONG characters, PACE apart, so that windows cover them."""
+    runs = _runs(text)
+    if max(map(len, runs), default=0) <= LONG:
+        return runs
+    return [r[i : i + LONG] for r in runs for i in range(0, max(len(r) - LONG, 0) + PACE, PACE)]
 
 
 def _stem(word: str) -> str:
@@ -51,7 +60,7 @@ def _stem(word: str) -> str:
 
 def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Trigram numbers of all words in a row, and where each word's begin. A word has as many as it has letters."""
-    framed = ["\x02" + w[:64] + "\x03" if w else "\x02 \x03" for w in words]
+    framed = ["\x02" + w + "\x03" if w else "\x02 \x03" for w in words]
     size = np.fromiter(map(len, framed), "int64", len(framed))
     code = np.frombuffer("".join(framed).encode("utf-32-le", "surrogatepass"), "<u4").astype("uint64")
     mixed = (code[:-2] * np.uint64(0x9E3779B1) + code[1:-1] * np.uint64(0x85EBCA77) + code[2:] * np.uint64(0xC2B2AE3D)) >> np.uint64(7)
