@@ -123,13 +123,61 @@ def near_copies(n, seed):
 
 def test_jaccard(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "LONG", 3)
-    monkeypatch.setattr(jaccard, "CHUNK", 8)
+    monkeypatch.setattr(jaccard, "CHUNK_SHINGLES", 400)
     texts = near_copies(70, 3) + ODD + babble(10, 4, 5)
     ids = list(range(len(texts)))
     rows = jaccard.report(documents(spark, texts), jaccard.Likeness(4, 85)).collect()
     assert {tuple(r) for r in rows} == brute_components(texts, ids, 4, 85) and len(rows) == len(texts)
 
 
+def set_pairs(sizes, percent, seed):
+    """Pairs of sets that are linked as narrowly as their sizes allow."""
+    rng = np.random.default_rng(seed)
+    for n in sizes:
+        for m in {n, n + 1, 100 * n // percent}:
+            if 100 * n >= percent * m:
+                common = -(-percent * (n + m) // (100 + percent))
+                u = rng.integers(0, 1 << 63, n + m - common, "uint64")
+                yield np.sort(u[:n]), np.sort(np.concatenate([u[:common], u[n:]]))
+
+
+@pytest.mark.parametrize(("size", "percent"), [(4, 85), (5, 80), (3, 50)])
+def test_linked_pairs_share_segments(size, percent):
+    like = jaccard.Likeness(size, percent)
+    first, _, room, spare = jaccard.schemes(like)
+    for a, b in set_pairs([*range(1, 60), 99, 250, 1000], percent, size):
+        if jaccard._common(a, b) == len(a) == len(b):
+            continue
+        key, doc, _, scheme = jaccard.segments(np.array([0, 1]), [a, b], like)
+        k = int(np.searchsorted(first, max(len(a), len(b)), "right")) - 1
+        met = set(key[(doc == 0) & (scheme == k)]) & set(key[(doc == 1) & (scheme == k)])
+        assert len(met) >= spare[k], (len(a), len(b))
+        assert max(np.bincount(scheme[doc == 0])) <= room.max()
+
+
+def test_search_connects_what_brute_force_connects():
+    like, rng = jaccard.Likeness(4, 85), np.random.default_rng(5)
+    base = rng.integers(0, 1 << 63, (3, 80), "uint64")
+    sets = []
+    for _ in range(90):
+        s = base[rng.integers(3)].copy()
+        s[rng.integers(0, 80, rng.integers(0, 12))] = rng.integers(0, 1 << 63, 1, "uint64")
+        sets.append(np.unique(s[: rng.integers(70, 81)]))
+    sides = rng.integers(0, 2, len(sets)).tolist()
+    for some in (None, sides):
+        def joined_by(links, at):
+            for i, j in links:
+                old, new = at[i], at[j]
+                at = [new if x == old else x for x in at]
+            return [at.index(x) for x in at]
+
+        parts = [i // 2 for i in range(len(sets))]
+        every = [(i, j) for i, j in itertools.combinations(range(len(sets)), 2) if (some is None or some[i] != some[j]) and like.linked(len(np.intersect1d(sets[i], sets[j])), len(sets[i]), len(sets[j]))]
+        found = jaccard.searched(sets, parts, some, like)
+        assert set(map(tuple, map(sorted, found))) <= set(every) and len(found) < len(sets) <= len(every)
+        assert joined_by(found, parts) == joined_by(every, parts)
+
+
 def test_jaccard_odd_tables(spark):
     like = jaccard.Likeness()
     assert jaccard.report(documents(spark, []), like).count() == 0

@@ -39,6 +39,7 @@ class Scratch:
         self.spark = spark
         self.base = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
         self._n = 0
+        self._paths: set[str] = set()
 
     def write(self, df: DataFrame, partition_by: str | None = None) -> DataFrame:
         self._n += 1
@@ -47,14 +48,23 @@ class Scratch:
         if partition_by:
             writer = writer.partitionBy(partition_by)
         writer.parquet(path)
+        self._paths.add(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
 
-    def drop(self, df: DataFrame) -> None:
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df._scratch_path)
+    def _delete(self, path: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        self._paths = {p for p in self._paths if p != path.toString()}
+
+    def drop(self, df: DataFrame) -> None:
+        self._delete(df._scratch_path)
+
+    def keep_only(self, *tables: DataFrame) -> None:
+        """Removes all tables but these; to be called when nothing that is still to be computed reads the others."""
+        for path in sorted(self._paths - {t._scratch_path for t in tables}):
+            self._delete(path)
 
 
 def lower_ascii(c: Column) -> Column:

@@ -3,30 +3,40 @@
 Two documents link when percent * |union| <= 100 * |intersection|. Sets are 64-bit hashes of `size` words in a row.
 
 1. Documents with equal sets form a class; only its smallest doc_id goes on.
-2. A global order of shingles: frequent ones (a Misra-Gries summary of all sets, so a table of fixed size) last, the
-   others by hash. A document of n shingles posts its first n - ceil(percent * n / 100) + t, t = 1 + n // 16. A linked
-   pair then shares at least t of these (the lesser t of the two).
-3. Postings are shuffled by shingle. The shuffle's sorted runs are heap-merged, so every inverted list streams by
-   once, and lists of one document are dropped. Lists longer than LONG are set aside: a document with d < t of them
-   must meet every partner t - d times on short lists. Only documents with too many long lists for that (dense ones) keep
-   their places on long lists. Pairs are counted over their lists and kept from the required overlap on.
-4. Candidates are verified by binary probes of one sorted set in the other (the skipped long lists are probed there).
-
-Large groups of near copies are not expanded to pairs. In STARS rounds each document is held only against its best
-leader on its lists; linked ones become one component, and the last round takes all pairs of *different* components
-that share enough lists. So no link between components is missed, and lists inside one component cost nothing.
-
-Lists that still mix components are split to chunks of CHUNK documents, and pairs of chunks go to tasks of their own.
+2. Inverted lists. A list for every shingle would make documents meet by chance, and the more documents, the more
+   often. So a set is dealt by hash to m segments, and a list's key is a whole segment. m follows from the size class
+   (:func:`schemes`): a linked pair differs in at most d shingles, hence in at most d segments. A document of a smaller
+   class posts in the next one too, if a partner can be there. In a global order that puts nearly empty segments last,
+   each document posts its first d + t segments; a linked pair then shares at least t of these.
+3. Postings are shuffled by key. The shuffle's sorted runs are heap-merged, so every list streams by once, and lists
+   of one document vanish. Pairs of the short lists (up to LONG) are counted; longer lists are set aside.
+   A segment that is frequent within one task is dealt to several tasks with a salt before the shuffle.
+4. A document that is on fewer than t long lists must meet each partner on t - (its long lists) short ones. Pairs that
+   reach this overlap are verified by binary probes of one sorted set in the other.
+5. Documents on t long lists or more (dense ones) may meet on long lists only. There the documents of a list are
+   searched together on their shingles (:func:`searched`): each one's short inverted lists are heap-merged, its long ones
+   are binary-probed for what the merge leaves, and it links where the exact overlap is reached. Lists of many shingles
+   are split to chunks, and each pair of chunks is a group of its own.
+
+Groups of near copies are not expanded to pairs. Before 4 and 5, each document is held against its best partner and
+against the most central document of its long lists (the one with the least share of segments of its own); what links
+becomes one component, and lists inside one component cost nothing. A search returns at most one link a document,
+as links inside a component that it has found add nothing. So no link between components is missed.
+
 Document ids are broadcast only up to BROADCAST_ROWS counted rows, else joined by shuffle.
 
 Null, empty and wordless texts have no shingles and link with nothing. Texts of fewer words than `size` are one shingle.
 Rows that repeat a doc_id are one document with several sets; each row is returned. Rows without a doc_id are returned
-with a null component. Empty input: empty result.
+with a null component. Of equal overlaps, the partner with the larger doc_id is tried first, which changes no component.
+Texts of any length are read whole. Other columns are not read, so their names can't clash. Empty input: empty result.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import heapq
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -39,13 +49,15 @@ from .common import BROADCAST_ROWS, Scratch, join_by_hot_key, keep_ids
 from .components import components
 from .hashing import coded, distinct, joined, mixed
 
-#: Counters of a partition's summary of shingles; most frequent shingles that are kept, from so many documents on.
-COUNTERS, FREQUENT, LEAST = 1 << 18, 1 << 18, 12
-#: Longest short list; documents in a chunk of a long list; rounds against leaders.
-LONG, CHUNK, STARS = 32, 1000, 2
+#: Longest short list; rows of a posting task's slice that make a segment hot, and the tasks it is dealt to.
+LONG, SALTS = 32, 16
+#: Shingles in a chunk of a long list; partners in a salted group of a verification.
+CHUNK_SHINGLES, PARTNERS = 500_000, 1000
+#: Lists that a search merges in any case.
+MERGED = 8
 SLICE_CHARS = 4_000_000
-#: Shingles that are gathered before they are added to a summary.
-GATHERED = 2_000_000
+#: In percent of the segments that may differ: those that need not be posted, and t - 1.
+UNPOSTED, SPARE = 35, 15
 
 
 @dataclass(frozen=True)
@@ -67,23 +79,65 @@ class Likeness:
                 out.append(mixed(joined(codes, len(codes)) + np.uint64(len(codes))) if len(codes) else np.zeros(0, "uint64"))
         return out
 
-    def spare(self, n: int) -> int:
-        """t of a set of n: how many shared postings a linked pair has at least."""
-        return 1 + n // 16
-
-    def spare_column(self, n: Column) -> Column:
-        return 1 + F.floor(n / 16)
-
-    def posted(self, n: int) -> int:
-        return min(n, n - -(-self.percent * n // 100) + self.spare(n))
-
     def linked(self, common, a, b):
         return 100 * common >= self.percent * (a + b - common)
 
-
-def _slices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def apart(self, both):
+        """The largest symmetric difference of linked sets whose sizes sum to `both`."""
+        return (100 - self.percent) * both // (100 + self.percent)
+
+    def overlap(self, both: int) -> int:
+        """The least intersection of linked sets whose sizes sum to `both`."""
+        return -(-self.percent * both // (100 + self.percent))
+
+
+@functools.lru_cache(8)
+def schemes(like: Likeness) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each size class: its first size, its largest size, its number of segments, its t.
+
+    A class spans two steps of 100 / percent, so the partners of a document lie in its own class and one neighbour."""
+    first = [1]
+    while first[-1] < 1 << 40:
+        first.append(first[-1] * 10_000 // like.percent**2 + 1)
+    first, last = np.array(first[:-1], "int64"), np.array(first[1:], "int64") - 1
+    most = like.apart(2 * last)
+    return first, last, most + 1 + -(-most * UNPOSTED // 100), 1 + most * SPARE // 100
+
+
+def segments(ids: np.ndarray, sets: list[np.ndarray], like: Likeness) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(key, id, n, scheme) of what the documents post."""
+    first, last, room, spare = schemes(like)
+    size = np.fromiter(map(len, sets), "int64", len(sets))
+    own = np.searchsorted(first, size, "right") - 1
+    reach = np.searchsorted(first, 100 * size // like.percent, "right") - 1
+    out = []
+    for scheme, larger in ((own, False), (reach, True)):
+        differ = like.apart(size + np.minimum(last[scheme], 100 * size // like.percent))
+        some = np.flatnonzero((size > 0) & (differ > 0) & ((scheme != own) | (not larger)))
+        if not len(some):
+            continue
+        n, k, m = size[some], scheme[some], room[scheme[some]]
+        flat, off = np.concatenate([sets[i] for i in some]), np.cumsum(m) - m
+        doc = np.repeat(np.arange(len(some)), n)
+        salt = mixed((k + 1).astype("uint64"))[doc]
+        slot = off[doc] + (mixed(flat + salt) % m[doc].astype("uint64")).astype("int64")
+        total = np.zeros(int(m.sum()), "uint64")
+        np.add.at(total, slot, mixed(flat ^ salt))
+        held = np.bincount(slot, minlength=len(total))
+        owner = np.repeat(np.arange(len(some)), m)
+        key = mixed(mixed(total + (np.arange(len(total)) - off[owner]).astype("uint64")) + k[owner].astype("uint64"))
+        order = np.lexsort((key, -np.minimum(held, 3), owner))
+        posted = np.arange(len(total)) - off[owner] < (differ[some] + spare[k])[owner]
+        key, owner = key[order][posted], owner[posted]
+        out.append((key.view("int64"), ids[some][owner], n[owner], k[owner]))
+    if not out:
+        return tuple(np.zeros(0, "int64") for _ in range(4))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+
+def _slices(batches: Iterator[pd.DataFrame], column: str = "text") -> Iterator[pd.DataFrame]:
     for whole in batches:
-        size = whole["text"].str.len().fillna(0).to_numpy().cumsum()
+        size = whole[column].str.len().fillna(0).to_numpy().cumsum()
         at = 0
         while at < len(whole):
             end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + SLICE_CHARS, "right")))
@@ -91,211 +145,106 @@ def _slices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             at = end
 
 
-def _summed(keys: np.ndarray, counts: np.ndarray, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """The Misra-Gries summary (sorted keys, counts) with the sets added, of COUNTERS keys at most."""
-    seen, n = np.unique(np.concatenate([*sets, keys[:0]]), return_counts=True)
-    at = np.searchsorted(keys, seen)
-    old = keys[np.minimum(at, len(keys) - 1)] == seen if len(keys) else np.zeros(len(seen), bool)
-    counts = counts.copy()
-    counts[at[old]] += n[old]
-    total = np.concatenate([counts, n[~old]])
-    keys = np.concatenate([keys, seen[~old]])
-    if len(keys) > COUNTERS:
-        total = total - np.partition(total, -COUNTERS - 1)[-COUNTERS - 1]
-        keys, total = keys[total > 0], total[total > 0]
-    order = np.argsort(keys)
-    return keys[order], total[order]
-
-
 def _described(rows: DataFrame, like: Likeness) -> DataFrame:
-    """For each row: kind 0, id, n, digest of its set; at each partition's end kind 1: frequent shingles and counts."""
+    """id, n and the digest of each row's set."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        keys, counts, waiting = np.zeros(0, "uint64"), np.zeros(0, "int64"), []
         for part in _slices(batches):
             sets = like.sets(part["text"].tolist())
             digest = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
-            yield pd.DataFrame({"kind": 0, "id": part["id"].array, "n": [len(s) for s in sets], "digest": digest})
-            waiting.extend(sets)
-            if sum(map(len, waiting)) >= GATHERED:
-                keys, counts = _summed(keys, counts, waiting)
-                waiting = []
-        keys, counts = _summed(keys, counts, waiting)
-        some = counts > 1
-        yield pd.DataFrame({"kind": 1, "id": pd.array(keys[some].view("int64"), "Int64"), "n": counts[some], "digest": None})
+            yield pd.DataFrame({"id": part["id"].array, "n": [len(s) for s in sets], "digest": digest})
 
-    return rows.mapInPandas(work, "kind int, id long, n long, digest binary")
+    return rows.mapInPandas(work, "id long, n long, digest binary")
 
 
-def _postings(rows: DataFrame, like: Likeness, frequent) -> DataFrame:
-    """(shingle, id, n, pos) of each row's posted shingles, in the global order."""
+def _postings(rows: DataFrame, like: Likeness) -> DataFrame:
+    """(key, salt, id, n, scheme). Keys that a slice holds more than LONG times are salted, and a row of size 0 with salt 0
+    says so."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        often = frequent.value
         for part in _slices(batches):
-            out = []
-            for doc, s in zip(part["id"], like.sets(part["text"].tolist()), strict=True):
-                if not len(s):
-                    continue
-                late = often[np.minimum(np.searchsorted(often, s), len(often) - 1)] == s if len(often) else np.zeros(len(s), bool)
-                first = np.concatenate([s[~late], s[late]])[: like.posted(len(s))]
-                out.append((first, np.full(len(first), doc), np.full(len(first), len(s)), np.arange(len(first))))
-            if out:
-                key, doc, n, pos = (np.concatenate(c) for c in zip(*out, strict=True))
-                yield pd.DataFrame({"shingle": key.view("int64"), "id": doc.astype("int64"), "n": n.astype("int32"), "pos": pos.astype("int32")})
+            key, doc, n, k = segments(part["id"].to_numpy("int64"), like.sets(part["text"].tolist()), like)
+            salt = np.zeros(len(key), "int32")
+            if len(part) > LONG:
+                keys, at, count = np.unique(key, return_inverse=True, return_counts=True)
+                hot = count[at] > LONG
+                salt[hot] = 1 + mixed(doc[hot].astype("uint64")) % np.uint64(SALTS)
+                keys = keys[count > LONG]
+                key, salt, doc, n, k = (np.concatenate([c, np.full(len(keys), x)]) for c, x in ((key, 0), (salt, 0), (doc, 0), (n, 0), (k, 0)))
+                key[len(key) - len(keys) :] = keys
+            yield pd.DataFrame({"key": key, "salt": salt.astype("int32"), "id": doc, "n": n, "scheme": k.astype("int32")})
 
-    return rows.mapInPandas(work, "shingle long, id long, n int, pos int")
+    return rows.mapInPandas(work, "key long, salt int, id long, n long, scheme int")
 
 
-def _leaders(rows: np.ndarray, like: Likeness) -> np.ndarray:
-    """For rows (shingle, n, ...) in order: the place of each one's leader, the last before it that opened a span of sizes."""
-    at, last, room, out = 0, None, 0, []
-    for i, (key, n) in enumerate(zip(rows[:, 0].tolist(), rows[:, 1].tolist(), strict=True)):
-        if key != last or like.percent * n > room:
-            at, last, room = i, key, 100 * n
-        out.append(at)
-    return np.array(out, "int64")
+#: What :func:`_merged` tells: a posting of a long list (key, id, n, scheme), lists that a pair shares (a, b, scheme, number), or
+#: shared lists of a document (id, number).
+POSTING, PAIR, SHARED = 0, 1, 2
 
 
-def _shared(postings: DataFrame, like: Likeness) -> DataFrame:
-    """Postings whose list has several documents; whether it is longer than LONG; the id of the leader there, or the own
-    id. Lists stream by in order of shingle; of one list at most LONG rows are held."""
+def _merged(postings: DataFrame, like: Likeness) -> DataFrame:
+    """(kind, a, b, n, scheme) from the merged lists. Lists stream by in order; of one list at most LONG rows are held."""
 
-    def given(rows: np.ndarray, leaders: np.ndarray, long: np.ndarray, take: np.ndarray) -> pd.DataFrame:
-        led = rows[leaders]
-        ok = _meets(led[:, 1], led[:, 3], rows[:, 1], rows[:, 3], like)
-        lead = np.where(ok, led[:, 2], rows[:, 2])
-        r = rows[take]
-        return pd.DataFrame({"shingle": r[:, 0], "id": r[:, 2], "n": r[:, 1].astype("int32"), "pos": r[:, 3].astype("int32"), "long": long[take], "lead": lead[take]})
+    def near(rows: np.ndarray, at: np.ndarray) -> Iterator[np.ndarray]:
+        """(a, b, scheme) of rows on the same list, for all distances at once."""
+        for off in range(1, LONG):
+            same = at[off:] == at[:-off]
+            if not same.any():
+                return
+            x, y = rows[:-off][same], rows[off:][same]
+            fits = (100 * np.minimum(x[:, 3], y[:, 3]) >= like.percent * np.maximum(x[:, 3], y[:, 3])) & (x[:, 2] != y[:, 2])
+            x, y = x[fits], y[fits]
+            yield np.stack([np.minimum(x[:, 2], y[:, 2]), np.maximum(x[:, 2], y[:, 2]), x[:, 4]], 1)
+
+    def given(rows: np.ndarray, at: np.ndarray, long: np.ndarray) -> pd.DataFrame:
+        """Of whole short lists, and of rows of long ones."""
+        real = rows[:, 3] > 0
+        rows, at, long = rows[real], at[real], long[real]
+        far, out = rows[long], []
+        out.append(np.stack([np.full(len(far), POSTING), far[:, 0], far[:, 2], far[:, 3], far[:, 4]], 1))
+        found = [*near(rows[~long], at[~long])]
+        if found:
+            pairs, n = np.unique(np.concatenate(found), axis=0, return_counts=True)
+            out.append(np.stack([np.full(len(n), PAIR), pairs[:, 0], pairs[:, 1], n, pairs[:, 2]], 1))
+        doc, n = np.unique(rows[:, 2], return_counts=True)
+        out.append(np.stack([np.full(len(n), SHARED), doc, doc, n, np.zeros(len(n), "int64")], 1))
+        return pd.DataFrame(np.concatenate(out), columns=["kind", "a", "b", "n", "scheme"])
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        none = np.zeros((0, 4), "int64")
-        carried, held = none, none  # leader of an open list that is known to be long; rows of an open list that is not
+        none = np.zeros((0, 5), "int64")
+        held, known = none, None  # rows of an open list that may be short; the open list if it is known to be long
         for part in batches:
             if not len(part):
                 continue
-            rows = np.concatenate([carried, held, part[["shingle", "n", "id", "pos"]].to_numpy("int64")])
-            starts = np.append(0, np.flatnonzero(rows[1:, 0] != rows[:-1, 0]) + 1)
+            rows = np.concatenate([held, part[["key", "salt", "id", "n", "scheme"]].to_numpy("int64")])
+            starts = np.append(0, np.flatnonzero((rows[1:, :2] != rows[:-1, :2]).any(1)) + 1)
             length = np.diff(np.append(starts, len(rows)))
-            over = length > LONG
-            over[0] |= len(carried) > 0
-            leaders = _leaders(rows, like)
-            take = np.repeat((length > 1) | over, length)
-            take[: len(carried)] = False
-            if over[-1]:
-                carried, held = rows[leaders[-1:]], none
+            long = (length > LONG) | (rows[starts, 1] > 0) | (np.minimum.reduceat(rows[:, 3], starts) == 0)
+            long[0] |= known == (rows[0, 0], rows[0, 1])
+            last = (rows[-1, 0], rows[-1, 1])
+            if long[-1]:
+                held, known = none, last
+                end = len(rows)
             else:
-                take[starts[-1] :] = False
-                carried, held = none, rows[starts[-1] :]
-            yield given(rows, leaders, np.repeat(over, length), take)
+                held, known = rows[starts[-1] :], None
+                end = starts[-1]
+            take = np.repeat((length > 1) | long, length)
+            take[end:] = False
+            at = np.repeat(np.arange(len(starts)), length)
+            if take.any():
+                yield given(rows[take], at[take], np.repeat(long, length)[take])
         if len(held) > 1:
-            yield given(held, _leaders(held, like), np.zeros(len(held), bool), np.ones(len(held), bool))
-
-    runs = postings.repartition("shingle").sortWithinPartitions("shingle", "n", F.xxhash64("id", F.lit(0)))
-    return runs.mapInPandas(work, "shingle long, id long, n int, pos int, long boolean, lead long")
+            yield given(held, np.zeros(len(held), "int64"), np.zeros(len(held), bool))
 
+    # The rows of size 0 come first on their list, so it is known to be long from its first row on.
+    runs = postings.repartition("key", "salt").sortWithinPartitions("key", "salt", "n")
+    return runs.mapInPandas(work, "kind int, a long, b long, n long, scheme int")
 
-def _meets(na: np.ndarray, pa: np.ndarray, nb: np.ndarray, pb: np.ndarray, like: Likeness) -> np.ndarray:
-    """Whether sizes and positions allow a link: all shared ones before, this one, and what can come after."""
-    most = np.minimum(pa, pb) + 1 + np.minimum(na - pa, nb - pb) - 1
-    return like.linked(np.minimum(most, np.minimum(na, nb)), na, nb)
 
-
-def _counted(a: list[np.ndarray], b: list[np.ndarray]) -> pd.DataFrame:
-    pairs = pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)}) if a else pd.DataFrame({"a": np.zeros(0, "int64"), "b": np.zeros(0, "int64")})
-    return pairs.groupby(["a", "b"], sort=False).size().rename("c").reset_index()
-
-
-def _led(rows: DataFrame, like: Likeness, turn: int) -> DataFrame:
-    """(a, b, n, c): each document b of a list, of size n, with its leader a, if in another component; c counts lists of
-    a task."""
-
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = np.zeros((0, 5), "int64")  # the leader of the batch before
-        for part in batches:
-            if not len(part):
-                continue
-            rows = np.concatenate([held, part[["shingle", "n", "id", "pos", "part"]].to_numpy("int64")])
-            led = rows[_leaders(rows, like)]
-            held = led[-1:]
-            ok = (led[:, 4] != rows[:, 4]) & _meets(led[:, 1], led[:, 3], rows[:, 1], rows[:, 3], like)
-            yield pd.DataFrame({"a": led[ok, 2], "b": rows[ok, 2], "n": rows[ok, 1]}).groupby(["a", "b", "n"], sort=False).size().rename("c").reset_index()
-
-    tie = F.xxhash64("id", F.lit(turn))
-    runs = rows.select("shingle", "n", "id", "pos", "part").repartition("shingle").sortWithinPartitions("shingle", "n", tie)
-    return runs.mapInPandas(work, "a long, b long, n long, c long")
-
-
-def _crossed(lists: DataFrame, like: Likeness) -> DataFrame:
-    """(a, b, c): all pairs of different components on a list; lists over CHUNK documents are split to pairs of chunks."""
-    many = lists.where("long")
-    sizes = many.groupBy("shingle").agg(F.count("*").alias("m"), F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("shingle", "m")
-    k = F.ceil(F.col("m") / CHUNK).cast("int")
-    other = F.explode(F.sequence(F.lit(0), k - 1))
-    many = many.join(sizes, "shingle").withColumn("chunk", F.pmod(F.xxhash64("id"), k).cast("int")).withColumn("other", other)
-    names = ["shingle", "n", "id", "pos", "part", "chunk", "low", "high"]
-    many = many.withColumns({"low": F.least("chunk", "other"), "high": F.greatest("chunk", "other")}).select(*names)
-    rows = many.unionByName(lists.where("not long").withColumns({c: F.lit(0) for c in names[5:]}).select(*names))
-
-    def pairs(g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """g: rows of one group in order of n."""
-        n, doc, pos, comp, chunk, low, high = (g[:, i] for i in range(1, 8))
-        reach = np.searchsorted(n, 100 * n // like.percent, "right")
-        a, b = [], []
-        for i in range(len(g) - 1):
-            j = np.arange(i + 1, reach[i])
-            ok = (comp[j] != comp[i]) & _meets(n[i], pos[i], n[j], pos[j], like) & ((low[i] == high[i]) | (chunk[j] != chunk[i]))
-            j = j[ok]
-            a.append(np.minimum(doc[i], doc[j]))
-            b.append(np.maximum(doc[i], doc[j]))
-        return (np.concatenate(a), np.concatenate(b)) if a else (doc[:0], doc[:0])
-
-    def near(rows: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        """Pairs of the short groups: each row with the one `off` places on, for all distances at once."""
-        a, b = [], []
-        for off in range(1, LONG):
-            x, y = rows[:-off], rows[off:]
-            same = (x[:, [0, 6, 7]] == y[:, [0, 6, 7]]).all(1)
-            if not same.any():
-                break
-            x, y = x[same], y[same]
-            ok = (x[:, 4] != y[:, 4]) & ((x[:, 6] == x[:, 7]) | (x[:, 5] != y[:, 5])) & _meets(x[:, 1], x[:, 3], y[:, 1], y[:, 3], like)
-            a.append(np.minimum(x[ok, 2], y[ok, 2]))
-            b.append(np.maximum(x[ok, 2], y[ok, 2]))
-        return a, b
-
-    def found(rows: np.ndarray, starts: np.ndarray) -> pd.DataFrame:
-        """Pairs of the whole groups that begin at starts."""
-        if not len(rows):
-            return _counted([], [])
-        length = np.diff(np.append(starts, len(rows)))
-        mixed_ = np.minimum.reduceat(rows[:, 4], starts) < np.maximum.reduceat(rows[:, 4], starts)
-        a, b = near(rows[np.repeat(mixed_ & (length <= LONG), length)])
-        for i in np.flatnonzero(mixed_ & (length > LONG)):
-            x, y = pairs(rows[starts[i] : starts[i] + length[i]])
-            a.append(x)
-            b.append(y)
-        return _counted(a, b)
-
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = np.zeros((0, 8), "int64")
-        for part in batches:
-            if not len(part):
-                continue
-            rows = np.concatenate([held, part[names].to_numpy("int64")])
-            key = rows[:, [0, 6, 7]]
-            starts = np.append(0, np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1)
-            held = rows[starts[-1] :]
-            yield found(rows[: starts[-1]], starts[:-1])
-        yield found(held, np.zeros(1, "int64"))
-
-    return rows.repartition("shingle", "low", "high").sortWithinPartitions("shingle", "low", "high", "n", "id").mapInPandas(work, "a long, b long, c long")
-
-
-def _verified(pairs: DataFrame, docs: DataFrame, like: Likeness, scratch: Scratch) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, like: Likeness) -> DataFrame:
     """Those pairs (a, b) that link. Each a's text comes first in its group, the texts of its b stream by; texts are sent
     and not sets, as they take less than half of the room."""
-    load = pairs.groupBy("a").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("k"))
+    load = pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("k"))
     few = pairs.count() <= BROADCAST_ROWS
     roles = load.select(F.col("a").alias("id"), "a", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("salt"), F.lit(None).cast("long").alias("b"))
     roles = roles.unionByName(pairs.join(load, "a").select(F.col("b").alias("id"), "a", F.pmod(F.xxhash64("b"), F.col("k")).cast("int").alias("salt"), "b"))
@@ -311,78 +260,184 @@ def _verified(pairs: DataFrame, docs: DataFrame, like: Likeness, scratch: Scratc
                 if pd.isna(other):
                     held.append(s)
                     continue
-                for first in held:
-                    few_, many = (first, s) if len(first) < len(s) else (s, first)
-                    common = int((many[np.minimum(np.searchsorted(many, few_), len(many) - 1)] == few_).sum()) if len(few_) else 0
-                    if common and like.linked(common, len(first), len(s)):
-                        a.append(key)
-                        b.append(int(other))
-                        break
+                if any(like.linked(_common(first, s), len(first), len(s)) for first in held if len(first) and len(s)):
+                    a.append(key)
+                    b.append(int(other))
             yield pd.DataFrame({"a": np.array(a, "int64"), "b": np.array(b, "int64")})
 
     return sent.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first()).mapInPandas(probe, "a long, b long")
 
 
-def _in_parts(shared: DataFrame, parts: DataFrame | None) -> DataFrame:
-    """shared with each document's component so far as column part."""
-    if parts is None:
-        return shared.withColumn("part", F.col("id"))
-    small = F.broadcast(parts) if parts.count() <= BROADCAST_ROWS else parts
-    return shared.join(small, "id", "left").withColumn("part", F.coalesce("component", "id")).drop("component")
+def _common(a: np.ndarray, b: np.ndarray) -> int:
+    """Size of the intersection of two sorted sets that are not empty, by binary probes of the smaller one."""
+    few, many = (a, b) if len(a) < len(b) else (b, a)
+    return int((many[np.minimum(np.searchsorted(many, few), len(many) - 1)] == few).sum())
+
+
+def searched(sets: list[np.ndarray], parts: list[int], sides: list[int] | None, like: Likeness) -> list[tuple[int, int]]:
+    """Links (places in sets) that connect all linked sets of different parts, by DivideSkip on their shingles.
+
+    With sides, only sets of different sides are held against each other. Partners of a set are those of its size or
+    larger, so it needs T = overlap(twice its size) of their shingles. Its T - 1 longest lists, but none up to MERGED, are
+    set aside; the short ones are heap-merged, and what is met T - (lists set aside) times is probed for these."""
+    order = sorted(range(len(sets)), key=lambda i: len(sets[i]))
+    size = np.array([len(sets[i]) for i in order], "int64")
+    root = {p: p for p in parts}
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    if len(root) < 2:
+        return []
+    flat = np.concatenate([sets[i] for i in order])
+    _, code, length = np.unique(flat, return_inverse=True, return_counts=True)
+    docs = np.repeat(np.arange(len(order)), size)[np.argsort(code, kind="stable")]  # the lists, each in order of size
+    begin, ends = np.cumsum(length) - length, np.cumsum(size)
+    links = []
+    for i, at in enumerate(order):
+        n = int(size[i])
+        own = code[ends[i] - n : ends[i]]
+        own = own[np.argsort(length[own], kind="stable")]
+        need = like.overlap(2 * n)
+        merge = max(n - need + 1, int(np.searchsorted(length[own], MERGED, "right")))
+        short, aside = own[:merge], n - merge
+        runs = [docs[begin[c] : begin[c] + length[c]].tolist() for c in short[length[short] > 1].tolist()]
+        for j, met in itertools.groupby(heapq.merge(*runs)):
+            if j <= i:
+                continue
+            met, other = sum(1 for _ in met), order[j]
+            m = int(size[j])
+            if met + aside < like.overlap(n + m) or 100 * n < like.percent * m or (sides is not None and sides[at] == sides[other]):
+                continue
+            if find(parts[at]) != find(parts[other]) and like.linked(_common(sets[at], sets[other]), n, m):
+                root[find(parts[at])] = find(parts[other])
+                links.append((at, other))
+    return links
+
+
+def _searched_lists(lists: DataFrame, docs: DataFrame, like: Likeness, scratch: Scratch) -> DataFrame:
+    """Links (a, b) that connect the linked documents of different parts on each list of lists(key, id, n, part)."""
+    ids = scratch.write(lists.select("id").distinct())
+
+    def shingled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in _slices(batches):
+            sets = like.sets(part["text"].tolist())
+            yield pd.DataFrame({"id": part["id"].array, "shingles": [s.tobytes() for s in sets]})
+
+    sets = scratch.write(keep_ids(docs, ids, "id").mapInPandas(shingled, "id long, shingles binary"))
+    load = lists.groupBy("key").agg(F.ceil(F.sum("n") / CHUNK_SHINGLES).cast("int").alias("k"))
+    small = load.count() <= BROADCAST_ROWS
+    rows = lists.join(F.broadcast(load) if small else load, "key").withColumn("chunk", F.pmod(F.xxhash64("id"), "k").cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    rows = rows.select("key", "id", "part", "chunk", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"))
+    rows = scratch.write(rows)
+    few = rows.count() <= BROADCAST_ROWS
+    sent = sets.join(F.broadcast(rows) if few else rows, "id")
+
+    def found(rows: list[tuple]) -> list[tuple[int, int]]:
+        sides = [r[3] for r in rows] if rows[0][4] != rows[0][5] else None
+        links = searched([np.frombuffer(r[6], "uint64") for r in rows], [r[2] for r in rows], sides, like)
+        return [(rows[i][1], rows[j][1]) for i, j in links]
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, links = [], []
+        for batch in batches:
+            links = []
+            for row in batch[["key", "id", "part", "chunk", "low", "high", "shingles"]].itertuples(index=False, name=None):
+                if held and (held[0][0], held[0][4], held[0][5]) != (row[0], row[4], row[5]):
+                    links += found(held)
+                    held = []
+                held.append(row)
+            yield pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+        if held:
+            yield pd.DataFrame(found(held), columns=["a", "b"], dtype="int64")
+
+    return sent.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high").mapInPandas(work, "a long, b long")
+
+
+def _in_parts(rows: DataFrame, parts: DataFrame | None, n_parts: int, *names: str) -> DataFrame:
+    """rows with the component of each id column as part_<name>; without one an id is its own."""
+    for name in names:
+        if parts is None:
+            rows = rows.withColumn(f"part_{name}", F.col(name))
+            continue
+        own = parts.select(F.col("id").alias(name), F.col("component").alias(f"part_{name}"))
+        rows = rows.join(F.broadcast(own) if n_parts <= BROADCAST_ROWS else own, name, "left")
+        rows = rows.withColumn(f"part_{name}", F.coalesce(f"part_{name}", name))
+    return rows
+
+
+def _first_tries(pairs: DataFrame, far: DataFrame, shared: DataFrame, like: Likeness) -> DataFrame:
+    """(a, b): each document b with its best partner on short lists, and with its best leader on long ones."""
+    best = F.max(F.struct("c", "a")).alias("best")
+    tries = pairs.groupBy("b").agg(best)
+    # The leader of a list is its document with the largest share of shared segments. One row a list.
+    ranked = far.join(keep_ids(shared, far.select("id").distinct(), "id"), "id").select("key", F.struct((F.col("c") / F.col("n")).alias("share"), F.xxhash64("id").alias("tie"), "n", "id").alias("r"))
+    leaders = ranked.groupBy("key").agg(F.max("r").alias("r")).select("key", F.col("r.id").alias("a"), F.col("r.n").alias("size"))
+    led = far.join(F.broadcast(leaders) if leaders.count() <= BROADCAST_ROWS else leaders, "key")
+    led = led.where((F.col("a") != F.col("id")) & (100 * F.least("n", "size") >= like.percent * F.greatest("n", "size")))
+    led = led.groupBy("a", F.col("id").alias("b")).agg(F.count("*").alias("c")).groupBy("b").agg(best)
+    return tries.unionByName(led).select("best.a", "b").distinct()
 
 
 def joined_documents(docs: DataFrame, like: Likeness, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(rows, links): for each row of docs id_col, n_shingles and component_id; and the verified links (a, b) between
+    """(rows, links): for each row of docs id_col, n_shingles and component_id; and verified links (a, b) between
     class representatives, which connect every pair of linked documents but need not name each pair of a component."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "jaccard")
+    scratch = Scratch(docs.sparkSession, "jaccard")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    described = scratch.write(_described(rows, like), partition_by="kind").select("kind", "id", "n", "digest")
-    each = described.where("kind = 0").select("id", "n", "digest")
-    often = described.where("kind = 1").groupBy("id").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST).orderBy(F.col("n").desc(), "id").limit(FREQUENT)
-    often = np.sort(np.array([r["id"] for r in often.select("id").collect()], "int64").view("uint64"))
+    some_rows = rows.where("id is not null")
+    each = scratch.write(_described(rows, like))
     classes = scratch.write(each.where("n > 0 and id is not null").groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("size"), F.first("n").alias("n")))
     reps = scratch.write(classes.select(F.col("rep").alias("id")).distinct())
-    texts = keep_ids(rows.where("id is not null"), reps, "id")
-    shared = scratch.write(_shared(_postings(texts, like, spark.sparkContext.broadcast(often)), like))
-
-    # DivideSkip: long lists are set aside but for the documents that have too many of them.
-    least = like.spare_column(F.floor(F.col("n") * like.percent / 100))
-    dense = scratch.write(shared.where("long").groupBy("id").agg(F.count("*").cast("int").alias("d")))
-    few = dense.count() <= BROADCAST_ROWS
-    kept = shared.join(F.broadcast(dense) if few else dense, "id", "left").withColumn("d", F.coalesce("d", F.lit(0))).where(~F.col("long") | (F.col("d") >= least))
-    facts = kept.groupBy("id").agg(F.min("n").alias("n"), F.max("d").alias("d"))
+    merged = scratch.write(_merged(_postings(keep_ids(some_rows, reps, "id"), like), like), partition_by="kind")
+    far = merged.where(F.col("kind") == POSTING).select(F.col("a").alias("key"), F.col("b").alias("id"), "n", "scheme")
+    pairs = merged.where(F.col("kind") == PAIR).groupBy("a", "b", "scheme").agg(F.sum("n").alias("c"))
+    pairs = scratch.write(pairs)
+    shared = merged.where(F.col("kind") == SHARED).groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("c"))
 
     # Classes that share a document (its rows differ) belong together.
     own = each.where("n > 0 and id is not null").select("id", "digest").distinct().groupBy("id").agg(F.count("*").alias("k"), F.collect_list("digest").alias("digests")).where("k > 1").select("id", F.explode("digests").alias("digest"))
     ties = own.join(classes.select("digest", "rep"), "digest").groupBy("id").agg(F.min("rep").alias("a"), F.collect_set("rep").alias("b")).select("a", F.explode("b").alias("b")).where("a <> b")
-    links = scratch.write(ties)
+    tries = scratch.write(_first_tries(pairs, far, shared, like))
+    links = scratch.write(ties.unionByName(_verified(tries, some_rows, like)))
+    parts = components(links, scratch) if not links.isEmpty() else None
+    n_parts = parts.count() if parts is not None else 0
+
+    # Long lists that still hold different components, and on how many of them a document is.
+    far = _in_parts(far, parts, n_parts, "id").withColumnRenamed("part_id", "part")
+    ends = far.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("key")
+    far = scratch.write(keep_ids(far, scratch.write(ends), "key"))
+    t = F.element_at(F.lit(schemes(like)[3].tolist()), F.col("scheme") + 1)
+    on = scratch.write(far.groupBy("id", "scheme").agg(F.count("*").alias("d")))
+    n_on = on.count()
+    left = _in_parts(pairs, parts, n_parts, "a", "b").where("part_a <> part_b")
+    for x in "ab":
+        side = on.select(F.col("id").alias(x), "scheme", F.col("d").alias(f"d_{x}"))
+        left = left.join(F.broadcast(side) if n_on <= BROADCAST_ROWS else side, [x, "scheme"], "left")
+    d = F.least(F.coalesce("d_a", F.lit(0)), F.coalesce("d_b", F.lit(0)))
+    left = left.where(F.col("c") >= F.when(d < t, t - d).otherwise(t)).select("a", "b").distinct()
+    left = scratch.write(left.join(tries, ["a", "b"], "left_anti"))
+    dense = on.where(F.col("d") >= t).select("id", "scheme")
+    dense = far.join(F.broadcast(dense) if n_on <= BROADCAST_ROWS else dense, ["id", "scheme"], "left_semi")
+    both = dense.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("key")
+    dense = scratch.write(keep_ids(dense, scratch.write(both), "key").select("key", "id", "n", "part"))
+    more = _verified(left, some_rows, like)
+    if not dense.isEmpty():
+        more = more.unionByName(_searched_lists(dense, some_rows, like, scratch))
+    links = scratch.write(links.unionByName(more))
     parts = components(links, scratch) if not links.isEmpty() else None
-
-    for turn in range(STARS + 1):
-        if turn < STARS:
-            if turn:
-                found = _led(_in_parts(kept, parts), like, turn).groupBy("a", "b").agg(F.sum("c").alias("c"), F.min("n").alias("n"))
-            else:  # the leaders that were seen when the lists were merged
-                found = kept.where("lead <> id").groupBy(F.col("lead").alias("a"), F.col("id").alias("b")).agg(F.count("*").alias("c"), F.min("n").alias("n"))
-            # Leaders only save work, so a pair may be passed over here; half of t keeps chance meetings out.
-            found = found.where(2 * F.col("c") >= like.spare_column(F.col("n")))
-            found = found.groupBy("b").agg(F.max(F.struct("c", "a")).alias("best")).select("best.a", "b")
-        else:
-            found = _crossed(_in_parts(kept, parts), like).groupBy("a", "b").agg(F.sum("c").alias("c"))
-            side = {x: facts.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("d").alias(f"d_{x}")) for x in "ab"}
-            t = like.spare_column(F.least("n_a", "n_b"))
-            found = found.join(side["a"], "a").join(side["b"], "b").where(F.col("c") >= F.greatest(F.lit(1), t - F.least("d_a", "d_b"))).select("a", "b")
-        found = scratch.write(found)
-        links = scratch.write(links.unionByName(_verified(found, rows.where("id is not null"), like, scratch)))
-        parts = components(links, scratch) if not links.isEmpty() else None
 
     whole = classes if parts is None else classes.join(parts.withColumnRenamed("id", "rep"), "rep", "left")
     whole = scratch.write(whole.select("digest", "size", (F.coalesce("component", "rep") if parts is not None else F.col("rep")).alias("component_id")))
     some = join_by_hot_key(each.where("n > 0 and id is not null"), whole, "digest", "size")
     rest = each.where("n = 0 or id is null").withColumn("component_id", F.col("id"))
     names = [F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id"]
-    return some.select(*names).unionByName(rest.select(*names)), links
+    out = scratch.write(some.select(*names).unionByName(rest.select(*names)))
+    scratch.keep_only(out, links)
+    return out, links
 
 
 def report(docs: DataFrame, like: Likeness) -> DataFrame:
