@@ -14,7 +14,7 @@ Two documents link when percent * |union| <= 100 * |intersection|. Sets are 64-b
 4. A document that is on fewer than t long lists must meet each partner on t - (its long lists) short ones. Pairs that
    reach this overlap are verified by binary probes of one sorted set in the other.
 5. Documents on t long lists or more (dense ones) may meet on long lists only. There the documents of a list are
-   searched together on their shingles (:func:`searched`): each one's short inverted lists are heap-merged, its long ones
+   searched together on their shingles (:func:`searched`): each one's short inverted lists are merged and counted, its long ones
    are binary-probed for what the merge leaves, and it links where the exact overlap is reached. Lists of many shingles
    are split to chunks, and each pair of chunks is a group of its own.
 
@@ -35,8 +35,6 @@ from __future__ import annotations
 
 import functools
 import hashlib
-import heapq
-import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -53,8 +51,8 @@ from .hashing import coded, distinct, joined, mixed
 LONG, SALTS = 32, 16
 #: Shingles in a chunk of a long list; partners in a salted group of a verification.
 CHUNK_SHINGLES, PARTNERS = 500_000, 1000
-#: Lists that a search merges in any case.
-MERGED = 8
+#: A search merges so large a part of the lists that it could set aside: more merging leaves fewer documents to probe.
+MERGED = 4
 SLICE_CHARS = 4_000_000
 #: In percent of the segments that may differ: those that need not be posted, and t - 1.
 UNPOSTED, SPARE = 35, 15
@@ -278,10 +276,11 @@ def searched(sets: list[np.ndarray], parts: list[int], sides: list[int] | None,
     """Links (places in sets) that connect all linked sets of different parts, by DivideSkip on their shingles.
 
     With sides, only sets of different sides are held against each other. Partners of a set are those of its size or
-    larger, so it needs T = overlap(twice its size) of their shingles. Its T - 1 longest lists, but none up to MERGED, are
-    set aside; the short ones are heap-merged, and what is met T - (lists set aside) times is probed for these."""
+    larger, so it needs T = overlap(twice its size) of their shingles. Of its lists all but the T - T // MERGED - 1 longest
+    are merged and counted; what is met T - (lists set aside) times is probed for the others."""
     order = sorted(range(len(sets)), key=lambda i: len(sets[i]))
     size = np.array([len(sets[i]) for i in order], "int64")
+    side = None if sides is None else np.array([sides[i] for i in order])
     root = {p: p for p in parts}
 
     def find(x: int) -> int:
@@ -292,29 +291,34 @@ def searched(sets: list[np.ndarray], parts: list[int], sides: list[int] | None,
 
     if len(root) < 2:
         return []
-    flat = np.concatenate([sets[i] for i in order])
-    _, code, length = np.unique(flat, return_inverse=True, return_counts=True)
+    keys, code, length = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True, return_counts=True)
     docs = np.repeat(np.arange(len(order)), size)[np.argsort(code, kind="stable")]  # the lists, each in order of size
     begin, ends = np.cumsum(length) - length, np.cumsum(size)
+    reach = np.searchsorted(size, 100 * size // like.percent, "right")
     links = []
     for i, at in enumerate(order):
         n = int(size[i])
         own = code[ends[i] - n : ends[i]]
         own = own[np.argsort(length[own], kind="stable")]
         need = like.overlap(2 * n)
-        merge = max(n - need + 1, int(np.searchsorted(length[own], MERGED, "right")))
-        short, aside = own[:merge], n - merge
-        runs = [docs[begin[c] : begin[c] + length[c]].tolist() for c in short[length[short] > 1].tolist()]
-        for j, met in itertools.groupby(heapq.merge(*runs)):
-            if j <= i:
-                continue
-            met, other = sum(1 for _ in met), order[j]
-            m = int(size[j])
-            if met + aside < like.overlap(n + m) or 100 * n < like.percent * m or (sides is not None and sides[at] == sides[other]):
-                continue
-            if find(parts[at]) != find(parts[other]) and like.linked(_common(sets[at], sets[other]), n, m):
-                root[find(parts[at])] = find(parts[other])
-                links.append((at, other))
+        short, aside = np.split(own, [n - need + 1 + need // MERGED])
+        runs = [docs[begin[c] : begin[c] + length[c]] for c in short[length[short] > 1].tolist()]
+        if not runs:
+            continue
+        met = np.bincount(np.concatenate(runs), minlength=reach[i])[i + 1 : reach[i]]
+        least = -(-like.percent * (n + size[i + 1 : reach[i]]) // (100 + like.percent))
+        ok = (met > 0) & (met >= least - len(aside))
+        if side is not None:
+            ok &= side[i + 1 : reach[i]] != side[i]
+        aside = keys[aside]
+        for j in np.flatnonzero(ok).tolist():
+            other = order[i + 1 + j]
+            if find(parts[at]) != find(parts[other]):
+                many = sets[other]
+                probed = int((many[np.minimum(np.searchsorted(many, aside), len(many) - 1)] == aside).sum())
+                if met[j] + probed >= least[j]:
+                    root[find(parts[at])] = find(parts[other])
+                    links.append((at, other))
     return links
 
 
