@@ -34,6 +34,11 @@ PROMOTIONAL = r"\b(?:free\s*(?:d/?l|download)|promo(?:tional)?|official\s+(?:aud
 MOJIBAKE = "�|Ã.|Â.|â[\u0080-¿]"
 FEATURE = r"\s+\b(?:feat(?:uring)?|ft)\.?\s*"
 CONTEXT_VERSION = r"\s*[\[(][^\])]*(?:remix|mix|edit|version|vip|bootleg|rework|dub|radio|extended|vocal|feat(?:uring)?|ft\.?)[^\])]*[\])]"
+TITLE_CONTEXT = r"\s*[\[(][^\])]*(?:remix|mix|edit|version|vip|bootleg|rework|dub|radio|extended|vocal|instrumental|acapella|live|demo|feat(?:uring)?|ft\.?)[^\])]*[\])]"
+VERSION_ONLY = r"\s*[\[(].*(?:remix|mix|edit|vip|bootleg|rework|dub|style).*?[\])]\s*"
+COMPILATION_ALBUM = r"\b(?:various\s+artists|compilation|anthology|volume|vol\.?\s*0*\d+)\b"
+COVER_CONTEXT = r"\bkaraoke\b|\boriginally performed by\b"
+COVER_REASON = "Filename identifies a karaoke or cover performer that differs from the model attribution; verify the exact recording identity."
 PLACEHOLDER = r"^(?:audio|song|track|unknown|untitled)(?:\s*\d+)?$"
 EMPTY_BRACKETS = r"\s*[\[(]\s*[|:/-]*\s*[\])]\s*"
 COPY_SUFFIXES = r"(?:\s*\(\d+\)|\s*-\s*\d+)"

@@ -13,8 +13,6 @@ from pyspark.sql import types as T
 
 from . import fixed
 
-#: Passes over the noise patterns; each takes off one layer of suffixes.
-
 
 def _sub(c: Column, pattern: str, by: str = "", flags: str = "iuU") -> Column:
     return F.regexp_replace(c, f"(?{flags}){pattern}", by)
@@ -247,13 +245,18 @@ def canonical_release(artist: Column, title: Column) -> tuple[Column, Column]:
     return normalize_identity(main), normalize_identity(bare)
 
 
+def _word_key(c: Column) -> Column:
+    """Words of any script, case folded, one space apart."""
+    return F.trim(folded_case(_sub(c, r"[^\w]+", " ", "U")))
+
+
 def title_without_context(c: Column) -> Column:
-    return normalize_identity(_sub(c, fixed.CONTEXT_VERSION, " "))
+    return _word_key(_sub(c, fixed.TITLE_CONTEXT, " "))
 
 
 def title_context(c: Column) -> Column:
-    """The bracketed version groups of a title, normalised, in order."""
-    return F.transform(F.regexp_extract_all(c, F.lit(f"(?iuU)({fixed.CONTEXT_VERSION})"), F.lit(1)), normalize_identity)
+    """The bracketed version and feature groups of a title as words, in order."""
+    return F.transform(F.regexp_extract_all(c, F.lit(f"(?iuU)({fixed.TITLE_CONTEXT})"), F.lit(1)), _word_key)
 
 
 def context_key(c: Column, unicode_forms: bool = False) -> Column:

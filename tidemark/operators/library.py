@@ -75,7 +75,7 @@ def collisions(planned: DataFrame, index: DataFrame) -> DataFrame:
     same = F.col("there").isNotNull() & F.col("t_error").isNull() & (pa != "") & (pt != "") & (pa == ta) & (pt == tt)
     existing = F.coalesce("identity_paths", F.when(same, F.col("there")))
     out = rows.select("row_id", "source_path", "new_path", "artist", "title", F.col("there").isNotNull().alias("destination_exists"), existing.alias("existing"))
-    return out.where("destination_exists or existing is not null").withColumn("recommendation", F.when(F.col("existing").isNotNull(), "skip").otherwise("review"))
+    return out.where("destination_exists or existing is not null").withColumn("recommendation", F.when(F.col("existing").isNotNull(), "skip_existing").otherwise("resolve_collision"))
 
 
 def linked_rows(rows: DataFrame, materialise: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:

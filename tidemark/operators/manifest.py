@@ -158,9 +158,11 @@ def model_results(answers: DataFrame, allowed: DataFrame) -> DataFrame:
     return rows.join(allowed.select("batch_id", "id"), ["batch_id", "id"], "left_semi").groupBy("batch_id", "id").agg(F.max_by("item", "pos").alias("item"))
 
 
-def error_kind(message: Column) -> Column:
-    m = F.lower(message)
-    return F.when(m.rlike("connection|refused|unavailable|timed? ?out"), "unavailable").when(m.rlike("context|too (?:long|large)|exceed"), "context").otherwise("other")
+def error_kind(status: Column, details: Column) -> Column:
+    """Why a request failed. status is the HTTP status, null if there was no connection at all."""
+    said = lambda term: F.contains(X.folded_case(F.coalesce(details, F.lit(""))), F.lit(term))
+    away = status.isNull() | (status == 503) | said("loading model")
+    return F.when(away, "unavailable").when((status == 400) & said("exceed") & said("context"), "context").otherwise("other")
 
 
 def request_items(rows: DataFrame) -> DataFrame:

@@ -139,7 +139,7 @@ def require_empty(violations: DataFrame, what: str) -> None:
 
 def skip_evidence(collisions: DataFrame, skips: DataFrame) -> DataFrame:
     """Evidence from both accepted layouts, one row a source; conflicting destinations and unsafe rows are flagged."""
-    one = collisions.where(F.col("recommendation") == "skip").select(F.col("source_path"), F.col("new_path").alias("destination"), F.lit("collision").alias("origin"))
+    one = collisions.where(F.col("recommendation") == "skip_existing").select(F.col("source_path"), F.col("new_path").alias("destination"), F.lit("collision").alias("origin"))
     two = skips.select(F.col("skipped_source").alias("source_path"), F.col("skipped_destination").alias("destination"), F.when(F.col("reason").isin("same_destination", "same_identity", "same_destination+same_identity"), F.lit("bundle")).alias("origin"))
     every = one.unionByName(two).withColumn("key", X.path_key(F.col("source_path")))
     return every.groupBy("key").agg(F.min(X.path_key(F.col("destination"))).alias("destination"), F.count_distinct(X.path_key(F.col("destination"))).alias("n_destinations"), F.bool_or(F.col("origin").isNull() | (F.trim("source_path") == "") | (F.trim("destination") == "")).alias("unsafe"))
@@ -159,10 +159,38 @@ def duplicate_losers(ranked: DataFrame) -> DataFrame:
     return ranked.where("not is_winner and new_path is not null").join(kept, "identity").select("row_id", "winner_id", "winner_source")
 
 
+def _audited(plan: DataFrame, audit: DataFrame) -> DataFrame:
+    """plan rows with one audit row of their source at most, and the first rule that this breaks (null if none)."""
+    key = X.path_key(F.trim("source_path"))
+    said = audit.select(key.alias("key"), X.path_key(F.trim("new_path")).alias("audited"), F.trim("recommendation").alias("recommendation"), F.coalesce(F.trim("existing"), F.lit("")).alias("evidence"))
+    said = said.groupBy("key").agg(F.count("*").alias("n_audit"), *[F.min(c).alias(c) for c in ("audited", "recommendation", "evidence")])
+    rows = plan.withColumn("key", key)
+    often = rows.groupBy("key").agg(F.count("*").alias("n_plan"))
+    joined = rows.join(often, "key").join(said, "key", "left")
+    rules = [
+        (F.col("key") == "", "plan source blank"),
+        (F.col("n_plan") > 1, "plan source repeated"),
+        (F.col("n_audit") > 1, "audit source repeated"),
+        (~F.col("audited").eqNullSafe(X.path_key(F.coalesce("new_path", F.lit("")))) & F.col("n_audit").isNotNull(), "destination changed"),
+        (~F.col("recommendation").eqNullSafe(F.lit("skip_existing")) & F.col("n_audit").isNotNull(), "recommendation unresolved"),
+        ((F.col("evidence") == "") & F.col("n_audit").isNotNull(), "no identity evidence"),
+    ]
+    return joined.withColumn("rule", F.coalesce(*[F.when(F.coalesce(when, F.lit(False)), rule) for when, rule in rules]))
+
+
+def audit_violations(plan: DataFrame, audit: DataFrame) -> DataFrame:
+    """(key, rule): why an audit may not be applied to a plan; empty if it may. One row a source and rule."""
+    found = _audited(plan, audit).where("rule is not null").select("key", "rule")
+    known = plan.select(X.path_key(F.trim("source_path")).alias("key"))
+    absent = audit.select(X.path_key(F.trim("source_path")).alias("key")).join(known, "key", "left_anti")
+    return found.unionByName(absent.withColumn("rule", F.lit("audit source absent"))).distinct()
+
+
 def apply_skips(plan: DataFrame, audit: DataFrame) -> DataFrame:
-    """Blanks the path of rows whose audited collision says skip and names the same destination; status says what held."""
-    found = audit.select(X.path_key(F.col("source_path")).alias("key"), X.path_key(F.col("new_path")).alias("audited"), "recommendation", F.col("existing").alias("evidence"))
-    joined = plan.withColumn("key", X.path_key(F.col("source_path"))).join(found, "key", "left")
-    same = X.path_key(F.col("new_path")) == F.col("audited")
-    status = F.when(F.col("audited").isNull(), "planned").when(~same, "destination changed").when(F.coalesce(F.trim("evidence"), F.lit("")) == "", "no evidence").when(F.col("recommendation") == "skip", "skipped").otherwise("planned")
-    return joined.withColumn("status", status).select("row_id", "source_path", F.when(F.col("status") == "skipped", F.lit("")).otherwise(F.col("new_path")).alias("new_path"), "status")
+    """One row a plan row: an audited row that breaks no rule loses its path (skipped), the others keep theirs.
+
+    status names the broken rule otherwise, or planned for rows that are not audited. To apply all or nothing, hold
+    :func:`audit_violations` against :func:`require_empty` first."""
+    status = F.coalesce(F.col("rule"), F.when(F.col("n_audit").isNotNull(), "skipped"), F.lit("planned"))
+    done = _audited(plan, audit).withColumn("status", status)
+    return done.select("row_id", "source_path", F.when(F.col("status") == "skipped", F.lit("")).otherwise(F.col("new_path")).alias("new_path"), "status")

@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions import text as X
+from . import manifest
+from .link import ratio
 
 TEXT_FIELDS = ["title", "artist", "album_artist", "album", "genre"]
+NAMES_ALL = {"album_artist": "albumArtist", "track_number": "trackNumber", "disc_number": "discNumber", "needs_review": "needsReview", "review_reason": "reviewReason"}
 NAMES = {"title": "title", "artist": "artist", "album_artist": "albumArtist", "album": "album", "genre": "genre"}
 
 
@@ -76,41 +79,122 @@ def change_counts(changes: DataFrame, samples: int = 20) -> DataFrame:
     return changes.groupBy("field").agg(F.count("*").alias("n"), F.slice(F.array_sort(F.collect_set("row_id")), 1, samples).alias("sample"))
 
 
-def split_misplaced(title: Column, artist: Column, tag_artist: Column) -> tuple[Column, Column]:
-    """(title, artist) where a key or a bare version stands as title and the artist tag reads `Artist - Title`."""
-    left, right = F.regexp_extract(tag_artist, r"^(.+?)\s+[-–—]\s+(.+)$", 1), F.regexp_extract(tag_artist, r"^(.+?)\s+[-–—]\s+(.+)$", 2)
-    bare = title.rlike(rf"(?iuU)^(?:{fixed.KEY})\z") | (X.core_title(X.folded(title, True)) == "")
-    use = (right != "") & F.coalesce(bare, F.lit(True))
-    version = F.when(title.rlike(rf"(?iuU)^(?:{fixed.KEY})\z") | title.isNull(), F.lit("")).otherwise(F.concat(F.lit(" ("), F.btrim(title, F.lit("()[] ")), F.lit(")")))
-    return F.when(use, F.concat(right, version)).otherwise(title), F.when(use, left).otherwise(artist)
-
-
-def keep_context(title: Column, candidates: list[Column]) -> Column:
-    """The first candidate with the same base title whose version groups strictly include the title's."""
-    base, groups = X.title_without_context(title), X.title_context(title)
-    fits = [F.when((X.title_without_context(c) == base) & (F.size(F.array_except(groups, X.title_context(c))) == 0) & (F.size(F.array_except(X.title_context(c), groups)) > 0), c) for c in candidates]
-    return F.coalesce(*fits, title)
-
-
-def keep_numeric_artist(artist: Column, tag: Column, folder: Column, name: Column) -> Column:
-    """The tag's artist, if it begins with a digit and folder and file name agree; else the artist as it is."""
-    key = X.normalize_identity(tag)
-    agrees = tag.rlike("^[0-9]") & (key != "") & (X.normalize_identity(folder) == key) & X.normalize_identity(name).startswith(key)
-    return F.when(agrees, tag).otherwise(artist)
-
-
-def ground(field: Column, source: Column, similarity: Column | None = None, least: float = 0.65) -> Column:
-    """An optional fact must come from the source; a candidate that is similar enough to it may stay."""
-    keep = field.isNotNull() & source.isNotNull() & (similarity >= least) if similarity is not None else field.eqNullSafe(source)
-    return F.when(keep, field).otherwise(source)
-
-
-def cover_performer(name: Column, title: Column, artist: Column) -> tuple[Column, Column, Column]:
-    """(title, artist, needs_review): a file name that says karaoke or originally performed by overrides the artist."""
-    cover = name.rlike(r"(?i)\bkaraoke\b|\boriginally performed by\b|\bin the style of\b")
-    by = F.regexp_extract(name, r"(?i)(?:originally performed by|in the style of)\s+([^)\]]+)", 1)
-    shown = F.when(cover & (by != "") & ~F.contains(F.lower(title), F.lower(by)), F.concat(title, F.lit(" (originally performed by "), F.trim(by), F.lit(")"))).otherwise(title)
-    return shown, F.when(cover & (X.normalize_identity(artist) == X.normalize_identity(by)), F.lit(None)).otherwise(artist), F.coalesce(cover, F.lit(False))
+def _same(a: Column, b: Column) -> Column:
+    return X.folded_case(a) == X.folded_case(b)
+
+
+def split_misplaced(rows: DataFrame, artist_tag: str, title_tag: str, key_tag: str) -> DataFrame:
+    """rows with title, artist and review state repaired where the tags name both; title_tag falls back on the file name.
+
+    1. The title is a DJ key that ends the title tag or equals the key tag: artist and title come from their tags.
+    2. The artist tag reads `Artist - Title`, the title tag is a bracketed version and the artist agrees: both are joined."""
+    rows = rows.withColumns({"__a": X.clean_optional(F.col(artist_tag)), "__t": F.coalesce(X.clean_optional(F.col(title_tag)), X.stem(F.col("source_path"))), "__k": X.clean_optional(F.col(key_tag)), "__title": X.clean_optional(F.col("title"))})
+    rows = rows.withColumn("__ca", X.clean_artist(F.col("__a")))
+    rows = rows.withColumn("__ct", X.clean_title(F.col("__t"), F.col("__ca")))
+    title, tag = F.col("__title"), F.col("__t")
+    suffix = F.regexp_like(tag, F.concat(F.lit(r"(?iuU)\s[-–—|]\s*\Q"), title, F.lit(r"\E\s*\z")))
+    is_key = title.rlike(rf"(?iuU)^(?:{fixed.KEY})\z") & (F.coalesce(suffix, F.lit(False)) | F.coalesce(_same(title, F.col("__k")), F.lit(False)))
+    one = is_key & F.col("__ca").isNotNull() & ~_same(F.col("__ct"), title) & ~F.col("__ct").rlike(f"(?iuU){fixed.PLACEHOLDER}")
+    two_parts = r"(?s)^(.+?)\s+[-–—]\s+(.+)\z"
+    rows = rows.withColumns({"__left": X.clean_optional(F.regexp_extract("__a", two_parts, 1)), "__right": X.clean_optional(F.regexp_extract("__a", two_parts, 2))})
+    own = X.clean_optional(F.col("artist"))
+    two = F.col("__left").isNotNull() & F.col("__right").isNotNull() & tag.rlike(rf"(?iuUs)^(?:{fixed.VERSION_ONLY})\z") & (own.isNull() | _same(own, F.col("__left")))
+    rows = rows.withColumns({"__one": F.coalesce(one, F.lit(False)), "__two": F.coalesce(two, F.lit(False)), "__joined": X.clean_title(F.concat_ws(" ", "__right", "__t"), F.col("__left"))})
+    rows = rows.withColumns({
+        "title": F.when(F.col("__one"), F.col("__ct")).when(F.col("__two"), F.col("__joined")).otherwise(F.col("title")),
+        "artist": F.when(F.col("__one"), F.col("__ca")).when(F.col("__two"), F.col("__left")).otherwise(F.col("artist")),
+        "needs_review": F.when(F.col("__one"), False).otherwise(F.col("needs_review")),
+        "review_reason": F.when(F.col("__one"), F.lit(None)).otherwise(F.col("review_reason")),
+    })
+    return rows.drop("__a", "__t", "__k", "__title", "__ca", "__ct", "__left", "__right", "__one", "__two", "__joined")
+
+
+def keep_context(rows: DataFrame, tags: list[str]) -> DataFrame:
+    """rows whose title takes the first evidence (tags, folder, file name) that has the same words without its version
+    groups, and all of the title's groups and more. Titles of nothing but groups stay."""
+    artist = X.clean_artist(F.col("artist"))
+    names = [*[F.col(t) for t in tags], X.file_name(X.parent(F.col("source_path"))), X.stem(F.col("source_path"))]
+    rows = rows.withColumn("__artist", artist).withColumns({f"__e{i}": X.clean_title(c, F.col("__artist")) for i, c in enumerate(names)} | {"__now": X.clean_title(F.col("title"), F.col("__artist"))})
+    rows = rows.withColumns({"__base": X.title_without_context(F.col("__now")), "__groups": X.title_context(F.col("__now"))})
+
+    def fits(c: Column) -> Column:
+        more = X.title_context(c)
+        return (F.col("__base") != "") & (X.title_without_context(c) == F.col("__base")) & (F.size(F.array_except("__groups", more)) == 0) & (F.size(F.array_except(more, F.col("__groups"))) > 0)
+
+    found = [F.when(fits(F.col(f"__e{i}")), F.col(f"__e{i}")) for i in range(len(names))]
+    return rows.withColumn("title", F.coalesce(*found, F.col("title"))).drop("__artist", "__now", "__base", "__groups", *[f"__e{i}" for i in range(len(names))])
+
+
+def keep_numeric_artist(rows: DataFrame, artist_tag: str) -> DataFrame:
+    """rows whose artist is the tag's, if that begins with a digit, names the folder above the file's and stands before the
+    dash of an `Artist - Title` file name."""
+    rows = rows.withColumn("__a", X.clean_artist(F.col(artist_tag)))
+    tag, stem = F.col("__a"), F.trim(X.stem(F.col("source_path")))
+    folder = F.trim(X.file_name(X.parent(X.parent(F.col("source_path")))))
+    named = F.regexp_like(stem, F.concat(F.lit(r"(?iuU)^\Q"), tag, F.lit(r"\E\s+[-–—]\s+\S")))
+    agrees = tag.rlike(r"(?U)^\d") & _same(folder, tag) & named & ~X.clean_artist(F.col("artist")).eqNullSafe(tag)
+    return rows.withColumn("artist", F.when(F.coalesce(agrees, F.lit(False)), tag).otherwise(F.col("artist"))).drop("__a")
+
+
+def ground(rows: DataFrame, genre_names: list[str] | None = None) -> DataFrame:
+    """rows with the catalogue facts that their tags support.
+
+    Tags are columns s_album, s_album_artist, s_genre (texts), s_track, s_disc, s_date and s_compilation (first values).
+    An album may differ from its tag's spelling; without an album there are no album facts. A fact that a row held for
+    review leaves open stays open."""
+    held = F.coalesce(F.col("needs_review"), F.lit(False))
+    rows = rows.withColumns({"__tag": X.clean_album(F.col("s_album")), "__own": X.clean_album(F.col("album"))})
+    plain = lambda c: F.trim(F.regexp_replace(X.folded_case(c), "[^a-z0-9]+", " "))
+    near = (plain(F.col("__tag")) == plain(F.col("__own"))) | (ratio(plain(F.col("__tag")), plain(F.col("__own"))) >= 0.65)
+    album = F.when(held & F.col("__own").isNull(), F.lit(None).cast("string")).when(F.col("__tag").isNotNull() & F.col("__own").isNotNull() & near, F.col("__own")).otherwise(F.col("__tag"))
+    rows = rows.withColumn("__album", album)
+    has = F.col("__album").isNotNull()
+    shared = has & (F.coalesce(manifest.first_boolean(F.col("s_compilation")), F.lit(False)) | F.col("__album").rlike(f"(?iuU){fixed.COMPILATION_ALBUM}") | F.coalesce(F.col("compilation"), F.lit(False)))
+    open_ = lambda f: held & F.col(f).isNull()
+    number = lambda f, tag: F.when(has & ~open_(f), X.positive_integer(manifest.first_integer(F.col(tag))))
+    rows = rows.withColumn("__shared", shared)
+    return rows.withColumns({
+        "album_artist": F.when(F.col("__shared"), "Various Artists").when(has, X.clean_artist(F.col("s_album_artist"))),
+        "track_number": number("track_number", "s_track"), "disc_number": number("disc_number", "s_disc"),
+        "date": F.when(~open_("date"), manifest.first_date(F.col("s_date"))),
+        "genre": F.when(~open_("genre"), X.clean_genre(F.col("s_genre"), genre_names)),
+        "album": F.col("__album"), "compilation": F.col("__shared"),
+    }).drop("__tag", "__own", "__album", "__shared")
+
+
+def cover_performer(rows: DataFrame) -> DataFrame:
+    """rows whose file name, `Performer - Title`, says karaoke or originally performed by: both come from it, and the row is
+    held for review, unless they agree already."""
+    rows = rows.withColumn("__stem", F.trim(X.stem(F.col("source_path"))))
+    parts = F.split("__stem", r"(?U)\s+[-–—]\s+", 2)
+    rows = rows.withColumns({"__a": X.clean_artist(F.get(parts, 0)), "__t": F.get(parts, 1)})
+    rows = rows.withColumns({"__t": X.clean_title(F.col("__t"), F.coalesce("__a", F.lit(""))), "__now": X.clean_title(F.col("title"), F.col("__a"))})
+    agrees = X.clean_artist(F.col("artist")).eqNullSafe(F.col("__a")) & F.col("__now").eqNullSafe(F.col("__t"))
+    rows = rows.withColumn("__use", F.col("__stem").rlike(f"(?iuU){fixed.COVER_CONTEXT}") & F.col("__a").isNotNull() & F.col("__t").isNotNull() & ~agrees)
+    new = {"title": F.col("__t"), "artist": F.col("__a"), "needs_review": F.lit(True), "review_reason": F.lit(fixed.COVER_REASON)}
+    return rows.withColumns({c: F.when(F.col("__use"), v).otherwise(F.col(c)) for c, v in new.items()}).drop("__stem", "__a", "__t", "__now", "__use")
+
+
+#: The fields that are held against their canonical values, in the order of their reasons.
+CANONICAL = ["title", "artist", "album_artist", "album", "date", "track_number", "disc_number", "genre", "compilation", "needs_review", "review_reason"]
+
+
+def canonical_output(rows: DataFrame, genre_names: list[str] | None = None) -> DataFrame:
+    """rows cleaned, repaired by their tags and grounded in them. Tags are columns s_title, s_artist, s_key and those of
+    :func:`ground`."""
+    done = split_misplaced(X.cleaned(rows, genre_names=genre_names), "s_artist", "s_title", "s_key")
+    return ground(keep_numeric_artist(keep_context(done, ["s_title", "s_album"]), "s_artist"), genre_names)
+
+
+def suspicious(rows: DataFrame, key: str = "row_id", genre_names: list[str] | None = None) -> DataFrame:
+    """(key, reasons) of rows whose output is not canonical, or whose casing looks wrong."""
+    was = rows.select("*", *[F.col(c).alias(f"__w_{c}") for c in CANONICAL])
+    done = canonical_output(was, genre_names)
+    differs = [F.when(~F.col(f"__w_{c}").eqNullSafe(F.col(c)), F.lit(NAMES_ALL.get(c, c))) for c in CANONICAL]
+    text = {f: X.clean_optional(F.col(f"__w_{f}")) for f in ("artist", "album_artist", "title", "album")}
+    casing = [F.when(X.all_small(text[f]), F.lit(f"{NAMES[f]} casing")) for f in ("artist", "album_artist")]
+    casing += [F.when((F.size(F.regexp_extract_all(text[f], F.lit(f"({fixed.CASED_WORD})"), F.lit(1))) >= 2) & X.needs_capital(text[f]), F.lit(f"{NAMES[f]} casing")) for f in ("title", "album")]
+    return done.select(key, F.array_compact(F.array(*differs, *casing)).alias("reasons")).where(F.size("reasons") > 0)
 
 
 def _key(c: Column) -> Column:

@@ -87,15 +87,16 @@ def _index(spark: SparkSession, sf: str) -> DataFrame:
     return _whole_index(spark, sf).where("row_id % 3 = 0")
 
 
-INDEX_SQL = (
+WHOLE_INDEX_SQL = (
     PATHS_SQL
     + f""", idx AS (SELECT row_id, coalesce(new_path, 'D:/library/held/' || row_id || '.mp3') AS path, artist, title,
-  CASE WHEN row_id % 5 = 0 THEN 'unreadable' END AS error, {NORM.format("artist")} AS na, {NORM.format("title")} AS nt FROM paths WHERE row_id % 3 = 0),
+  CASE WHEN row_id % 5 = 0 THEN 'unreadable' END AS error, {NORM.format("artist")} AS na, {NORM.format("title")} AS nt FROM paths WHERE true),
   grp AS (SELECT na, nt, count(*) AS n, string_agg(path, ' | ' ORDER BY lower(path), path) AS paths FROM idx WHERE na <> '' AND nt <> '' GROUP BY 1, 2)"""
 )
+INDEX_SQL = WHOLE_INDEX_SQL.replace("WHERE true", "WHERE row_id % 3 = 0")
 
 
-@query(f"WITH {INDEX_SQL} SELECT na AS normalized_artist, nt AS normalized_title, n, paths FROM grp")
+@query(f"WITH {WHOLE_INDEX_SQL} SELECT na AS normalized_artist, nt AS normalized_title, n, paths FROM grp")
 def identity_groups(spark: SparkSession, sf: str) -> DataFrame:
     return library.identity_groups(_whole_index(spark, sf))
 
@@ -123,31 +124,52 @@ def _collide(planned: DataFrame, full: DataFrame, index: DataFrame) -> DataFrame
     return library.collisions(planned, full.withColumn("key", F.concat(F.lit("row "), F.col("row_id").cast("string"))).drop("row_id").unionByName(extra))
 
 
-@query(f"WITH {COLLISION_SQL} SELECT *, CASE WHEN existing IS NOT NULL THEN 'skip' ELSE 'review' END AS recommendation FROM col WHERE destination_exists OR existing IS NOT NULL")
+@query(f"WITH {COLLISION_SQL} SELECT *, CASE WHEN existing IS NOT NULL THEN 'skip_existing' ELSE 'resolve_collision' END AS recommendation FROM col WHERE destination_exists OR existing IS NOT NULL")
 def import_collisions(spark: SparkSession, sf: str) -> DataFrame:
     return _collisions(spark, sf).drop("artist", "title")
 
 
-@query(f"""WITH {COLLISION_SQL} SELECT p.row_id, p.source_path, CASE WHEN c.existing IS NOT NULL THEN '' ELSE p.new_path END AS new_path,
-  CASE WHEN c.existing IS NOT NULL THEN 'skipped' WHEN c.row_id IS NOT NULL THEN 'no evidence' ELSE 'planned' END AS status
-  FROM paths p LEFT JOIN (SELECT * FROM col WHERE destination_exists OR existing IS NOT NULL) c ON lower(c.source_path) = lower(p.source_path)
-  WHERE p.new_path IS NOT NULL AND p.row_id % 3 <> 0 AND p.row_id IN (SELECT min(row_id) FROM paths GROUP BY lower(source_path))""")
+def _audited(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """A plan, some sources of which occur twice, and its audit with rows of every kind that must not be applied."""
+    planned = plan.with_paths(tracks(spark, sf), ROOT).where("new_path is not null and row_id % 3 <> 0")
+    found, k = _cut(spark)(_collisions(spark, sf)), F.col("row_id")
+    moved = F.when(k % 7 == 0, F.lit("D:/library/elsewhere.mp3")).otherwise(F.col("new_path"))
+    found = found.withColumns({"new_path": moved, "existing": F.when(k % 11 == 0, " ").otherwise(F.col("existing"))})
+    return planned, found.unionByName(found.where("row_id % 13 = 0").withColumn("source_path", F.when(F.col("row_id") % 26 == 0, "C:/in/absent.mp3").otherwise(F.col("source_path"))))
+
+
+AUDIT_SQL = (
+    COLLISION_SQL
+    + r""", f AS (SELECT row_id, lower(replace(source_path, '\', '/')) AS key, lower(CASE WHEN row_id % 7 = 0 THEN 'D:/library/elsewhere.mp3' ELSE new_path END) AS audited,
+    existing IS NOT NULL AS sure, CASE WHEN row_id % 11 = 0 THEN '' ELSE coalesce(existing, '') END AS evidence FROM col WHERE destination_exists OR existing IS NOT NULL),
+  a AS (SELECT * FROM f UNION ALL SELECT row_id, CASE WHEN row_id % 26 = 0 THEN 'c:/in/absent.mp3' ELSE key END, audited, sure, evidence FROM f WHERE row_id % 13 = 0),
+  one AS (SELECT key, count(*) AS n, min(audited) AS audited, bool_and(sure) AS sure, min(evidence) AS evidence FROM a GROUP BY key),
+  p AS (SELECT row_id, source_path, new_path, lower(replace(source_path, '\', '/')) AS key, count(*) OVER (PARTITION BY lower(replace(source_path, '\', '/'))) AS k FROM paths WHERE new_path IS NOT NULL AND row_id % 3 <> 0),
+  held AS (SELECT p.row_id, p.source_path, p.new_path, p.key, CASE WHEN k > 1 THEN 'plan source repeated' WHEN n > 1 THEN 'audit source repeated' WHEN audited <> lower(p.new_path) THEN 'destination changed'
+    WHEN NOT sure THEN 'recommendation unresolved' WHEN evidence = '' THEN 'no identity evidence' END AS rule, one.key IS NOT NULL AS said FROM p LEFT JOIN one USING (key))"""
+)
+
+
+@query(f"WITH {AUDIT_SQL} SELECT row_id, source_path, CASE WHEN said AND rule IS NULL THEN '' ELSE new_path END AS new_path, coalesce(rule, CASE WHEN said THEN 'skipped' ELSE 'planned' END) AS status FROM held")
 def apply_skips(spark: SparkSession, sf: str) -> DataFrame:
-    rows = plan.with_paths(tracks(spark, sf), ROOT)
-    first = rows.groupBy(X.path_key(F.col("source_path"))).agg(F.min("row_id").alias("row_id")).select("row_id")
-    return plan.apply_skips(rows.where("new_path is not null and row_id % 3 <> 0").join(first, "row_id", "left_semi"), _collisions(spark, sf))
+    return plan.apply_skips(*_audited(spark, sf))
+
+
+@query(f"WITH {AUDIT_SQL} SELECT DISTINCT key, rule FROM held WHERE rule IS NOT NULL UNION SELECT key, 'audit source absent' FROM one WHERE key NOT IN (SELECT key FROM p)")
+def audit_violations(spark: SparkSession, sf: str) -> DataFrame:
+    return plan.audit_violations(*_audited(spark, sf))
 
 
 @query(f"""WITH {PATHS_SQL}, s AS (SELECT lower(replace(source_path, '\\', '/')) AS key, lower(new_path) AS destination, row_id % 23 = 0 AS bad FROM paths WHERE new_path IS NOT NULL)
   SELECT key, min(destination) AS destination, count(DISTINCT destination) AS n_destinations, bool_or(bad) AS unsafe FROM s GROUP BY key""")
 def skip_evidence(spark: SparkSession, sf: str) -> DataFrame:
     rows = plan.with_paths(tracks(spark, sf), ROOT).where("new_path is not null")
-    one = rows.where("row_id % 2 = 0 and row_id % 23 <> 0").select("source_path", "new_path", F.lit("skip").alias("recommendation"))
+    one = rows.where("row_id % 2 = 0 and row_id % 23 <> 0").select("source_path", "new_path", F.lit("skip_existing").alias("recommendation"))
     two = rows.where("row_id % 2 = 1 or row_id % 23 = 0").select(F.col("source_path").alias("skipped_source"), F.col("new_path").alias("skipped_destination"), F.when(F.col("row_id") % 23 == 0, "").otherwise("same_identity").alias("reason"))
     return plan.skip_evidence(one, two)
 
 
-@query(f"""WITH {DIRTY_SQL} SELECT row_id, {NORM.format("regexp_extract(artist, '^(.*?)( feat[.] .*)?$', 1)")} AS artist_key, {NORM.format("title")} AS title_key FROM dirty WHERE row_id % 6 = 5""")
+@query(f"""WITH {DIRTY_SQL} SELECT row_id, {NORM.format("regexp_extract(artist, '^(.*?)( feat[.] .*)?$', 1)")} AS artist_key, {NORM.format("title")} AS title_key FROM dirty""")
 def canonical_identity(spark: SparkSession, sf: str) -> DataFrame:
     a, t = X.canonical_release(F.col("artist"), F.concat("title", F.lit(" (feat. Someone Else)")))
     return dirty(spark, sf).select("row_id", a.alias("artist_key"), t.alias("title_key"))
@@ -194,7 +216,7 @@ def _bundle(spark: SparkSession, sf: str) -> DataFrame:
 
 BUNDLE_SQL = (
     PATHS_SQL.replace("WITH ", "")
-    + f""", act AS (SELECT row_id, lower(new_path) AS d, {NORM.format("artist")} || '|' || {NORM.format("title")} AS i FROM paths WHERE new_path IS NOT NULL AND row_id % 4 < 2),
+    + f""", act AS (SELECT row_id, lower(new_path) AS d, {NORM.format("artist")} || '|' || {NORM.format("title")} AS i FROM paths WHERE new_path IS NOT NULL),
   star AS (SELECT row_id AS x, min(row_id) OVER (PARTITION BY d) AS y FROM act UNION SELECT row_id, min(row_id) OVER (PARTITION BY i) FROM act),
   edge AS (SELECT x, y FROM star UNION SELECT y, x FROM star),
   walk AS (SELECT row_id AS x, row_id AS c FROM act UNION SELECT e.y, w.c FROM walk w JOIN edge e ON e.x = w.x WHERE w.c < e.y),
@@ -449,14 +471,18 @@ def context_lookup(spark: SparkSession, sf: str) -> DataFrame:
     return manifest.context(rows)
 
 
-@query("SELECT event_id AS row_id, CASE WHEN event_id % 3 = 0 THEN 'unavailable' WHEN event_id % 3 = 1 THEN 'context' ELSE 'other' END AS kind FROM events")
+@query("""WITH e AS (SELECT event_id, CASE event_id % 5 WHEN 0 THEN NULL WHEN 1 THEN 503 WHEN 2 THEN 400 WHEN 3 THEN 500 ELSE 200 END AS status,
+    CASE user_id % 4 WHEN 0 THEN 'Request EXCEEDS the context size' WHEN 1 THEN 'Loading model' WHEN 2 THEN 'no context given' ELSE event_type END AS details FROM events)
+  SELECT event_id AS row_id, CASE WHEN status IS NULL OR status = 503 OR details ILIKE '%loading model%' THEN 'unavailable'
+    WHEN status = 400 AND details ILIKE '%exceed%' AND details ILIKE '%context%' THEN 'context' ELSE 'other' END AS kind FROM e""")
 def error_kinds(spark: SparkSession, sf: str) -> DataFrame:
-    k = F.col("event_id") % 3
-    message = F.when(k == 0, "Connection refused by peer").when(k == 1, "prompt exceeds the context size").otherwise("bad answer")
-    return table(spark, sf, "events").select(F.col("event_id").alias("row_id"), manifest.error_kind(message).alias("kind"))
+    k, u = F.col("event_id") % 5, F.col("user_id") % 4
+    status = F.when(k == 1, 503).when(k == 2, 400).when(k == 3, 500).when(k == 4, 200)
+    details = F.when(u == 0, "Request EXCEEDS the context size").when(u == 1, "Loading model").when(u == 2, "no context given").otherwise(F.col("event_type"))
+    return table(spark, sf, "events").select(F.col("event_id").alias("row_id"), manifest.error_kind(status, details).alias("kind"))
 
 
-@query("SELECT c_custkey AS row_id, CASE WHEN c_custkey % 3 = 0 THEN NULL WHEN c_custkey % 40 > 0 THEN c_custkey % 40 END AS number, CASE c_custkey % 4 WHEN 0 THEN '1999' WHEN 1 THEN '1999-13' WHEN 2 THEN '1999-01-02' END AS date, lpad(CAST(c_custkey AS VARCHAR), 3, '0') AS tail FROM customer WHERE c_custkey < 1000")
+@query("SELECT c_custkey AS row_id, CASE WHEN c_custkey % 3 = 0 THEN NULL WHEN c_custkey % 40 > 0 THEN c_custkey % 40 END AS number, CASE c_custkey % 4 WHEN 0 THEN '1999' WHEN 1 THEN '1999-13' WHEN 2 THEN '1999-01-02' END AS date, lpad(CAST(c_custkey AS VARCHAR), CAST(greatest(3, length(CAST(c_custkey AS VARCHAR))) AS INT), '0') AS tail FROM customer")
 def scalar_values(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("c_custkey")
     raw = F.when(k % 3 == 0, "x").otherwise((k % 40).cast("string"))
@@ -526,7 +552,7 @@ def playlist_choice(spark: SparkSession, sf: str) -> DataFrame:
     return link.chosen(rows.drop("key", "candidate_rank"), rows.where("track_no % 6 > 0")).select("track_no", "media_key", "missing")
 
 
-@query("SELECT p_partkey AS row_id, p_partkey % 2 = 0 AS kept FROM part WHERE p_partkey % 5 = 0")
+@query("SELECT p_partkey AS row_id, p_partkey % 2 = 0 AS kept FROM part")
 def audit_sanitised(spark: SparkSession, sf: str) -> DataFrame:
     rows = dirty(spark, sf).withColumns({"album_artist": F.lit(None).cast("string"), "needs_review": F.lit(False), "evidence": F.lit(""), "title": F.lit("Song (Remix)")})
     said = F.when(F.col("row_id") % 2 == 0, "The title is junk: source tag TIT2 reads 'Other Song'.").otherwise("Remove the Remix from the title, source tag TIT2.")
@@ -540,3 +566,71 @@ def set_algebra(spark: SparkSession, sf: str) -> DataFrame:
     a, b = n.where("id % 2 = 0"), n.where("id % 3 = 0")
     parts = [a.withColumn("origin", F.lit("required")), a.join(b, "id", "left_anti").withColumn("origin", F.lit("difference")), a.join(b, "id", "left_semi").withColumn("origin", F.lit("intersection"))]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def _tagged(spark: SparkSession, sf: str, **columns: str) -> DataFrame:
+    """part as rows of a manifest with their tags; columns are expressions over k, name and brand, the others null."""
+    texts = ["title", "artist", "album_artist", "album", "date", "genre", "review_reason", "exclusion_reason", "source_path", *(f"s_{x}" for x in ("title", "artist", "key", "album", "album_artist", "genre", "track", "disc", "date", "compilation"))]
+    kinds = {**dict.fromkeys(texts, "string"), **dict.fromkeys(["track_number", "disc_number"], "int"), **dict.fromkeys(["compilation", "needs_review", "excluded"], "boolean")}
+    rows = table(spark, sf, "part").selectExpr("p_partkey as k", "p_name as name", "p_brand as brand")
+    return rows.selectExpr("k as row_id", *[f"cast({columns.get(c, 'false' if kind == 'boolean' else 'null')} as {kind}) as {c}" for c, kind in kinds.items()])
+
+
+PART_SQL = "p AS (SELECT p_partkey AS k, p_name AS name, p_brand AS brand FROM part)"
+
+
+@query(f"""WITH {PART_SQL} SELECT k AS row_id, CASE k % 5 WHEN 0 THEN name WHEN 1 THEN name || ' (Club Mix)' WHEN 2 THEN 'Песня' WHEN 3 THEN 'Radio' ELSE '8A' END AS title,
+  CASE WHEN k % 5 = 2 THEN 'Певец' ELSE brand END AS artist, k % 5 <> 0 AS needs_review FROM p""")
+def misplaced_titles(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _tagged(spark, sf, title="case k % 5 when 0 then '8A' when 1 then 'x' when 2 then 'Песня' when 3 then 'Radio' else '8A' end", artist="case when k % 5 = 2 then 'Певец' else brand end", needs_review="true", source_path="'C:/in/' || name || '.mp3'",
+                   s_title="case k % 5 when 0 then name || ' - 8A' when 1 then '(Club Mix)' when 2 then 'Другая' when 3 then '(Dub)' else name end", s_artist="case k % 5 when 1 then brand || ' - ' || name when 2 then 'Певец - Другая' when 3 then 'Other - ' || name else brand end")
+    return review.split_misplaced(rows, "s_artist", "s_title", "s_key").select("row_id", "title", "artist", "needs_review")
+
+
+@query(f"""WITH {PART_SQL} SELECT k AS row_id, CASE k % 6 WHEN 0 THEN name || ' (Live)' WHEN 1 THEN name || ' (Dub Mix)' WHEN 2 THEN 'Песня' WHEN 3 THEN name || ' (Remix)' WHEN 4 THEN 'Песня (Remix)' ELSE name || ' (Demo)' END AS title FROM p""")
+def context_titles(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _tagged(spark, sf, title="case k % 6 when 2 then 'Песня' when 3 then name || ' (Remix)' when 4 then 'Песня' else name end", artist="'Band'", source_path="'C:/in/Folder/' || case when k % 6 = 5 then name || ' (Demo)' else 'file' end || '.mp3'",
+                   s_title="case k % 6 when 0 then name || ' (Live)' when 2 then 'Другая (Remix)' when 3 then name || ' (Live)' when 4 then 'Песня (Remix)' else name end", s_album="case when k % 6 = 1 then name || ' (Dub Mix)' else 'An Album' end")
+    return review.keep_context(rows, ["s_title", "s_album"]).select("row_id", "title")
+
+
+@query(f"WITH {PART_SQL} SELECT k AS row_id, CASE WHEN k % 4 = 0 THEN CAST(k AS VARCHAR) ELSE 'Other' END AS artist FROM p")
+def numeric_artists(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _tagged(spark, sf, artist="'Other'", s_artist="case when k % 4 = 3 then 'a' || k else string(k) end", source_path="'C:/in/' || case when k % 4 = 1 then 'x' else '' end || k || '/Album/' || k || case when k % 4 = 2 then '4' else '' end || ' - ' || name || '.mp3'")
+    return review.keep_numeric_artist(rows, "s_artist").select("row_id", "artist")
+
+
+@query(f"""WITH {PART_SQL} SELECT k AS row_id, CASE WHEN k % 4 < 2 THEN name || CASE k % 4 WHEN 0 THEN ' (karaoke)' ELSE ' (Originally Performed by Someone)' END ELSE name END AS title,
+  CASE WHEN k % 4 < 2 THEN 'Cover Band' ELSE 'Original' END AS artist, k % 4 < 2 AS needs_review FROM p""")
+def cover_performers(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _tagged(spark, sf, title="name", artist="'Original'", source_path="'C:/in/' || case when k % 4 = 3 then 'karaoke ' else 'Cover Band - ' end || name || case k % 4 when 0 then ' (karaoke)' when 1 then ' (Originally Performed by Someone)' else '' end || '.mp3'")
+    return review.cover_performer(rows).select("row_id", "title", "artist", "needs_review")
+
+
+GROUNDED = {"title": "name", "artist": "brand", "needs_review": "k % 9 = 0", "album": "case k % 5 when 0 then null when 1 then 'Night Songs' when 2 then 'Something Else' else 'Night Song' end", "compilation": "k % 7 = 0", "date": "case when k % 2 = 0 then '1990' end",
+            "track_number": "case when k % 4 > 0 then 1 end", "s_album": "case when k % 5 = 3 then null else 'Night Song' end", "s_album_artist": "case when k % 3 > 0 then brand end", "s_track": "(k % 12) || '/12'", "s_disc": "'x'", "s_date": "'2001-01-01'", "s_genre": "'House House'", "s_compilation": "case when k % 11 = 0 then 'Yes' end"}
+GROUND_SQL = (
+    PART_SQL
+    + """, a AS (SELECT *, CASE WHEN k % 5 = 3 OR (k % 9 = 0 AND k % 5 = 0) THEN NULL WHEN k % 5 = 1 THEN 'Night Songs' ELSE 'Night Song' END AS album FROM p),
+  g AS (SELECT k, name, brand, album, album IS NOT NULL AND (k % 7 = 0 OR k % 11 = 0) AS compilation FROM a),
+  f AS (SELECT *, CASE WHEN compilation THEN 'Various Artists' WHEN album IS NOT NULL AND k % 3 > 0 THEN brand END AS album_artist,
+    CASE WHEN album IS NOT NULL AND NOT (k % 9 = 0 AND k % 4 = 0) AND k % 12 > 0 THEN CAST(k % 12 AS INT) END AS track_number,
+    CASE WHEN NOT (k % 9 = 0 AND k % 2 = 1) THEN '2001' END AS date, CASE WHEN k % 9 <> 0 THEN 'House' END AS genre FROM g)"""
+)
+
+
+@query(f"WITH {GROUND_SQL} SELECT k AS row_id, album, compilation, album_artist, track_number, CAST(NULL AS INT) AS disc_number, date, genre FROM f")
+def grounded_fields(spark: SparkSession, sf: str) -> DataFrame:
+    return review.ground(_tagged(spark, sf, **GROUNDED)).select("row_id", "album", "compilation", "album_artist", "track_number", "disc_number", "date", "genre")
+
+
+@query(f"""WITH {GROUND_SQL}, h AS (SELECT * REPLACE (album IS NOT NULL AND (k % 7 = 0 AND k % 5 <> 0 OR k % 11 = 0) AS compilation) FROM f),
+  w AS (SELECT * REPLACE (compilation OR album IS NOT NULL AND k % 3 > 0 AS album_artist), CASE k % 5 WHEN 1 THEN 'Night Songs' WHEN 2 THEN 'Something Else' WHEN 0 THEN NULL ELSE 'Night Song' END AS w_album, k % 7 = 0 AS w_comp,
+    CASE WHEN k % 2 = 0 THEN '1990' END AS w_date, CASE WHEN k % 4 > 0 THEN 1 END AS w_track FROM h),
+  r AS (SELECT k, array_to_string(list_filter([CASE WHEN album_artist THEN 'albumArtist' END, CASE WHEN w_album IS DISTINCT FROM album THEN 'album' END, CASE WHEN w_date IS DISTINCT FROM date THEN 'date' END,
+    CASE WHEN w_track IS DISTINCT FROM track_number THEN 'trackNumber' END, CASE WHEN genre IS NOT NULL THEN 'genre' END,
+    CASE WHEN w_comp <> compilation THEN 'compilation' END, CASE WHEN k % 9 = 0 THEN 'reviewReason' END, 'title casing'], lambda x: x IS NOT NULL), '; ') AS reasons FROM w)
+  SELECT k AS row_id, reasons FROM r WHERE reasons <> ''""")
+def suspicious_outputs(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _tagged(spark, sf, **(GROUNDED | {"title": "'some words here'", "source_path": "'C:/in/' || name || '.mp3'", "s_title": "'some words here'", "s_artist": "brand"}))
+    return review.suspicious(rows).select("row_id", F.array_join("reasons", "; ").alias("reasons"))
