@@ -20,12 +20,15 @@ HOT_ROWS = 2000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else one beside the warehouse."""
+    """The folder that driver and executors share: spark.checkpoint.dir, else one beside the warehouse, unless executors on
+    other machines could not see it."""
     sc = spark.sparkContext
     known = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if known:
         return known
     own = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+    if own.startswith(("file:", "/")) and not (sc.master == "local" or sc.master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     sc.setCheckpointDir(own)
     return own
 
@@ -67,6 +70,20 @@ class Scratch:
             self._delete(path)
 
 
+def packed(rows: DataFrame, **columns: Column) -> DataFrame:
+    """The whole row as a struct, column row, and the given columns: names inside row can't clash with others. Its columns
+    come back by select("row.*")."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row")
+    return rows.select(whole, *[c.alias(name) for name, c in columns.items()])
+
+
+def free_name(name: str, taken: list[str]) -> str:
+    """name, with underscores behind it until no column has it."""
+    while name.lower() in {c.lower() for c in taken}:
+        name += "_"
+    return name
+
+
 def lower_ascii(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 

@@ -1,15 +1,17 @@
 """Boilerplate lines by site-relative frequency.
 
-For each host, the pages that hold a line are divided by the host's pages; a line over RATIO that stands on LEAST
-pages or more is boilerplate there and goes from every page of that host. Other lines stay, in order.
+For each host, the pages that hold a line are divided by the host's pages; a line over RATIO is boilerplate there and
+goes from every page of that host, however few pages it has. A line of one page only is never boilerplate (LEAST): its
+share of a small host says nothing. Other lines stay, in order.
 
 Lines are compared by a 64-bit hash within their host. Counting sums before the shuffle, so neither a host nor a line
 that holds a third of all rows meets in one task. The boilerplate set (at most lines-a-page / RATIO for each host) is
 counted; up to BROADCAST_ROWS it is broadcast by host, beyond that the lines are joined by (host, line, salt).
 
 A null host counts as the empty host, a null text as empty (and stays null if nothing is dropped from it). Blank lines
-are never boilerplate. Repeated rows are pages of their own. A page whose lines all go stays with an empty text. Empty
-input gives an empty result.
+are never boilerplate. Repeated rows are pages of their own. A page whose lines all go stays with an empty text. A share
+of exactly RATIO stays. Texts of any length are read whole. Columns of any name pass unchanged. Empty input gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -17,10 +19,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, Scratch
+from .common import BROADCAST_ROWS, Scratch, packed
 
-#: Largest share of a host's pages, and least number of pages, for a line to count as boilerplate.
-RATIO, LEAST = 0.1, 5
+#: Largest share of a host's pages that a line may stand on; pages that make a line shared at all.
+RATIO, LEAST = 0.1, 2
 SALTS = 16
 SPACES = " \t\n\x0b\x0c\r"
 
@@ -38,35 +40,40 @@ def boilerplate(pages: DataFrame, host: Column, lines: Column, ratio: float = RA
     return seen.join(totals, "host").where(F.col("n") > ratio * F.col("pages")).select("host", "line")
 
 
-def without_boilerplate(pages: DataFrame, host: Column, lines: Column, to: str, ratio: float = RATIO, least: int = LEAST, dropped_to: str = "__dropped") -> DataFrame:
-    """pages with the remaining lines (an array) as column `to`, and their number of dropped lines as `dropped_to`."""
+def without_boilerplate(pages: DataFrame, host: Column, lines: Column, ratio: float = RATIO, least: int = LEAST) -> DataFrame:
+    """(row, lines, kept, n_dropped): each page as a struct, its lines, those that stay, and how many went."""
     scratch = Scratch(pages.sparkSession, "lines")
     gone = scratch.write(boilerplate(pages, host, lines, ratio, least))
-    full = pages.withColumns({"__host": F.coalesce(host, F.lit("")), "__lines": lines})
+    full = packed(pages, host=F.coalesce(host, F.lit("")), lines=lines)
     if gone.count() <= BROADCAST_ROWS:
-        by_host = gone.groupBy(F.col("host").alias("__host")).agg(F.collect_set("line").alias("__gone"))
-        found = full.join(F.broadcast(by_host), "__host", "left")
-        found = found.withColumn("__here", F.array_intersect(F.array_compact(_hashes(F.col("__lines"))), F.col("__gone")))
+        by_host = gone.groupBy("host").agg(F.collect_set("line").alias("gone"))
+        found = full.join(F.broadcast(by_host), "host", "left")
+        found = found.withColumn("here", F.array_intersect(F.array_compact(_hashes(F.col("lines"))), F.col("gone")))
     else:
-        full = scratch.write(full.withColumn("__row", F.monotonically_increasing_id()))
-        salted = full.select("__row", F.col("__host").alias("host"), F.explode(F.array_distinct(_hashes(F.col("__lines")))).alias("line"), F.pmod("__row", F.lit(SALTS)).alias("salt"))
+        full = scratch.write(full.withColumn("at", F.monotonically_increasing_id()))
+        salted = full.select("at", "host", F.explode(F.array_distinct(_hashes(F.col("lines")))).alias("line"), F.pmod("at", F.lit(SALTS)).alias("salt"))
         keys = gone.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
-        here = salted.join(keys, ["host", "line", "salt"]).groupBy("__row").agg(F.collect_set("line").alias("__here"))
-        found = full.join(here, "__row", "left")
-    stays = F.filter("__lines", lambda x: ~F.coalesce(F.array_contains("__here", F.xxhash64(x)), F.lit(False)))
-    some = F.col("__here").isNotNull() & (F.size("__here") > 0)
-    kept = F.when(some, stays).otherwise(F.col("__lines"))
-    return found.withColumn(to, kept).withColumn(dropped_to, F.size("__lines") - F.size(to)).select(*[c for c in pages.columns if c not in (to, dropped_to)], to, dropped_to)
+        here = salted.join(keys, ["host", "line", "salt"]).groupBy("at").agg(F.collect_set("line").alias("here"))
+        found = full.join(here, "at", "left")
+    stays = F.filter("lines", lambda x: ~F.coalesce(F.array_contains("here", F.xxhash64(x)), F.lit(False)))
+    some = F.col("here").isNotNull() & (F.size("here") > 0)
+    found = found.withColumn("kept", F.when(some, stays).otherwise(F.col("lines")))
+    return found.select("row", "lines", "kept", (F.size("lines") - F.size("kept")).alias("n_dropped"))
 
 
 def clean_documents(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, least: int = LEAST) -> DataFrame:
     """docs with boilerplate lines removed from their texts; same columns, n_chars follows if there is one."""
     lines = F.split(F.coalesce(F.col(text), F.lit("")), "\n")
-    done = without_boilerplate(docs, F.col(host), lines, "__kept", ratio, least)
-    changed = F.col("__dropped") > 0
-    new = F.when(changed, F.array_join("__kept", "\n")).otherwise(F.col(text))
-    size = {"n_chars": F.when(changed, F.length(F.array_join("__kept", "\n")).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {}
-    return done.withColumns({**size, text: new}).select(*docs.columns)
+    done = without_boilerplate(docs, F.col(host).cast("string"), lines, ratio, least)
+    changed, new = F.col("n_dropped") > 0, F.array_join("kept", "\n")
+
+    def column(name: str) -> Column:
+        own = F.col("row")[name]
+        if name == text:
+            return F.when(changed, new).otherwise(own)
+        return F.when(changed, F.length(new).cast(docs.schema[name].dataType)).otherwise(own) if name == "n_chars" else own
+
+    return done.select(*[column(c).alias(c) for c in docs.columns])
 
 
 def page_host(url: Column) -> Column:
@@ -83,8 +90,8 @@ def pages_report(pages: DataFrame) -> DataFrame:
     """For each page: its host, number of lines, dropped lines and the remaining text."""
     rows = pages.select("page_id", page_host(F.col("url")).alias("host"), page_lines(F.col("html")).alias("lines"))
     rows = Scratch(pages.sparkSession, "pages").write(rows)  # both passes read the lines, and splitting costs the most
-    done = without_boilerplate(rows, F.col("host"), F.col("lines"), "kept")
-    return done.select("page_id", "host", F.size("lines").cast("long").alias("n_lines"), F.col("__dropped").cast("long").alias("n_dropped"), F.array_join("kept", "\n").alias("text"))
+    done = without_boilerplate(rows, F.col("host"), F.col("lines"))
+    return done.select("row.page_id", "row.host", F.size("lines").cast("long").alias("n_lines"), F.col("n_dropped").cast("long").alias("n_dropped"), F.array_join("kept", "\n").alias("text"))
 
 
 ORACLE = r"""
@@ -96,7 +103,7 @@ WITH p AS (
   FROM pages),
 seen AS (SELECT host, line, count(*) AS n FROM (SELECT host, unnest(list_distinct(lines)) AS line FROM p) GROUP BY 1, 2),
 gone AS (SELECT seen.host, line FROM seen JOIN (SELECT host, count(*) AS pages FROM p GROUP BY 1) t USING (host)
-  WHERE n >= 5 AND n > 0.1 * pages),
+  WHERE n >= 2 AND n > 0.1 * pages),
 by_host AS (SELECT host, list(line) AS gone FROM gone GROUP BY 1),
 kept AS (SELECT p.*, list_filter(lines, lambda x: NOT coalesce(list_contains(gone, x), false)) AS kept FROM p LEFT JOIN by_host USING (host))
 SELECT page_id, host, len(lines) AS n_lines, len(lines) - len(kept) AS n_dropped, array_to_string(kept, chr(10)) AS text FROM kept
