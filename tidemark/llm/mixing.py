@@ -13,7 +13,8 @@ the one block of a source where its budget ends is put in order, about BLOCK doc
 is then one row for its source. That table is broadcast when it was counted and is small, else joined by shuffle.
 
 A null source counts as the empty name; null and empty texts have no tokens and follow their source; a source without
-tokens keeps its rows once. Equal rows (same id and text) are taken or left together. Empty input: empty result.
+tokens keeps its rows once. Equal rows (same id and text) are taken or left together, also those without an id.
+Documents keep columns of any name. Empty input: empty result.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, Scratch, words_of
+from .common import BROADCAST_ROWS, Scratch, free_name, packed, words_of
 
 BLOCK, SEED = 4096, 17
 #: Up to so many sources are bisected on the driver; more by a Spark aggregate for each step.
@@ -81,7 +82,7 @@ def exponent(totals: DataFrame, entropy: float | None = None, repeats: float | N
 
 
 def _keys(docs: DataFrame, source: str, text: str, id_col: str) -> DataFrame:
-    return docs.withColumns({"__source": F.coalesce(F.col(source).cast("string"), F.lit("")), "__tokens": F.size(words_of(F.col(text))).cast("long"), "__key": F.xxhash64(F.col(id_col), F.col(text))})
+    return packed(docs, __source=F.coalesce(F.col(source).cast("string"), F.lit("")), __tokens=F.size(words_of(F.col(text))).cast("long"), __key=F.xxhash64(F.col(id_col), F.col(text)))
 
 
 def _visit(n_blocks: Column) -> tuple[Column, Column]:
@@ -117,26 +118,35 @@ def plan(docs: DataFrame, source: str, text: str, id_col: str, entropy: float |
     running = Window.partitionBy("__source").orderBy("doc").rowsBetween(Window.unboundedPreceding, -1)
     taken = inside.withColumn("before", F.coalesce(F.sum("__tokens").over(running), F.lit(0))).where(F.col("before") < F.col("left"))
     cuts = taken.groupBy("__source").agg(F.first("last_block").alias("last_block"), F.max("doc").alias("last_doc"))
-    return scratch.write(sources.join(cuts, "__source", "left").select("__source", "epochs", "n_blocks", "last_block", "last_doc"))
+    out = scratch.write(sources.join(cuts, "__source", "left").select("__source", "epochs", "n_blocks", "last_block", "last_doc"))
+    scratch.keep_only(out)
+    return out
 
 
-def mixed(docs: DataFrame, source: str = "source", text: str = "text", id_col: str = "doc_id", entropy: float | None = None, repeats: float | None = None, budget: float | None = None) -> DataFrame:
-    """docs with each row as often as the mix takes it: all columns, and __epoch, __order (a key to shuffle by), __tokens."""
+def _taken(docs: DataFrame, source: str, text: str, id_col: str, entropy: float | None, repeats: float | None, budget: float | None) -> DataFrame:
+    """(row, tokens, epoch, order): each row as often as the mix takes it, with its place in the permutation."""
     sources = plan(docs, source, text, id_col, entropy, repeats, budget)
     small = sources.count() <= BROADCAST_ROWS
     rows = _keys(docs, source, text, id_col).join(F.broadcast(sources) if small else sources, "__source")
     block, order = _visit(F.col("n_blocks"))
     more = F.coalesce((block < F.col("last_block")) | ((block == F.col("last_block")) & (order <= F.col("last_doc"))), F.lit(False))
     rows = rows.withColumn("__copies", (F.col("epochs") + more.cast("int")).cast("int")).where("__copies > 0")
-    out = rows.select(*docs.columns, "__tokens", "__key", F.explode(F.sequence(F.lit(1), "__copies")).alias("__epoch"))
-    return out.withColumn("__order", F.xxhash64("__key", "__epoch", F.lit(SEED + 3))).drop("__key")
+    out = rows.select("row", F.col("__tokens").alias("tokens"), "__key", F.explode(F.sequence(F.lit(1), "__copies")).alias("epoch"))
+    return out.withColumn("order", F.xxhash64("__key", "epoch", F.lit(SEED + 3))).drop("__key")
+
+
+def mixed(docs: DataFrame, source: str = "source", text: str = "text", id_col: str = "doc_id", entropy: float | None = None, repeats: float | None = None, budget: float | None = None) -> DataFrame:
+    """docs with each row as often as the mix takes it: all columns, and mix_tokens, mix_epoch, mix_order (a key to shuffle
+    by). Where docs has such a column, the new one's name ends with an underscore more."""
+    done = _taken(docs, source, text, id_col, entropy, repeats, budget)
+    return done.select("row.*", *[F.col(c).alias(free_name(f"mix_{c}", docs.columns)) for c in ("tokens", "epoch", "order")])
 
 
 def mixed_documents(docs: DataFrame, repeats: float) -> DataFrame:
     """The mix with the columns of docs."""
-    return mixed(docs, repeats=repeats).select(*docs.columns)
+    return _taken(docs, "source", "text", "doc_id", None, repeats, None).select("row.*")
 
 
 def report(docs: DataFrame, repeats: float) -> DataFrame:
-    done = mixed(docs.select("doc_id", "text", "source"), repeats=repeats)
-    return done.select("doc_id", "source", F.col("__tokens").alias("n_tokens"), F.col("__epoch").cast("long").alias("epoch"), F.col("__order").alias("mix_order"))
+    done = _taken(docs.select("doc_id", "text", "source"), "source", "text", "doc_id", None, repeats, None)
+    return done.select("row.doc_id", "row.source", F.col("tokens").alias("n_tokens"), F.col("epoch").cast("long").alias("epoch"), F.col("order").alias("mix_order"))

@@ -9,7 +9,8 @@ Labelled statistics are the measures of at most MAX_LABELLED labelled documents,
 bound of the fit; all else covers every row). Without labels, or with one class only, the list has no rules.
 
 Null and empty texts have no words, and fail the base rule. Rows are independent: repeated rows get repeated
-results, a null doc_id passes through, empty input gives an empty result. Words are compared by a 64-bit hash of five
+results, a null doc_id passes through, empty input gives an empty result. Documents keep columns of any name. A document
+with several labels counts with the least one; equal gains go to the first measure and cut. Words are compared by a 64-bit hash of five
 words inside one text.
 """
 
@@ -21,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, words_of
+from .common import SPACE, packed, words_of
 
 #: Most labelled documents whose measures the learner sees.
 MAX_LABELLED = 20_000
@@ -199,7 +200,7 @@ def judged(docs: DataFrame, rules: list[Rule]) -> DataFrame:
 
 def kept_documents(docs: DataFrame, rules: list[Rule]) -> DataFrame:
     """The documents that the rules keep, with the columns of docs."""
-    return only(judged(docs, rules), F.col("__m_kept")).select(*docs.columns)
+    return only(judged(packed(docs, text=F.col("text")), rules), F.col("__m_kept")).select("row.*")
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
