@@ -7,17 +7,19 @@
 - a prior for the page's host, smoothed towards its domain's, which is smoothed towards that of all pages. These come
   from grouped sums of the other evidence's posteriors over all pages, less the page's own share.
 
-The trigram models are fitted on a bounded sample: SAMPLE labelled texts, in the order of a hash of their id, of at most
-MAX_CHARS characters each. All else covers every row. Sums by host and domain are partial before the shuffle; the
+The trigram models are fitted on a bounded sample: at most SAMPLE labelled texts, in the order of a hash of their id, of
+at most MAX_CHARS characters each; of rows that share an id one counts, and rows without one don't. All else covers every row. Sums by host and domain are partial before the shuffle; the
 host table is counted and broadcast up to BROADCAST_ROWS rows, else joined by shuffle.
 
 A null or empty text, no declaration and a neutral suffix are no evidence; a page without any gets the prior. A null
-address has the empty host. Without labelled texts the language is null. Repeated rows are pages of their own; empty
-input: empty result.
+address has the empty host. Without labelled texts the language is null. Of equally probable languages the first by name
+is taken. Texts are read whole. Repeated rows are pages of their own; other columns are not read; empty input: empty
+result.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,6 +37,8 @@ DECLARED, SUFFIX = 0.9, 0.8
 STRENGTH = 5.0
 #: Country suffixes whose pages are mostly in one language.
 SUFFIXES = {"at": "de", "de": "de", "es": "es", "fr": "fr", "it": "it", "mx": "es", "nl": "nl", "pl": "pl", "pt": "pt", "uk": "en", "us": "en"}
+#: Labels that registries put before a country.
+HOLDERS = ("ac", "co", "com", "edu", "gob", "gov", "net", "org")
 
 
 def trigrams(text: str) -> np.ndarray:
@@ -62,9 +66,16 @@ class TextModel:
 
 def fit(docs: DataFrame) -> TextModel:
     """From documents with a language."""
-    labelled = docs.where(F.col("lang").isNotNull() & (F.length("text") > 0)).select("doc_id", "lang", F.substring("text", 1, MAX_CHARS).alias("text"))
-    rows = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["lang"], r["text"]) for r in labelled.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).collect())
-    return TextModel([r[3] for r in rows], [r[2] for r in rows])
+    labelled = docs.where(F.col("lang").isNotNull() & (F.length("text") > 0) & F.col("doc_id").isNotNull())
+    n = labelled.count()
+    # Ids first, and only those with a small hash: few leave a task, and no text that is not in the sample.
+    low = math.ceil(min(1.0, 1.5 * SAMPLE / max(n, 1)) * (1 << 32))
+    order = F.xxhash64("doc_id")
+    chosen = labelled.where(F.shiftrightunsigned(order, 32) < low).select("doc_id").distinct().orderBy(order, "doc_id").limit(SAMPLE)
+    cut = F.struct("lang", F.substring("text", 1, MAX_CHARS).alias("text"))
+    rows = labelled.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min(cut).alias("r")).select("doc_id", "r.*").collect()
+    rows = sorted((r["doc_id"], r["lang"], r["text"]) for r in rows)
+    return TextModel([r[2] for r in rows], [r[1] for r in rows])
 
 
 def _agrees(named: Column, lang: str, n: int, sure: float) -> Column:
@@ -81,7 +92,8 @@ def _normal(logs: Column) -> Column:
 
 
 def domain_of(host: Column) -> Column:
-    return F.substring_index(host, ".", -2)
+    """The last two labels of a host, or three where the second last stands for a kind of holder below a country."""
+    return F.when(host.rlike(rf"(^|\.)(?:{'|'.join(HOLDERS)})\.[a-z]{{2}}$"), F.substring_index(host, ".", -3)).otherwise(F.substring_index(host, ".", -2))
 
 
 def identify(pages: DataFrame, model: TextModel) -> DataFrame:
