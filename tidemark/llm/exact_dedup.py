@@ -5,9 +5,10 @@
    COUNTERS + 1 of some partition. Of these the HEAVY largest are candidates.
 3. A second pass over the digests counts the candidates exactly and finds their winners (the verified heavy
    hitters). That table has at most HEAVY rows; it is broadcast, and heavy rows are resolved where they lie.
-4. All other digests have bounded groups; they are shuffled by digest and resolved in a window.
+4. All other digests are shuffled: winners are summed up by digest, partly before the shuffle, and joined to the rows.
+   No task gathers a group.
 
-Null texts count as empty. The row with the largest doc_id of a group stays; a null doc_id is smaller than any
+Texts are hashed whole; other columns are not read, so their names can't clash. Null texts count as empty. The row with the largest doc_id of a group stays; a null doc_id is smaller than any
 other, and of rows with the same doc_id exactly one stays. Every row yields one row. Empty input: empty result.
 """
 
@@ -17,7 +18,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch
@@ -51,9 +52,8 @@ def exact_groups(docs: DataFrame, id_col: str, text: Column) -> DataFrame:
     winner = F.max(F.struct("id", "row")).alias("w")
     verified = scratch.write(rows.join(F.broadcast(heavy), "digest", "left_semi").groupBy("digest").agg(winner, F.count("*").alias("size")))
     tagged = rows.join(F.broadcast(verified), "digest", "left")
-    group = Window.partitionBy("digest")
     rest = tagged.where(F.col("size").isNull()).select("id", "row", "digest")
-    rest = rest.select("id", "row", "digest", F.max(F.struct("id", "row")).over(group).alias("w"), F.count("*").over(group).alias("size"))
+    rest = rest.join(rest.groupBy("digest").agg(winner, F.count("*").alias("size")), "digest")
     both = tagged.where(F.col("size").isNotNull()).select(*rest.columns).unionByName(rest)
     return both.select(F.col("id").alias(id_col), F.col("w.id").alias("keep_id"), F.col("size").alias("group_size"), (F.col("row") == F.col("w.row")).alias("kept"), "digest")
 
