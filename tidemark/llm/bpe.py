@@ -6,7 +6,11 @@ symbols after which a token can't change any more. :class:`Transducer` holds no
 constant), emits each token as soon as it is stable, and so encodes a piece of any length in constant memory.
 :class:`Utf8Machine` turns bytes back to text and keeps at most three bytes between calls.
 
-Null texts count as empty and have no tokens. Every row yields one row; other columns pass unchanged.
+A piece that ends within the lookahead has no stable token before its end; such pieces are finished many at a time.
+
+Null texts count as empty and have no tokens. Every row yields one row, repeated rows and rows without an id too; other
+columns pass unchanged, whatever their names. Texts are read whole. Merges of equal rank go from left to right. An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,6 +33,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import free_name
+
 #: White space as Unicode defines it; no piece crosses it.
 CHUNK = re.compile("[^\x09-\x0d\x20\x85\xa0  -     　]+")
 #: Entries of a worker's memos.
@@ -63,7 +69,7 @@ def sufficient_lookahead(merges: list[tuple[str, str]], length: dict[str, int])
         r = length[y] + max((reach.get(s, 0) for s in edge[y]), default=0)
         most = max(most, r)
         reach[x] = max(reach.get(x, 0), r)
-        edge[x + y] = (x + y, *edge[y])
+        edge[x + y] = tuple(dict.fromkeys((x + y, *edge[y], *edge.get(x + y, ()))))  # several rules may make one token
     return most
 
 
@@ -379,12 +385,12 @@ def round_trip(docs: DataFrame, tokenizer: str, text_col: str = "text", ids_as:
     """All columns of docs, the ids of each whole text, and the text that these ids decode to.
 
     tokenizer is the path of a tokenizer file that the driver reads; its contents go to the workers by
-    broadcast (a vocabulary, so of fixed size). A column of docs that has one of the new names gives way."""
+    broadcast (a vocabulary, so of fixed size). Where docs has a column of a new name, that name gets an underscore."""
     with open(tokenizer, "rb") as f:
         raw = f.read()
     digest, shipped = hashlib.sha256(raw).hexdigest(), _Shipped(docs.sparkSession.sparkContext.broadcast(raw))
-    kept = [c for c in docs.columns if c.lower() not in {ids_as.lower(), text_as.lower()} or c == text_col]
-    docs = docs.select(*kept)
+    kept = docs.columns
+    ids_as, text_as = free_name(ids_as, kept), free_name(text_as, kept)
     at = kept.index(text_col)
     out_schema = T.StructType([*docs.schema.fields, T.StructField(ids_as, T.ArrayType(T.IntegerType(), False)), T.StructField(text_as, T.StringType())])
 

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import bpe, chat, exact_dedup, jaccard, language, licenses, line_dedup, mixing, quality, toxicity
 
 #: The tokenizer file that query op7 and the pipeline read.
-TOKENIZER = "/opt/tokenizers/word_bpe_49k.json"
+TOKENIZER = str(public_tokenizers.path("word_bpe_49k.json"))
 #: How often the mix may repeat a source.
 REPEATS = 2.0
 
