@@ -178,6 +178,12 @@ def test_search_connects_what_brute_force_connects():
         assert joined_by(found, parts) == joined_by(every, parts)
 
 
+def test_jaccard_leaves_only_its_results(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "shared_dir", lambda spark: str(tmp_path))
+    out, _ = jaccard.joined_documents(documents(spark, near_copies(20, 7)), jaccard.Likeness())
+    assert out.count() == 20 and len([*tmp_path.glob("jaccard-*/*")]) == 2
+
+
 def test_jaccard_odd_tables(spark):
     like = jaccard.Likeness()
     assert jaccard.report(documents(spark, []), like).count() == 0
@@ -239,6 +245,49 @@ def test_language(spark):
     assert {r["lang"] for r in none.collect()} == {None}
 
 
+def brute_language(model, rows):
+    """Posteriors in plain Python: the fusion of module language, one page and language at a time."""
+    langs, out, own = model.langs, [], []
+    for _, url, html in rows:
+        host = m[1].lower() if (m := re.match(r"[a-zA-Z][a-zA-Z0-9+.-]*://([^/:?#]*)", url or "")) else ""
+        said = m[1].lower() if (m := re.search(r"""(?i)<html[^>]*?\slang\s*=\s*["']?([a-z]+)""", html or "")) else ""
+        text = re.sub(r"(?s)<script.*?</script>|<style.*?</style>|<!--.*?-->", "\n", html or "")
+        text = "\n".join(x for x in (y.strip(" \t\n\x0b\x0c\r") for y in re.split(r"(?s)<[^>]*>|\n", text)) if x)
+        logs = model.likelihoods(text)
+        for named, sure in ((said, language.DECLARED), (language.SUFFIXES.get(host.rsplit(".", 1)[-1]), language.SUFFIX)):
+            if named in langs:
+                logs = [x + np.log(sure if lang == named else (1 - sure) / max(1, len(langs) - 1)) for x, lang in zip(logs, langs, strict=True)]
+        p = np.exp(np.array(logs) - max(logs))
+        own.append((host, p / p.sum(), np.array(logs)))
+    domain = lambda h: ".".join(h.split(".")[-(3 if re.search(rf"(^|\.)({'|'.join(language.HOLDERS)})\.[a-z]{{2}}$", h) else 2) :])
+    for (i, _, _), (host, p, logs) in zip(rows, own, strict=True):
+        prior = np.full(len(langs), 1 / len(langs))
+        for near in (lambda h: True, lambda h, host=host: domain(h) == domain(host), lambda h, host=host: h == host):
+            counts = np.maximum(sum(q for h, q, _ in own if near(h)) - p, 0)
+            prior = (counts + language.STRENGTH * prior) / (counts.sum() + language.STRENGTH)
+        post = np.exp(logs + np.log(prior) - max(logs + np.log(prior)))
+        out.append((i, host, post / post.sum()))
+    return out
+
+
+@pytest.mark.parametrize("most", [10**6, 0])
+def test_language_by_hand(spark, monkeypatch, most):
+    monkeypatch.setattr(language, "BROADCAST_ROWS", most)
+    model = language.TextModel(["der die das und nicht", "the and that with this", "les des une dans pour"], ["de", "en", "fr"])
+    hosts = ["a.co.uk", "b.co.uk", "x.a.de", "y.a.de", "n.org", "m.fr", "q"]
+    texts = ["der und die nicht", "the and this", "les dans une", "", "zzz", "the der les", "und " * 9000]
+    rng = random.Random(3)
+    rows = [(k, f"https://{rng.choice(hosts)}/p", f'<html lang="{rng.choice(["de", "xx", "fr", ""])}"><p>{rng.choice(texts)}</p>') for k in range(60)]
+    rows += [(60, None, None), (61, "", ""), (5, "https://q/p", "<p>the and</p>"), (5, "https://q/p", "<p>the and</p>")]
+    pages = spark.createDataFrame([(*r, "x", "y") for r in rows], "page_id long, url string, html string, lang string, posterior string")
+    got = sorted(((r["page_id"], r["host"], r["posterior"], r["lang"]) for r in language.identify(pages, model).collect()), key=lambda r: (r[0], r[2]))
+    want = sorted(((i, h, p.tolist()) for i, h, p in brute_language(model, rows)), key=lambda r: (r[0], r[2]))
+    assert [r[:2] for r in got] == [r[:2] for r in want]
+    for (_, _, p, lang), (_, _, q) in zip(got, want, strict=True):
+        assert np.allclose(p, q, atol=1e-6) and lang == model.langs[int(np.argmax(p))]
+    assert language.identify(pages.limit(0), model).count() == 0
+
+
 # op6
 @pytest.mark.parametrize("most", [10**6, 0])
 def test_line_dedup(spark, monkeypatch, most):
@@ -251,6 +300,53 @@ def test_line_dedup(spark, monkeypatch, most):
     assert line_dedup.clean_documents(documents(spark, [])).count() == 0
 
 
+def test_line_dedup_on_small_hosts(spark):
+    texts = ["Menu\na", "Menu\nb", "only\nhere", "x\ny"]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.clean_documents(documents(spark, texts, ["two", "two", "one", None])).collect()}
+    assert got == {0: "a", 1: "b", 2: "only\nhere", 3: "x\ny"}
+
+
+def brute_pages(rows):
+    def lines(html):
+        text = re.sub(r"(?s)<script.*?</script>|<style.*?</style>|<!--.*?-->", "\n", html or "")
+        return [x for x in (y.strip(" \t\n\x0b\x0c\r") for y in re.split(r"(?s)<[^>]*>|\n", text)) if x]
+
+    hosts = [(m[1].lower() if (m := re.match(r"[a-zA-Z][a-zA-Z0-9+.-]*://([^/:?#]*)", u or "")) else "") for _, u, _ in rows]
+    on = {}
+    for h, (_, _, html) in zip(hosts, rows, strict=True):
+        for x in set(lines(html)):
+            on[h, x] = on.get((h, x), 0) + 1
+    out = []
+    for h, (i, _, html) in zip(hosts, rows, strict=True):
+        kept = [x for x in lines(html) if on[h, x] < 2 or on[h, x] <= 0.1 * hosts.count(h)]
+        out.append((i, h, len(lines(html)), len(lines(html)) - len(kept), "\n".join(kept)))
+    return sorted(out, key=str)
+
+
+def test_pages_report(spark):
+    rows = [(i, f"HTTP://A.com:80/{i}", f"<p>Menu</p><script>no</script><p>own {i}</p><!-- x --><b>{'often' if i % 9 == 0 else 'text'}</b>") for i in range(30)]
+    rows += [(90, None, None), (90, None, None), (91, "", "<p></p>"), (None, "http://b.org", "line " * 20000)]
+    pages = spark.createDataFrame([(*r, "h", "l") for r in rows], "page_id long, url string, html string, host string, lines string")
+    assert sorted((tuple(r) for r in line_dedup.pages_report(pages).collect()), key=str) == brute_pages(rows)
+    assert line_dedup.pages_report(pages.limit(0)).count() == 0
+
+
+CLASHING = ["epochs", "n_blocks", "last_block", "last_doc", "row", "host", "lines", "kept", "here", "gone", "line", "at", "__source", "__tokens", "__key", "__copies", "__m_w", "__m_text", "__m_kept", "tokens", "mix_epoch", "epoch", "order", "token_ids", "size"]
+
+
+def test_columns_of_any_name_pass(spark, tmp_path):
+    docs = documents(spark, [f"Menu\nsome text of document {i} that is a little longer than ten words" for i in range(12)])
+    for c in CLASHING:
+        docs = docs.withColumn(c, F.lit(f"own {c}"))
+    docs = docs.drop("kept").withColumn("kept", F.lit("own kept"))
+    done = [line_dedup.clean_documents(docs), quality.kept_documents(docs, []), mixing.mixed_documents(docs, 2.0), mixing.mixed(docs, repeats=2.0), bpe.round_trip(docs, TOKENIZER), jaccard.one_of_each_group(docs, jaccard.Likeness())]
+    for d in done:
+        rows = d.collect()
+        assert len(rows) == 12 and d.columns[: len(docs.columns)] == docs.columns
+        assert all(r[c] == f"own {c}" for r in rows for c in CLASHING)
+    assert {"mix_epoch_", "token_ids_"} <= {c for d in done for c in d.columns}
+
+
 # op7
 def test_bpe_matches_the_library(spark):
     tokenizers = pytest.importorskip("tokenizers")
