@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next
 stage's docs. All but the last return the columns of documents.
+
+Columns of any name pass; an empty table stays empty. Documents with null or empty text fail the base rule and go in the
+first stage. Rows that repeat a doc_id stay or go together where texts are alike; rows without one stay unless rules reject
+them. Ties: of a near-duplicate group the smallest doc_id stays.
 """
 
 from __future__ import annotations
@@ -49,13 +53,15 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("BPE encoding and decoding", bpe_stage),
 ]
 
-#: SQL expresses neither the learned rules nor the encoding; tests hold the stages against brute force.
+#: SQL expresses neither the learned rules nor the encoding; a test holds the rows against a brute-force version.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = scratch.write(stage(spark, docs, sf_dir))
+    for k, (_, stage) in enumerate(STAGES):
+        before, docs = docs, scratch.write(stage(spark, docs, sf_dir))
+        if k:  # what the stage before wrote has been read
+            scratch.drop(before)
     return docs
