@@ -33,16 +33,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name
+from .common import free_name, give_back
 
 #: White space as Unicode defines it; no piece crosses it.
 CHUNK = re.compile("[^\x09-\x0d\x20\x85\xa0  -     　]+")
 #: Entries of a worker's memos.
-MEMO = 300_000
+MEMO = 150_000
 #: Pieces of up to so many bytes are merged in batches.
 SHORT = 32
 #: Rows and characters that are encoded together.
-ROWS_OUT, CHARS_OUT = 2048, 4_000_000
+ROWS_OUT, CHARS_OUT = 2048, 2_000_000
 #: Marks that often end a word.
 MARKS = (".", ",", "!", "?", ";", ":")
 #: The rank of a pair that never merges.
@@ -397,15 +397,19 @@ def round_trip(docs: DataFrame, tokenizer: str, text_col: str = "text", ids_as:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(digest, shipped)
         gc.disable()  # the memos hold no cycles, and walking them at each collection costs more than the work
-        for whole in batches:
-            for batch in slices(whole, at):
-                flat, ends, texts = [], [0], []
-                for ids in codec.encode_all(batch.column(at).to_pylist()):
-                    flat.append(np.array(ids, "int32"))
-                    ends.append(ends[-1] + len(ids))
-                    texts.append(codec.decode(ids))
-                tokens = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(flat) if flat else np.array([], "int32")))
-                yield pa.RecordBatch.from_arrays([*batch.columns, tokens, pa.array(texts, pa.string())], names=[*kept, ids_as, text_as])
+        try:
+            for whole in batches:
+                for batch in slices(whole, at):
+                    flat, ends, texts = [], [0], []
+                    for ids in codec.encode_all(batch.column(at).to_pylist()):
+                        flat.append(np.array(ids, "int32"))
+                        ends.append(ends[-1] + len(ids))
+                        texts.append(codec.decode(ids))
+                    tokens = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(flat) if flat else np.array([], "int32")))
+                    yield pa.RecordBatch.from_arrays([*batch.columns, tokens, pa.array(texts, pa.string())], names=[*kept, ids_as, text_as])
+        finally:
+            gc.enable()  # the worker goes on to other stages
+            give_back()
 
     return docs.mapInArrow(work, out_schema)
 

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,6 +74,14 @@ class Scratch:
             self._delete(path)
 
 
+def give_back() -> None:
+    """Returns what a Python worker has freed to the system: later stages use the same workers."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # a C library without it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def packed(rows: DataFrame, **columns: Column) -> DataFrame:
     """The whole row as a struct, column row, and the given columns: names inside row can't clash with others. Its columns
     come back by select("row.*")."""

@@ -43,7 +43,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, Scratch, join_by_hot_key, keep_ids
+from .common import BROADCAST_ROWS, Scratch, give_back, join_by_hot_key, keep_ids
 from .components import components
 from .hashing import coded, distinct, joined, mixed
 
@@ -151,6 +151,7 @@ def _described(rows: DataFrame, like: Likeness) -> DataFrame:
             sets = like.sets(part["text"].tolist())
             digest = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
             yield pd.DataFrame({"id": part["id"].array, "n": [len(s) for s in sets], "digest": digest})
+        give_back()
 
     return rows.mapInPandas(work, "id long, n long, digest binary")
 
@@ -171,6 +172,7 @@ def _postings(rows: DataFrame, like: Likeness) -> DataFrame:
                 key, salt, doc, n, k = (np.concatenate([c, np.full(len(keys), x)]) for c, x in ((key, 0), (salt, 0), (doc, 0), (n, 0), (k, 0)))
                 key[len(key) - len(keys) :] = keys
             yield pd.DataFrame({"key": key, "salt": salt.astype("int32"), "id": doc, "n": n, "scheme": k.astype("int32")})
+        give_back()
 
     return rows.mapInPandas(work, "key long, salt int, id long, n long, scheme int")
 
@@ -233,6 +235,7 @@ def _merged(postings: DataFrame, like: Likeness) -> DataFrame:
                 yield given(rows[take], at[take], np.repeat(long, length)[take])
         if len(held) > 1:
             yield given(held, np.zeros(len(held), "int64"), np.zeros(len(held), bool))
+        give_back()
 
     # The rows of size 0 come first on their list, so it is known to be long from its first row on.
     runs = postings.repartition("key", "salt").sortWithinPartitions("key", "salt", "n")
@@ -262,6 +265,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, like: Likeness) -> DataFrame:
                     a.append(key)
                     b.append(int(other))
             yield pd.DataFrame({"a": np.array(a, "int64"), "b": np.array(b, "int64")})
+        give_back()
 
     return sent.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first()).mapInPandas(probe, "a long, b long")
 
@@ -330,6 +334,7 @@ def _searched_lists(lists: DataFrame, docs: DataFrame, like: Likeness, scratch:
         for part in _slices(batches):
             sets = like.sets(part["text"].tolist())
             yield pd.DataFrame({"id": part["id"].array, "shingles": [s.tobytes() for s in sets]})
+        give_back()
 
     sets = scratch.write(keep_ids(docs, ids, "id").mapInPandas(shingled, "id long, shingles binary"))
     load = lists.groupBy("key").agg(F.ceil(F.sum("n") / CHUNK_SHINGLES).cast("int").alias("k"))
@@ -358,6 +363,7 @@ def _searched_lists(lists: DataFrame, docs: DataFrame, like: Likeness, scratch:
             yield pd.DataFrame(links, columns=["a", "b"], dtype="int64")
         if held:
             yield pd.DataFrame(found(held), columns=["a", "b"], dtype="int64")
+        give_back()
 
     return sent.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high").mapInPandas(work, "a long, b long")
 
