@@ -53,7 +53,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("BPE encoding and decoding", bpe_stage),
 ]
 
-#: SQL expresses neither the learned rules nor the encoding; a test holds the rows against a brute-force version.
+#: SQL expresses neither the learned rules nor the encoding; a test checks which documents and lines each stage keeps.
 ORACLE_SQL: str | None = None
 
 
