@@ -100,7 +100,7 @@ def test_files(spark, tmp_path):
         readers.delimited(spark, str(tmp_path / "csv"), ["other"])
     lines = spark.createDataFrame([(1, 0, "#a"), (1, 1, "b")], "row_id long, line_no int, line string")
     writers.playlist(lines, str(tmp_path / "list"))
-    assert sorted(r[0] for r in spark.read.text(str(tmp_path / "list")).collect()) == ["#a", "b"]
+    assert sorted(r[0] for r in spark.read.text(str(tmp_path / "list")).collect()) == ["#EXTM3U", "#a", "b"]
     events = spark.createDataFrame([("s", "done")], "source string, status string")
     writers.append_journal(events, str(tmp_path / "j"), "h1", spark)
     writers.append_journal(events, str(tmp_path / "j"), "h1", spark)

@@ -69,7 +69,8 @@ def collisions(planned: DataFrame, index: DataFrame) -> DataFrame:
     groups = identity_groups(index).withColumnRenamed("paths", "identity_paths").drop("n")
     rows = planned.where(plan.has_text(F.col("new_path"))).withColumns({"normalized_artist": X.normalize_identity(F.col("artist")), "normalized_title": X.normalize_identity(F.col("title")), "key": X.path_key(F.col("new_path"))})
     rows = rows.join(groups, ["normalized_artist", "normalized_title"], "left")
-    there = index.select(F.col("key"), F.col("path").alias("there"), F.col("artist").alias("t_artist"), F.col("title").alias("t_title"), F.col("error").alias("t_error"))
+    file = F.struct(F.col("path").alias("there"), F.col("artist").alias("t_artist"), F.col("title").alias("t_title"), F.col("error").alias("t_error"))
+    there = index.groupBy("key").agg(F.min_by(file, "path").alias("file")).select("key", "file.*")  # several rows may name one file
     rows = rows.join(there, "key", "left")
     (pa, pt), (ta, tt) = X.canonical_release(F.col("artist"), F.col("title")), X.canonical_release(F.col("t_artist"), F.col("t_title"))
     same = F.col("there").isNotNull() & F.col("t_error").isNull() & (pa != "") & (pt != "") & (pa == ta) & (pt == tt)

@@ -151,11 +151,38 @@ def json_object(c: Column) -> Column:
     return F.coalesce(F.try_parse_json(F.when(bare.startswith("{"), bare)), F.try_parse_json(X.blank_to_null(wide)))
 
 
+#: Fields of a record in a model's answer, as they are named there, and what they are called here.
+ANSWERED = {"title": "title", "artist": "artist", "albumArtist": "album_artist", "album": "album", "date": "date", "trackNumber": "track_number", "discNumber": "disc_number", "genre": "genre", "compilation": "compilation", "needsReview": "needs_review", "reviewReason": "review_reason"}
+
+
 def model_results(answers: DataFrame, allowed: DataFrame) -> DataFrame:
-    """(batch_id, id, item): items of each answer with a known id, the last of an id wins."""
-    items = F.from_json(F.to_json(F.try_variant_get(json_object(F.col("answer")), "$.items", "variant")), "array<struct<id:bigint,title:string,artist:string>>")
-    rows = answers.select("batch_id", F.posexplode(items).alias("pos", "item")).withColumn("id", F.col("item.id"))
-    return rows.join(allowed.select("batch_id", "id"), ["batch_id", "id"], "left_semi").groupBy("batch_id", "id").agg(F.max_by("item", "pos").alias("item"))
+    """(batch_id, id, item): the records of each answer with a known id, the last of an id wins.
+
+    A record is nested under outputMetadata, or lies flat; then a reason alone says that it needs review. Fields are
+    text, flags apart, as :func:`cleaned_results` takes them."""
+    fields = ",".join(f"{f}:string" for f in ANSWERED)
+    items = F.from_json(F.to_json(F.try_variant_get(json_object(F.col("answer")), "$.items", "variant")), f"array<struct<id:string,{fields},outputMetadata:struct<{fields}>>>")
+    rows = answers.select("batch_id", F.posexplode(items).alias("pos", "i")).withColumn("id", F.col("i.id").try_cast("bigint"))
+    nested, why = F.col("i.outputMetadata").isNotNull(), X.clean_optional(F.col("i.reviewReason"), False)
+    flags = {"compilation": None, "needsReview": why.isNotNull()}
+    record = []
+    for f, name in ANSWERED.items():
+        flat = flags.get(f)
+        flat = F.col(f"i.{f}") if flat is None else flat
+        record.append(F.when(nested, F.col(f"i.outputMetadata.{f}").try_cast("boolean") if f in flags else F.col(f"i.outputMetadata.{f}")).otherwise(flat.try_cast("boolean") if f in flags else flat).alias(name))
+    known = rows.join(allowed.select("batch_id", "id"), ["batch_id", "id"], "left_semi")
+    return known.withColumn("item", F.struct(*record)).groupBy("batch_id", "id").agg(F.max_by("item", "pos").alias("item"))
+
+
+def cleaned_results(results: DataFrame) -> DataFrame:
+    """(batch_id, id, fields): the records of :func:`model_results` cleaned as a whole."""
+    flat = results.select("batch_id", "id", "item.*").withColumns({"excluded": F.lit(False), "exclusion_reason": F.lit(None).cast("string")})
+    return X.cleaned(flat).drop("excluded", "exclusion_reason")
+
+
+def unanswered(answers: DataFrame, results: DataFrame) -> DataFrame:
+    """(batch_id): answers that hold no record which was asked for."""
+    return answers.select("batch_id").distinct().join(results.select("batch_id").distinct(), "batch_id", "left_anti")
 
 
 def error_kind(status: Column, details: Column) -> Column:

@@ -149,7 +149,8 @@ def playlist(ranked: DataFrame) -> DataFrame:
     """Two lines for each active row, the first of each destination in plan order."""
     active = ranked.where(has_text(F.col("new_path"))).withColumn("key", X.path_key(F.col("new_path")))
     first = active.withColumn("k", F.row_number().over(Window.partitionBy("key").orderBy("row_id"))).where("k = 1")
-    lines = F.array(F.concat(F.lit("#EXTINF:-1,"), F.col("artist"), F.lit(" - "), F.col("title")), F.col("new_path"))
+    label = F.concat_ws(" - ", *[F.trim(F.coalesce(F.col(c), F.lit(""))) for c in ("artist", "title")])
+    lines = F.array(F.concat(F.lit("#EXTINF:-1,"), F.btrim(label, F.lit(" -"))), F.col("new_path"))
     return first.select("row_id", F.posexplode(lines).alias("line_no", "line"))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions import text as X
-from . import manifest
+from . import manifest, plan
 from .link import ratio
 
 TEXT_FIELDS = ["title", "artist", "album_artist", "album", "genre"]
@@ -287,14 +287,67 @@ def deterministic_revision(feedback: Column, source_album_artist: Column) -> tup
     return F.when(removes, F.lit(None)).when(replaces, source_album_artist).otherwise(F.col("album_artist")), removes | replaces
 
 
-def resolved(rows: DataFrame, resolutions: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows with resolutions(source_path, title, artist, evidence) applied, violations): a target must be known, named
-    once and held for review, and evidence must not be blank."""
-    key = X.path_key(F.col("source_path"))
-    per = resolutions.withColumn("key", key).groupBy("key").agg(F.count("*").alias("k"), F.min("title").alias("r_title"), F.min("artist").alias("r_artist"), F.min(F.coalesce("evidence", F.lit(""))).alias("evidence"))
-    joined = rows.withColumn("key", key).join(per, "key", "left")
-    good = F.coalesce((F.col("k") == 1) & F.col("needs_review") & (F.trim("evidence") != ""), F.lit(False))
-    done = joined.withColumns({"title": F.when(good, F.coalesce("r_title", "title")).otherwise(F.col("title")), "artist": F.when(good, F.coalesce("r_artist", "artist")).otherwise(F.col("artist")), "needs_review": F.when(good, False).otherwise(F.col("needs_review"))})
-    unknown = per.join(rows.select(key.alias("key")), "key", "left_anti").select("key", F.lit("unknown target").alias("rule"))
-    wrong = joined.where("k is not null").select("key", F.when(F.col("k") > 1, "target repeated").when(F.trim("evidence") == "", "no evidence").when(~F.coalesce("needs_review", F.lit(False)), "target not held").alias("rule")).where("rule is not null")
-    return done.select(*rows.columns), unknown.unionByName(wrong).distinct()
+def sanitised(reviews: DataFrame, keeps: Column) -> DataFrame:
+    """reviews(row_id, needs_revision, feedback) whose flagged rows that do not keep their flag lose it and their feedback.
+
+    rejected says which did. keeps may use any column; flags without a verdict go as well."""
+    flagged = F.coalesce(F.col("needs_revision"), F.lit(False))
+    rejected = flagged & ~F.coalesce(keeps, F.lit(False))
+    marked = reviews.withColumn("rejected", rejected)
+    return marked.withColumns({"needs_revision": F.when(F.col("rejected"), False).otherwise(F.col("needs_revision")), "feedback": F.when(~F.col("rejected"), F.col("feedback"))})
+
+
+def sanitisation_summary(cleaned: DataFrame) -> DataFrame:
+    """One row: flagged reviews before, flagged ones that stay, rejected ones. The rejected rows are cleaned.where(rejected)."""
+    stays = F.coalesce(F.col("needs_revision"), F.lit(False))
+    return cleaned.agg(F.count_if(stays | F.col("rejected")).alias("input_flagged"), F.count_if(stays).alias("retained_flagged"), F.count_if("rejected").alias("rejected_count"))
+
+
+def resolved(rows: DataFrame, resolutions: DataFrame, audited: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows with resolutions applied and cleaned, violations (key, rule)); rows that break a rule stay as they are.
+
+    resolutions(source_path, evidence, any of the output fields, and optionally changed: array<string>, the fields that a
+    row sets, null values included; without it, those that are not null). A target must be known, unique, named once and
+    under review, on the audited list (source_path) or put under review; evidence and changes must be there. A row put
+    under review needs a reason; any other resolution clears the review and leaves a title and an artist."""
+    allowed = [f for f in X.OUTPUT_FIELDS if f not in ("excluded", "exclusion_reason")]
+    given = [f for f in allowed if f in resolutions.columns]
+    key = X.path_key(F.coalesce(F.col("source_path"), F.lit("")))
+    filled = F.array_compact(F.array(*[F.when(F.col(f).isNotNull(), F.lit(f)) for f in given])) if given else F.array().cast("array<string>")
+    changed = F.col("changed") if "changed" in resolutions.columns else filled
+    said = F.struct(F.coalesce(changed, F.array().cast("array<string>")).alias("changed"), F.trim(F.coalesce("evidence", F.lit(""))).alias("evidence"), *[F.col(f) for f in given])
+    per = resolutions.select(key.alias("key"), said.alias("r")).groupBy("key").agg(F.count("*").alias("k"), F.min("r").alias("r"))
+    keyed = rows.withColumn("key", key)
+    per = per.join(keyed.join(per.select("key"), "key", "left_semi").groupBy("key").agg(F.count("*").alias("n")), "key", "left")
+    if audited is None:
+        per = per.withColumn("listed", F.lit(False))
+    else:
+        per = per.join(audited.select(key.alias("key")).distinct().withColumn("listed", F.lit(True)), "key", "left")
+    sets = lambda f: F.array_contains(F.col("r.changed"), F.lit(f))
+    after = {f: F.when(sets(f), F.col(f"r.{f}").cast(rows.schema[f].dataType)).otherwise(F.col(f)) for f in given if f in rows.columns}
+    holds = F.coalesce(sets("needs_review") & F.col("r.needs_review"), F.lit(False)) if "needs_review" in given else F.lit(False)
+    joined = keyed.join(per, "key", "left").withColumn("holds", holds)
+    held = F.coalesce(F.col("needs_review"), F.lit(False)) | F.coalesce("listed", F.lit(False)) | F.col("holds")
+    value = lambda f: after.get(f, F.col(f))
+    reason = X.clean_reason(value("review_reason")) if "review_reason" in rows.columns else F.lit(None).cast("string")
+    known = F.array(*[F.lit(f) for f in given])
+    rules = [
+        (F.col("k") > 1, "target repeated"),
+        (F.col("n") > 1, "manifest source repeated"),
+        (F.size("r.changed") == 0, "no changes"),
+        (F.size(F.array_except("r.changed", known)) > 0, "field not allowed"),
+        (F.col("r.evidence") == "", "no evidence"),
+        (~held, "target not held"),
+        (F.col("holds") & (F.coalesce(reason, F.lit("")) == ""), "hold without a reason"),
+        (~F.col("holds") & F.coalesce(value("needs_review"), F.lit(False)), "review not cleared"),
+        (~F.col("holds") & ~(plan.has_text(value("title")) & plan.has_text(value("artist"))), "no title or artist"),
+    ]
+    rule = F.coalesce(*[F.when(F.coalesce(when, F.lit(False)), F.lit(name)) for when, name in rules])
+    joined = joined.withColumn("rule", F.when(F.col("k").isNotNull(), rule)).withColumn("good", F.col("k").isNotNull() & F.col("rule").isNull())
+    done = joined.select(*[F.when(F.col("good"), after[c]).otherwise(F.col(c)).alias(c) if c in after else F.col(c) for c in rows.columns], "good")
+    if set(X.OUTPUT_FIELDS) <= set(rows.columns):  # a merged record is cleaned as a whole
+        fresh = X.cleaned(done.where("good"))
+        fields = [F.col(c).cast(rows.schema[c].dataType).alias(c) for c in rows.columns]
+        done = done.where("not good").select(*rows.columns).unionByName(fresh.select(*fields))
+    unknown = per.where("n is null").select("key", F.when(F.col("key") == "", "source blank").otherwise("unknown target").alias("rule"))
+    return done.select(*rows.columns), unknown.unionByName(joined.where("rule is not null").select("key", "rule")).distinct()

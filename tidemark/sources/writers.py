@@ -13,10 +13,11 @@ def delimited(rows: DataFrame, path: str, columns: list[str]) -> None:
 
 
 def playlist(lines: DataFrame, path: str) -> None:
-    """(row_id, line_no, line) as one text in order; an empty playlist is an error."""
+    """(row_id, line_no, line) as text in order, below the header of the format; an empty playlist is an error."""
     if lines.isEmpty():
         raise ValueError("no active rows for the playlist")
-    ordered = lines.orderBy("row_id", "line_no").select("line")
+    header = lines.sparkSession.createDataFrame([("#EXTM3U",)], "line string").select(F.lit(None).cast("long").alias("row_id"), F.lit(0).alias("line_no"), "line")
+    ordered = header.unionByName(lines.select(F.col("row_id").cast("long"), "line_no", "line")).orderBy(F.col("row_id").asc_nulls_first(), "line_no").select("line")
     ordered.write.mode("overwrite").text(path)
 
 
