@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import library, link, manifest, plan, review
+from ..operators import library, link, manifest, plan, prepare, review
 from .fixtures import DIRTY_SQL, PATHS_SQL, ROOT, TRACKS_SQL, dirty, table, tracks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -112,16 +112,8 @@ COLLISION_SQL = (
 
 
 def _collisions(spark: SparkSession, sf: str) -> DataFrame:
-    index = _index(spark, sf).groupBy("key").agg(*[F.min(c).alias(c) for c in ("path", "artist", "title", "error")])
-    full = _index(spark, sf)
     planned = plan.with_paths(tracks(spark, sf), ROOT).where("row_id % 3 <> 0")
-    return _collide(planned, full, index)
-
-
-def _collide(planned: DataFrame, full: DataFrame, index: DataFrame) -> DataFrame:
-    """Collisions where several library rows may share a path: identities count all, the fallback looks one up."""
-    extra = index.withColumns({"normalized_artist": F.lit(""), "normalized_title": F.lit("")})
-    return library.collisions(planned, full.withColumn("key", F.concat(F.lit("row "), F.col("row_id").cast("string"))).drop("row_id").unionByName(extra))
+    return library.collisions(planned, _index(spark, sf).drop("row_id"))
 
 
 @query(f"WITH {COLLISION_SQL} SELECT *, CASE WHEN existing IS NOT NULL THEN 'skip_existing' ELSE 'resolve_collision' END AS recommendation FROM col WHERE destination_exists OR existing IS NOT NULL")
@@ -532,7 +524,7 @@ def track_membership(spark: SparkSession, sf: str) -> DataFrame:
   p_partkey % 17 = 0 AND NOT (p_partkey % 8 = 0 AND p_partkey % 5 <> 0) AS needs_review FROM part""")
 def review_resolutions(spark: SparkSession, sf: str) -> DataFrame:
     rows = tracks(spark, sf).withColumn("source_path", F.concat(F.lit("C:\\in\\"), F.col("row_id").cast("string")))
-    said = rows.where("row_id % 8 = 0").select("source_path", F.lit("Fixed").alias("title"), F.lit(None).cast("string").alias("artist"), F.when(F.col("row_id") % 5 == 0, " ").otherwise("tag").alias("evidence"))
+    said = rows.where("row_id % 8 = 0").select("source_path", F.lit("Fixed").alias("title"), F.lit(None).cast("string").alias("artist"), F.lit(False).alias("needs_review"), F.when(F.col("row_id") % 5 == 0, " ").otherwise("tag").alias("evidence"))
     return review.resolved(rows, said)[0].select("row_id", "title", "needs_review")
 
 
@@ -634,3 +626,49 @@ def grounded_fields(spark: SparkSession, sf: str) -> DataFrame:
 def suspicious_outputs(spark: SparkSession, sf: str) -> DataFrame:
     rows = _tagged(spark, sf, **(GROUNDED | {"title": "'some words here'", "source_path": "'C:/in/' || name || '.mp3'", "s_title": "'some words here'", "s_artist": "brand"}))
     return review.suspicious(rows).select("row_id", F.array_join("reasons", "; ").alias("reasons"))
+
+
+def _entries(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """An entry for each order, and an inventory in which sources and destinations are missing, changed or there."""
+    k = F.col("row_id")
+    path = lambda root: F.concat(F.lit(root), k.cast("string"), F.lit(".mp3"))
+    rows = table(spark, sf, "orders").select(F.col("o_orderkey").alias("row_id"), F.col("o_orderpriority").alias("title"), F.col("o_orderstatus").alias("artist"))
+    entries = rows.withColumns({"source_path": path("C:/in/"), "new_path": path("D:/library/"), "expected_artwork": (k % 3).cast("int")})
+    pictures = lambda n: F.transform(F.sequence(F.lit(0), n), lambda x: x.cast("string"))
+    there = F.slice(pictures(k % 3), 1, (k % 3).cast("int"))
+    sources = entries.where("row_id % 7 <> 0").select(F.upper("source_path").alias("path"), (k % 100).alias("size"), F.when(k % 11 == 0, pictures(F.lit(5))).otherwise(there).alias("artwork"), F.lit("old").alias("title"), F.lit("old").alias("artist"))
+    made = entries.where("row_id % 5 = 0").select(F.col("new_path").alias("path"), F.lit(1).cast("long").alias("size"), F.when(k % 13 == 0, pictures(F.lit(7))).otherwise(there).alias("artwork"), F.when(k % 17 == 0, "old").otherwise(F.col("title")).alias("title"), "artist")
+    return entries, sources.unionByName(made)
+
+
+@query("""SELECT row_id, rule, CASE WHEN rule LIKE 'source%' THEN 'C:/in/' || row_id || '.mp3' ELSE 'D:/library/' || row_id || '.mp3' END AS detail FROM (SELECT o_orderkey AS row_id,
+  CASE WHEN o_orderkey % 7 = 0 AND o_orderkey % 5 <> 0 THEN 'source missing' WHEN o_orderkey % 7 <> 0 AND o_orderkey % 11 = 0 THEN 'source artwork changed'
+  WHEN o_orderkey % 5 = 0 AND o_orderkey % 17 = 0 THEN 'destination tags differ' WHEN o_orderkey % 5 = 0 AND o_orderkey % 7 <> 0 AND o_orderkey % 13 = 0 THEN 'destination artwork differs' END AS rule FROM orders) WHERE rule IS NOT NULL""")
+def preflight_violations(spark: SparkSession, sf: str) -> DataFrame:
+    return prepare.preflight_violations(*_entries(spark, sf), resume=True)
+
+
+@query("SELECT CAST(sum(CASE WHEN o_orderkey % 7 <> 0 THEN o_orderkey % 100 END) AS BIGINT) AS source_bytes, count(*) FILTER (o_orderkey % 5 = 0) AS existing_destinations FROM orders")
+def preflight_totals(spark: SparkSession, sf: str) -> DataFrame:
+    return prepare.preflight_totals(*_entries(spark, sf))
+
+
+@query("""SELECT o_orderkey AS row_id, CASE WHEN o_orderkey % 5 = 0 THEN 'resumed' WHEN o_orderkey % 7 = 0 THEN 'failed' ELSE 'moved' END AS status, o_orderkey % 7 <> 0 AS deletes_source FROM orders""")
+def entry_actions(spark: SparkSession, sf: str) -> DataFrame:
+    return prepare.actions(*_entries(spark, sf), "move").select("row_id", "status", "deletes_source")
+
+
+@query("""SELECT row_id, rule FROM (SELECT o_orderkey AS row_id, CASE WHEN o_orderkey % 19 = 0 THEN 'no winner' WHEN o_orderkey % 23 = 0 THEN 'winner outside root' WHEN o_orderkey % 7 = 0 AND o_orderkey % 2 = 1 THEN 'source missing'
+  WHEN o_orderkey % 5 <> 0 THEN 'winner missing' WHEN o_orderkey % 17 = 0 THEN 'winner tags differ' END AS rule FROM orders) WHERE rule IS NOT NULL""")
+def cleanup_violations(spark: SparkSession, sf: str) -> DataFrame:
+    entries, files = _entries(spark, sf)
+    k = F.col("row_id")
+    losers = entries.withColumn("destination", F.when(k % 19 == 0, F.lit(None)).when(k % 23 == 0, F.concat(F.lit("E:/"), k.cast("string"))).otherwise(F.col("new_path")))
+    return prepare.cleanup_violations(losers, files, entries.where("row_id % 2 = 0").select("source_path"), "C:/in", ROOT).select("row_id", "rule")
+
+
+@query("""SELECT count(*) FILTER (l_linenumber % 2 = 1) AS input_flagged, count(*) FILTER (l_linenumber % 2 = 1 AND l_returnflag = 'A') AS retained_flagged,
+  count(*) FILTER (l_linenumber % 2 = 1 AND l_returnflag <> 'A') AS rejected_count FROM lineitem""")
+def sanitisation_summary(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "lineitem").select("l_returnflag", (F.col("l_linenumber") % 2 == 1).alias("needs_revision"), F.lit("said").alias("feedback"))
+    return review.sanitisation_summary(review.sanitised(rows, F.col("l_returnflag") == "A"))
