@@ -364,6 +364,23 @@ def test_bpe_matches_the_library(spark):
     assert bpe.digests(documents(spark, []), TOKENIZER).count() == 0
 
 
+def test_bpe_streams_long_texts(monkeypatch):
+    tokenizers = pytest.importorskip("tokenizers")
+    known = tokenizers.Tokenizer.from_file(TOKENIZER)
+    with open(TOKENIZER, "rb") as f:
+        codec = bpe.Codec(f.read())
+    unbroken = "the.quick-brown\u00a0fox" * 2000 + "e\u0301" * 3000 + "<|endoftext|>" + "th" * 4000 + "<|" + "\u4f60\u597d" * 3000
+    texts = [unbroken, " ".join([*babble(3000, 5), unbroken, "tail"]), unbroken + "\n" + unbroken.upper()]
+    whole = [codec.encode(t) for t in texts]
+    monkeypatch.setattr(bpe, "LONG_TEXT", 100)
+    monkeypatch.setattr(bpe, "PART", 50)
+    monkeypatch.setattr(bpe, "LONG_CHUNK", 64)
+    for t, ids in zip(texts, whole, strict=True):
+        got = codec.encode(t)
+        assert got == ids == known.encode(t, add_special_tokens=False).ids
+        assert codec.decode(got) == known.decode(got, skip_special_tokens=False)
+
+
 def test_transducer_parts_and_utf8():
     with open(TOKENIZER, "rb") as f:
         v = bpe.Vocabulary(f.read())

@@ -7,6 +7,8 @@ constant), emits each token as soon as it is stable, and so encodes a piece of a
 :class:`Utf8Machine` turns bytes back to text and keeps at most three bytes between calls.
 
 A piece that ends within the lookahead has no stable token before its end; such pieces are finished many at a time.
+A long text is read part by part (:meth:`Codec.stream`): beside the row's own text, ids and decoded text, only a part and
+the normal form of one unbroken run are held. A row's columns are whole values, so that much is not constant.
 
 Null texts count as empty and have no tokens. Every row yields one row, repeated rows and rows without an id too; other
 columns pass unchanged, whatever their names. Texts are read whole. Merges of equal rank go from left to right. An empty
@@ -23,7 +25,8 @@ import itertools
 import json
 import re
 import unicodedata
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +46,8 @@ MEMO = 150_000
 SHORT = 32
 #: Rows and characters that are encoded together.
 ROWS_OUT, CHARS_OUT = 2048, 2_000_000
+#: A text of more characters is encoded in parts of so many chunks; a chunk of more characters is never held in pieces.
+LONG_TEXT, PART, LONG_CHUNK = 500_000, 20_000, 4096
 #: Marks that often end a word.
 MARKS = (".", ",", "!", "?", ";", ":")
 #: The rank of a pair that never merges.
@@ -264,19 +269,31 @@ class Codec:
         out, stop = ids[filled].tolist(), np.cumsum(filled.sum(1)).tolist()
         return [tuple(out[i:j]) for i, j in zip([0, *stop], stop, strict=False)]
 
-    def _long(self, piece: str) -> tuple[int, ...]:
+    def _long(self, piece: str) -> Iterator[int]:
         t, sym = Transducer(self.v), self.v.symbol
-        out: list[int] = []
         for i in range(0, len(piece), 4096):
-            out += t.push([sym[b] for b in piece[i : i + 4096].encode("utf-8", "replace")])
-        return tuple([*out, *t.finish()])
-
-    def _split(self, text: str) -> list[str]:
+            yield from t.push([sym[b] for b in piece[i : i + 4096].encode("utf-8", "replace")])
+        yield from t.finish()
+
+    def _parts(self, chunk: str) -> Iterator[str | int]:
+        """What lies between control strings, and the ids of these."""
+        at = 0
+        if self.v.control is not None and "<|" in chunk:
+            for m in self.v.control.finditer(chunk):
+                yield chunk[at : m.start()]
+                yield self.v.special[m[0]]
+                at = m.end()
+        yield chunk[at:] if at else chunk
+
+    def _normal(self, text: str) -> str:
         if not text.isascii():
             if self.v.nfc:
                 text = unicodedata.normalize("NFC", text)
             text = text.replace("Σ", "σ") if self.v.lower else text  # one letter at a time: no final sigma
-        text = text.lower() if self.v.lower else text
+        return text.lower() if self.v.lower else text
+
+    def _split(self, text: str) -> list[str]:
+        text = self._normal(text)
         if self.plain_words:  # what the pattern gives for letters only, and for letters with one mark behind
             if text.isalpha():
                 return [text]
@@ -292,14 +309,8 @@ class Codec:
             got = older.get(chunk)
             if got is not None:
                 memo[chunk] = got
-            elif self.v.control is None or "<|" not in chunk:
-                parts[chunk] = self._split(chunk)
             else:
-                at, own = 0, []
-                for m in self.v.control.finditer(chunk):
-                    own += [*self._split(chunk[at : m.start()]), self.v.special[m[0]]]
-                    at = m.end()
-                parts[chunk] = own + self._split(chunk[at:])
+                parts[chunk] = [x for p in self._parts(chunk) for x in (self._split(p) if p.__class__ is str else (p,))]
         pieces = self.pieces
         new = {x for own in parts.values() for x in own if x.__class__ is str and x not in pieces}
         groups: dict[int, list[tuple[str, bytes]]] = {}
@@ -308,7 +319,7 @@ class Codec:
             if len(b) <= SHORT:
                 groups.setdefault((len(b) + 3) // 4, []).append((x, b))
             else:
-                pieces[x] = self._long(x)
+                pieces[x] = tuple(self._long(x))
         for g in groups.values():
             for i in range(0, len(g), 20_000):
                 some = g[i : i + 20_000]
@@ -326,18 +337,36 @@ class Codec:
             for c in long:
                 del self.memo[c]
 
-    def encode_all(self, texts: list[str | None]) -> Iterator[list[int]]:
-        cut = [CHUNK.findall(t or "") for t in texts]
+    def stream(self, text: str) -> Iterator[int]:
+        """Ids of a text of any length; holds PART chunks, or the normal form of one long chunk, and the memos."""
+        found = CHUNK.finditer(text)
+        while some := [*itertools.islice(found, PART)]:
+            self.learn({m[0] for m in some if m.end() - m.start() <= LONG_CHUNK}.difference(self.memo))
+            for m in some:
+                if m.end() - m.start() <= LONG_CHUNK:
+                    yield from self.memo[m[0]]
+                    continue
+                for part in self._parts(m[0]):
+                    if part.__class__ is str:
+                        for piece in self.v.split.finditer(self._normal(part)):
+                            yield from self._long(piece[0])
+                    else:
+                        yield part
+            self.rest()
+
+    def encode_all(self, texts: list[str | None]) -> Iterator[Sequence[int]]:
+        cut = [CHUNK.findall(t) if t and len(t) <= LONG_TEXT else () for t in texts]
         self.learn(set().union(*cut).difference(self.memo))
         get = self.memo.__getitem__
-        for chunks in cut:
-            yield list(itertools.chain.from_iterable(map(get, chunks)))
+        done = [array("i", itertools.chain.from_iterable(map(get, chunks))) for chunks in cut]
         self.rest()
+        for text, ids in zip(texts, done, strict=True):
+            yield array("i", self.stream(text)) if text and len(text) > LONG_TEXT else ids
 
     def encode(self, text: str | None) -> list[int]:
-        return next(iter([*self.encode_all([text])]))
+        return next(iter([*self.encode_all([text])])).tolist()
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: Sequence[int]) -> str:
         """Text of ids. Without a decoder in the file, tokens are joined by a space, as its library does."""
         m, out, v = Utf8Machine(), [], self.v
         for k in range(0, len(ids), 4096):
