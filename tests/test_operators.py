@@ -98,6 +98,10 @@ def test_files(spark, tmp_path):
     assert [tuple(r) for r in readers.delimited(spark, str(tmp_path / "csv"), ["title", "artist"], exact=True).fillna("").collect()] == [("T", "")]
     with pytest.raises(ValueError):
         readers.delimited(spark, str(tmp_path / "csv"), ["other"])
+    path.write_text(json.dumps([{"source": "a.mp3", "originalMetadata": {}}]), encoding="utf-8")
+    assert readers.manifest(spark, str(path), strict=False).first()["title"] is None
+    with pytest.raises(Exception, match="no outputMetadata"):
+        readers.manifest(spark, str(path)).collect()
     lines = spark.createDataFrame([(1, 0, "#a"), (1, 1, "b")], "row_id long, line_no int, line string")
     writers.playlist(lines, str(tmp_path / "list"))
     assert sorted(r[0] for r in spark.read.text(str(tmp_path / "list")).collect()) == ["#EXTM3U", "#a", "b"]
@@ -109,6 +113,22 @@ def test_files(spark, tmp_path):
         writers.append_journal(events, str(tmp_path / "j"), "h2", spark)
 
 
+def test_property_list_entities(spark, tmp_path):
+    path = tmp_path / "l.xml"
+    path.write_text("<dict><key>Tracks</key><dict><key>7</key><dict><key>Name</key><string>A &#38; B &amp;lt; &#x1F642; &#38;lt; &quot;c&quot;</string></dict></dict><key>Playlists</key><array><dict><key>Name</key><string>P &amp; Q</string><key>Track ID</key><integer>7</integer></dict></array></dict>", encoding="utf-8")
+    tracks, items = readers.property_list(spark, str(path))
+    assert [tuple(r) for r in tracks.collect()] == [(7, "Name", 'A & B &lt; \U0001f642 &lt; "c"')]
+    assert [tuple(r) for r in items.collect()] == [("P & Q", 0, 7)]
+
+
+def test_hot_words_are_dealt(spark, monkeypatch):
+    library = spark.createDataFrame([(f"k{i}", "love song" if i % 2 else "love") for i in range(40)] + [("none", None), ("blank", "")], "key string, title string")
+    items = spark.createDataFrame([(1, "Love"), (2, "song"), (3, "other"), (4, None)], "item_id long, title string")
+    wanted = {(1, f"k{i}", 1 if i % 2 else 2) for i in range(40)} | {(2, f"k{i}", 1) for i in range(1, 40, 2)}
+    monkeypatch.setattr(link, "HOT", 5)
+    assert sorted(tuple(r) for r in link.blocked(items, library).collect()) == sorted(wanted)
+
+
 def test_status_stream(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in/a.json").write_text('{"run":"r","at":"2024-01-01T00:00:01Z","status":"ok"}\n{"run":"r","at":"2024-01-01T00:00:02Z","status":"ok"}\n')

@@ -6,6 +6,7 @@ import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 #: Answers of a batch of JSON items from an endpoint: id -> JSON. Raises ContextError or ConnectionError.
@@ -16,13 +17,13 @@ class ContextError(ValueError):
     """The request was too large."""
 
 
-def _answered(infer: Infer, endpoints: list[str], items: list[tuple[int, str]], tries: int, wait: float) -> Iterator[tuple[int, str | None, str | None]]:
-    """A batch that is too large is halved; lost endpoints are tried in turn; omitted items go once more alone."""
+def _answered(infer: Infer, endpoints: list[str], items: list[tuple[int, str]], tries: int, wait: float, first: int = 0) -> Iterator[tuple[int, str | None, str | None]]:
+    """Begins with endpoint number `first`. A batch that is too large is halved; lost endpoints are tried in turn; omitted items go once more alone."""
     todo: list[tuple[list[tuple[int, str]], int]] = [(items, 0)]
     while todo:
         batch, tried = todo.pop()
         try:
-            got = infer(endpoints[tried % len(endpoints)], batch)
+            got = infer(endpoints[(first + tried) % len(endpoints)], batch)
         except ContextError as e:
             if len(batch) > 1:
                 todo += [(batch[: len(batch) // 2], tried), (batch[len(batch) // 2 :], tried)]
@@ -46,12 +47,16 @@ def _answered(infer: Infer, endpoints: list[str], items: list[tuple[int, str]],
 
 
 def inferred(requests: DataFrame, infer: Infer, endpoints: list[str], size: int = 5, tries: int = 2, wait: float = 1.0) -> DataFrame:
-    """(row_id, answer, error) of requests(row_id, item); rows of a partition go in batches of `size`."""
+    """(row_id, answer, error) of requests(row_id, item); rows of a partition go in batches of `size`.
+
+    Tasks and their batches begin with one endpoint after the other, so all endpoints share the load."""
 
     def work(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at = TaskContext.get().partitionId()
         for part in parts:
             pairs = list(zip(part["row_id"].tolist(), part["item"].tolist(), strict=True))
-            rows = [r for k in range(0, len(pairs), size) for r in _answered(infer, endpoints, pairs[k : k + size], tries, wait)]
+            rows = [r for k in range(0, len(pairs), size) for r in _answered(infer, endpoints, pairs[k : k + size], tries, wait, at + k // size)]
+            at += -(-len(pairs) // size)
             yield pd.DataFrame({"row_id": pd.Series([r[0] for r in rows], dtype="int64"), "answer": pd.Series([r[1] for r in rows], dtype=object), "error": pd.Series([r[2] for r in rows], dtype=object)})
 
     return requests.select("row_id", "item").mapInPandas(work, "row_id long, answer string, error string")

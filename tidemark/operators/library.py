@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -87,8 +87,11 @@ def linked_rows(rows: DataFrame, materialise: Callable[[DataFrame], DataFrame] |
     step is cut by a checkpoint."""
     cut = materialise or (lambda df: df.checkpoint())
     active = rows.where(plan.has_text(F.col("new_path"))).select("row_id", X.path_key(F.col("new_path")).alias("d"), X.normalize_identity(F.col("artist")).alias("a"), X.normalize_identity(F.col("title")).alias("t"))
-    stars = [active.select("row_id", F.min("row_id").over(Window.partitionBy("d")).alias("other")), active.where("a <> '' and t <> ''").select("row_id", F.min("row_id").over(Window.partitionBy("a", "t")).alias("other"))]
-    links = cut(stars[0].unionByName(stars[1]).where("row_id <> other").select(F.col("row_id").alias("x"), F.col("other").alias("y")).distinct())
+
+    def star(rows: DataFrame, *key: str) -> DataFrame:  # summed before the shuffle; a hot key's join is AQE's to split
+        return rows.select("row_id", *key).join(rows.groupBy(*key).agg(F.min("row_id").alias("other")), list(key)).select("row_id", "other")
+
+    links = cut(star(active, "d").unionByName(star(active.where("a <> '' and t <> ''"), "a", "t")).where("row_id <> other").select(F.col("row_id").alias("x"), F.col("other").alias("y")).distinct())
     labels, step = cut(active.select("row_id", F.col("row_id").alias("at"))), 0
     while not links.isEmpty():
         step += 1
@@ -107,12 +110,10 @@ def bundle(rows: DataFrame, components: DataFrame) -> DataFrame:
 
     The reason compares with the winner only: a row linked through others may have an empty one."""
     joined = rows.join(components, "row_id")
-    rank = Window.partitionBy("component").orderBy(*plan.preference())
-    size = Window.partitionBy("component")
     facts = ["row_id", "source_path", "new_path", "artist", "title"]
-    ranked = joined.withColumns({"k": F.row_number().over(rank), "n": F.count("*").over(size)}).where("n > 1")
-    kept = ranked.where("k = 1").select("component", *[F.col(c).alias(f"kept_{c}") for c in facts])
-    rest = ranked.where("k > 1").join(kept, "component")
+    best = F.min_by(F.struct(*facts), plan.preferred()).alias("best")
+    kept = joined.groupBy("component").agg(best, F.count("*").alias("n")).where("n > 1").select("component", *[F.col(f"best.{c}").alias(f"kept_{c}") for c in facts])
+    rest = joined.join(kept, "component").where("row_id <> kept_row_id")
     identity = lambda p: F.struct(X.normalize_identity(F.col(f"{p}artist")), X.normalize_identity(F.col(f"{p}title")))
     reason = F.array_join(F.array_compact(F.array(F.when(X.path_key(F.col("new_path")) == X.path_key(F.col("kept_new_path")), F.lit("same_destination")), F.when(identity("") == identity("kept_"), F.lit("same_identity")))), "+")
     return rest.select("component", "plan_id", "row_id", F.col("new_path").alias("skipped_destination"), "kept_row_id", F.col("kept_new_path").alias("kept_destination"), reason.alias("reason"))

@@ -12,6 +12,10 @@ from pyspark.sql import types as T
 from ..functions import text as X
 
 
+#: A title word of more library rows than this is dealt to several keys.
+HOT = 10_000
+
+
 @F.pandas_udf(T.DoubleType())
 def ratio(left: pd.Series, right: pd.Series) -> pd.Series:
     """Matching-block ratio of two texts; 0 if one is blank. Not symmetric, and not an edit distance."""
@@ -37,14 +41,20 @@ def exact_link(items: DataFrame, library: DataFrame) -> DataFrame:
 def blocked(items: DataFrame, library: DataFrame, least: int = 3) -> DataFrame:
     """Pairs (item_id, key) that share a title word of `least` letters or the whole folded title; an equi join on words.
 
-    Words are distinct within a title, so a pair meets once a shared word and is made distinct by a partial sum."""
+    Words are distinct within a title, so a pair meets once a shared word and is made distinct by a partial sum. The
+    library rows of a frequent word are dealt to several keys, about HOT rows each, and its items are sent to all of them."""
 
     def tokens(df: DataFrame, id_: str) -> DataFrame:
         t = X.folded(F.col("title"), True)
         own = F.filter(X.words(t), lambda w: F.length(w) >= least)
         return df.select(id_, F.explode(F.array_distinct(F.concat(own, F.array(F.concat(F.lit("="), t))))).alias("token")).where("token <> '='")
 
-    return tokens(items, "item_id").join(tokens(library, "key"), "token").groupBy("item_id", "key").agg(F.count("*").alias("shared"))
+    own, theirs = tokens(items, "item_id"), tokens(library, "key")
+    hot = theirs.groupBy("token").agg(F.ceil(F.count("*") / HOT).cast("int").alias("parts")).where("parts > 1")
+    parts = F.coalesce("parts", F.lit(1))
+    theirs = theirs.join(hot, "token", "left").withColumn("part", F.pmod(F.xxhash64("key"), parts).cast("int")).drop("parts")
+    own = own.join(hot, "token", "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+    return own.join(theirs, ["token", "part"]).groupBy("item_id", "key").agg(F.count("*").alias("shared"))
 
 
 def scored(pairs: DataFrame) -> DataFrame:

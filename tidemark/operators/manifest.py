@@ -39,12 +39,12 @@ def seeded(prior: DataFrame, current: DataFrame, fields: list[str], key: str = "
     return new.select(key, F.when(F.col("old").isNull(), "new").when(F.col("o_path") != F.col("source_path"), "source mismatch").when(F.col("old") == F.col("new"), "seeded").otherwise("changed").alias("status"))
 
 
-def batches(rows: DataFrame, size: int, order: str = "row_id", groups: int = 64) -> DataFrame:
+def batches(rows: DataFrame, size: int, order: str = "row_id", groups: int | None = None) -> DataFrame:
     """rows with batch_id: runs of `size` rows in order.
 
     Numbered by range: each range counts its rows, the counts are summed, and numbers are given within ranges, so no
-    task orders all rows."""
-    ranged = rows.repartitionByRange(groups, order).withColumn("__part", F.spark_partition_id())
+    task orders all rows. Without `groups` the ranges are as many as the session's shuffle partitions."""
+    ranged = (rows.repartitionByRange(groups, order) if groups else rows.repartitionByRange(order)).withColumn("__part", F.spark_partition_id())
     ranged = ranged.checkpoint(eager=True)
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     starts = ranged.groupBy("__part").agg(F.count("*").alias("n")).withColumn("__start", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")

@@ -73,11 +73,19 @@ def preference() -> list[Column]:
     return [X.copy_suffix_depth(X.stem(p)), -format_quality(p), -F.coalesce(F.col("size"), F.lit(0)), X.path_key(p), F.col("row_id")]
 
 
+def preferred() -> Column:
+    """:func:`preference` as one value; the smallest is the best."""
+    return F.struct(*[c.alias(f"p{i}") for i, c in enumerate(preference())])
+
+
 def one_winner(rows: DataFrame) -> DataFrame:
-    """Per destination (whatever its format) the preferred row keeps its path; the others get is_winner = false."""
+    """Per destination (whatever its format) the preferred row keeps its path; the others get is_winner = false.
+
+    Winners are summed up before the shuffle and joined by row_id, so a destination that many rows name is no hot key.
+    row_id must be unique."""
     named = rows.where(F.col("new_path").isNotNull()).withColumn("identity", X.destination_identity(F.col("new_path")))
-    rank = F.row_number().over(Window.partitionBy("identity").orderBy(*preference()))
-    ranked = named.withColumn("is_winner", rank == 1)
+    winners = named.groupBy("identity").agg(F.min(preferred()).alias("best")).select(F.col(f"best.p{len(preference()) - 1}").alias("row_id"), F.lit(True).alias("is_winner"))
+    ranked = named.join(winners, "row_id", "left").withColumn("is_winner", F.coalesce("is_winner", F.lit(False))).select(*named.columns, "is_winner")
     rest = rows.where(F.col("new_path").isNull()).withColumns({"identity": F.lit(None).cast("string"), "is_winner": F.lit(False)})
     return ranked.unionByName(rest)
 

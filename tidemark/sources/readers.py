@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,15 +22,15 @@ def manifest(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
     out = F.col("r.outputMetadata")
     held = F.coalesce(out["needsReview"], out["reviewReason"].isNotNull() & (out["title"].isNull() | out["artist"].isNull()))
     rows = rows.select(
-        F.col("row_id").cast("long").alias("row_id"), F.col("r.source").alias("source_path"), F.col("r.originalMetadata").alias("original"), F.col("r.outputExtension").alias("output_extension"),
+        out.isNotNull().alias("described"), F.col("row_id").cast("long").alias("row_id"), F.col("r.source").alias("source_path"), F.col("r.originalMetadata").alias("original"), F.col("r.outputExtension").alias("output_extension"),
         out["title"].alias("title"), out["artist"].alias("artist"), out["albumArtist"].alias("album_artist"), out["album"].alias("album"), out["date"].alias("date"),
         out["trackNumber"].alias("track_number"), out["discNumber"].alias("disc_number"), out["genre"].alias("genre"), F.coalesce(out["compilation"], F.lit(False)).alias("compilation"),
         held.alias("needs_review"), out["reviewReason"].alias("review_reason"), F.coalesce(out["excluded"], F.lit(False)).alias("excluded"), out["exclusionReason"].alias("exclusion_reason"),
     )
     if strict:
-        bad = F.col("source_path").isNull()
-        rows = rows.withColumn("source_path", F.when(bad, F.raise_error(F.lit("a manifest row has no source"))).otherwise(F.col("source_path")))
-    return rows
+        why = F.when(F.col("source_path").isNull(), "a manifest row has no source").when(~F.col("described"), "a manifest row has no outputMetadata")
+        rows = rows.withColumn("source_path", F.when(why.isNotNull(), F.raise_error(why)).otherwise(F.col("source_path")))
+    return rows.drop("described")
 
 
 def delimited(spark: SparkSession, path: str, required: list[str], exact: bool = False) -> DataFrame:
@@ -48,6 +48,25 @@ def inventory(spark: SparkSession, folder: str, extensions: list[str]) -> DataFr
     return files.where(X.suffix(F.col("path")).isin(extensions))
 
 
+def _plain(column: str) -> Column:
+    """Character data with its entities decoded; the ampersand comes last, so nothing is decoded twice."""
+    out = F.col(column)
+
+    def decoded(mark: str, base: int):
+        def one(text: Column, n: Column) -> Column:
+            char = F.decode(F.unhex(F.lpad(F.conv(n, base, 16), 8, "0")), "UTF-32")
+            # U+0000 can't stand in such a file; it keeps a decoded ampersand apart until the end.
+            return F.replace(text, F.concat(F.lit(mark), n, F.lit(";")), F.when(char == "&", F.lit("\0")).otherwise(char))
+
+        return one
+
+    for mark, base, digit in (("&#", 10, "[0-9]"), ("&#x", 16, "[0-9a-fA-F]")):
+        out = F.aggregate(F.array_distinct(F.regexp_extract_all(F.col(column), F.lit(f"{mark}({digit}+);"), F.lit(1))), out, decoded(mark, base))
+    for name, char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("amp", "&")):
+        out = F.replace(out, F.lit(f"&{name};"), F.lit(char))
+    return F.replace(out, F.lit("\0"), F.lit("&"))
+
+
 def property_list(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(tracks, items) of a property-list library: tracks(track_id, field, value), items(playlist, position, track_id)."""
     text = spark.read.text(path, wholetext=True)
@@ -60,7 +79,7 @@ def property_list(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
     lists = F.split(F.regexp_extract("value", r"(?s)<key>Playlists</key>(.*)", 1), r"<key>Name</key>")
     named = text.select(F.explode(F.slice(lists, 2, F.size(lists))).alias("p"))
     items = named.select(F.regexp_extract("p", "<string>([^<]*)<", 1).alias("playlist"), F.posexplode(F.regexp_extract_all("p", F.lit(r"<key>Track ID</key>\s*<integer>(\d+)<"), F.lit(1))).alias("position", "id"))
-    return fields.select("track_id", "f.field", "f.value"), items.select("playlist", "position", F.col("id").cast("long").alias("track_id"))
+    return fields.select("track_id", _plain("f.field").alias("field"), _plain("f.value").alias("value")), items.select(_plain("playlist").alias("playlist"), "position", F.col("id").cast("long").alias("track_id"))
 
 
 def journal(spark: SparkSession, path: str) -> DataFrame:
