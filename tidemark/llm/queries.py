@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, exact_dedup, jaccard, language, licenses, line_dedup, mixing, quality, toxicity
+from . import bpe, chat, exact_dedup, hot_join, jaccard, language, licenses, line_dedup, mixing, quality, toxicity
 
 #: The tokenizer file that query op7 and the pipeline read.
 TOKENIZER = str(public_tokenizers.path("word_bpe_49k.json"))
@@ -59,6 +59,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_hot_key_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hot_join.report(_table(spark, sf_dir, "clicks"), _table(spark, sf_dir, "sales"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_jaccard_join": op2_jaccard_join,
@@ -70,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat": op8_chat,
     "op9_mixing": op9_mixing,
     "op10_quality_rules": op10_quality_rules,
+    "op11_hot_key_join": op11_hot_key_join,
 }
 
-ORACLES: dict[str, str] = {"op3_exact_dedup": exact_dedup.ORACLE, "op6_line_dedup": line_dedup.ORACLE, "op8_chat": chat.ORACLE}
+ORACLES: dict[str, str] = {"op3_exact_dedup": exact_dedup.ORACLE, "op6_line_dedup": line_dedup.ORACLE, "op8_chat": chat.ORACLE, "op11_hot_key_join": hot_join.ORACLE}
