@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, exact_dedup, hot_join, jaccard, language, licenses, line_dedup, mixing, quality, toxicity, votes
+from . import bpe, chat, exact_dedup, hard_negatives, hot_join, jaccard, language, licenses, line_dedup, mixing, quality, toxicity, votes
 
 #: The tokenizer file that query op7 and the pipeline read.
 TOKENIZER = str(public_tokenizers.path("word_bpe_49k.json"))
@@ -63,6 +63,10 @@ def op11_hot_key_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hot_join.report(_table(spark, sf_dir, "clicks"), _table(spark, sf_dir, "sales"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.report(_table(spark, sf_dir, "embeddings"))
+
+
 def op13_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return votes.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -79,7 +83,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_mixing": op9_mixing,
     "op10_quality_rules": op10_quality_rules,
     "op11_hot_key_join": op11_hot_key_join,
+    "op12_hard_negatives": op12_hard_negatives,
     "op13_quality_classifier": op13_quality_classifier,
 }
 
-ORACLES: dict[str, str] = {"op3_exact_dedup": exact_dedup.ORACLE, "op6_line_dedup": line_dedup.ORACLE, "op8_chat": chat.ORACLE, "op11_hot_key_join": hot_join.ORACLE}
+ORACLES: dict[str, str] = {"op3_exact_dedup": exact_dedup.ORACLE, "op6_line_dedup": line_dedup.ORACLE, "op8_chat": chat.ORACLE, "op11_hot_key_join": hot_join.ORACLE, "op12_hard_negatives": hard_negatives.ORACLE}
