@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -12,8 +13,12 @@ from pyspark.sql import types as T
 from ..functions import text as X
 
 
-#: A title word of more library rows than this is dealt to several keys.
+#: A title word of more library titles than this is dealt to several keys.
 HOT = 10_000
+#: The characters of a folded text.
+LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789 "
+#: Writes a DataFrame that is read several times, such as a checkpoint in a shared folder.
+Cut = Callable[[DataFrame], DataFrame]
 
 
 @F.pandas_udf(T.DoubleType())
@@ -38,35 +43,137 @@ def exact_link(items: DataFrame, library: DataFrame) -> DataFrame:
     return rows.select("item_id", key.alias("key"), tier.alias("tier"), F.coalesce("n_both", F.lit(0)).alias("same_both"), F.coalesce("n_title", F.lit(0)).alias("same_title"))
 
 
-def blocked(items: DataFrame, library: DataFrame, least: int = 3) -> DataFrame:
-    """Pairs (item_id, key) that share a title word of `least` letters or the whole folded title; an equi join on words.
+def letter_counts(c: Column) -> Column:
+    """How often each character that a folded text can have is in it."""
+    return F.transform(F.array(*[F.lit(x) for x in LETTERS]), lambda x: F.length(c) - F.length(F.replace(c, x, F.lit(""))))
 
-    Words are distinct within a title, so a pair meets once a shared word and is made distinct by a partial sum. The
-    library rows of a frequent word are dealt to several keys, about HOT rows each, and its items are sent to all of them."""
 
-    def tokens(df: DataFrame, id_: str) -> DataFrame:
-        t = X.folded(F.col("title"), True)
-        own = F.filter(X.words(t), lambda w: F.length(w) >= least)
-        return df.select(id_, F.explode(F.array_distinct(F.concat(own, F.array(F.concat(F.lit("="), t))))).alias("token")).where("token <> '='")
+def ratio_bound(a: Column, b: Column, letters_a: Column, letters_b: Column) -> Column:
+    """No matching-block ratio of two folded texts is greater: matched characters are in both."""
+    shared = F.aggregate(F.zip_with(letters_a, letters_b, lambda x, y: F.least(x, y)), F.lit(0), lambda n, x: n + x)
+    return F.when((F.length(a) > 0) & (F.length(b) > 0), 2 * shared / (F.length(a) + F.length(b))).otherwise(0.0)
 
-    own, theirs = tokens(items, "item_id"), tokens(library, "key")
-    hot = theirs.groupBy("token").agg(F.ceil(F.count("*") / HOT).cast("int").alias("parts")).where("parts > 1")
+
+def title_pairs(own: DataFrame, theirs: DataFrame, least: int = 3, floor: float | None = None) -> DataFrame:
+    """(s, c, shared): the folded titles of own(s) and theirs(c) that share a word of `least` letters, or are equal.
+
+    Titles are made distinct first, so work follows the titles and not the rows that bear them. A pair is made once, at the
+    first of its shared words. With a floor, pairs whose ratio cannot reach it (:func:`ratio_bound`) are dropped where they
+    meet, unless their core titles are equal. Of a word of more than HOT library titles the titles are dealt to several
+    keys, and the others with that word are sent to all of them."""
+
+    def tokens(df: DataFrame, name: str) -> DataFrame:
+        t = F.col(name)
+        own_words = F.filter(X.words(t), lambda w: F.length(w) >= least)
+        rows = df.select(name).where(t != "").distinct().select(name, F.array_distinct(F.concat(own_words, F.array(F.concat(F.lit("="), t)))).alias(f"{name}_tokens"), letter_counts(t).alias(f"{name}_letters"))
+        return rows.withColumn("token", F.explode(f"{name}_tokens"))
+
+    left, right = tokens(own, "s"), tokens(theirs, "c")
+    hot = right.groupBy("token").agg(F.ceil(F.count("*") / HOT).cast("int").alias("parts")).where("parts > 1")
     parts = F.coalesce("parts", F.lit(1))
-    theirs = theirs.join(hot, "token", "left").withColumn("part", F.pmod(F.xxhash64("key"), parts).cast("int")).drop("parts")
-    own = own.join(hot, "token", "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
-    return own.join(theirs, ["token", "part"]).groupBy("item_id", "key").agg(F.count("*").alias("shared"))
+    right = right.join(hot, "token", "left").withColumn("part", F.pmod(F.xxhash64("c"), parts).cast("int")).drop("parts")
+    left = left.join(hot, "token", "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+    both = left.join(right, ["token", "part"]).withColumn("both", F.array_intersect("s_tokens", "c_tokens")).where(F.get("both", 0) == F.col("token"))
+    if floor is not None:
+        both = both.where((ratio_bound(F.col("s"), F.col("c"), F.col("s_letters"), F.col("c_letters")) >= floor) | _title_facts()["core_equal"])
+    return both.select("s", "c", F.size("both").cast("long").alias("shared"))
+
+
+def blocked(items: DataFrame, library: DataFrame, least: int = 3, ascii_only: bool = False) -> DataFrame:
+    """(item_id, key, shared): all pairs of rows whose titles are :func:`title_pairs`."""
+    own = items.select("item_id", X.folded(F.col("title"), ascii_only).alias("s"))
+    theirs = library.select("key", X.folded(F.col("title"), ascii_only).alias("c"))
+    return title_pairs(own, theirs, least).join(own, "s").join(theirs, "c").select("item_id", "key", "shared")
+
+
+def figures(rows: DataFrame) -> DataFrame:
+    """Adds the similarity figures to rows with folded titles s and c, artists s_artist and c_artist, and the ratios title_r,
+    artist_r and album_r."""
+    rows = rows.withColumns({"artist_s": F.greatest("artist_r", jaccard(X.words(F.col("s_artist")), X.words(F.col("c_artist")))), **_title_facts()})
+    total = _base() + 25 * F.col("artist_s") + 10 * F.col("album_r")
+    figured = {"score": F.bround(_clipped(total), 1), "title_ratio": F.bround("title_r", 3), "artist_similarity": F.bround("artist_s", 3), "album_similarity": F.bround("album_r", 3), "core_title_equal": F.col("core_equal"), "version_conflict": F.col("conflict")}
+    return rows.withColumns(figured).drop("title_r", "artist_r", "album_r", "artist_s", "core_equal", "overlap", "conflict")
 
 
-def scored(pairs: DataFrame) -> DataFrame:
-    """Adds the similarity figures to pairs with s_/c_ title, artist, album."""
-    f = {k: X.folded(F.col(k), True) for k in ("s_title", "c_title", "s_artist", "c_artist", "s_album", "c_album")}
-    rows = pairs.withColumns({f"f_{k}": v for k, v in f.items()})
-    rows = rows.withColumns({"title_r": ratio(F.col("f_s_title"), F.col("f_c_title")), "artist_r": ratio(F.col("f_s_artist"), F.col("f_c_artist")), "album_r": ratio(F.col("f_s_album"), F.col("f_c_album"))})
-    sv, cv = X.version_words(F.col("f_s_title")), X.version_words(F.col("f_c_title"))
+def _title_facts() -> dict[str, Column]:
+    """What two folded titles have in common besides their letters."""
+    sv, cv, core = X.version_words(F.col("s")), X.version_words(F.col("c")), X.core_title(F.col("s"))
     overlap = F.size(F.array_intersect(sv, cv)) > 0
-    rows = rows.withColumns({"artist_s": F.greatest("artist_r", jaccard(X.words(F.col("f_s_artist")), X.words(F.col("f_c_artist")))), "core_equal": (X.core_title(F.col("f_s_title")) != "") & (X.core_title(F.col("f_s_title")) == X.core_title(F.col("f_c_title"))), "overlap": overlap, "conflict": (F.size(sv) > 0) & (F.size(cv) > 0) & ~overlap})
-    total = 65 * F.col("title_r") + 25 * F.col("artist_s") + 10 * F.col("album_r") + F.when(F.col("core_equal"), 15).otherwise(0) + F.when(F.col("overlap"), 5).otherwise(0) - F.when(F.col("conflict"), 18).otherwise(0)
-    return rows.select("item_id", "key", F.bround(F.least(F.greatest(total, F.lit(0.0)), F.lit(100.0)), 1).alias("score"), F.bround("title_r", 3).alias("title_ratio"), F.bround("artist_s", 3).alias("artist_similarity"), F.bround("album_r", 3).alias("album_similarity"), F.col("core_equal").alias("core_title_equal"), F.col("conflict").alias("version_conflict"))
+    return {"core_equal": (core != "") & (core == X.core_title(F.col("c"))), "overlap": overlap, "conflict": (F.size(sv) > 0) & (F.size(cv) > 0) & ~overlap}
+
+
+def _base() -> Column:
+    """What titles alone give."""
+    return 65 * F.col("title_r") + F.when(F.col("core_equal"), 15).otherwise(0) + F.when(F.col("overlap"), 5).otherwise(0) - F.when(F.col("conflict"), 18).otherwise(0)
+
+
+def _clipped(c: Column) -> Column:
+    return F.least(F.greatest(c, F.lit(0.0)), F.lit(100.0))
+
+
+def scored(pairs: DataFrame, ascii_only: bool = False) -> DataFrame:
+    """(item_id, key) of pairs with s_/c_ title, artist, album, and the similarity figures: three ratios a pair."""
+    f = {k: X.folded(F.col(k), ascii_only) for k in ("s_title", "c_title", "s_artist", "c_artist", "s_album", "c_album")}
+    rows = pairs.select("item_id", "key", *[v.alias(k) for k, v in f.items()]).withColumnsRenamed({"s_title": "s", "c_title": "c"})
+    rows = rows.withColumns({"title_r": ratio(F.col("s"), F.col("c")), "artist_r": ratio(F.col("s_artist"), F.col("c_artist")), "album_r": ratio(F.col("s_album"), F.col("c_album"))})
+    return figures(rows).drop("s", "c", "s_artist", "c_artist", "s_album", "c_album")
+
+
+def first_keys(rows: DataFrame, by: list[str], k: int, order: list[str]) -> DataFrame:
+    """At most k rows of each group, the first in order; each task passes on k rows a group."""
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("place") <= k).drop("place")
+
+
+def ratio_pairs(items: DataFrame, library: DataFrame, k: int = 5, least: int = 3, floor: float = 0.36, ascii_only: bool = False, cut: Cut = lambda df: df) -> tuple[DataFrame, DataFrame, dict[str, DataFrame]]:
+    """The pairs that can be among the k best of an item, as (texts of items, texts of library rows, ratios of text pairs).
+
+    Items, and library rows, with the same folded texts score alike, so texts are paired, not rows; of library rows with the
+    same texts the first k can rank. A title pair is kept when its ratio or core title passes the floor and when, with full
+    marks for artist and album, it can still reach the k-th row of the title pairs before it. Ratios are computed once for
+    each distinct pair of titles, artists and albums that is left: the frames in the last value are all that Python sees."""
+    names = [X.folded(F.col(c), ascii_only).alias(n) for c, n in (("title", "s"), ("artist", "s_artist"), ("album", "s_album"))]
+    own = cut(items.select("item_id", *names))
+    names = [X.folded(F.col(c), ascii_only).alias(n) for c, n in (("title", "c"), ("artist", "c_artist"), ("album", "c_album"))]
+    theirs = library.select("key", X.folded_case(F.coalesce("title", F.lit(""))).alias("c_name"), *names)
+    theirs = cut(first_keys(theirs, ["c", "c_artist", "c_album"], k, ["c_name", "key"]))
+    titles = title_pairs(own, theirs, least, floor - 0.0006).withColumn("title_r", ratio(F.col("s"), F.col("c")))
+    titles = cut(titles.withColumns(_title_facts()))
+    passed = titles.where((F.bround("title_r", 3) >= floor) | F.col("core_equal")).withColumn("base", _base())
+    held = theirs.groupBy("c").agg(F.count("*").alias("rows"))
+    before = Window.partitionBy("s").orderBy(F.col("base").desc(), "c").rowsBetween(Window.unboundedPreceding, 0)
+    reach = passed.join(held, "c").withColumn("sum", F.sum("rows").over(before)).where(F.col("sum") >= k).groupBy("s").agg(F.max("base").alias("kth"))
+    can = F.col("kth").isNull() | (_clipped(F.col("base") + 35) >= _clipped(F.col("kth")) - 0.11)
+    kept = cut(passed.join(reach, "s", "left").where(can).select("s", "c", "title_r"))
+    pairs = kept.join(own.select("s", "s_artist", "s_album").distinct(), "s").join(theirs.select("c", "c_artist", "c_album").distinct(), "c")
+    parts = {"title": titles.select("s", "c", "title_r")}
+    for field in ("artist", "album"):
+        texts = [f"s_{field}", f"c_{field}"]
+        parts[field] = cut(pairs.select(*texts).distinct().withColumn(f"{field}_r", ratio(*[F.col(c) for c in texts])))
+        pairs = pairs.join(parts[field], texts)
+    return own, theirs, parts | {"pairs": pairs}
+
+
+def best_by_ratio(items: DataFrame, library: DataFrame, k: int = 5, least: int = 3, floor: float = 0.36, ascii_only: bool = False, cut: Cut = lambda df: df) -> DataFrame:
+    """(item_id, key, figures, candidate_rank): the k best library rows of each item, as if every pair that shares a title
+    word were scored; ties go to the first title, then key. `cut` writes what is used several times."""
+    own, theirs, found = ratio_pairs(items, library, k, least, floor, ascii_only, cut)
+    texts = ["s", "s_artist", "s_album"]
+    rows = figures(found["pairs"]).join(theirs, ["c", "c_artist", "c_album"])
+    place = F.row_number().over(Window.partitionBy(*texts).orderBy(F.col("score").desc(), "c_name", "key"))
+    rows = rows.withColumn("candidate_rank", place).where(F.col("candidate_rank") <= k)
+    return own.join(rows, texts).select("item_id", "key", "score", "title_ratio", "artist_similarity", "album_similarity", "core_title_equal", "version_conflict", "candidate_rank")
+
+
+def best_by_words(items: DataFrame, library: DataFrame, k: int = 5, least: int = 3, ascii_only: bool = False) -> DataFrame:
+    """(item_id, key, score, candidate_rank): the k library rows whose title words are nearest by Jaccard, ties by key.
+
+    Titles are scored, not rows; of library rows with one title the first k can rank."""
+    own = items.select("item_id", X.folded(F.col("title"), ascii_only).alias("s"))
+    theirs = first_keys(library.select("key", X.folded(F.col("title"), ascii_only).alias("c")), ["c"], k, ["key"])
+    pairs = title_pairs(own, theirs, least).select("s", "c", jaccard(X.words(F.col("s")), X.words(F.col("c"))).alias("score"))
+    place = F.row_number().over(Window.partitionBy("s").orderBy(F.col("score").desc(), "key"))
+    best = pairs.join(theirs, "c").withColumn("candidate_rank", place).where(F.col("candidate_rank") <= k)
+    return own.join(best, "s").select("item_id", "key", "score", "candidate_rank")
 
 
 def top(scored_rows: DataFrame, k: int = 5, tie: str = "key") -> DataFrame:

@@ -375,23 +375,16 @@ def link_candidates(spark: SparkSession, sf: str) -> DataFrame:
     return link.blocked(*_link(spark, sf))
 
 
-def _pairs(spark: SparkSession, sf: str) -> DataFrame:
-    items, lib = _link(spark, sf)
-    named = link.blocked(items, lib).join(items.select("item_id", *[F.col(c).alias(f"s_{c}") for c in ("artist", "title", "album")]), "item_id")
-    return named.join(lib.select("key", *[F.col(c).alias(f"c_{c}") for c in ("artist", "title", "album")]), "key")
-
-
 @query(f"""WITH {LINK_SQL}, w AS (SELECT item_id, key, list_distinct(string_split(lower(i.title), ' ')) AS a, list_distinct(string_split(lower(l.title), ' ')) AS b FROM pairs JOIN items i USING (item_id) JOIN lib l USING (key)),
   j AS (SELECT item_id, key, len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b))) AS score FROM w)
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, key) AS candidate_rank FROM j) WHERE candidate_rank <= 5""")
 def link_jaccard_topk(spark: SparkSession, sf: str) -> DataFrame:
-    score = link.jaccard(X.words(X.folded(F.col("s_title"), True)), X.words(X.folded(F.col("c_title"), True)))
-    return link.top(_pairs(spark, sf).select("item_id", "key", score.alias("score")))
+    return link.best_by_words(*_link(spark, sf))
 
 
 @query()
 def link_ratio_score(spark: SparkSession, sf: str) -> DataFrame:
-    return link.top(link.scored(_pairs(spark, sf)).where("title_ratio >= 0.36 or core_title_equal"))
+    return link.best_by_ratio(*_link(spark, sf), cut=_cut(spark))
 
 
 @query()
