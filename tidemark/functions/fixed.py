@@ -44,3 +44,25 @@ EMPTY_BRACKETS = r"\s*[\[(]\s*[|:/-]*\s*[\])]\s*"
 COPY_SUFFIXES = r"(?:\s*\(\d+\)|\s*-\s*\d+)"
 EDGE_MARKS = " -–—|_.,>"
 CASED_WORD = r"[A-Za-z]+(?:['’][A-Za-z]+)?"
+
+# Fixed values of tags in evidence.
+IMAGE_KEYS = ["apic", "attached picture", "cover art", "coverart", "covr", "metadata block picture", "metadata_block_picture", "picture", "wm/picture"]
+EVIDENCE_ALIASES = {
+    "title": ["title", "tit2", "©nam"],
+    "artist": ["artist", "artists", "tpe1", "©art"],
+    "albumArtist": ["albumartist", "album artist", "tpe2", "aart"],
+    "album": ["album", "talb", "©alb"],
+    "date": ["date", "year", "tdrc", "tyer", "tdor", "tdrl", "©day", "txxx:recording_date", "txxx:release_time", "txxx:year"],
+    "trackNumber": ["track", "tracknumber", "track number", "trck", "trkn"],
+    "discNumber": ["disc", "discnumber", "disc number", "tpos", "disk"],
+    "genre": ["genre", "tcon", "©gen"],
+    "compilation": ["compilation", "tcmp", "cpil"],
+}
+REVIEW_ALIASES = {
+    "original_title": ["TIT2", "title", "©nam"],
+    "original_artist": ["TPE1", "artist", "©ART"],
+    "original_album_artist": ["TPE2", "albumartist", "album artist", "aART"],
+    "original_album": ["TALB", "album", "©alb"],
+    "original_key": ["TKEY", "initialkey"],
+}
+VALUE_WRAPPERS = ["text", "value", "values", "data"]

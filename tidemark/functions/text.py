@@ -324,13 +324,14 @@ def output_extension(c: Column, fallback: Column) -> Column:
 
 
 def truncated(c: Column, most: int) -> Column:
-    return F.when(F.length(c) <= most, c).otherwise(F.concat(F.left(c, F.lit(most)), F.lit("… [truncated]")))
+    """The first `most` characters, and how many more there were."""
+    return F.when(F.length(c) <= most, c).otherwise(F.concat(F.left(c, F.lit(most)), F.lit("...[truncated "), (F.length(c) - most).cast("string"), F.lit(" chars]")))
 
 
-def safe_key(c: Column, most: int = 200) -> Column:
-    """A key without control characters; an overlong one ends with the start of its digest."""
-    c = F.regexp_replace(c, r"[\x00-\x1f\x7f]", " ")
-    return F.when(F.length(c) <= most, c).otherwise(F.concat(F.left(c, F.lit(most - 16)), F.lit("...#"), F.left(F.sha2(c, 256), F.lit(12))))
+def safe_key(c: Column, most: int = 200, digest: int = 12) -> Column:
+    """A key on one line; an overlong one ends with the start of its digest."""
+    c = F.trim(F.regexp_replace(c, r"[\x00-\x1f\x7f]+", " "))
+    return let(c, lambda k: F.when(F.length(k) <= most, k).otherwise(F.concat(F.left(k, F.lit(most - digest - 3)), F.lit("...#"), F.left(F.sha2(k, 256), F.lit(digest)))))
 
 
 def image_mime(raw: Column) -> Column:

@@ -137,13 +137,6 @@ def numbered_keys(tags: DataFrame) -> DataFrame:
     return tags.withColumn("n", n).select("row_id", F.when(F.col("n") > 1, F.concat(F.col("key"), F.lit("#"), F.col("n").cast("string"))).otherwise(F.col("key")).alias("key"), "value")
 
 
-def within_budget(evidence: DataFrame, most: int, value_most: int) -> DataFrame:
-    """Evidence rows (row_id, field_no, field, value) whose running size keeps within a budget; values are cut."""
-    cut = evidence.withColumn("value", X.truncated(F.col("value"), value_most))
-    size = F.sum(F.length("field") + F.length("value") + 6).over(Window.partitionBy("row_id").orderBy("field_no"))
-    return cut.withColumn("used", size).where(F.col("used") <= most)
-
-
 def json_object(c: Column) -> Column:
     """The JSON object inside a model's answer: thoughts are taken out, else the widest braces count."""
     bare = F.trim(F.regexp_replace(c, "(?s)<think>.*?</think>", ""))
@@ -192,11 +185,6 @@ def error_kind(status: Column, details: Column) -> Column:
     return F.when(away, "unavailable").when((status == 400) & said("exceed") & said("context"), "context").otherwise("other")
 
 
-def request_items(rows: DataFrame) -> DataFrame:
-    """(row_id, item): the JSON that stands for a row in a request."""
-    return rows.select("row_id", F.to_json(F.struct(F.col("row_id").alias("id"), X.concise_source(F.col("source_path")).alias("source"), "title", "artist")).alias("item"))
-
-
 def run_status(rows: DataFrame, run: str) -> DataFrame:
     """Per run: rows, accepted (title and artist present, review state ignored) and held ones."""
     accepted = (X.clean_text(F.col("title")) != "") & (X.clean_text(F.col("artist")) != "")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import library, link, manifest, plan, prepare, review
+from ..operators import evidence, library, link, manifest, plan, prepare, review
 from .fixtures import DIRTY_SQL, PATHS_SQL, ROOT, TRACKS_SQL, dirty, table, tracks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -477,11 +477,82 @@ def scalar_values(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "customer").select(k.alias("row_id"), X.positive_integer(raw).alias("number"), X.clean_date(date).alias("date"), tail.alias("tail"))
 
 
-@query(r"SELECT event_id AS row_id, json_extract_string(props, '$.' || json_keys(props)[1]) AS value FROM events")
+@query("""WITH p AS (SELECT event_id AS row_id, props FROM events UNION ALL SELECT -1 - click_id, props FROM (SELECT DISTINCT click_id, props FROM clicks WHERE json_valid(props))),
+  k AS (SELECT row_id, props, unnest(json_keys(props)) AS key FROM p), v AS (SELECT row_id, key, CASE key WHEN 'items' THEN '[' || array_to_string(list_transform(CAST(json_extract(props, '$.items') AS JSON[]), lambda x: '{"qty":' || (x->>'qty') || ',"sku":' || (x->>'sku') || '}'), ',') || ']' ELSE json_extract_string(props, '$."' || key || '"') END AS value FROM k)
+  SELECT row_id, key, value FROM v UNION ALL SELECT row_id, key || '#2', value FROM v WHERE row_id % 3 = 0""")
 def json_props(spark: SparkSession, sf: str) -> DataFrame:
+    """Every key of every object; each third row has its tags twice."""
     rows = table(spark, sf, "events").select(F.col("event_id").alias("row_id"), "props")
-    tags = manifest.tag_rows(rows, "props").where("pos = 0")
-    return tags.select("row_id", "value")
+    clicks = table(spark, sf, "clicks").where(F.try_parse_json("props").isNotNull()).select((-1 - F.col("click_id")).alias("row_id"), "props").distinct()
+    tags = manifest.tag_rows(rows.unionByName(clicks), "props")
+    return manifest.numbered_keys(tags.unionByName(tags.where("row_id % 3 = 0").withColumn("pos", F.col("pos") + 1000)))
+
+
+@query("""SELECT click_id AS row_id, CASE WHEN json_valid(props) THEN '{' || array_to_string(list_filter([CASE WHEN json_exists(props, '$.device') THEN '"device":' || json_extract(props, '$.device') END,
+    CASE WHEN json_exists(props, '$.items') THEN '"items":[' || array_to_string(list_transform(CAST(json_extract(props, '$.items') AS JSON[]), lambda x: '{"qty":' || (x->>'qty') || ',"sku":' || (x->>'sku') || '}'), ',') || ']' END,
+    CASE WHEN json_exists(props, '$.k') THEN '"k":' || json_extract(props, '$.k') END, CASE WHEN json_exists(props, '$.tags') THEN '"tags":' || json_extract(props, '$.tags') END], lambda x: x IS NOT NULL), ',') || '}' END AS value FROM clicks
+  UNION ALL SELECT -1 - p_partkey, '{"APIC:":' || CASE WHEN p_partkey % 3 = 0 THEN '{"exists":true,"count":2}' ELSE '{"exists":true,"count":1}' END || ',"list":[' || array_to_string(list_transform(range(50), lambda i: i), ',') || ',"[' || 1 + p_partkey % 7 || ' additional values omitted]"],"n":null,"text":"'
+    || CASE WHEN length(p_name) * 60 > 500 THEN repeat(p_name, 60)[:500] || '...[truncated ' || length(p_name) * 60 - 500 || ' chars]' ELSE repeat(p_name, 60) END || '","x":' || repeat('{"x":', 12) || CASE WHEN p_partkey % 2 = 0 THEN '{"type":"str","value":"deep"}' ELSE '{"type":"float","value":"2.5"}' END || repeat('}', 13) FROM part""")
+def safe_props(spark: SparkSession, sf: str) -> DataFrame:
+    """The props of all clicks, and for each part a nested tag with a picture, a long list, a long text and a deep value."""
+    clicks = table(spark, sf, "clicks").select(F.col("click_id").alias("row_id"), "props")
+    made = table(spark, sf, "part").selectExpr("-1 - p_partkey as row_id", """concat('{"n": null, "APIC:": ', if(p_partkey % 3 = 0, '[{"a": 1}, "b"]', '{"a": 1}'), ', "text": "', repeat(p_name, 60), '", "list": ', to_json(sequence(0, 50 + p_partkey % 7)),
+        ', "x": ', repeat('{"x": ', 12), if(p_partkey % 2 = 0, '"deep"', '2.50'), repeat('}', 13)) as props""")
+    return clicks.unionByName(made).select("row_id", evidence.safe_json(evidence.parsed(F.col("props"))).alias("value"))
+
+
+#: Tags of a part as JSON, in an expression that both engines read.
+TAG_JSON = """'{"TIT2": ' || CASE k % 4 WHEN 0 THEN '{"encoding": 3, "text": ["' || name || '"]}' WHEN 1 THEN '["' || name || '", "", "' || brand || '"]' WHEN 2 THEN '{"exists": true, "byteLength": 9}' ELSE '"  ' || name || '  "' END
+  || ', "title": "' || name || '", "TPE1": {"text": [["' || brand || '"]]}, "artists": ' || CASE k % 3 WHEN 0 THEN '5' WHEN 1 THEN '"' || brand || '"' ELSE '{"text": [{"binaryBase64": "AA=="}]}' END
+  || ', "TDRC": {"year": ' || (1990 + k % 30) || CASE WHEN k % 2 = 0 THEN ', "month": ' || (1 + k % 12) || CASE WHEN k % 5 = 0 THEN ', "day": 7' ELSE '' END ELSE '' END || '}, "TKEY": [8, "' || (k % 12) || 'A"], "TALB": {"text": null, "other": "x"}, "covr": ' || CASE k % 3 WHEN 0 THEN '[1, 2, 3]' WHEN 1 THEN '{}' ELSE '"none"' END
+  || ', "TRCK": [["' || (k % 12) || '/12"]], "TCMP": true, "GENRE": ["a", 1.50, null, false], "x": [' || k || ']}'"""
+
+
+def _tag_json(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "part").selectExpr("p_partkey as k", "p_name as name", "p_brand as brand")
+    return rows.selectExpr("k as row_id", f"{TAG_JSON} as tags", "name", "brand", r"'C:\\in\\' || brand || '\\' || name || '.mp3' as source_path")
+
+
+TAG_SQL = """p AS (SELECT p_partkey AS k, p_name AS name, p_brand AS brand FROM part), v AS (SELECT k, name, brand,
+  CASE k % 4 WHEN 0 THEN '"' || name || '"' WHEN 1 THEN '["' || name || '", "' || brand || '"]' WHEN 3 THEN '"' || name || '"' END AS tit2, CASE k % 3 WHEN 0 THEN '5' WHEN 1 THEN '"' || brand || '"' END AS artists,
+  '"' || 1990 + k % 30 || CASE WHEN k % 2 = 0 THEN '-' || lpad(CAST(1 + k % 12 AS VARCHAR), 2, '0') || CASE WHEN k % 5 = 0 THEN '-07' ELSE '' END ELSE '' END || '"' AS tdrc FROM p)"""
+
+
+@query(f"""WITH {TAG_SQL}, u AS (SELECT k, unnest(['GENRE', 'TALB', 'TCMP', 'TDRC', 'TIT2', 'TKEY', 'TPE1', 'TRCK', 'artists', 'covr', 'title', 'x']) AS key,
+    unnest(['["a", 1.5, false]', NULL, 'true', tdrc, tit2, '[8, "' || k % 12 || 'A"]', '"' || brand || '"', '"' || k % 12 || '/12"', artists, CASE k % 3 WHEN 0 THEN '[1, 2, 3]' WHEN 2 THEN '"none"' END, '"' || name || '"', CAST(k AS VARCHAR)]) AS value FROM v)
+  SELECT k AS row_id, key, value FROM u""")
+def tag_values(spark: SparkSession, sf: str) -> DataFrame:
+    tags = F.explode(F.map_entries(F.try_variant_get(evidence.parsed(F.col("tags")), "$", "map<string,variant>")))
+    rows = _tag_json(spark, sf).select("row_id", tags.alias("e"))
+    return rows.select("row_id", F.col("e.key").alias("key"), evidence.concise_value(F.col("e.value")).alias("value"))
+
+
+EVIDENCE_SQL = (
+    TAG_SQL
+    + """, f AS (SELECT *, list_filter(['"title": ' || CASE WHEN k % 4 = 1 THEN '["' || name || '", ["' || name || '", "' || brand || '"]]' ELSE '"' || name || '"' END,
+    '"artist": ' || CASE k % 3 WHEN 0 THEN '[5, "' || brand || '"]' ELSE '"' || brand || '"' END, '"date": ' || tdrc, '"trackNumber": "' || k % 12 || '/12"', '"genre": ["a", 1.5, false]', '"compilation": true'], lambda x: true) AS parts FROM v),
+  b AS (SELECT *, list_max(list_transform(range(1, 7), lambda n: CASE WHEN length('{' || array_to_string(parts[1:n], ', ') || '}') <= 90 THEN n ELSE 0 END)) AS fit FROM f)"""
+)
+
+
+@query(f"""WITH {EVIDENCE_SQL} SELECT k AS row_id, '{{' || array_to_string(parts[1:fit], ', ') || '}}' AS evidence FROM b""")
+def evidence_fields(spark: SparkSession, sf: str) -> DataFrame:
+    """With a budget of 90 characters, which drops the last fields of many rows."""
+    whole = F.concat(F.lit('{"tags": '), "tags", F.lit("}"))
+    return _tag_json(spark, sf).select("row_id", evidence.metadata_evidence(evidence.parsed(whole), most=90).alias("evidence"))
+
+
+@query(f"""WITH {TAG_SQL} SELECT k AS row_id, name AS original_title, brand AS original_artist, '' AS original_album_artist, '' AS original_album, k % 12 || 'A' AS original_key, CASE k % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 0 END AS artwork FROM v""")
+def review_evidence(spark: SparkSession, sf: str) -> DataFrame:
+    tags = evidence.parsed(F.col("tags"))
+    texts = evidence.original_texts(evidence.parsed(F.concat(F.lit('{"tags": '), "tags", F.lit("}"))))
+    return _tag_json(spark, sf).select("row_id", *[c.alias(n) for n, c in texts.items()], evidence.artwork_count(tags).alias("artwork"))
+
+
+@query(f"""WITH {EVIDENCE_SQL} SELECT k AS row_id, '{{"id":' || k || ',"source":"in\\\\' || brand || '\\\\' || name || '.mp3","originalMetadata":{{' || array_to_string(parts, ', ') || '}}' || CASE WHEN k % 4 = 0 THEN ',"libraryContext":[{{"title":"' || name || '"}}]' ELSE '' END || CASE WHEN k % 5 = 0 THEN ',"auditFeedback":"say \\"' || brand || '\\""' ELSE '' END || '}}' AS item FROM b""")
+def request_payload(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _tag_json(spark, sf).withColumns({"metadata": evidence.parsed(F.concat(F.lit('{"tags": '), "tags", F.lit("}"))), "context": F.when(F.col("row_id") % 4 == 0, F.concat(F.lit('[{"title":"'), "name", F.lit('"}]'))), "said": F.when(F.col("row_id") % 5 == 0, F.concat(F.lit('say "'), "brand", F.lit('"')))})
+    return evidence.request_items(rows, context="context", feedback="said")
 
 
 @query()
