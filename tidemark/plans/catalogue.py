@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import evidence, library, link, manifest, plan, prepare, review
+from ..sources.shared import cut
 from .fixtures import DIRTY_SQL, PATHS_SQL, ROOT, TRACKS_SQL, dirty, table, tracks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -124,7 +125,7 @@ def import_collisions(spark: SparkSession, sf: str) -> DataFrame:
 def _audited(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """A plan, some sources of which occur twice, and its audit with rows of every kind that must not be applied."""
     planned = plan.with_paths(tracks(spark, sf), ROOT).where("new_path is not null and row_id % 3 <> 0")
-    found, k = _cut(spark)(_collisions(spark, sf)), F.col("row_id")
+    found, k = cut(spark)(_collisions(spark, sf)), F.col("row_id")
     moved = F.when(k % 7 == 0, F.lit("D:/library/elsewhere.mp3")).otherwise(F.col("new_path"))
     found = found.withColumns({"new_path": moved, "existing": F.when(k % 11 == 0, " ").otherwise(F.col("existing"))})
     return planned, found.unionByName(found.where("row_id % 13 = 0").withColumn("source_path", F.when(F.col("row_id") % 26 == 0, "C:/in/absent.mp3").otherwise(F.col("source_path"))))
@@ -217,15 +218,7 @@ BUNDLE_SQL = (
 
 
 def _components(spark: SparkSession, sf: str) -> DataFrame:
-    return library.linked_rows(_bundle(spark, sf), _cut(spark))
-
-
-def _cut(spark: SparkSession) -> Callable[[DataFrame], DataFrame]:
-    """A reliable checkpoint in the shared folder of the session, or beside the warehouse where none is set."""
-    sc = spark.sparkContext
-    if not (sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()):
-        sc.setCheckpointDir(spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
-    return lambda df: df.checkpoint()
+    return library.linked_rows(_bundle(spark, sf), cut(spark))
 
 
 @query(f"WITH RECURSIVE {BUNDLE_SQL} SELECT row_id, component FROM comp")
@@ -384,7 +377,7 @@ def link_jaccard_topk(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def link_ratio_score(spark: SparkSession, sf: str) -> DataFrame:
-    return link.best_by_ratio(*_link(spark, sf), cut=_cut(spark))
+    return link.best_by_ratio(*_link(spark, sf), cut=cut(spark))
 
 
 @query()
@@ -394,7 +387,7 @@ def link_confidence(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT conv_id, turn, (row_number() OVER (ORDER BY conv_id * 1000 + turn) - 1) // 5 AS batch_id FROM conversations")
 def batch_ids(spark: SparkSession, sf: str) -> DataFrame:
-    _cut(spark)
+    cut(spark)  # numbering checkpoints its ranges
     rows = table(spark, sf, "conversations").select("conv_id", "turn", (F.col("conv_id") * 1000 + F.col("turn")).alias("row_id"))
     return manifest.batches(rows, 5).select("conv_id", "turn", "batch_id")
 
