@@ -108,3 +108,14 @@ def test_one_label_many_rows(spark):
     labels = spark.createDataFrame([(k, k % 2) for k in range(8)], "doc_id long, quality int")
     voters = votes.fit(docs, labels)
     assert len(voters.labels) <= 3
+
+
+def test_labelled_rows_that_go_to_the_driver(spark):
+    """A labelled doc_id with 50,000 rows counts once in the other classifiers' samples too."""
+    from tidemark.llm import quality, toxicity
+
+    docs = spark.range(50000).selectExpr("1L as doc_id", "concat('these are more than ten words of text in a row ', id % 5) as text")
+    labels = spark.createDataFrame([(1, 1, 1), (1, 0, 1)], "doc_id long, quality int, toxic int")
+    assert len(quality.labelled_measures(docs, labels)) == 1
+    texts, y = toxicity.training_sample(docs, labels)
+    assert len(texts) == len(y) <= 1

@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_dir
+
 #: The white space of all word rules here: space and U+0009 to U+000D.
 SPACE = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACE}]+"
@@ -23,20 +25,6 @@ HOT_KEYS = 4096
 HOT_ROWS = 2000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else one beside the warehouse, unless executors on
-    other machines could not see it."""
-    sc = spark.sparkContext
-    known = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if known:
-        return known
-    own = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
-    if own.startswith(("file:", "/")) and not (sc.master == "local" or sc.master.startswith("local[")):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    sc.setCheckpointDir(own)
-    return own
-
-
 class Scratch:
     """Tables written to the shared folder, so that no result hangs on one executor's disk.
 

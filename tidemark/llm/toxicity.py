@@ -301,11 +301,12 @@ def held_out() -> Column:
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int = MAX_LABELLED) -> tuple[list[str], np.ndarray]:
-    """At most `limit` labelled texts, none of the held-out fifth."""
+    """At most `limit` labelled texts, none of the held-out fifth; of an id's several texts the least."""
     short = docs.where(F.length("text") <= MAX_CHARS).select("doc_id", "text")
     chosen = labels.where(~held_out() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(label).alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-    rows = sorted((r["doc_id"], r["text"], r["y"]) for r in short.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y").collect())
-    return [t for _, t, _ in rows[: 2 * limit]], np.array([float(v > 0) for _, _, v in rows[: 2 * limit]])
+    each = short.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    rows = sorted((r["doc_id"], r["text"], r["y"]) for r in each.collect())
+    return [t for _, t, _ in rows], np.array([float(v > 0) for _, _, v in rows])
 
 
 def score(docs: DataFrame, network: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
