@@ -26,8 +26,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that stand in too large a share of their source's documents go; every document stays."""
-    return line_dedup.clean_documents(docs, host="source")
+    """Lines that stand in too large a share of their source's documents, and in two at least, go; every document stays."""
+    return line_dedup.clean_documents(docs, host="source", least=2)
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
