@@ -7,13 +7,14 @@ import re
 import zlib
 
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, chat, common, exact_dedup, jaccard, language, licenses, line_dedup, mixing, quality, toxicity
 from tidemark.llm.components import components
 
-TOKENIZER = "/opt/tokenizers/word_bpe_49k.json"
+TOKENIZER = str(public_tokenizers.path("word_bpe_49k.json"))
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, digest string, id long, kept string, __x string"
 WORDS = re.compile(common.WORD)
 
@@ -294,7 +295,7 @@ def test_line_dedup(spark, monkeypatch, most):
     monkeypatch.setattr(line_dedup, "BROADCAST_ROWS", most)
     texts = [f"Menu\nown {i}\n\nown {i}" for i in range(12)] + [None, "", "Menu\nMenu"]
     hosts = ["a"] * 12 + [None, "b", "b"]
-    got = {r["doc_id"]: r for r in line_dedup.clean_documents(documents(spark, texts, hosts)).collect()}
+    got = {r["doc_id"]: r for r in line_dedup.clean_documents(documents(spark, texts, hosts), least=2).collect()}
     assert [got[i]["text"] for i in range(15)] == [f"own {i}\n\nown {i}" for i in range(12)] + [None, "", "Menu\nMenu"]
     assert all(r["n_chars"] == len(r["text"] or "") for r in got.values())
     assert line_dedup.clean_documents(documents(spark, [])).count() == 0
@@ -302,8 +303,9 @@ def test_line_dedup(spark, monkeypatch, most):
 
 def test_line_dedup_on_small_hosts(spark):
     texts = ["Menu\na", "Menu\nb", "only\nhere", "x\ny"]
-    got = {r["doc_id"]: r["text"] for r in line_dedup.clean_documents(documents(spark, texts, ["two", "two", "one", None])).collect()}
-    assert got == {0: "a", 1: "b", 2: "only\nhere", 3: "x\ny"}
+    docs = documents(spark, texts, ["two", "two", "one", None])
+    assert {r["doc_id"]: r["text"] for r in line_dedup.clean_documents(docs, least=2).collect()} == {0: "a", 1: "b", 2: "only\nhere", 3: "x\ny"}
+    assert {r["text"] for r in line_dedup.clean_documents(docs).collect()} == {""}  # the ratio alone: each line is on half a host's pages or more
 
 
 def brute_pages(rows):
@@ -318,7 +320,7 @@ def brute_pages(rows):
             on[h, x] = on.get((h, x), 0) + 1
     out = []
     for h, (i, _, html) in zip(hosts, rows, strict=True):
-        kept = [x for x in lines(html) if on[h, x] < 2 or on[h, x] <= 0.1 * hosts.count(h)]
+        kept = [x for x in lines(html) if on[h, x] <= 0.1 * hosts.count(h)]
         out.append((i, h, len(lines(html)), len(lines(html)) - len(kept), "\n".join(kept)))
     return sorted(out, key=str)
 

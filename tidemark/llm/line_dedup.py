@@ -1,8 +1,8 @@
 """Boilerplate lines by site-relative frequency.
 
 For each host, the pages that hold a line are divided by the host's pages; a line over RATIO is boilerplate there and
-goes from every page of that host, however few pages it has. A line of one page only is never boilerplate (LEAST): its
-share of a small host says nothing. Other lines stay, in order.
+goes from every page of that host, however few pages it has: on a host of fewer than 1 / RATIO pages every line goes, unless
+`least` asks for lines of several pages. Other lines stay, in order.
 
 Lines are compared by a 64-bit hash within their host. Counting sums before the shuffle, so neither a host nor a line
 that holds a third of all rows meets in one task. The boilerplate set (at most lines-a-page / RATIO for each host) is
@@ -19,10 +19,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, Scratch, packed
+from .common import BROADCAST_ROWS, Scratch, join_by_hot_key, packed
 
 #: Largest share of a host's pages that a line may stand on; pages that make a line shared at all.
-RATIO, LEAST = 0.1, 2
+RATIO, LEAST = 0.1, 1
 SALTS = 16
 SPACES = " \t\n\x0b\x0c\r"
 
@@ -37,7 +37,7 @@ def boilerplate(pages: DataFrame, host: Column, lines: Column, ratio: float = RA
     rows = pages.select(F.coalesce(host, F.lit("")).alias("host"), F.array_distinct(_hashes(lines)).alias("lines"))
     seen = rows.select("host", F.explode("lines").alias("line")).where(F.col("line").isNotNull()).groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") >= least)
     totals = rows.groupBy("host").agg(F.count("*").alias("pages"))
-    return seen.join(totals, "host").where(F.col("n") > ratio * F.col("pages")).select("host", "line")
+    return join_by_hot_key(seen, totals, "host", "pages").where(F.col("n") > ratio * F.col("pages")).select("host", "line")
 
 
 def without_boilerplate(pages: DataFrame, host: Column, lines: Column, ratio: float = RATIO, least: int = LEAST) -> DataFrame:
@@ -103,7 +103,7 @@ WITH p AS (
   FROM pages),
 seen AS (SELECT host, line, count(*) AS n FROM (SELECT host, unnest(list_distinct(lines)) AS line FROM p) GROUP BY 1, 2),
 gone AS (SELECT seen.host, line FROM seen JOIN (SELECT host, count(*) AS pages FROM p GROUP BY 1) t USING (host)
-  WHERE n >= 2 AND n > 0.1 * pages),
+  WHERE n > 0.1 * pages),
 by_host AS (SELECT host, list(line) AS gone FROM gone GROUP BY 1),
 kept AS (SELECT p.*, list_filter(lines, lambda x: NOT coalesce(list_contains(gone, x), false)) AS kept FROM p LEFT JOIN by_host USING (host))
 SELECT page_id, host, len(lines) AS n_lines, len(lines) - len(kept) AS n_dropped, array_to_string(kept, chr(10)) AS text FROM kept
