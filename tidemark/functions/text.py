@@ -27,6 +27,13 @@ def let(c: Column, f: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(c), f), 0)
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """name, with underscores behind it until no column has it."""
+    while name.lower() in {c.lower() for c in taken}:
+        name += "_"
+    return name
+
+
 def blank_to_null(c: Column) -> Column:
     return let(c, lambda x: F.when(x != "", x))
 

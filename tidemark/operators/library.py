@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from . import plan
+from .folds import Joined, fold_sorted
 
 DAY_NS = 86_400_000_000_000
 READ = ["artist", "title", "error"]
@@ -60,8 +61,8 @@ def root_violations(meta: DataFrame, version: str, root: str) -> DataFrame:
 def identity_groups(index: DataFrame) -> DataFrame:
     """(normalized_artist, normalized_title) with their paths in path order; blank identities are left out."""
     some = index.where("normalized_artist <> '' and normalized_title <> ''")
-    paths = F.transform(F.array_sort(F.collect_list(F.struct(X.path_key(F.col("path")).alias("k"), F.col("path").alias("p")))), lambda x: x["p"])
-    return some.groupBy("normalized_artist", "normalized_title").agg(F.count("*").alias("n"), F.array_join(paths, " | ").alias("paths"))
+    folded = fold_sorted(some, ["normalized_artist", "normalized_title"], F.col("path"), [X.path_key(F.col("path")), F.col("path")], Joined)
+    return folded.withColumnRenamed("joined", "paths")
 
 
 def collisions(planned: DataFrame, index: DataFrame) -> DataFrame:

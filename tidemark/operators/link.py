@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as X
+from .folds import first_of_each
 
 
 #: A title word of more library titles than this is dealt to several keys.
@@ -119,11 +120,6 @@ def scored(pairs: DataFrame, ascii_only: bool = False) -> DataFrame:
     return figures(rows).drop("s", "c", "s_artist", "c_artist", "s_album", "c_album")
 
 
-def first_keys(rows: DataFrame, by: list[str], k: int, order: list[str]) -> DataFrame:
-    """At most k rows of each group, the first in order; each task passes on k rows a group."""
-    return rows.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("place") <= k).drop("place")
-
-
 def ratio_pairs(items: DataFrame, library: DataFrame, k: int = 5, least: int = 3, floor: float = 0.36, ascii_only: bool = False, cut: Cut = lambda df: df) -> tuple[DataFrame, DataFrame, dict[str, DataFrame]]:
     """The pairs that can be among the k best of an item, as (texts of items, texts of library rows, ratios of text pairs).
 
@@ -135,7 +131,7 @@ def ratio_pairs(items: DataFrame, library: DataFrame, k: int = 5, least: int = 3
     own = cut(items.select("item_id", *names))
     names = [X.folded(F.col(c), ascii_only).alias(n) for c, n in (("title", "c"), ("artist", "c_artist"), ("album", "c_album"))]
     theirs = library.select("key", X.folded_case(F.coalesce("title", F.lit(""))).alias("c_name"), *names)
-    theirs = cut(first_keys(theirs, ["c", "c_artist", "c_album"], k, ["c_name", "key"]))
+    theirs = cut(first_of_each(theirs, ["c", "c_artist", "c_album"], [F.col("c_name"), F.col("key")], k).drop("place"))
     titles = title_pairs(own, theirs, least, floor - 0.0006).withColumn("title_r", ratio(F.col("s"), F.col("c")))
     titles = cut(titles.withColumns(_title_facts()))
     passed = titles.where((F.bround("title_r", 3) >= floor) | F.col("core_equal")).withColumn("base", _base())
@@ -159,8 +155,7 @@ def best_by_ratio(items: DataFrame, library: DataFrame, k: int = 5, least: int =
     own, theirs, found = ratio_pairs(items, library, k, least, floor, ascii_only, cut)
     texts = ["s", "s_artist", "s_album"]
     rows = figures(found["pairs"]).join(theirs, ["c", "c_artist", "c_album"])
-    place = F.row_number().over(Window.partitionBy(*texts).orderBy(F.col("score").desc(), "c_name", "key"))
-    rows = rows.withColumn("candidate_rank", place).where(F.col("candidate_rank") <= k)
+    rows = first_of_each(rows, texts, [F.col("score").desc(), F.col("c_name"), F.col("key")], k, "candidate_rank")
     return own.join(rows, texts).select("item_id", "key", "score", "title_ratio", "artist_similarity", "album_similarity", "core_title_equal", "version_conflict", "candidate_rank")
 
 
@@ -169,16 +164,14 @@ def best_by_words(items: DataFrame, library: DataFrame, k: int = 5, least: int =
 
     Titles are scored, not rows; of library rows with one title the first k can rank."""
     own = items.select("item_id", X.folded(F.col("title"), ascii_only).alias("s"))
-    theirs = first_keys(library.select("key", X.folded(F.col("title"), ascii_only).alias("c")), ["c"], k, ["key"])
+    theirs = first_of_each(library.select("key", X.folded(F.col("title"), ascii_only).alias("c")), ["c"], [F.col("key")], k).drop("place")
     pairs = title_pairs(own, theirs, least).select("s", "c", jaccard(X.words(F.col("s")), X.words(F.col("c"))).alias("score"))
-    place = F.row_number().over(Window.partitionBy("s").orderBy(F.col("score").desc(), "key"))
-    best = pairs.join(theirs, "c").withColumn("candidate_rank", place).where(F.col("candidate_rank") <= k)
+    best = first_of_each(pairs.join(theirs, "c"), ["s"], [F.col("score").desc(), F.col("key")], k, "candidate_rank")
     return own.join(best, "s").select("item_id", "key", "score", "candidate_rank")
 
 
 def top(scored_rows: DataFrame, k: int = 5, tie: str = "key") -> DataFrame:
-    rank = F.row_number().over(Window.partitionBy("item_id").orderBy(F.col("score").desc(), tie))
-    return scored_rows.withColumn("candidate_rank", rank).where(F.col("candidate_rank") <= k)
+    return first_of_each(scored_rows, ["item_id"], [F.col("score").desc(), F.col(tie)], k, "candidate_rank")
 
 
 def confidence(ranked: DataFrame, items: DataFrame) -> DataFrame:

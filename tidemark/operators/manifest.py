@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions import text as X
+from .folds import Digest, first_of_each, fold_sorted
 
 
 def _comparable(c: Column, kind: str) -> Column:
@@ -44,19 +45,21 @@ def batches(rows: DataFrame, size: int, order: str = "row_id", groups: int | Non
 
     Numbered by range: each range counts its rows, the counts are summed, and numbers are given within ranges, so no
     task orders all rows. Without `groups` the ranges are as many as the session's shuffle partitions."""
-    ranged = (rows.repartitionByRange(groups, order) if groups else rows.repartitionByRange(order)).withColumn("__part", F.spark_partition_id())
+    part, own, start = (X.free_name(n, rows.columns) for n in ("part", "own", "start"))
+    ranged = (rows.repartitionByRange(groups, order) if groups else rows.repartitionByRange(order)).withColumn(part, F.spark_partition_id())
     ranged = ranged.checkpoint(eager=True)
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = ranged.groupBy("__part").agg(F.count("*").alias("n")).withColumn("__start", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    own = F.row_number().over(Window.partitionBy("__part").orderBy(order)) - 1
-    return ranged.withColumn("__own", own).join(F.broadcast(starts), "__part").withColumn("batch_id", F.floor((F.col("__start") + F.col("__own")) / size)).drop("__part", "__own", "__start")
+    before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranged.groupBy(part).agg(F.count("*").alias(own)).withColumn(start, F.coalesce(F.sum(own).over(before), F.lit(0))).drop(own)
+    place = F.row_number().over(Window.partitionBy(part).orderBy(order)) - 1
+    return ranged.withColumn(own, place).join(F.broadcast(starts), part).withColumn("batch_id", F.floor((F.col(start) + F.col(own)) / size)).drop(part, own, start)
 
 
 def pending(rows: DataFrame, processed: Column, held: Column, suspicious: Column, feedback: DataFrame, limit: int | None = None, again: bool = False, held_too: bool = False) -> DataFrame:
     """Rows to work on: not processed, suspicious, or with feedback; held ones and all if asked. A limit takes the first."""
-    named = feedback.select("row_id").distinct().withColumn("__named", F.lit(True))
-    want = F.lit(again) | ~processed | (F.lit(held_too) & held) | suspicious | F.col("__named").isNotNull()
-    out = rows.join(named, "row_id", "left").where(want).drop("__named")
+    mark = X.free_name("named", rows.columns)
+    named = feedback.select("row_id").distinct().withColumn(mark, F.lit(True))
+    want = F.lit(again) | ~processed | (F.lit(held_too) & held) | suspicious | F.col(mark).isNotNull()
+    out = rows.join(named, "row_id", "left").where(want).drop(mark)
     return out.orderBy("row_id").limit(limit) if limit else out
 
 
@@ -76,13 +79,10 @@ def context(rows: DataFrame, k: int = 5) -> DataFrame:
     Each key's first 2k rows by name and order suffice: the row's own name leaves k of another."""
     keyed = rows.withColumns({"key": X.context_key(F.col("title")), "name": X.folded_case(X.file_name(F.col("source_path")))}).where("key is not null")
     accepted = keyed.where("accepted").select("key", F.col("row_id").alias("other_id"), F.col("name").alias("other_name"))
-    per_name = Window.partitionBy("key", "other_name").orderBy("other_id")
-    first = accepted.withColumn("i", F.row_number().over(per_name)).where(F.col("i") <= k)
-    names = Window.partitionBy("key").orderBy("other_id")
-    first = first.withColumn("j", F.row_number().over(names)).where(F.col("j") <= 2 * k)
-    own = Window.partitionBy("row_id").orderBy("other_id")
+    first = first_of_each(accepted, ["key", "other_name"], [F.col("other_id")], k)
+    first = first_of_each(first.drop("place"), ["key"], [F.col("other_id")], 2 * k).drop("place")
     found = keyed.select("row_id", "key", "name").join(first, "key").where("name <> other_name")
-    return found.withColumn("rank", F.row_number().over(own)).where(F.col("rank") <= k).select("row_id", "other_id", "rank")
+    return first_of_each(found, ["row_id"], [F.col("other_id")], k, "rank").select("row_id", "other_id", "rank")
 
 
 def _normal_key(c: Column) -> Column:
@@ -197,13 +197,14 @@ def latest(lines: DataFrame, group: str, order: str, line: str, starting: str |
 
 
 def last_lines(lines: DataFrame, group: str, order: str, n: int = 12) -> DataFrame:
-    k = F.row_number().over(Window.partitionBy(group).orderBy(F.col(order).desc()))
-    return lines.withColumn("__k", k).where(F.col("__k") <= n).drop("__k")
+    place = X.free_name("place", lines.columns)
+    return first_of_each(lines, [group], [F.col(order).desc()], n, place).drop(place)
 
 
 def content_digest(rows: DataFrame, group: str, parts: Column) -> DataFrame:
-    """A digest of each group's sorted part digests."""
-    return rows.groupBy(group).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.sha2(parts, 256))), ""), 256).alias("digest"), F.count("*").alias("n"))
+    """A digest of each group's sorted part digests, for groups of any size."""
+    digest = F.sha2(parts, 256)
+    return fold_sorted(rows, [group], digest, [digest], Digest)
 
 
 def endpoint_totals(batches_: DataFrame) -> DataFrame:

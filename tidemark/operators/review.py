@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
+from functools import reduce, wraps
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed
 from ..functions import text as X
 from . import manifest, plan
+from .folds import first_of_each
 from .link import ratio
 
 TEXT_FIELDS = ["title", "artist", "album_artist", "album", "genre"]
@@ -18,6 +19,19 @@ NAMES_ALL = {"album_artist": "albumArtist", "track_number": "trackNumber", "disc
 NAMES = {"title": "title", "artist": "artist", "album_artist": "albumArtist", "album": "album", "genre": "genre"}
 
 
+def own_columns(repair: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """A repair's working columns begin with two underscores: a caller's columns that do so are set aside meanwhile."""
+
+    @wraps(repair)
+    def run(rows: DataFrame, *args: object, **named: object) -> DataFrame:
+        aside = {c: X.free_name(f"aside_{i}", rows.columns) for i, c in enumerate(rows.columns) if c.startswith("__")}
+        done = repair(rows.withColumnsRenamed(aside), *args, **named)
+        return done.withColumnsRenamed({new: old for old, new in aside.items()})
+
+    return run
+
+
+
 def _unbalanced(c: Column) -> Column:
     pairs = [("(", ")"), ("[", "]"), ("{", "}")]
     count = lambda ch: F.length(c) - F.length(F.replace(c, F.lit(ch), F.lit("")))
@@ -75,14 +89,18 @@ def changed_fields(rows: DataFrame, before: dict[str, Column], after: dict[str,
 
 
 def change_counts(changes: DataFrame, samples: int = 20) -> DataFrame:
-    """Changed rows of each field, and the first few keys."""
-    return changes.groupBy("field").agg(F.count("*").alias("n"), F.slice(F.array_sort(F.collect_set("row_id")), 1, samples).alias("sample"))
+    """Changed rows of each field, and its first few keys: no more than these leave a task."""
+    few = first_of_each(changes.select("field", "row_id").where("row_id is not null").dropDuplicates(["field", "row_id"]), ["field"], [F.col("row_id")], samples)
+    first = few.groupBy("field").agg(F.array_sort(F.collect_list("row_id")).alias("sample"))
+    counts = changes.groupBy("field").agg(F.count("*").alias("n"))
+    return counts.join(first, "field", "left").select("field", "n", F.coalesce("sample", F.array().cast(first.schema["sample"].dataType)).alias("sample"))
 
 
 def _same(a: Column, b: Column) -> Column:
     return X.folded_case(a) == X.folded_case(b)
 
 
+@own_columns
 def split_misplaced(rows: DataFrame, artist_tag: str, title_tag: str, key_tag: str) -> DataFrame:
     """rows with title, artist and review state repaired where the tags name both; title_tag falls back on the file name.
 
@@ -109,6 +127,7 @@ def split_misplaced(rows: DataFrame, artist_tag: str, title_tag: str, key_tag: s
     return rows.drop("__a", "__t", "__k", "__title", "__ca", "__ct", "__left", "__right", "__one", "__two", "__joined")
 
 
+@own_columns
 def keep_context(rows: DataFrame, tags: list[str]) -> DataFrame:
     """rows whose title takes the first evidence (tags, folder, file name) that has the same words without its version
     groups, and all of the title's groups and more. Titles of nothing but groups stay."""
@@ -125,6 +144,7 @@ def keep_context(rows: DataFrame, tags: list[str]) -> DataFrame:
     return rows.withColumn("title", F.coalesce(*found, F.col("title"))).drop("__artist", "__now", "__base", "__groups", *[f"__e{i}" for i in range(len(names))])
 
 
+@own_columns
 def keep_numeric_artist(rows: DataFrame, artist_tag: str) -> DataFrame:
     """rows whose artist is the tag's, if that begins with a digit, names the folder above the file's and stands before the
     dash of an `Artist - Title` file name."""
@@ -136,6 +156,7 @@ def keep_numeric_artist(rows: DataFrame, artist_tag: str) -> DataFrame:
     return rows.withColumn("artist", F.when(F.coalesce(agrees, F.lit(False)), tag).otherwise(F.col("artist"))).drop("__a")
 
 
+@own_columns
 def ground(rows: DataFrame, genre_names: list[str] | None = None) -> DataFrame:
     """rows with the catalogue facts that their tags support.
 
@@ -162,6 +183,7 @@ def ground(rows: DataFrame, genre_names: list[str] | None = None) -> DataFrame:
     }).drop("__tag", "__own", "__album", "__shared")
 
 
+@own_columns
 def cover_performer(rows: DataFrame) -> DataFrame:
     """rows whose file name, `Performer - Title`, says karaoke or originally performed by: both come from it, and the row is
     held for review, unless they agree already."""
