@@ -103,7 +103,9 @@ def _noise_passes(c: Column) -> Column:
     start = _sub(_sub(_sub(c, fixed.DOMAIN, " "), fixed.BPM, " "), fixed.EMPTY_BRACKETS, " ")
 
     def step(acc: Column, _: Column) -> Column:
-        return F.when(acc["text"] == acc["before"], acc).otherwise(F.struct(_noise_pass(acc["text"]).alias("text"), acc["text"].alias("before")))
+        # Bytes are known without reading a text: comparing texts in every step that is left would make the whole quadratic.
+        settled_now = F.octet_length(acc["text"]) == F.octet_length(acc["before"])
+        return F.when(settled_now, acc).otherwise(F.struct(_noise_pass(acc["text"]).alias("text"), acc["text"].alias("before")))
 
     def settled(x: Column) -> Column:
         first = F.struct(x.alias("text"), F.lit(None).cast("string").alias("before"))

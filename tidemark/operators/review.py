@@ -201,17 +201,19 @@ def cover_performer(rows: DataFrame) -> DataFrame:
 CANONICAL = ["title", "artist", "album_artist", "album", "date", "track_number", "disc_number", "genre", "compilation", "needs_review", "review_reason"]
 
 
-def canonical_output(rows: DataFrame, genre_names: list[str] | None = None) -> DataFrame:
+def canonical_output(rows: DataFrame, genre_names: list[str] | None = None, cut: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """rows cleaned, repaired by their tags and grounded in them. Tags are columns s_title, s_artist, s_key and those of
-    :func:`ground`."""
-    done = split_misplaced(X.cleaned(rows, genre_names=genre_names), "s_artist", "s_title", "s_key")
-    return ground(keep_numeric_artist(keep_context(done, ["s_title", "s_album"]), "s_artist"), genre_names)
+    :func:`ground`. `cut` writes the rows between repairs: in one plan, each repair's expressions stand inside the next one's."""
+    done = cut(X.cleaned(rows, genre_names=genre_names))
+    done = cut(split_misplaced(done, "s_artist", "s_title", "s_key"))
+    done = cut(keep_context(done, ["s_title", "s_album"]))
+    return ground(cut(keep_numeric_artist(done, "s_artist")), genre_names)
 
 
-def suspicious(rows: DataFrame, key: str = "row_id", genre_names: list[str] | None = None) -> DataFrame:
+def suspicious(rows: DataFrame, key: str = "row_id", genre_names: list[str] | None = None, cut: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """(key, reasons) of rows whose output is not canonical, or whose casing looks wrong."""
     was = rows.select("*", *[F.col(c).alias(f"__w_{c}") for c in CANONICAL])
-    done = canonical_output(was, genre_names)
+    done = cut(canonical_output(was, genre_names, cut))
     differs = [F.when(~F.col(f"__w_{c}").eqNullSafe(F.col(c)), F.lit(NAMES_ALL.get(c, c))) for c in CANONICAL]
     text = {f: X.clean_optional(F.col(f"__w_{f}")) for f in ("artist", "album_artist", "title", "album")}
     casing = [F.when(X.all_small(text[f]), F.lit(f"{NAMES[f]} casing")) for f in ("artist", "album_artist")]

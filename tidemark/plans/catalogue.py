@@ -682,7 +682,7 @@ def grounded_fields(spark: SparkSession, sf: str) -> DataFrame:
   SELECT k AS row_id, reasons FROM r WHERE reasons <> ''""")
 def suspicious_outputs(spark: SparkSession, sf: str) -> DataFrame:
     rows = _tagged(spark, sf, **(GROUNDED | {"title": "'some words here'", "source_path": "'C:/in/' || name || '.mp3'", "s_title": "'some words here'", "s_artist": "brand"}))
-    return review.suspicious(rows).select("row_id", F.array_join("reasons", "; ").alias("reasons"))
+    return review.suspicious(rows, cut=cut(spark)).select("row_id", F.array_join("reasons", "; ").alias("reasons"))
 
 
 def _entries(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
