@@ -66,3 +66,9 @@ REVIEW_ALIASES = {
     "original_key": ["TKEY", "initialkey"],
 }
 VALUE_WRAPPERS = ["text", "value", "values", "data"]
+
+# Fixed values of tags that a rewritten file may have.
+ID3_FRAMES = ["APIC", "TALB", "TCMP", "TCON", "TDRC", "TIT2", "TPE1", "TPE2", "TPOS", "TRCK"]
+MP4_KEYS = ["©nam", "©ART", "aART", "©alb", "©day", "trkn", "disk", "©gen", "cpil", "covr"]
+ID3_FIELDS = {"title": "TIT2", "artist": "TPE1", "album_artist": "TPE2", "album": "TALB", "date": "TDRC", "track_number": "TRCK", "disc_number": "TPOS", "genre": "TCON", "compilation": "TCMP"}
+MP4_FIELDS = {"title": "©nam", "artist": "©ART", "album_artist": "aART", "album": "©alb", "date": "©day", "track_number": "trkn", "disc_number": "disk", "genre": "©gen", "compilation": "cpil"}

@@ -67,6 +67,14 @@ def not_yet(rows: DataFrame, done: DataFrame, key: str = "row_id") -> DataFrame:
     return rows.join(done.select(key).distinct(), key, "left_anti")
 
 
+def set_parts(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """(key, part) of the distinct keys of both sides: `left` or `right` if one alone has it, else `both`. left is a subset of
+    right if no key is `left`. Keys are summed up before they meet; null is a key like others."""
+    sides = left.select(key, F.lit(1).alias("side")).unionByName(right.select(key, F.lit(2).alias("side")))
+    part = F.get(F.array(F.lit("left"), F.lit("right"), F.lit("both")), F.bit_or("side") - 1)
+    return sides.groupBy(key).agg(part.alias("part"))
+
+
 def same_sources(a: DataFrame, b: DataFrame) -> DataFrame:
     """Rows whose sources differ by position; empty if one manifest can resume the other."""
     both = a.select("row_id", F.col("source_path").alias("x")).join(b.select("row_id", F.col("source_path").alias("y")), "row_id", "full_outer")

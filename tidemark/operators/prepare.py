@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import fixed
 from ..functions import text as X
 from . import library, plan, review
 
@@ -142,3 +143,31 @@ def prepare_import(
     planned = cut(_kept(rows, prepared_root))
     plan.require_empty(preflight_violations(planned, files, resume=True), "dry run")
     return Prepared(None, None, planned, actions(planned, files), plan.playlist(planned))
+
+
+def tag_violations(files: DataFrame) -> DataFrame:
+    """(path, rule, detail) of rewritten files whose tags are not just those that the plan writes.
+
+    files(path, format, tags, trailers, and the output fields): format is id3 or mp4, tags are the keys in the file,
+    trailers the tags of other kinds that still stand in it. A key outside the format's list is foreign, a field with a
+    value without its key is missing. Each row's keys are held against the lists where it lies; null arrays are empty."""
+    kinds = {"id3": (fixed.ID3_FRAMES, fixed.ID3_FIELDS), "mp4": (fixed.MP4_KEYS, fixed.MP4_FIELDS)}
+    empty = F.array().cast("array<string>")
+    kind = F.lower(F.col("format"))
+    keys = F.coalesce("tags", empty)
+    keys = F.when(kind == "id3", F.transform(keys, lambda k: F.substring_index(k, ":", 1))).otherwise(keys)  # a frame's key may go on with its description
+    written = {f: F.col(f) if dict(files.dtypes)[f] == "boolean" else plan.has_text(F.col(f).cast("string")) for f in fixed.ID3_FIELDS if f in files.columns}
+
+    def wanted(names: dict[str, str]) -> Column:
+        return F.array_compact(F.array(*[F.when(F.coalesce(w, F.lit(False)), F.lit(names[f])) for f, w in written.items()]))
+
+    def found(rule: str, details: Column) -> Column:
+        return F.transform(details, lambda d: F.struct(F.lit(rule).alias("rule"), d.alias("detail")))
+
+    foreign, missing = F.when(F.lit(False), empty), F.when(F.lit(False), empty)
+    for name, (allowed, fields) in kinds.items():
+        foreign = foreign.when(kind == name, F.array_except(keys, F.array(*[F.lit(k) for k in allowed])))
+        missing = missing.when(kind == name, F.array_except(wanted(fields), keys))
+    unknown = F.when(kind.isin(*kinds), empty).otherwise(F.array(F.coalesce("format", F.lit(""))))
+    every = F.concat(found("format not supported", unknown), found("foreign tag", F.coalesce(foreign, empty)), found("tag missing", F.coalesce(missing, empty)), found("other tag remains", F.array_distinct(F.coalesce("trailers", empty))))
+    return files.select("path", F.inline(every))

@@ -82,6 +82,48 @@ def priority_counts(reviewed: DataFrame) -> DataFrame:
     return reviewed.groupBy("priority").agg(F.count("*").alias("n"))
 
 
+def review_items(planned: DataFrame) -> DataFrame:
+    """planned rows that a person looks at, with reasons, priority, rank, planned_path and status `review`; ready rows that
+    lost to another copy come out with status `duplicate`, so that one pass gives the table and its counts.
+
+    planned(the output fields, new_path, is_winner). Excluded rows and rows without findings are left out."""
+    lost = plan.is_ready() & ~F.coalesce(F.col("is_winner"), F.lit(False))
+    rows = planned.where(~F.coalesce(F.col("excluded"), F.lit(False))).withColumn("findings", findings()).withColumn("status", F.when(lost, "duplicate").when(F.size("findings") > 0, "review")).where("status is not null")
+    rank = F.array_max(F.transform("findings", lambda x: x["rank"]))
+    names = F.create_map(*[F.lit(x) for name, k in fixed.PRIORITIES.items() for x in (k, name)])
+    shown = F.when(F.col("is_winner"), F.coalesce("new_path", F.lit(""))).otherwise("")
+    return rows.withColumns({"rank": rank, "reasons": F.array_join(F.transform("findings", lambda x: x["reason"]), "; "), "planned_path": shown}).withColumn("priority", names[F.col("rank")]).drop("findings")
+
+
+def review_table(items: DataFrame, originals: dict[str, Column] | None = None) -> DataFrame:
+    """The table that is handed to a reviewer, in its order: decision and notes are open, texts are clean. originals adds
+    columns such as those of :func:`evidence.original_texts`."""
+    flag = lambda f: F.coalesce(F.col(f), F.lit(False)).cast("string")
+    columns = {"priority": F.col("priority"), "reasons": F.col("reasons"), "review_decision": F.lit("Pending"), "review_notes": F.lit(""), "source_path": F.coalesce("source_path", F.lit("")), "planned_path": F.col("planned_path")}
+    columns |= {f: X.clean_text(F.col(f)) for f in ("title", "artist", "album_artist", "album", "date")}
+    columns |= {f: F.coalesce(F.col(f).cast("string"), F.lit("")) for f in ("track_number", "disc_number")}
+    columns |= {"genre": X.clean_text(F.col("genre")), "compilation": flag("compilation"), "needs_review": flag("needs_review"), "review_reason": X.clean_text(F.col("review_reason"))}
+    shown = items.where("status = 'review'").orderBy(*review_order())
+    return shown.select(*[c.alias(n) for n, c in (columns | (originals or {})).items()])
+
+
+def review_totals(items: DataFrame) -> DataFrame:
+    """(name, n): review rows of each priority, and how many duplicates were left out."""
+    name = F.when(F.col("status") == "duplicate", "excluded duplicate").otherwise(F.col("priority"))
+    return items.groupBy(name.alias("name")).agg(F.count("*").alias("n"))
+
+
+def retained(reviews: DataFrame, rows: DataFrame) -> DataFrame:
+    """(id, key, feedback, rule) of the flagged reviews(id, needs_revision, feedback): the source that a flag authorises a
+    change of, or the rule that it breaks. A track id must be one of rows(row_id, source_path), named once, with a source and
+    feedback; flags on other ids say nothing."""
+    flagged = reviews.where(F.coalesce("needs_revision", F.lit(False))).groupBy("id").agg(F.count("*").alias("k"), F.min("feedback").alias("feedback"))
+    known = rows.select(F.col("row_id").alias("id"), "source_path").withColumn("there", F.lit(True))
+    found = flagged.join(known, "id", "left")
+    rules = F.when(F.col("id").isNull() | F.col("there").isNull(), "track id out of range").when(F.col("k") > 1, "track id repeated").when(~plan.has_text(F.col("source_path")), "no source path").when(~plan.has_text(F.col("feedback")), "no feedback")
+    return found.select("id", F.when(rules.isNull(), X.path_key(F.col("source_path"))).alias("key"), "feedback", rules.alias("rule"))
+
+
 def changed_fields(rows: DataFrame, before: dict[str, Column], after: dict[str, Column], key: str = "row_id") -> DataFrame:
     """(key, field, before, after), one row for each field that a cleaner changed."""
     entries = [F.when(~before[f].eqNullSafe(after[f]), F.struct(F.lit(f).alias("field"), before[f].cast("string").alias("before"), after[f].cast("string").alias("after"))) for f in after]

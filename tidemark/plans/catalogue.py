@@ -608,13 +608,58 @@ def audit_sanitised(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("row_id", review.conservative(said).alias("kept"))
 
 
-@query("""SELECT n_nationkey AS id, 'required' AS origin FROM nation WHERE n_nationkey % 2 = 0 UNION ALL SELECT n_nationkey, 'difference' FROM nation WHERE n_nationkey % 2 = 0 AND n_nationkey % 3 <> 0
-  UNION ALL SELECT n_nationkey, 'intersection' FROM nation WHERE n_nationkey % 6 = 0""")
+@query("""SELECT coalesce(a.id, b.id) AS id, CASE WHEN b.id IS NULL THEN 'left' WHEN a.id IS NULL THEN 'right' ELSE 'both' END AS part
+  FROM (SELECT DISTINCT o_custkey AS id FROM orders) a FULL JOIN (SELECT DISTINCT c_custkey AS id FROM customer WHERE c_custkey % 3 > 0) b ON a.id = b.id""")
 def set_algebra(spark: SparkSession, sf: str) -> DataFrame:
-    n = table(spark, sf, "nation").select(F.col("n_nationkey").alias("id"))
-    a, b = n.where("id % 2 = 0"), n.where("id % 3 = 0")
-    parts = [a.withColumn("origin", F.lit("required")), a.join(b, "id", "left_anti").withColumn("origin", F.lit("difference")), a.join(b, "id", "left_semi").withColumn("origin", F.lit("intersection"))]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    orders, customers = table(spark, sf, "orders").select(F.col("o_custkey").alias("id")), table(spark, sf, "customer").select(F.col("c_custkey").alias("id"))
+    return manifest.set_parts(orders, customers.where("id % 3 > 0"), "id")
+
+
+def _review_items(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _planned(spark, sf).withColumns({"title": F.when(F.col("row_id") % 3 == 0, F.initcap("title")).otherwise(F.col("title")), "review_reason": F.when(F.col("needs_review"), "unsure")})
+    return review.review_items(rows)
+
+
+ITEMS_SQL = (
+    PATHS_SQL
+    + """, items AS (SELECT *, CASE WHEN NOT needs_review AND NOT is_winner THEN 'duplicate' WHEN needs_review OR row_id % 3 > 0 OR album = 'PROMO' THEN 'review' END AS status,
+    array_to_string(list_filter([CASE WHEN needs_review THEN 'needs review' END, CASE WHEN album = 'PROMO' THEN 'album contains workflow or promo text' END, CASE WHEN row_id % 3 > 0 THEN 'title casing' END], lambda x: x IS NOT NULL), '; ') AS reasons, CASE WHEN needs_review THEN 'High' WHEN album = 'PROMO' THEN 'Medium' ELSE 'Low' END AS priority FROM winners WHERE NOT excluded)"""
+)
+
+
+@query(f"""WITH {ITEMS_SQL} SELECT priority, reasons, 'Pending' AS review_decision, '' AS review_notes, source_path, CASE WHEN is_winner THEN coalesce(new_path, '') ELSE '' END AS planned_path,
+  CASE WHEN row_id % 3 = 0 THEN array_to_string(list_transform(string_split(title, ' '), lambda w: upper(w[1]) || w[2:]), ' ') ELSE title END AS title, artist, '' AS album_artist, coalesce(album, '') AS album, '' AS date, CAST(track_number AS VARCHAR) AS track_number, CAST(disc_number AS VARCHAR) AS disc_number,
+  '' AS genre, CASE WHEN compilation THEN 'true' ELSE 'false' END AS compilation, CASE WHEN needs_review THEN 'true' ELSE 'false' END AS needs_review, CASE WHEN needs_review THEN 'unsure' ELSE '' END AS review_reason FROM items WHERE status = 'review'""")
+def review_table(spark: SparkSession, sf: str) -> DataFrame:
+    return review.review_table(_review_items(spark, sf))
+
+
+@query(f"WITH {ITEMS_SQL} SELECT CASE WHEN status = 'duplicate' THEN 'excluded duplicate' ELSE priority END AS name, count(*) AS n FROM items WHERE status IS NOT NULL GROUP BY 1")
+def review_totals(spark: SparkSession, sf: str) -> DataFrame:
+    return review.review_totals(_review_items(spark, sf))
+
+
+@query("""WITH f AS (SELECT CASE WHEN l_partkey % 31 = 0 THEN -1 - l_partkey WHEN l_partkey % 37 = 0 THEN NULL ELSE l_partkey END AS id, CASE WHEN l_partkey % 5 = 0 THEN ' ' ELSE 'say ' || l_partkey END AS feedback FROM lineitem WHERE l_linenumber % 7 = 1 AND l_returnflag = 'A'),
+  g AS (SELECT id, count(*) AS k, min(feedback) AS feedback FROM f GROUP BY 1)
+  SELECT g.id, CASE WHEN rule IS NULL THEN 'c:/in/' || p_partkey || '.mp3' END AS key, feedback, rule FROM (SELECT g.*, p_partkey, CASE WHEN p_partkey IS NULL THEN 'track id out of range' WHEN k > 1 THEN 'track id repeated' WHEN p_partkey % 11 = 0 THEN 'no source path' WHEN trim(feedback) = '' THEN 'no feedback' END AS rule FROM g LEFT JOIN part ON p_partkey = g.id) g""")
+def retained_feedback(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("l_partkey")
+    said = table(spark, sf, "lineitem").select(F.when(k % 31 == 0, -1 - k).when(k % 37 == 0, F.lit(None)).otherwise(k).alias("id"), ((F.col("l_linenumber") % 7 == 1) & (F.col("l_returnflag") == "A")).alias("needs_revision"), F.when(k % 5 == 0, " ").otherwise(F.concat(F.lit("say "), k.cast("string"))).alias("feedback"))
+    rows = table(spark, sf, "part").select(F.col("p_partkey").alias("row_id"), F.when(F.col("p_partkey") % 11 == 0, "").otherwise(F.concat(F.lit("C:\\in\\"), F.col("p_partkey").cast("string"), F.lit(".mp3"))).alias("source_path"))
+    return review.retained(said, rows)
+
+
+@query("""WITH t AS (SELECT p_partkey AS k FROM part) SELECT 'D:/library/' || k || '.x' AS path, rule, detail FROM (
+  SELECT k, 'foreign tag' AS rule, unnest(CASE WHEN k % 3 = 0 AND k % 4 = 0 THEN ['TXXX', 'PRIV'] WHEN k % 3 = 1 AND k % 4 = 0 THEN ['----:com'] ELSE [] END) AS detail FROM t
+  UNION ALL SELECT k, 'tag missing', CASE WHEN k % 3 = 0 THEN 'TALB' ELSE '©alb' END FROM t WHERE k % 3 < 2 AND k % 5 = 0
+  UNION ALL SELECT k, 'tag missing', CASE WHEN k % 3 = 0 THEN 'TCMP' ELSE 'cpil' END FROM t WHERE k % 3 < 2 AND k % 7 = 0
+  UNION ALL SELECT k, 'format not supported', 'vorbis' FROM t WHERE k % 3 = 2 UNION ALL SELECT k, 'other tag remains', 'APEv2' FROM t WHERE k % 13 = 0)""")
+def tag_violations(spark: SparkSession, sf: str) -> DataFrame:
+    files = table(spark, sf, "part").selectExpr("p_partkey as k", "p_name as title", "p_brand as artist", "p_type as album").selectExpr(
+        "concat('D:/library/', k, '.x') as path", "case k % 3 when 0 then 'ID3' when 1 then 'mp4' else 'vorbis' end as format", "title", "artist", "if(k % 5 = 0 or k % 2 = 0, album, null) as album", "k % 7 = 0 as compilation", "cast(null as int) as track_number",
+        "case k % 3 when 0 then concat(array('TIT2', 'TPE1', 'APIC:front'), if(k % 5 > 0, array('TALB'), array()), if(k % 4 = 0, array('TXXX:a', 'PRIV:x', 'TXXX:b'), array())) else concat(array('©nam', '©ART', 'covr'), if(k % 5 > 0, array('©alb'), array()), if(k % 4 = 0, array('----:com'), array())) end as tags",
+        "if(k % 13 = 0, array('APEv2', 'APEv2'), null) as trailers")
+    return prepare.tag_violations(files)
 
 
 def _tagged(spark: SparkSession, sf: str, **columns: str) -> DataFrame:
