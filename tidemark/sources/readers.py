@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -12,13 +12,57 @@ OUTPUT = "struct<title string, artist string, albumArtist string, album string,
 ROW = f"struct<source string, originalMetadata string, outputExtension string, outputMetadata {OUTPUT}>"
 
 
+def _before(rows: DataFrame, value: Column, name: str, inclusive: bool = False) -> DataFrame:
+    """rows(file, start, n, ...) with the sum of value over the file's rows before, by (start, n). Each split is summed where
+    it lies; only the splits' totals, a row each, are ordered within their file."""
+    own = Window.partitionBy("file", "start").orderBy("n").rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    splits = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    totals = rows.groupBy("file", "start").agg(F.sum(value).alias("total"))
+    totals = totals.select("file", "start", F.coalesce(F.sum("total").over(splits), F.lit(0)).alias("ahead"))
+    return rows.withColumn(name, F.coalesce(F.sum(value).over(own), F.lit(0))).join(totals, ["file", "start"]).withColumn(name, F.col(name) + F.col("ahead")).drop("ahead")
+
+
+def json_array(spark: SparkSession, path: str) -> DataFrame:
+    """(row_id, file, value, whole) of the objects in JSON arrays: their text, numbered by file and position over all files.
+
+    A file is read by as many tasks as it has splits: it is cut behind every closing brace, wherever that stands. Whether a
+    piece begins inside a string follows from the quotes before it, its depth from the brackets before it, and the piece
+    that comes back to the array's own depth ends an object; all three are sums over the pieces before. Pieces of an object
+    are then put together. What is left behind the last object makes a row with whole = false, unless it ends the array."""
+    raw = spark.read.option("lineSep", "}").text(path)
+    rows = raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("n"), "value").repartition("file", "start")
+    count = lambda c, mark: F.length(c) - F.length(F.replace(c, F.lit(mark), F.lit("")))
+    bare = F.regexp_replace("value", r"(?s)\\.", "")  # a closing brace is never escaped, so no escape is cut
+    rows = rows.withColumn("bare", bare).withColumn("odd", count(F.col("bare"), '"') % 2)
+
+    def depth(text: Column) -> Column:
+        plain = F.regexp_replace(text, r'(?s)"[^"]*(?:"|$)', "")
+        return count(plain, "{") + count(plain, "[") - count(plain, "]")
+
+    rows = rows.select("file", "start", "n", "value", "odd", depth(F.col("bare")).alias("outside"), depth(F.concat(F.lit('"'), "bare")).alias("inside"))
+    rows = _before(rows, F.col("odd"), "quotes")
+    within = F.col("quotes") % 2 == 1
+    closes = (F.col("quotes") + F.col("odd")) % 2 == 0  # the brace behind the piece is no part of a string
+    rows = rows.withColumns({"closes": closes, "step": F.when(within, F.col("inside")).otherwise(F.col("outside")) - closes.cast("int")})
+    rows = _before(rows, F.col("step"), "depth", inclusive=True)
+    rows = rows.withColumn("ends", (F.col("closes") & (F.col("depth") == 1)).cast("int"))
+    rows = _before(rows, F.col("ends"), "no")
+    pieces = F.transform(F.array_sort(F.collect_list(F.struct("start", "n", "value"))), lambda x: x["value"])
+    found = rows.groupBy("file", "no").agg(F.array_join(pieces, "}").alias("text"), F.max("ends").alias("ends"))
+    text = F.regexp_replace("text", "^[\\s,\\[\\uFEFF]+", "")
+    whole = F.col("ends") == 1
+    found = found.select("file", "no", F.when(whole, F.concat(text, F.lit("}"))).otherwise(text).alias("value"), whole.alias("whole")).where(F.col("whole") | ~F.col("value").rlike(r"^\]\s*$"))
+    files = found.groupBy("file").agg(F.count("*").alias("rows")).withColumn("first", F.coalesce(F.sum("rows").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return found.join(files, "file").select((F.col("first") + F.col("no")).alias("row_id"), "file", "value", "whole")
+
+
 def manifest(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
-    """Rows of JSON arrays with their position as row_id; a byte order mark is allowed.
+    """Rows of JSON arrays, numbered by file and position; a byte order mark is allowed, a file is read by several tasks.
 
-    Strict: a row without source or outputMetadata is an error, and needs_review defaults to whether a reason stands
-    where title or artist is missing."""
-    text = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", "^\\uFEFF", "").alias("value"))
-    rows = text.select(F.posexplode(F.from_json("value", f"array<{ROW}>", {"mode": "FAILFAST" if strict else "PERMISSIVE", "primitivesAsString": "false"})).alias("row_id", "r"))
+    Strict: a row without source or outputMetadata is an error, and so is an array that does not end; needs_review
+    defaults to whether a reason stands where title or artist is missing."""
+    rows = json_array(spark, path).select("row_id", "whole", F.from_json("value", ROW, {"mode": "FAILFAST" if strict else "PERMISSIVE", "primitivesAsString": "false"}).alias("r"))
+    rows = rows.where("whole") if not strict else rows.withColumn("row_id", F.when(F.col("whole"), F.col("row_id")).otherwise(F.raise_error(F.lit("a manifest does not end as an array of objects"))))
     out = F.col("r.outputMetadata")
     held = F.coalesce(out["needsReview"], out["reviewReason"].isNotNull() & (out["title"].isNull() | out["artist"].isNull()))
     rows = rows.select(
