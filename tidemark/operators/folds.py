@@ -95,3 +95,16 @@ def first_of_each(rows: DataFrame, by: list[str], order: list[Column], k: int, p
     """The first k rows of each group with their place from 1. The plan limits each task to k rows a group before the shuffle
     (WindowGroupLimit), so a hot group sends k rows a task and not all of them."""
     return rows.withColumn(place, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col(place) <= k)
+
+
+#: So many of the largest keys are joined where their rows lie; any other holds less than one part in so many of all rows.
+HOT_KEYS = 1024
+
+
+def join_facts(rows: DataFrame, facts: DataFrame, keys: list[str], count: str) -> DataFrame:
+    """rows with the columns of facts, which has one row a key and the key's number of rows in `count`; an inner join that
+    holds where a key has a third of all rows. The HOT_KEYS largest keys are broadcast, the rest is shuffled."""
+    hot = F.broadcast(facts.where(F.col(count) > 1).orderBy(F.col(count).desc(), *keys).limit(HOT_KEYS))
+    few = hot.select(*keys)
+    rest = rows.join(F.broadcast(few), keys, "left_anti").join(facts.join(F.broadcast(few), keys, "left_anti"), keys)
+    return rows.join(hot, keys).unionByName(rest)

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from . import plan
-from .folds import Joined, fold_sorted
+from .folds import Joined, fold_sorted, join_facts
 
 DAY_NS = 86_400_000_000_000
 READ = ["artist", "title", "error"]
@@ -80,30 +81,58 @@ def collisions(planned: DataFrame, index: DataFrame) -> DataFrame:
     return out.where("destination_exists or existing is not null").withColumn("recommendation", F.when(F.col("existing").isNotNull(), "skip_existing").otherwise("resolve_collision"))
 
 
+#: Links that are left are followed in one task when they are no more than this.
+FEW_LINKS = 200_000
+
+
+def _followed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(id, to) of a bounded number of links(x, y): to is the least id that id hangs together with."""
+    up: dict[int, int] = {}
+
+    def root(i: int) -> int:
+        while up.setdefault(i, i) != i:
+            up[i] = up[up[i]]
+            i = up[i]
+        return i
+
+    for part in parts:
+        for x, y in zip(part["x"].tolist(), part["y"].tolist(), strict=True):
+            a, b = root(x), root(y)
+            up[max(a, b)] = min(a, b)
+    yield pd.DataFrame({"id": list(up), "to": [root(i) for i in up]}, dtype="int64")
+
+
 def linked_rows(rows: DataFrame, materialise: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(row_id, component) of active rows of several plans that share a destination or a whole identity.
 
     Rows hang on the least row of each key (a star, not all pairs); stars are contracted: each step every component
     joins the least one that it meets, by a fresh pseudo-random order, so chains shrink by a constant share. Each
-    step is cut by a checkpoint."""
+    step is cut by a checkpoint. FEW_LINKS links or less are followed to their ends in one task. Keys of any size
+    pass: the largest are joined where their rows lie."""
     cut = materialise or (lambda df: df.checkpoint())
-    active = rows.where(plan.has_text(F.col("new_path"))).select("row_id", X.path_key(F.col("new_path")).alias("d"), X.normalize_identity(F.col("artist")).alias("a"), X.normalize_identity(F.col("title")).alias("t"))
+    active = cut(rows.where(plan.has_text(F.col("new_path"))).select("row_id", X.path_key(F.col("new_path")).alias("d"), X.normalize_identity(F.col("artist")).alias("a"), X.normalize_identity(F.col("title")).alias("t")))
 
-    def star(rows: DataFrame, *key: str) -> DataFrame:  # summed before the shuffle; a hot key's join is AQE's to split
-        return rows.select("row_id", *key).join(rows.groupBy(*key).agg(F.min("row_id").alias("other")), list(key)).select("row_id", "other")
+    def star(rows: DataFrame, *key: str) -> DataFrame:
+        least = rows.groupBy(*key).agg(F.min("row_id").alias("other"), F.count("*").alias("n")).where("n > 1")
+        return join_facts(rows.select("row_id", *key), least, list(key), "n").select("row_id", "other")
 
     links = cut(star(active, "d").unionByName(star(active.where("a <> '' and t <> ''"), "a", "t")).where("row_id <> other").select(F.col("row_id").alias("x"), F.col("other").alias("y")).distinct())
-    labels, step = cut(active.select("row_id", F.col("row_id").alias("at"))), 0
-    while not links.isEmpty():
+    labels, step = active.select("row_id", F.col("row_id").alias("at")), 0
+    while n := links.count():
         step += 1
+        if n <= FEW_LINKS:
+            to = cut(links.coalesce(1).mapInPandas(_followed, "id long, to long"))
+            labels = labels.join(to.withColumnRenamed("id", "at"), "at", "left").select("row_id", F.coalesce("to", "at").alias("at"))
+            break
         order = lambda c, step=step: F.struct(F.xxhash64(c, F.lit(step)), F.col(c).alias("id"))
-        near = links.union(links.select("y", "x")).groupBy("x").agg(F.min(order("y")).alias("n"))
-        to = cut(near.select(F.col("x").alias("id"), F.least("n", order("x"))["id"].alias("to")))
-        moved = links.join(to.withColumnRenamed("id", "x"), "x").select(F.col("to").alias("x"), "y").join(to.withColumnRenamed("id", "y"), "y").select("x", F.col("to").alias("y"))
+        near = links.union(links.select("y", "x")).groupBy("x").agg(F.min(order("y")).alias("least"), F.count("*").alias("n"))
+        to = cut(near.select(F.col("x").alias("id"), F.least("least", order("x"))["id"].alias("to"), "n"))
+        moved = join_facts(links, to.withColumnRenamed("id", "x"), ["x"], "n").select(F.col("to").alias("x"), "y")
+        moved = join_facts(moved, to.withColumnRenamed("id", "y"), ["y"], "n").select("x", F.col("to").alias("y"))
         links = cut(moved.where("x <> y").distinct())
-        labels = cut(labels.join(to.withColumnRenamed("id", "at"), "at", "left").select("row_id", F.coalesce("to", "at").alias("at")))
-    least = labels.groupBy("at").agg(F.min("row_id").alias("component"))
-    return labels.join(least, "at").select("row_id", "component")
+        labels = cut(labels.join(to.select(F.col("id").alias("at"), "to"), "at", "left").select("row_id", F.coalesce("to", "at").alias("at")))
+    least = labels.groupBy("at").agg(F.min("row_id").alias("component"), F.count("*").alias("n"))
+    return join_facts(labels, least, ["at"], "n").select("row_id", "component")
 
 
 def bundle(rows: DataFrame, components: DataFrame) -> DataFrame:
