@@ -133,3 +133,15 @@ def test_best_by_words_and_confidence(spark):
     ranked = link.best_by_ratio(items, library, ascii_only=True)
     sure = {r["item_id"]: r["confidence"] for r in link.confidence(ranked, items).collect()}
     assert sure[1] == "high" and sure[4] == sure[5] == "unmatched" and set(sure) == {i[0] for i in ITEMS}
+
+
+def test_renames_and_names_that_must_not_be_made(spark):
+    renames = spark.createDataFrame([("D:/a.mp3", "D:/x.mp3"), ("d:\\A.mp3", "D:/y.mp3"), ("D:/b.mp3", "D:/X.mp3"), ("D:/c.mp3", "D:/b.mp3")], "old_path string, new_path string")
+    files = spark.createDataFrame([("D:/A.mp3",), ("D:/b.mp3",)], "path string")
+    places = spark.createDataFrame([(1, "D:/a.mp3"), (2, "file:///D:/b.mp3")], "location_id long, location string")
+    got = sorted(map(tuple, link.rename_violations(renames, files, places).collect()))
+    assert got == sorted([("D:/a.mp3", "source repeated"), ("D:/X.mp3", "destination repeated"), ("D:/b.mp3", "destination exists"), ("D:/c.mp3", "no stored location"), ("D:/c.mp3", "source missing")])
+    names = spark.createDataFrame([("House",), ("HOUSE",), ("Techno",), ("Straße",)], "name string")
+    there = spark.createDataFrame([("techno",), ("STRASSE",)], "name string")
+    assert sorted(map(tuple, link.name_violations(names, there).collect())) == [("HOUSE", "name repeated"), ("Straße", "name exists"), ("Techno", "name exists")]
+    assert link.name_violations(names.limit(0), there).count() == 0

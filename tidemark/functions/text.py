@@ -125,9 +125,9 @@ def noise_settled(c: Column) -> Column:
 
 def clean_artist(c: Column, unicode_forms: bool = True) -> Column:
     c = clean_optional(c, unicode_forms)
-    c = _sub(_sub(c, r"^\$\d+\s+"), r"^\[\s*[A-Za-z_.-]*\d+[A-Za-z0-9_.-]*\s*\]\s*")
+    c = _sub(_sub(c, fixed.PRICE_PREFIX), fixed.CODE_PREFIX)
     c = _sub(remove_noise(_sub(c, fixed.AUDIO_SUFFIX)), fixed.PRODUCER, " ")
-    c = _sub(_sub(c, fixed.FEATURE, " feat. "), r"\s*-\s*\(\s*feat\.\s*(.*?)\s*\)\s*$", " feat. $1")
+    c = _sub(_sub(c, fixed.FEATURE, " feat. "), fixed.DASHED_FEATURE, " feat. $1")
     return blank_to_null(clean_text(c))
 
 
@@ -138,7 +138,7 @@ def clean_album(c: Column, unicode_forms: bool = True) -> Column:
         return F.when(~(key.isin(fixed.GENERIC_ALBUMS) | key.startswith("atualizando -")) & (done != ""), done)
 
     def shared(c: Column) -> Column:
-        return F.when(~c.rlike(r"(?iuU)[\[(]\s*via\b"), let(remove_noise(_sub(_sub(c, fixed.AUDIO_SUFFIX), fixed.HANDLE, " ")), named))
+        return F.when(~c.rlike(f"(?iuU){fixed.VIA}"), let(remove_noise(_sub(_sub(c, fixed.AUDIO_SUFFIX), fixed.HANDLE, " ")), named))
 
     return let(clean_optional(c, unicode_forms), shared)
 
@@ -152,9 +152,9 @@ def clean_title(c: Column, artist: Column, unicode_forms: bool = True) -> Column
         return F.when(F.length(x) - F.length(F.replace(x, F.lit("_"), F.lit(""))) >= 2, F.translate(x, "_", " ")).otherwise(single)
 
     c = remove_noise(let(c, spaced))
-    c = _sub(c, r"^(?:\(?0\d{1,2}\)?(?:\s*[-._]\s*|\s+)|\(?\d{2,3}\)?\s*[-._]\s+)")
-    c = _sub(c, r"\s*[-–—]\s*(\([^)]*(?:remix|mix|edit|vip|bootleg|rework|dub)[^)]*\))\s*$", " $1")
-    c = _sub(c, r"""^['"](.+?)['"](?=\s*(?:\(|$))""", "$1")
+    c = _sub(c, fixed.TRACK_PREFIX)
+    c = _sub(c, fixed.DASHED_VERSION, " $1")
+    c = _sub(c, fixed.QUOTED_TITLE, "$1")
 
     def without_artist(s: Column) -> Column:
         """Patterns made of the artist: only for rows where the artist occurs, as each value compiles anew."""

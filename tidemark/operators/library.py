@@ -147,3 +147,8 @@ def bundle(rows: DataFrame, components: DataFrame) -> DataFrame:
     identity = lambda p: F.struct(X.normalize_identity(F.col(f"{p}artist")), X.normalize_identity(F.col(f"{p}title")))
     reason = F.array_join(F.array_compact(F.array(F.when(X.path_key(F.col("new_path")) == X.path_key(F.col("kept_new_path")), F.lit("same_destination")), F.when(identity("") == identity("kept_"), F.lit("same_identity")))), "+")
     return rest.select("component", "plan_id", "row_id", F.col("new_path").alias("skipped_destination"), "kept_row_id", F.col("kept_new_path").alias("kept_destination"), reason.alias("reason"))
+
+
+def verdict(skips: DataFrame) -> DataFrame:
+    """One row: how many active duplicates the plans still have across one another, and whether they pass."""
+    return skips.agg(F.count("*").alias("duplicates")).withColumn("passed", F.col("duplicates") == 0)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from difflib import SequenceMatcher
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -197,3 +198,25 @@ def located(renames: DataFrame, locations: DataFrame) -> DataFrame:
     coded = locations.where(F.col("location").startswith("file://")).select(X.path_key(F.url_decode(F.regexp_replace("location", "^file:///?", ""))).alias("old_key"), F.col("location_id").alias("coded_id"))
     rows = renames.withColumn("old_key", X.path_key(F.col("old_path"))).join(exact, "old_key", "left").join(coded, "old_key", "left")
     return rows.select("old_path", "new_path", F.coalesce("exact_id", "coded_id").alias("location_id"), F.coalesce("exact_id", "coded_id").isNull().alias("missing"))
+
+
+def rename_violations(renames: DataFrame, files: DataFrame, locations: DataFrame) -> DataFrame:
+    """(path, rule) of renames(old_path, new_path) that must not be made: paths must be named once, by path key; the old file
+    must be among files(path) and have a stored location, the new one must not be there."""
+    rows = renames.select("old_path", "new_path", X.path_key(F.col("old_path")).alias("old_key"), X.path_key(F.col("new_path")).alias("new_key"))
+    there = files.select(X.path_key(F.col("path")).alias("key")).distinct().withColumn("there", F.lit(True))
+    twice = lambda side: rows.groupBy(f"{side}_key").agg(F.min(f"{side}_path").alias("path"), F.count("*").alias("n")).where("n > 1")
+    old = rows.join(there.withColumnRenamed("key", "old_key"), "old_key", "left_anti").select(F.col("old_path").alias("path"), F.lit("source missing").alias("rule"))
+    new = rows.join(there.withColumnRenamed("key", "new_key"), "new_key", "left_semi").select(F.col("new_path").alias("path"), F.lit("destination exists").alias("rule"))
+    lost = located(renames.select("old_path", "new_path"), locations).where("missing").select(F.col("old_path").alias("path"), F.lit("no stored location").alias("rule"))
+    parts = [twice("old").select("path", F.lit("source repeated").alias("rule")), twice("new").select("path", F.lit("destination repeated").alias("rule")), old, new, lost.distinct()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def name_violations(playlists: DataFrame, existing: DataFrame) -> DataFrame:
+    """(name, rule) of playlists(name) that an import must not make: the name is there already, or asked for twice, by case
+    folding."""
+    asked = playlists.groupBy(X.folded_case(F.col("name")).alias("k")).agg(F.min("name").alias("name"), F.count("*").alias("n"))
+    there = existing.select(X.folded_case(F.col("name")).alias("k")).distinct()
+    twice = asked.where("n > 1").select("name", F.lit("name repeated").alias("rule"))
+    return asked.join(there, "k", "left_semi").select("name", F.lit("name exists").alias("rule")).unionByName(twice)

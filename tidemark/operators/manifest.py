@@ -24,6 +24,16 @@ def field_exact(reference: DataFrame, candidate: DataFrame, weights: dict[str, f
     return both.select(F.explode(F.array(*flags)).alias("x")).groupBy("x.field", "x.weight").agg(F.count("*").alias("n"), F.count_if("x.same").alias("equal")).select("field", "weight", "n", "equal", F.bround(100 * F.col("equal") / F.col("n"), 3).alias("percent"))
 
 
+def regressions(reference: DataFrame, candidate: DataFrame, weights: dict[str, float] | None = None, key: str = "row_id") -> DataFrame:
+    """(key, field, expected, actual): the weighted fields of matching rows that differ, by the rule of :func:`field_exact`."""
+    kinds = dict(reference.dtypes)
+    names = [f for f in weights or fixed.FIELD_WEIGHTS if f in kinds]
+    both = reference.select(key, *[F.col(f).alias(f"e_{f}") for f in names]).join(candidate.select(key, *[F.col(f).alias(f"a_{f}") for f in names]), key)
+    same = lambda f: F.when(F.col(f"e_{f}").isNotNull(), _comparable(F.col(f"e_{f}"), kinds[f])).eqNullSafe(F.when(F.col(f"a_{f}").isNotNull(), _comparable(F.col(f"a_{f}"), kinds[f])))
+    found = [F.when(~same(f), F.struct(F.lit(f).alias("field"), F.col(f"e_{f}").cast("string").alias("expected"), F.col(f"a_{f}").cast("string").alias("actual"))) for f in names]
+    return both.select(key, F.inline(F.array_compact(F.array(*found))))
+
+
 def weighted_score(per_field: DataFrame) -> DataFrame:
     return per_field.agg(F.bround(100 * F.sum(F.col("weight") * F.col("equal")) / F.sum(F.col("weight") * F.col("n")), 3).alias("score"))
 

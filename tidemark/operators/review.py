@@ -286,9 +286,9 @@ def actionable(feedback: Column) -> Column:
         optional & F.col("album_artist").isNull(),
         replaces & (value(r"""source-tag value\s+['"]([^'"]+)['"]""") != "") & (_key(value(r"""source-tag value\s+['"]([^'"]+)['"]""")) == _key(album_artist)),
         F.coalesce(F.col("needs_review"), F.lit(False)) & ~optional,
-        has("source file", "filename", "file name"),
-        has("casing", "capitalization", "capitalisation"),
-        has("correct and should remain", "already correct", "is sound", "no review needed", "no change needed", "no changes needed", "output metadata is correct", "outputmetadata is correct"),
+        has(*fixed.FILE_TERMS),
+        has(*fixed.CASING_TERMS),
+        has(*fixed.SOUND_TERMS),
         t.startswith("keep "),
         (F.size(quoted) >= 2) & (F.trim(F.lower(F.element_at(quoted, -1))) == F.trim(F.lower(F.get(quoted, F.size(quoted) - 2)))),
     ]
@@ -298,25 +298,25 @@ def actionable(feedback: Column) -> Column:
         same = F.array_contains(F.transform(quoted, _key), _key(current))
         here = F.transform(quoted, _inside(_key(current)))
         part = F.exists(here, lambda x: x)
-        reject.append((current != "") & same & has("is missing", "should be preserved", "should include", "corrected to include"))
-        reject.append((current != "") & part & has("include", "preserve", "missing", "lost"))
+        reject.append((current != "") & same & has(*fixed.PRESERVE_TERMS))
+        reject.append((current != "") & part & has(*fixed.INCLUDE_TERMS))
     low = F.lower(title)
     reject.append((has("remix information is lost") & F.contains(low, F.lit("remix"))) | (has("bootleg information is missing") & F.contains(low, F.lit("bootleg"))))
     reject.append((artist != "") & feedback.rlike(r"""(?i)(?:change|set) (?:the )?artist(?: field)? to\s+['"]?(unknown|null|unknown artist)['"]?"""))
     versions = F.filter(quoted, lambda q: q.rlike("(?i)remix|mix|edit|vip|bootleg"))
-    reject.append(has("original metadata") & has("remix", "mix", "edit", "vip", "bootleg") & (F.size(versions) > 0) & ~F.exists(versions, lambda q: F.contains(_key(F.coalesce(F.col("evidence"), F.lit(""))), _key(q))))
+    reject.append(has("original metadata") & has(*fixed.FEEDBACK_VERSIONS) & (F.size(versions) > 0) & ~F.exists(versions, lambda q: F.contains(_key(F.coalesce(F.col("evidence"), F.lit(""))), _key(q))))
     missing = value(r"""(?:include|missing) (?:the )?(?:featured )?artist\s+['"]([^'"]+)['"]""")
     reject.append((missing != "") & F.contains(F.lower(artist), F.lower(missing)))
     out = F.when(F.coalesce(reduce(lambda a, b: a | b, reject), F.lit(False)), False)
-    out = out.when(has("album", "albumartist", "album artist", "date", "year", "genre", "tracknumber", "track number", "discnumber", "disc number", "compilation"), optional)
-    return out.otherwise(has("source", "original metadata", "originalmetadata", " tag", "path"))
+    out = out.when(has(*fixed.OPTIONAL_TERMS), optional)
+    return out.otherwise(has(*fixed.SOURCE_TERMS))
 
 
 def conservative(feedback: Column) -> Column:
     """Actionable, and neither removes a version word that the title has nor moves the artist into the title."""
     t, title = F.lower(feedback), F.lower(F.coalesce(F.col("title"), F.lit("")))
-    takes = reduce(lambda a, b: a | b, [F.contains(t, F.lit(w)) for w in ("remove", "drop", "strip")])
-    loses = reduce(lambda a, b: a | b, [F.contains(title, F.lit(w)) & F.contains(t, F.lit(w)) for w in ("remix", "edit", "mix", "vip", "bootleg")])
+    takes = reduce(lambda a, b: a | b, [F.contains(t, F.lit(w)) for w in fixed.REMOVAL_TERMS])
+    loses = reduce(lambda a, b: a | b, [F.contains(title, F.lit(w)) & F.contains(t, F.lit(w)) for w in fixed.LOST_VERSIONS])
     lead = F.concat(X.normalize_identity(F.col("artist")), F.lit(" "))
     absorbs = (F.trim(lead) != "") & X.normalize_identity(X.proposed_title(feedback)).startswith(lead) & ~X.normalize_identity(F.col("title")).startswith(lead)
     return actionable(feedback) & ~(takes & loses) & ~F.coalesce(absorbs, F.lit(False))

@@ -234,6 +234,11 @@ def bundle_skips(spark: SparkSession, sf: str) -> DataFrame:
     return library.bundle(_bundle(spark, sf), _components(spark, sf))
 
 
+@query(f"""WITH RECURSIVE {BUNDLE_SQL}, n AS (SELECT component, count(*) - 1 AS lost FROM comp GROUP BY 1) SELECT CAST(sum(lost) AS BIGINT) AS duplicates, sum(lost) = 0 AS passed FROM n""")
+def bundle_verdict(spark: SparkSession, sf: str) -> DataFrame:
+    return library.verdict(library.bundle(_bundle(spark, sf), _components(spark, sf)))
+
+
 @query("""WITH e AS (SELECT o_orderkey AS row_id, 'C:/in/' || o_orderkey || '.mp3' AS source_path, 'D:/library/' || o_orderkey || '.mp3' AS new_path, o_orderpriority AS title, o_orderstatus AS artist FROM orders),
   a AS (SELECT row_id, source_path, CASE WHEN row_id % 50 = 0 THEN '' WHEN row_id % 51 = 0 THEN 'E:/else/' || row_id || '.mp3' WHEN row_id % 53 = 0 THEN 'D:/library/' || row_id || '.txt' ELSE new_path END AS new_path,
     CASE WHEN row_id % 52 = 0 THEN 'edited' ELSE title END AS title, artist FROM e WHERE row_id % 60 <> 0),
@@ -313,11 +318,22 @@ def content_digest(spark: SparkSession, sf: str) -> DataFrame:
     return manifest.content_digest(table(spark, sf, "part").withColumnRenamed("p_brand", "artist"), "artist", parts)
 
 
-def _compared(spark: SparkSession, sf: str) -> DataFrame:
+def _two_manifests(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     one = table(spark, sf, "orders").select(F.col("o_orderkey").alias("row_id"), F.col("o_orderpriority").alias("title"), F.col("o_orderstatus").alias("artist"), (F.col("o_custkey") % 20).alias("track_number"), (F.col("o_custkey") % 3 == 0).alias("needs_review"))
     k = F.col("row_id")
     two = one.withColumns({"title": F.when(k % 5 == 0, "other").otherwise(F.concat(F.lit("  "), F.upper("title"))), "artist": F.when(k % 8 == 0, F.lit(None)).otherwise(F.col("artist")), "track_number": F.col("track_number") + (k % 9 == 0).cast("int")})
-    return manifest.field_exact(one, two)
+    return one, two
+
+
+def _compared(spark: SparkSession, sf: str) -> DataFrame:
+    return manifest.field_exact(*_two_manifests(spark, sf))
+
+
+@query("""WITH o AS (SELECT o_orderkey AS k, o_orderpriority AS title, o_orderstatus AS artist, o_custkey % 20 AS n FROM orders)
+  SELECT k AS row_id, 'title' AS field, title AS expected, 'other' AS actual FROM o WHERE k % 5 = 0 UNION ALL SELECT k, 'artist', artist, NULL FROM o WHERE k % 8 = 0
+  UNION ALL SELECT k, 'track_number', CAST(n AS VARCHAR), CAST(n + 1 AS VARCHAR) FROM o WHERE k % 9 = 0""")
+def score_regressions(spark: SparkSession, sf: str) -> DataFrame:
+    return manifest.regressions(*_two_manifests(spark, sf))
 
 
 SCORE_SQL = """s AS (SELECT count(*) AS n, count(*) FILTER (o_orderkey % 5 <> 0) AS t, count(*) FILTER (o_orderkey % 8 <> 0) AS a, count(*) FILTER (o_orderkey % 9 <> 0) AS k FROM orders),
@@ -595,6 +611,25 @@ def rename_locations(spark: SparkSession, sf: str) -> DataFrame:
     return link.located(rows.select(F.col("new_path").alias("old_path"), F.lit("x").alias("new_path")), there)
 
 
+@query("""WITH r AS (SELECT p_partkey AS k, 'D:/in/' || CASE WHEN p_partkey % 9 = 0 THEN 'Same' || p_partkey // 100 ELSE CAST(p_partkey AS VARCHAR) END || '.mp3' AS old, 'D:/out/' || CASE WHEN p_partkey % 7 = 0 THEN 'One' || p_partkey // 70 ELSE CAST(p_partkey AS VARCHAR) END || '.mp3' AS new FROM part),
+  f AS (SELECT DISTINCT lower(old) AS key FROM r WHERE k % 5 > 0 UNION SELECT lower(new) FROM r WHERE k % 11 = 0), l AS (SELECT DISTINCT lower(old) AS key FROM r WHERE k % 6 > 0)
+  SELECT min(old) AS path, 'source repeated' AS rule FROM r GROUP BY lower(old) HAVING count(*) > 1 UNION ALL SELECT min(new), 'destination repeated' FROM r GROUP BY lower(new) HAVING count(*) > 1
+  UNION ALL SELECT old, 'source missing' FROM r WHERE lower(old) NOT IN (SELECT key FROM f) UNION ALL SELECT new, 'destination exists' FROM r WHERE lower(new) IN (SELECT key FROM f)
+  UNION ALL SELECT DISTINCT old, 'no stored location' FROM r WHERE lower(old) NOT IN (SELECT key FROM l)""")
+def rename_violations(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "part").selectExpr("p_partkey as k", "concat('D:/in/', if(p_partkey % 9 = 0, concat('Same', p_partkey div 100), string(p_partkey)), '.mp3') as old_path", "concat('D:/out/', if(p_partkey % 7 = 0, concat('One', p_partkey div 70), string(p_partkey)), '.mp3') as new_path")
+    files = rows.where("k % 5 > 0").selectExpr("upper(old_path) as path").unionByName(rows.where("k % 11 = 0").selectExpr("new_path as path"))
+    places = rows.where("k % 6 > 0").groupBy("old_path").agg(F.min("k").alias("location_id")).select("location_id", F.col("old_path").alias("location"))
+    return link.rename_violations(rows, files, places)
+
+
+@query("""SELECT CASE WHEN c_custkey % 10 = 0 THEN upper(c_name) ELSE c_name END AS name, 'name exists' AS rule FROM customer WHERE c_custkey % 4 = 0 UNION ALL SELECT min(c_name), 'name repeated' FROM (SELECT c_name FROM customer UNION ALL SELECT upper(c_name) FROM customer WHERE c_custkey % 10 = 0) GROUP BY lower(c_name) HAVING count(*) > 1""")
+def playlist_names(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "customer").select("c_custkey", F.col("c_name").alias("name"))
+    asked = rows.select("name").unionByName(rows.where("c_custkey % 10 = 0").select(F.upper("name").alias("name")))
+    return link.name_violations(asked, rows.where("c_custkey % 4 = 0").select(F.lower("name").alias("name")))
+
+
 @query("""SELECT o_orderkey AS track_no, CASE WHEN o_orderkey % 6 > 0 THEN o_custkey END AS media_key, o_orderkey % 6 = 0 AS missing FROM orders""")
 def playlist_choice(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "orders").select(F.lit("p").alias("plan"), F.col("o_orderstatus").alias("playlist"), F.col("o_orderkey").alias("track_no"), F.col("o_custkey").alias("key"), F.lit(1).alias("candidate_rank"))
