@@ -40,8 +40,8 @@ from .common import free_name, give_back
 
 #: White space as Unicode defines it; no piece crosses it.
 CHUNK = re.compile("[^\x09-\x0d\x20\x85\xa0  -     　]+")
-#: Entries of a worker's memos.
-MEMO = 150_000
+#: Entries of a worker's memos; they go at the end of each task.
+MEMO = 80_000
 #: Pieces of up to so many bytes are merged in batches.
 SHORT = 32
 #: Rows and characters that are encoded together.
@@ -337,6 +337,10 @@ class Codec:
             for c in long:
                 del self.memo[c]
 
+    def forget(self) -> None:
+        """Empties the memos: a worker that goes on to other stages keeps the vocabulary only."""
+        self.memo, self.older, self.pieces = {}, {}, {}
+
     def stream(self, text: str) -> Iterator[int]:
         """Ids of a text of any length; holds PART chunks, or the normal form of one long chunk, and the memos."""
         found = CHUNK.finditer(text)
@@ -437,6 +441,7 @@ def round_trip(docs: DataFrame, tokenizer: str, text_col: str = "text", ids_as:
                     tokens = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(flat) if flat else np.array([], "int32")))
                     yield pa.RecordBatch.from_arrays([*batch.columns, tokens, pa.array(texts, pa.string())], names=[*kept, ids_as, text_as])
         finally:
+            codec.forget()
             gc.enable()  # the worker goes on to other stages
             give_back()
 
