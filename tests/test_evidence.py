@@ -1,6 +1,7 @@
 """Evidence expressions against plain Python over nested values."""
 
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -142,3 +143,46 @@ def test_cut_texts_and_keys(spark):
     assert [r[0] for r in rows.select(X.truncated(F.col("s"), 4)).collect()] == ["abc", "abcd...[truncated 2 chars]", "a\n\tb"]
     keys = [r[0] for r in rows.select(X.safe_key(F.col("s"), 5, 1)).collect()]
     assert keys[0] == "abc" and keys[1].startswith("a...#") and len(keys[1]) == 6 and keys[2] == "a b"
+
+
+def _inside(v, own, keys):
+    got = own(v)
+    if got is not None:
+        return got
+    for x in v if isinstance(v, list) else [v[k] for k in keys if k in v] if isinstance(v, dict) else []:
+        if (got := _inside(x, own, keys)) is not None:
+            return got
+    return None
+
+
+def _own_date(v):
+    if isinstance(v, str) and (m := re.search(r"\b((?:19|20)\d{2}(?:-\d{2}(?:-\d{2})?)?)\b", v)):
+        return m[1][:4] if m[1].endswith("-01-01") else m[1]
+    if isinstance(v, dict) and isinstance(v.get("year"), int) and 1900 <= v["year"] <= 2099:
+        month, day = ([v[k]] if isinstance(v.get(k), int) and 1 <= v[k] <= most else [] for k, most in (("month", 12), ("day", 31)))
+        out = f"{v['year']}" + "".join(f"-{m:02}" + "".join(f"-{d:02}" for d in day) for m in month)
+        return out[:4] if out.endswith("-01-01") else out
+    return None
+
+
+def _own_integer(v):
+    if isinstance(v, bool):
+        return None
+    if isinstance(v, str):
+        v = int(m[0]) if (m := re.search("[0-9]+", v)) else None
+    return int(v) if isinstance(v, (int, float)) and v == int(v) and v > 0 else None
+
+
+def _own_boolean(v):
+    if isinstance(v, bool):
+        return v
+    word = str(v) if isinstance(v, int) else v.strip().lower() if isinstance(v, str) else None
+    return True if word in ("1", "true", "yes") else False if word in ("0", "false", "no") else None
+
+
+def test_nested_scalars(spark):
+    values = VALUES[:-1] + ["from 1999-05-06 on", "1899", "2001-01-01", ["x", "2020"], {"year": 2001, "month": 13}, {"year": 2001, "day": 3}, {"text": {"year": 1999, "month": 4, "day": 9}}, 3.0, 3.5, -1, "7/12", "0", {"number": "9"}, {"value": [0, 4]}, " YES ", ["maybe", 0], {"value": True}, {"text": 2, "value": "no"}]
+    rows = spark.createDataFrame([(i, json.dumps(v)) for i, v in enumerate(values)] + [(900, None), (901, "{")], "i int, j string").withColumn("v", evidence.parsed(F.col("j")))
+    for column, own, keys in ((evidence.nested_date, _own_date, ["text"]), (evidence.nested_integer, _own_integer, ["text", "value", "number"]), (evidence.nested_boolean, _own_boolean, ["text", "value"])):
+        want = {i: _inside(v, own, keys) for i, v in enumerate(values)} | {900: None, 901: None}
+        assert _got(rows, column(F.col("v"))) == want, column.__name__

@@ -201,22 +201,68 @@ def metadata_evidence(v: Column, text: int = 500, most: int = 2400) -> Column:
     return F.when(_object(v).isNotNull(), F.coalesce(evidence, F.lit("{}"))).otherwise(compact_json(v, text))
 
 
-def nested_text(v: Column, depth: int = MEANING) -> Column:
-    """The first text inside a text, a list or an object with text; null words and blanks are none."""
+def _first_inside(v: Column, own: Callable[[Column], Column], keys: list[str], depth: int = MEANING) -> Column:
+    """The first own(x) of a value, or of what lies in its list, or under the keys of its object; null if there is none."""
 
     def first(value: Column, level: int) -> Column:
         def of(x: Column) -> Column:
-            own = F.when(_is_text(x), X.clean_optional(_text(x), False))
             if level > depth:
-                return own
-            inside = F.coalesce(F.when(_object(x).isNotNull(), F.filter(F.array(F.element_at(_object(x), "text")), lambda e: e.isNotNull())), _list(x))
-            return F.coalesce(own, F.get(F.filter(F.transform(inside, lambda e: first(e, level + 1)), lambda s: s != ""), 0))
+                return own(x)
+            named = F.filter(F.array(*[F.element_at(_object(x), k) for k in keys]), lambda e: e.isNotNull())
+            inside = F.coalesce(F.when(_object(x).isNotNull(), named), _list(x))
+            return F.coalesce(own(x), F.get(F.filter(F.transform(inside, lambda e: first(e, level + 1)), lambda s: s != ""), 0))
 
         return _level(value, of)
 
     return X.blank_to_null(first(v, 0))
 
 
+def nested_text(v: Column) -> Column:
+    """The first text inside a text, a list or an object with text; null words and blanks are none."""
+    return _first_inside(v, lambda x: F.when(_is_text(x), X.clean_optional(_text(x), False)), ["text"])
+
+
+def _whole(x: Column) -> Column:
+    """A whole number, not a flag."""
+    return F.when(F.schema_of_variant(x) == "BIGINT", F.try_variant_get(x, "$", "bigint"))
+
+
+def nested_integer(v: Column) -> Column:
+    """The first positive number inside a number, a text with digits, a list, or an object with text, value or number."""
+
+    def own(x: Column) -> Column:
+        number = F.when(_kind(x) == "float", F.try_variant_get(x, "$", "double"))
+        digits = F.when(_is_text(x), F.regexp_extract(_text(x), "([0-9]+)", 1)).try_cast("int")
+        found = F.coalesce(_whole(x), F.when(number == F.floor(number), number).try_cast("bigint"), digits.cast("bigint"))
+        return F.when(found > 0, found.cast("string"))
+
+    return _first_inside(v, own, ["text", "value", "number"]).try_cast("int")
+
+
+def nested_boolean(v: Column) -> Column:
+    """The first flag inside true or false, 0 or 1, a word for them, a list, or an object with text or value."""
+
+    def own(x: Column) -> Column:
+        said = F.lower(F.trim(F.when(_is_text(x) | (F.schema_of_variant(x) == "BOOLEAN"), _text(x)).otherwise(_whole(x).cast("string"))))
+        return F.when(said.isin("1", "true", "yes"), "true").when(said.isin("0", "false", "no"), "false")
+
+    return _first_inside(v, own, ["text", "value"]) == "true"
+
+
+def nested_date(v: Column) -> Column:
+    """The first date of 19xx or 20xx inside a text, a list, an object of year, month and day, or one with text, at the precision
+    it has; a first of January is a year only."""
+
+    def own(x: Column) -> Column:
+        text = F.when(_is_text(x), F.regexp_extract(_text(x), r"\b((?:19|20)[0-9]{2}(?:-[0-9]{2}(?:-[0-9]{2})?)?)\b", 1))
+        part = lambda name, low, high: X.let(_whole(F.element_at(_object(x), name)), lambda n: F.when(n.between(low, high), F.lpad(n.cast("string"), 2, "0") if high < 100 else n.cast("string")))
+        year, month, day = part("year", 1900, 2099), part("month", 1, 12), part("day", 1, 31)
+        date = F.concat(year, F.coalesce(F.concat(F.lit("-"), month, F.coalesce(F.concat(F.lit("-"), day), F.lit(""))), F.lit("")))
+        return X.let(F.coalesce(X.blank_to_null(text), date), lambda d: F.when(d.endswith("-01-01"), F.left(d, F.lit(4))).otherwise(d))
+
+    return _first_inside(v, own, ["text"])
+
+
 def original_texts(v: Column) -> dict[str, Column]:
     """The original title, artist, album artist, album and key of a row's metadata: the first tag with text, by lists of names;
     empty if there is none."""

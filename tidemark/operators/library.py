@@ -54,9 +54,9 @@ def refresh_stats(refreshed: DataFrame) -> DataFrame:
 
 
 def root_violations(meta: DataFrame, version: str, root: str) -> DataFrame:
-    """Metadata rows (key, value) that do not fit this engine or library."""
-    want = F.create_map(F.lit("schema_version"), F.lit(version), F.lit("library_root"), F.lit(root))
-    return meta.where(F.col("key").isin("schema_version", "library_root")).where(F.col("value") != want[F.col("key")])
+    """Metadata rows (key, value) that do not fit this engine or library; roots are compared by case folding."""
+    other = (F.col("key") == "schema_version") & (F.col("value") != F.lit(version))
+    return meta.where(other | ((F.col("key") == "library_root") & (X.folded_case(F.col("value")) != X.folded_case(F.lit(root)))))
 
 
 def identity_groups(index: DataFrame) -> DataFrame:

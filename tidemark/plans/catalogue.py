@@ -527,6 +527,16 @@ TAG_SQL = """p AS (SELECT p_partkey AS k, p_name AS name, p_brand AS brand FROM
   '"' || 1990 + k % 30 || CASE WHEN k % 2 = 0 THEN '-' || lpad(CAST(1 + k % 12 AS VARCHAR), 2, '0') || CASE WHEN k % 5 = 0 THEN '-07' ELSE '' END ELSE '' END || '"' AS tdrc FROM p)"""
 
 
+@query("""SELECT p_partkey AS row_id, CASE p_partkey % 6 WHEN 0 THEN '1999-05' WHEN 1 THEN '2001' WHEN 2 THEN CAST(1990 + p_partkey % 30 AS VARCHAR) || '-07-0' || 1 + p_partkey % 9 WHEN 3 THEN '2010' WHEN 4 THEN NULL ELSE '2020-02-03' END AS date,
+  CASE p_partkey % 4 WHEN 0 THEN CASE WHEN p_partkey % 12 > 0 THEN CAST(p_partkey % 12 AS INT) END WHEN 1 THEN 7 WHEN 2 THEN 3 END AS number, CASE p_partkey % 5 WHEN 0 THEN 'true' WHEN 1 THEN 'false' WHEN 2 THEN 'true' WHEN 3 THEN 'false' END AS flag FROM part""")
+def nested_scalars(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "part").selectExpr("p_partkey as k").selectExpr(
+        "k as row_id", """case k % 6 when 0 then '["x", {"text": ["on 1999-05 ok"]}]' when 1 then '"2001-01-01"' when 2 then '[{"year": ' || (1990 + k % 30) || ', "month": 7, "day": ' || (1 + k % 9) || '}]' when 3 then '{"year": 2010, "month": 1, "day": 1}' when 4 then '{"year": 3000, "other": "1999"}' else '{"text": {"year": 2020, "month": 2, "day": 3}}' end as d""",
+        """case k % 4 when 0 then '"' || (k % 12) || '/12"' when 1 then '[true, {"value": 7.0}]' when 2 then '{"number": [0, "no 3"]}' else '[false, -1, "x"]' end as n""",
+        """case k % 5 when 0 then '[" YES "]' when 1 then '{"value": 0}' when 2 then '{"text": [null, 5, true]}' when 3 then '"no"' else '[2, "x"]' end as f""")
+    return rows.select("row_id", evidence.nested_date(evidence.parsed(F.col("d"))).alias("date"), evidence.nested_integer(evidence.parsed(F.col("n"))).alias("number"), evidence.nested_boolean(evidence.parsed(F.col("f"))).cast("string").alias("flag"))
+
+
 @query(f"""WITH {TAG_SQL}, u AS (SELECT k, unnest(['GENRE', 'TALB', 'TCMP', 'TDRC', 'TIT2', 'TKEY', 'TPE1', 'TRCK', 'artists', 'covr', 'title', 'x']) AS key,
     unnest(['["a", 1.5, false]', NULL, 'true', tdrc, tit2, '[8, "' || k % 12 || 'A"]', '"' || brand || '"', '"' || k % 12 || '/12"', artists, CASE k % 3 WHEN 0 THEN '[1, 2, 3]' WHEN 2 THEN '"none"' END, '"' || name || '"', CAST(k AS VARCHAR)]) AS value FROM v)
   SELECT k AS row_id, key, value FROM u""")
