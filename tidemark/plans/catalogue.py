@@ -574,20 +574,27 @@ def request_payload(spark: SparkSession, sf: str) -> DataFrame:
     return evidence.request_items(rows, context="context", feedback="said")
 
 
-@query()
+@query("""SELECT p_partkey AS row_id, k AS actionable, k AS conservative FROM (SELECT p_partkey, p_partkey % 4 = 1 AND p_partkey % 8 <> 1 OR p_partkey % 4 = 2 AND p_partkey % 6 <> 2 AND p_partkey % 7 > 0 AS k FROM part)""")
 def feedback_filter(spark: SparkSession, sf: str) -> DataFrame:
-    rows = dirty(spark, sf).withColumns({"album_artist": F.lit("Various"), "needs_review": F.lit(False), "evidence": F.lit("source tag Remix"), "compilation": F.lit(False)})
-    said = F.when(F.col("row_id") % 4 == 0, "Keep it.").when(F.col("row_id") % 4 == 1, "Remove unsupported albumArtist 'Various'.").when(F.col("row_id") % 4 == 2, F.lit("The title should be 'Another Name' because the source tag TIT2 says so.")).otherwise("The genre should be House.")
+    """Feedback that keeps, that names an album artist which is there or not, that names the title as it is or another (some rows
+    are under review), and that speaks of a genre."""
+    k = F.col("row_id")
+    rows = dirty(spark, sf).join(table(spark, sf, "part").select(F.col("p_partkey").alias("row_id"), F.col("p_name").alias("name")), "row_id")
+    rows = rows.withColumns({"title": F.when(k % 6 == 2, F.col("name")).otherwise(F.col("title")), "album_artist": F.when(k % 8 != 1, "Various"), "needs_review": (k % 7 == 0) & (k % 4 == 2), "evidence": F.lit("source tag Remix"), "compilation": F.lit(False)})
+    named = F.concat(F.lit("The title should be '"), "name", F.lit("' because the source tag TIT2 says so."))
+    said = F.when(k % 4 == 0, "Keep it.").when(k % 4 == 1, "Remove unsupported albumArtist 'Various'.").when(k % 4 == 2, named).otherwise("The genre should be House.")
     rows = rows.withColumn("feedback", said)
     return rows.select("row_id", review.actionable(F.col("feedback")).alias("actionable"), review.conservative(F.col("feedback")).alias("conservative"))
 
 
-@query()
+@query(f"""WITH {DIRTY_SQL} SELECT row_id, regexp_replace(regexp_replace(title, ' \\(Free Download\\)$| \\[320 kbps\\] \\[HQ\\]$| - 128 BPM$|_mp3$| \\( \\) - promo$', ''), '^www.tunes.com ', '') AS title, regexp_replace(artist, ' PROMO$', '') AS artist,
+  CASE WHEN row_id % 3 = 1 THEN 'Some Band' END AS album_artist, CASE WHEN row_id % 3 > 0 THEN 'Night Songs' END AS album, CASE WHEN row_id % 4 > 0 THEN '2001-02' END AS date, CASE WHEN row_id % 3 > 0 AND row_id % 5 > 0 THEN CAST(row_id % 5 AS INT) END AS track_number, CAST(NULL AS INT) AS disc_number,
+  'House' AS genre, row_id % 3 > 0 AND row_id % 2 = 0 AS compilation, row_id % 11 = 0 AND row_id % 13 > 0 AS needs_review, CASE WHEN row_id % 13 = 0 THEN NULL WHEN row_id % 22 = 0 THEN 'Odd tags.' WHEN row_id % 11 = 0 THEN 'Material metadata ambiguity requires human review.' END AS review_reason,
+  row_id % 13 = 0 AS excluded, CASE WHEN row_id % 13 = 0 THEN 'Intentionally excluded by user.' END AS exclusion_reason FROM dirty""")
 def clean_fields(spark: SparkSession, sf: str) -> DataFrame:
-    none = F.lit(None)
-    rows = dirty(spark, sf)
-    out = {"title": F.col("title"), "artist": F.col("artist"), "album_artist": none.cast("string"), "album": F.lit("Unknown Album"), "date": F.lit("2001-02"), "track_number": F.lit("7"), "disc_number": F.lit("x"), "genre": F.lit("House House"), "compilation": F.lit(True), "needs_review": F.lit(False), "review_reason": none.cast("string"), "excluded": F.lit(False), "exclusion_reason": none.cast("string")}
-    return X.cleaned(rows.select("row_id", *[c.alias(f) for f, c in out.items()]))
+    k, none = F.col("row_id"), F.lit(None).cast("string")
+    out = {"title": F.col("title"), "artist": F.col("artist"), "album_artist": F.when(k % 3 == 1, "  Some   Band "), "album": F.when(k % 3 > 0, "Night Songs.mp3").otherwise("Unknown Album"), "date": F.when(k % 4 > 0, "2001-02").otherwise("2001/02"), "track_number": (k % 5).cast("string"), "disc_number": F.lit("x"), "genre": F.lit("House House"), "compilation": k % 2 == 0, "needs_review": k % 11 == 0, "review_reason": F.when(k % 22 == 0, "Odd tags."), "excluded": k % 13 == 0, "exclusion_reason": none}
+    return X.cleaned(dirty(spark, sf).select("row_id", *[c.alias(f) for f, c in out.items()]))
 
 
 @query(f"WITH {DIRTY_SQL} SELECT 'title' AS field, count(*) AS n FROM dirty WHERE row_id % 6 <> 5")
