@@ -1,18 +1,20 @@
 """Evidence from nested tags: bounded copies of JSON values, and the few facts of them that a request or a review needs.
 
-Values are VARIANT columns. Nested values are followed by expressions that are written out level by level, to a fixed depth,
+Values are VARIANT columns of JSON. But for bounded copies, nested values are followed by expressions that are written out level by level, to a fixed depth,
 so a row is rewritten where it lies: no rows are made of its parts, and nothing is shuffled. Keys of an object come out in
 their own order, by name. Nulls and values that are no JSON give null; empty objects and lists stay.
 """
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import fixed
+from ..functions import copies, fixed
 from ..functions import text as X
 
 #: Levels of a value that are followed before it counts as too deep.
@@ -44,10 +46,21 @@ def _list(v: Column) -> Column:
     return F.try_variant_get(v, "$", "array<variant>")
 
 
+def _read(value: Column, of: Callable[[Column, Column, Column], Column]) -> Column:
+    """of(value, its object, its list), each read once: every mention of an object would unpack all that is in it anew."""
+    return _level(F.struct(value.alias("x"), _object(value).alias("obj"), _list(value).alias("arr")), lambda s: of(s["x"], s["obj"], s["arr"]))
+
+
 def _is_text(v: Column) -> Column:
     return F.schema_of_variant(v) == "STRING"
 
 
+def _bounded(x: Column, most: int) -> Column:
+    """A value that is no object or list as JSON text, a long text cut. The schema is asked only of texts that may be long: it
+    costs more than the value."""
+    return X.let(F.to_json(x), lambda j: F.when((F.length(j) <= most + 2) | ~j.startswith('"'), j).otherwise(quoted(X.truncated(_text(x), most))))
+
+
 def _text(v: Column) -> Column:
     return F.try_variant_get(v, "$", "string")
 
@@ -82,21 +95,15 @@ def _omitted(arr: Column, most: int) -> Column:
 
 def safe_json(v: Column, text: int = 500, items: int = 50, depth: int = DEPTH) -> Column:
     """A bounded copy of a value as JSON text: long texts are cut, lists end after `items`, pictures (by the name of their tag)
-    become their number, and what lies deeper than `depth` its type and text."""
+    become their number, and what lies deeper than `depth` its type and text. Python walks each value once, over the JSON text
+    that Spark writes of it (:mod:`copies`): in expressions, each level would be unpacked again for those inside it."""
 
-    def copy(value: Column, image: Column, level: int) -> Column:
-        def of(x: Column) -> Column:
-            bare = F.when(_is_text(x), _text(x)).otherwise(F.when(F.schema_of_variant(x) == "BOOLEAN", F.initcap(_text(x))).when(F.is_variant_null(x), "None").otherwise(F.to_json(x)))
-            if level > depth:
-                return F.concat(F.lit('{"type":"'), _kind(x), F.lit('","value":'), quoted(X.truncated(bare, text)), F.lit("}"))
-            obj, arr = _object(x), _list(x)
-            inner = F.transform(_entries(obj, arr, None, items), lambda e: F.concat(F.when(e["k"].isNull(), "").otherwise(F.concat(quoted(e["k"]), F.lit(":"))), copy(e["v"], F.when(e["k"].isNull(), image).otherwise(_image_key(e["k"])), level + 1)))
-            nested = F.when(image, F.concat(F.lit('{"exists":true,"count":'), F.greatest(F.lit(1), F.coalesce(F.size(arr), F.lit(1))).cast("string"), F.lit("}"))).otherwise(_written(obj, F.concat(inner, F.coalesce(_omitted(arr, items), F.array().cast("array<string>")))))
-            return F.when(_is_text(x), quoted(X.truncated(_text(x), text))).when(obj.isNotNull() | arr.isNotNull(), nested).otherwise(F.to_json(x))
-
-        return _level(value, of)
+    @F.pandas_udf("string")
+    def copied(texts: pd.Series, values: pd.Series) -> pd.Series:
+        sys.setrecursionlimit(10_000)  # values may be a thousand levels deep
+        return pd.Series([None if t is None else copies.bounded(t, x, text, items, depth) for t, x in zip(texts, values, strict=True)], dtype=object)
 
-    return F.when(v.isNotNull(), copy(v, F.lit(False), 0))
+    return copied(F.to_json(v), v)
 
 
 def artwork_count(v: Column) -> Column:
@@ -126,15 +133,14 @@ def compact_json(v: Column, text: int, depth: int = DEPTH) -> Column:
         if level > depth:
             return F.lit('"[nested value omitted]"')
 
-        def of(x: Column) -> Column:
-            obj, arr = _object(x), _list(x)
+        def of(x: Column, obj: Column, arr: Column) -> Column:
             inner = F.transform(_entries(obj, arr, 100, 50), lambda e: F.concat(F.when(e["k"].isNull(), "").otherwise(F.concat(quoted(_prompt_key(e["k"])), F.lit(":"))), copy(e["v"], level + 1)))
             more = F.when(F.size(obj) > 100, F.array(F.concat(F.lit('"omittedFields":'), (F.size(obj) - 100).cast("string")))).otherwise(F.coalesce(_omitted(arr, 50), F.array().cast("array<string>")))
             size = F.coalesce(_text(F.element_at(obj, "byteLength")), F.lit("unknown"))
             bytes_ = F.concat(F.lit('"[binary metadata omitted: '), size, F.lit(' bytes]"'))
-            return F.when(_is_text(x), quoted(X.truncated(_text(x), text))).when(_binary(obj), bytes_).when(obj.isNotNull() | arr.isNotNull(), _written(obj, F.concat(inner, more))).otherwise(F.to_json(x))
+            return F.when(_binary(obj), bytes_).when(obj.isNotNull() | arr.isNotNull(), _written(obj, F.concat(inner, more))).otherwise(_bounded(x, text))
 
-        return _level(value, of)
+        return _read(value, of)
 
     return F.when(v.isNotNull(), copy(v, 0))
 
@@ -149,12 +155,11 @@ def concise_value(v: Column, text: int = 500, depth: int = MEANING) -> Column:
     to twenty (one alone stands for itself), a text on one line. Objects with bytes say nothing."""
 
     def meaning(value: Column, level: int) -> Column:
-        def of(x: Column) -> Column:
+        def of(x: Column, obj: Column, arr: Column) -> Column:
             plain = X.let(F.trim(F.regexp_replace(_text(x), r"[\x00-\x20\x7f]+", " ")), lambda t: F.when(t != "", quoted(F.left(t, F.lit(text)))))
             scalar = F.when(_is_text(x), plain).when(~F.is_variant_null(x), F.to_json(x))
             if level > depth:
-                return F.when(_object(x).isNull() & _list(x).isNull(), scalar)
-            obj, arr = _object(x), _list(x)
+                return F.when(obj.isNull() & arr.isNull(), scalar)
             key = F.coalesce(*[F.when(F.map_contains_key(obj, k), k) for k in fixed.VALUE_WRAPPERS])
             part = lambda name: X.let(F.element_at(obj, name), lambda p: F.when(F.schema_of_variant(p) == "BIGINT", F.try_variant_get(p, "$", "bigint")))
             two = lambda n: F.lpad(n.cast("string"), 2, "0")
@@ -165,7 +170,7 @@ def concise_value(v: Column, text: int = 500, depth: int = MEANING) -> Column:
             several = X.let(said, lambda s: F.when(F.size(s) == 1, F.get(s, 0)).when(F.size(s) > 1, F.concat(F.lit("["), F.array_join(s, ", "), F.lit("]"))))
             return F.when(obj.isNotNull() & key.isNull(), date).when(obj.isNotNull() | arr.isNotNull(), several).otherwise(scalar)
 
-        return _level(value, of)
+        return _read(value, of)
 
     return X.blank_to_null(F.when(v.isNotNull() & ~F.coalesce(F.when(_object(v).isNotNull(), contains_binary(v)), F.lit(False)), meaning(v, 0)))
 
@@ -205,14 +210,12 @@ def _first_inside(v: Column, own: Callable[[Column], Column], keys: list[str], d
     """The first own(x) of a value, or of what lies in its list, or under the keys of its object; null if there is none."""
 
     def first(value: Column, level: int) -> Column:
-        def of(x: Column) -> Column:
-            if level > depth:
-                return own(x)
-            named = F.filter(F.array(*[F.element_at(_object(x), k) for k in keys]), lambda e: e.isNotNull())
-            inside = F.coalesce(F.when(_object(x).isNotNull(), named), _list(x))
+        def of(x: Column, obj: Column, arr: Column) -> Column:
+            named = F.filter(F.array(*[F.element_at(obj, k) for k in keys]), lambda e: e.isNotNull())
+            inside = F.coalesce(F.when(obj.isNotNull(), named), arr)
             return F.coalesce(own(x), F.get(F.filter(F.transform(inside, lambda e: first(e, level + 1)), lambda s: s != ""), 0))
 
-        return _level(value, of)
+        return _level(value, own) if level > depth else _read(value, of)
 
     return X.blank_to_null(first(v, 0))
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import evidence, library, link, manifest, plan, prepare, review
-from ..sources.shared import cut
+from ..sources.shared import cut, dealt
 from .fixtures import DIRTY_SQL, PATHS_SQL, ROOT, TRACKS_SQL, dirty, table, tracks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -504,8 +504,8 @@ def json_props(spark: SparkSession, sf: str) -> DataFrame:
     || CASE WHEN length(p_name) * 60 > 500 THEN repeat(p_name, 60)[:500] || '...[truncated ' || length(p_name) * 60 - 500 || ' chars]' ELSE repeat(p_name, 60) END || '","x":' || repeat('{"x":', 12) || CASE WHEN p_partkey % 2 = 0 THEN '{"type":"str","value":"deep"}' ELSE '{"type":"float","value":"2.5"}' END || repeat('}', 13) FROM part""")
 def safe_props(spark: SparkSession, sf: str) -> DataFrame:
     """The props of all clicks, and for each part a nested tag with a picture, a long list, a long text and a deep value."""
-    clicks = table(spark, sf, "clicks").select(F.col("click_id").alias("row_id"), "props")
-    made = table(spark, sf, "part").selectExpr("-1 - p_partkey as row_id", """concat('{"n": null, "APIC:": ', if(p_partkey % 3 = 0, '[{"a": 1}, "b"]', '{"a": 1}'), ', "text": "', repeat(p_name, 60), '", "list": ', to_json(sequence(0, 50 + p_partkey % 7)),
+    clicks = dealt(table(spark, sf, "clicks")).select(F.col("click_id").alias("row_id"), "props")
+    made = dealt(table(spark, sf, "part")).selectExpr("-1 - p_partkey as row_id", """concat('{"n": null, "APIC:": ', if(p_partkey % 3 = 0, '[{"a": 1}, "b"]', '{"a": 1}'), ', "text": "', repeat(p_name, 60), '", "list": ', to_json(sequence(0, 50 + p_partkey % 7)),
         ', "x": ', repeat('{"x": ', 12), if(p_partkey % 2 = 0, '"deep"', '2.50'), repeat('}', 13)) as props""")
     return clicks.unionByName(made).select("row_id", evidence.safe_json(evidence.parsed(F.col("props"))).alias("value"))
 
@@ -518,7 +518,7 @@ TAG_JSON = """'{"TIT2": ' || CASE k % 4 WHEN 0 THEN '{"encoding": 3, "text": ["'
 
 
 def _tag_json(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "part").selectExpr("p_partkey as k", "p_name as name", "p_brand as brand")
+    rows = dealt(table(spark, sf, "part")).selectExpr("p_partkey as k", "p_name as name", "p_brand as brand")
     return rows.selectExpr("k as row_id", f"{TAG_JSON} as tags", "name", "brand", r"'C:\\in\\' || brand || '\\' || name || '.mp3' as source_path")
 
 
@@ -530,7 +530,7 @@ TAG_SQL = """p AS (SELECT p_partkey AS k, p_name AS name, p_brand AS brand FROM
 @query("""SELECT p_partkey AS row_id, CASE p_partkey % 6 WHEN 0 THEN '1999-05' WHEN 1 THEN '2001' WHEN 2 THEN CAST(1990 + p_partkey % 30 AS VARCHAR) || '-07-0' || 1 + p_partkey % 9 WHEN 3 THEN '2010' WHEN 4 THEN NULL ELSE '2020-02-03' END AS date,
   CASE p_partkey % 4 WHEN 0 THEN CASE WHEN p_partkey % 12 > 0 THEN CAST(p_partkey % 12 AS INT) END WHEN 1 THEN 7 WHEN 2 THEN 3 END AS number, CASE p_partkey % 5 WHEN 0 THEN 'true' WHEN 1 THEN 'false' WHEN 2 THEN 'true' WHEN 3 THEN 'false' END AS flag FROM part""")
 def nested_scalars(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "part").selectExpr("p_partkey as k").selectExpr(
+    rows = dealt(table(spark, sf, "part")).selectExpr("p_partkey as k").selectExpr(
         "k as row_id", """case k % 6 when 0 then '["x", {"text": ["on 1999-05 ok"]}]' when 1 then '"2001-01-01"' when 2 then '[{"year": ' || (1990 + k % 30) || ', "month": 7, "day": ' || (1 + k % 9) || '}]' when 3 then '{"year": 2010, "month": 1, "day": 1}' when 4 then '{"year": 3000, "other": "1999"}' else '{"text": {"year": 2020, "month": 2, "day": 3}}' end as d""",
         """case k % 4 when 0 then '"' || (k % 12) || '/12"' when 1 then '[true, {"value": 7.0}]' when 2 then '{"number": [0, "no 3"]}' else '[false, -1, "x"]' end as n""",
         """case k % 5 when 0 then '[" YES "]' when 1 then '{"value": 0}' when 2 then '{"text": [null, 5, true]}' when 3 then '"no"' else '[2, "x"]' end as f""")
@@ -718,7 +718,7 @@ def _tagged(spark: SparkSession, sf: str, **columns: str) -> DataFrame:
     """part as rows of a manifest with their tags; columns are expressions over k, name and brand, the others null."""
     texts = ["title", "artist", "album_artist", "album", "date", "genre", "review_reason", "exclusion_reason", "source_path", *(f"s_{x}" for x in ("title", "artist", "key", "album", "album_artist", "genre", "track", "disc", "date", "compilation"))]
     kinds = {**dict.fromkeys(texts, "string"), **dict.fromkeys(["track_number", "disc_number"], "int"), **dict.fromkeys(["compilation", "needs_review", "excluded"], "boolean")}
-    rows = table(spark, sf, "part").selectExpr("p_partkey as k", "p_name as name", "p_brand as brand")
+    rows = dealt(table(spark, sf, "part")).selectExpr("p_partkey as k", "p_name as name", "p_brand as brand")
     return rows.selectExpr("k as row_id", *[f"cast({columns.get(c, 'false' if kind == 'boolean' else 'null')} as {kind}) as {c}" for c, kind in kinds.items()])
 
 

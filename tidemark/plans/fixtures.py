@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import dealt
+
 ROOT = "D:/library"
 
 
@@ -45,7 +47,7 @@ def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     ext = F.get(F.array(*[F.lit(e) for e in (".flac", ".mp3", ".m4a", ".wav", ".ogg")]), (key % 5).cast("int"))
     copy = F.when(key % 11 == 0, " (1) - 2").when(key % 7 == 0, " (1)").otherwise("")
     none = F.lit(None).cast("string")
-    return table(spark, sf_dir, "part").select(
+    return dealt(table(spark, sf_dir, "part")).select(
         key.alias("row_id"), F.concat(F.lit("C:\\in\\"), "p_brand", F.lit("\\"), "p_name", copy, ext).alias("source_path"),
         F.col("p_name").alias("title"), F.col("p_brand").alias("artist"), none.alias("album_artist"), F.when(key % 4 > 0, F.col("p_type")).alias("album"),
         none.alias("date"), (F.col("p_size") % 20).alias("track_number"), (key % 3).alias("disc_number"), none.alias("genre"), (key % 13 == 0).alias("compilation"),
@@ -65,4 +67,4 @@ def dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
     title = F.when(key % 6 == 0, F.concat(name, F.lit(" (Free Download)"))).when(key % 6 == 1, F.concat(name, F.lit(" [320 kbps] [HQ]"))).when(key % 6 == 2, F.concat(F.lit("www.tunes.com "), name, F.lit(" - 128 BPM")))
     title = title.when(key % 6 == 3, F.concat(name, F.lit("_mp3"))).when(key % 6 == 4, F.concat(name, F.lit(" ( ) - promo"))).otherwise(name)
     artist = F.when(key % 5 == 0, F.concat("p_brand", F.lit(" feat. "), "p_type")).otherwise(F.col("p_brand"))
-    return table(spark, sf_dir, "part").select(key.alias("row_id"), title.alias("title"), artist.alias("artist"))
+    return dealt(table(spark, sf_dir, "part")).select(key.alias("row_id"), title.alias("title"), artist.alias("artist"))
