@@ -109,8 +109,9 @@ def _normal_key(c: Column) -> Column:
 
 def tag_rows(rows: DataFrame, json: str) -> DataFrame:
     """(row_id, pos, key, value): the entries of a JSON object, in stored order."""
-    keys = F.json_object_keys(json)
-    return rows.select("row_id", json, F.posexplode(keys).alias("pos", "key")).select("row_id", "pos", "key", F.try_variant_get(F.try_parse_json(json), "$", "variant").alias("all")).select("row_id", "pos", "key", F.element_at(F.from_json(F.to_json("all"), "map<string,string>"), F.col("key")).alias("value"))
+    values = F.from_json(F.to_json(F.try_variant_get(F.try_parse_json(json), "$", "variant")), "map<string,string>")
+    entries = X.let(values, lambda m: F.transform(F.json_object_keys(json), lambda k: F.struct(k.alias("key"), F.element_at(m, k).alias("value"))))
+    return rows.select("row_id", F.posexplode(entries).alias("pos", "e")).select("row_id", "pos", "e.key", "e.value")
 
 
 def first_text(value: Column) -> Column:
