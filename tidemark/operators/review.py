@@ -66,10 +66,15 @@ def findings() -> Column:
     return F.array_compact(F.array(*found))
 
 
-def review_rows(rows: DataFrame) -> DataFrame:
-    """Rows with findings: reasons joined in the order of the rules, and the highest priority."""
+#: Writes rows that a plan uses several times.
+Cut = Callable[[DataFrame], DataFrame]
+
+
+def review_rows(rows: DataFrame, cut: Cut = lambda df: df) -> DataFrame:
+    """Rows with findings: reasons joined in the order of the rules, and the highest priority. `cut` writes the findings, which
+    the filter and the columns would look for once each."""
     names = F.create_map(*[F.lit(x) for k, v in fixed.PRIORITIES.items() for x in (v, k)])
-    found = rows.withColumn("findings", findings()).where(F.size("findings") > 0)
+    found = cut(rows.withColumn("findings", findings())).where(F.size("findings") > 0)
     found = found.withColumn("rank", F.array_max(F.transform("findings", lambda x: x["rank"])))
     return found.withColumns({"reasons": F.array_join(F.transform("findings", lambda x: x["reason"]), "; "), "priority": names[F.col("rank")]}).drop("findings")
 
@@ -82,13 +87,14 @@ def priority_counts(reviewed: DataFrame) -> DataFrame:
     return reviewed.groupBy("priority").agg(F.count("*").alias("n"))
 
 
-def review_items(planned: DataFrame) -> DataFrame:
+def review_items(planned: DataFrame, cut: Cut = lambda df: df) -> DataFrame:
     """planned rows that a person looks at, with reasons, priority, rank, planned_path and status `review`; ready rows that
     lost to another copy come out with status `duplicate`, so that one pass gives the table and its counts.
 
-    planned(the output fields, new_path, is_winner). Excluded rows and rows without findings are left out."""
+    planned(the output fields, new_path, is_winner). Excluded rows and rows without findings are left out. `cut`
+    writes the findings: the filter, the columns and a sort, which reads its input twice, would look for them once each."""
     lost = plan.is_ready() & ~F.coalesce(F.col("is_winner"), F.lit(False))
-    rows = planned.where(~F.coalesce(F.col("excluded"), F.lit(False))).withColumn("findings", findings()).withColumn("status", F.when(lost, "duplicate").when(F.size("findings") > 0, "review")).where("status is not null")
+    rows = cut(planned.where(~F.coalesce(F.col("excluded"), F.lit(False))).withColumn("findings", findings())).withColumn("status", F.when(lost, "duplicate").when(F.size("findings") > 0, "review")).where("status is not null")
     rank = F.array_max(F.transform("findings", lambda x: x["rank"]))
     names = F.create_map(*[F.lit(x) for name, k in fixed.PRIORITIES.items() for x in (k, name)])
     shown = F.when(F.col("is_winner"), F.coalesce("new_path", F.lit(""))).otherwise("")
