@@ -1,6 +1,6 @@
 """Evidence from nested tags: bounded copies of JSON values, and the few facts of them that a request or a review needs.
 
-Values are VARIANT columns of JSON. But for bounded copies, nested values are followed by expressions that are written out level by level, to a fixed depth,
+Values are VARIANT columns of JSON. Bounded copies apart, nested values are followed by expressions, level by level to a depth,
 so a row is rewritten where it lies: no rows are made of its parts, and nothing is shuffled. Keys of an object come out in
 their own order, by name. Nulls and values that are no JSON give null; empty objects and lists stay.
 """
