@@ -266,15 +266,25 @@ def nested_date(v: Column) -> Column:
     return _first_inside(v, own, ["text"])
 
 
-def original_texts(v: Column) -> dict[str, Column]:
-    """The original title, artist, album artist, album and key of a row's metadata: the first tag with text, by lists of names;
-    empty if there is none."""
+def original_record(v: Column) -> Column:
+    """The original title, artist, album artist, album and key of a row's metadata, as one struct: the first tag with text, by
+    lists of names; empty if there is none. Tags are opened once for all fields: write it to a column and take fields of that."""
     wanted = F.array(*[F.lit(n) for names in fixed.REVIEW_ALIASES.values() for n in dict.fromkeys(a.casefold() for a in names)])
-    tags = F.transform(F.map_entries(_object(F.try_variant_get(v, "$.tags", "variant"))), lambda e: F.struct(X.folded_case(e["key"]).alias("k"), e["value"].alias("v")))
+    tags = F.transform(F.map_entries(F.try_variant_get(v, "$.tags", "map<string,variant>")), lambda e: F.struct(X.folded_case(e["key"]).alias("k"), e["value"].alias("v")))
     texts = F.transform(F.filter(tags, lambda e: F.array_contains(wanted, e["k"])), lambda e: F.struct(e["k"].alias("k"), nested_text(e["v"]).alias("t")))
-    texts = F.filter(texts, lambda e: e["t"].isNotNull())
-    of = lambda name: F.get(F.filter(texts, lambda e: e["k"] == name.casefold()), 0)["t"]
-    return {field: F.coalesce(*[of(a) for a in names], F.lit("")) for field, names in fixed.REVIEW_ALIASES.items()}
+
+    def record(found: Column) -> Column:
+        of = lambda name: F.get(found["t"], (F.array_position(found["k"], name.casefold()) - 1).cast("int"))
+        return F.struct(*[F.coalesce(*[of(a) for a in names], F.lit("")).alias(field) for field, names in fixed.REVIEW_ALIASES.items()])
+
+    none = F.array().cast("array<struct<k:string,t:string>>")
+    return X.let(F.coalesce(F.filter(texts, lambda e: e["t"].isNotNull()), none), record)
+
+
+def original_texts(v: Column) -> dict[str, Column]:
+    """The fields of :func:`original_record` by name. Each mention makes the whole record anew: a table of all fields is cheaper
+    from a column of records."""
+    return {field: original_record(v)[field] for field in fixed.REVIEW_ALIASES}
 
 
 def request_items(rows: DataFrame, metadata: str = "metadata", context: str | None = None, feedback: str | None = None, text: int = 500, most: int = 2400) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import fixed
 from ..functions import text as X
 from ..operators import evidence, library, link, manifest, plan, prepare, review
 from ..sources.shared import cut, dealt
@@ -570,8 +571,9 @@ def evidence_fields(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""WITH {TAG_SQL} SELECT k AS row_id, name AS original_title, brand AS original_artist, '' AS original_album_artist, '' AS original_album, k % 12 || 'A' AS original_key, CASE k % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 0 END AS artwork FROM v""")
 def review_evidence(spark: SparkSession, sf: str) -> DataFrame:
     tags = evidence.parsed(F.col("tags"))
-    texts = evidence.original_texts(evidence.parsed(F.concat(F.lit('{"tags": '), "tags", F.lit("}"))))
-    return _tag_json(spark, sf).select("row_id", *[c.alias(n) for n, c in texts.items()], evidence.artwork_count(tags).alias("artwork"))
+    whole = evidence.parsed(F.concat(F.lit('{"tags": '), "tags", F.lit("}")))
+    rows = _tag_json(spark, sf).select("row_id", evidence.original_record(whole).alias("original"), evidence.artwork_count(tags).alias("artwork"))
+    return rows.select("row_id", *[F.col(f"original.{n}").alias(n) for n in fixed.REVIEW_ALIASES], "artwork")
 
 
 @query(f"""WITH {EVIDENCE_SQL} SELECT k AS row_id, '{{"id":' || k || ',"source":"in\\\\' || brand || '\\\\' || name || '.mp3","originalMetadata":{{' || array_to_string(parts, ', ') || '}}' || CASE WHEN k % 4 = 0 THEN ',"libraryContext":[{{"title":"' || name || '"}}]' ELSE '' END || CASE WHEN k % 5 = 0 THEN ',"auditFeedback":"say \\"' || brand || '\\""' ELSE '' END || '}}' AS item FROM b""")
