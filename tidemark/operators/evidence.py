@@ -120,10 +120,16 @@ def _binary(obj: Column) -> Column:
 
 def contains_binary(v: Column, depth: int = DEPTH) -> Column:
     """Whether an object that stands for bytes is in the value, to a depth and in the first hundred items of a list."""
-    children = lambda x: F.coalesce(F.map_values(_object(x)), F.slice(_list(x), 1, 100), F.array().cast("array<variant>"))
-    start = F.struct(F.array(v).alias("at"), F.lit(False).alias("found"))
-    walked = F.aggregate(F.sequence(F.lit(0), F.lit(depth)), start, lambda s, _: F.struct(F.flatten(F.transform(s["at"], children)).alias("at"), (s["found"] | F.exists(s["at"], lambda x: _binary(_object(x)))).alias("found")))
-    return F.coalesce(walked["found"], F.lit(False))
+    opened = lambda x: F.struct(_object(x).alias("obj"), _list(x).alias("arr"))
+    children = lambda s: F.transform(F.coalesce(F.map_values(s["obj"]), F.slice(s["arr"], 1, 100), F.array().cast("array<variant>")), opened)
+    start = F.struct(F.array(opened(v)).alias("at"), F.lit(False).alias("found"))
+
+    def step(s: Column, _: Column) -> Column:
+        # The levels that are left cost nothing once the answer is known or nothing is left to open.
+        more = F.struct(F.flatten(F.transform(s["at"], children)).alias("at"), F.exists(s["at"], lambda x: _binary(x["obj"])).alias("found"))
+        return F.when(s["found"] | (F.size(s["at"]) == 0), s).otherwise(more)
+
+    return F.coalesce(F.aggregate(F.sequence(F.lit(0), F.lit(depth)), start, step)["found"], F.lit(False))
 
 
 def compact_json(v: Column, text: int, depth: int = DEPTH) -> Column:
@@ -172,29 +178,28 @@ def concise_value(v: Column, text: int = 500, depth: int = MEANING) -> Column:
 
         return _read(value, of)
 
-    return X.blank_to_null(F.when(v.isNotNull() & ~F.coalesce(F.when(_object(v).isNotNull(), contains_binary(v)), F.lit(False)), meaning(v, 0)))
+    # Only an object is searched for bytes; a value that was made by an expression is made once.
+    said = lambda x: F.when(x.isNotNull() & ~F.coalesce(F.when(_object(x).isNotNull(), contains_binary(x)), F.lit(False)), meaning(x, 0))
+    return X.blank_to_null(_level(v, said))
 
 
 def metadata_evidence(v: Column, text: int = 500, most: int = 2400) -> Column:
     """The evidence of a row's original metadata, as JSON text: nine fields by lists of tag names, the distinct values of each.
     The last fields are dropped until the text has at most `most` characters. Metadata that is no object is copied compactly."""
-    aliases = [(f, a) for f, names in fixed.EVIDENCE_ALIASES.items() for a in names]
-    known = F.array(*[F.lit(a) for _, a in aliases])
-    tags = F.map_entries(_object(F.try_variant_get(v, "$.tags", "variant")))
-    keyed = F.transform(tags, lambda e: F.struct(X.folded_case(_prompt_key(e["key"])).alias("k"), e["value"].alias("v")))
-    said = F.transform(F.filter(keyed, lambda e: F.array_contains(known, e["k"])), lambda e: F.struct(e["k"].alias("k"), concise_value(e["v"], text).alias("v")))
+    known = F.array(*[F.lit(a) for names in fixed.EVIDENCE_ALIASES.values() for a in names])
 
-    def last_named(found: Column, name: str) -> Column:
-        return F.try_element_at(F.filter(found, lambda e: e["k"] == name), F.lit(-1))["v"]
+    def said(tags: Column) -> Column:
+        """(k, v) of the known tags, the last ones first, so that the first of a name is the one that counts."""
+        keyed = F.transform(F.map_entries(tags), lambda e: F.struct(X.folded_case(_prompt_key(e["key"])).alias("k"), e["value"].alias("v")))
+        return F.reverse(F.transform(F.filter(keyed, lambda e: F.array_contains(known, e["k"])), lambda e: F.struct(e["k"].alias("k"), concise_value(e["v"], text).alias("v"))))
 
     def fields(found: Column) -> Column:
         parts = []
         for field, names in fixed.EVIDENCE_ALIASES.items():
-            values = [last_named(found, a) for a in names]
-            distinct = F.array_distinct(F.filter(F.array(*values), lambda x: x.isNotNull()))
-            value = X.let(distinct, lambda d: F.when(F.size(d) == 1, F.get(d, 0)).when(F.size(d) > 1, F.concat(F.lit("["), F.array_join(d, ", "), F.lit("]"))))
+            values = [F.get(found["v"], (F.array_position(found["k"], a) - 1).cast("int")) for a in names]
+            value = X.let(F.array_distinct(F.array_compact(F.array(*values))), lambda d: F.when(F.size(d) == 1, F.get(d, 0)).when(F.size(d) > 1, F.concat(F.lit("["), F.array_join(d, ", "), F.lit("]"))))
             parts.append(F.concat(F.lit(f'"{field}": '), value))
-        return F.filter(F.array(*parts), lambda p: p.isNotNull())
+        return F.array_compact(F.array(*parts))
 
     def kept(parts: Column) -> Column:
         # Lengths grow, so the prefixes that fit are the first ones.
@@ -202,8 +207,11 @@ def metadata_evidence(v: Column, text: int = 500, most: int = 2400) -> Column:
         fit = F.size(F.filter(F.transform(parts, lambda _, i: i + 1), lambda n: size(n) <= most))
         return F.concat(F.lit("{"), F.array_join(F.slice(parts, F.lit(1), fit), ", "), F.lit("}"))
 
-    evidence = X.let(X.let(said, fields), kept)
-    return F.when(_object(v).isNotNull(), F.coalesce(evidence, F.lit("{}"))).otherwise(compact_json(v, text))
+    def of(x: Column) -> Column:
+        evidence = X.let(X.let(said(F.try_variant_get(x, "$.tags", "map<string,variant>")), fields), kept)
+        return F.when(_object(x).isNotNull(), F.coalesce(evidence, F.lit("{}"))).when(x.isNotNull(), compact_json(x, text))
+
+    return X.let(v, of)
 
 
 def _first_inside(v: Column, own: Callable[[Column], Column], keys: list[str], depth: int = MEANING) -> Column:
