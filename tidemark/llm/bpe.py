@@ -41,11 +41,11 @@ from .common import free_name, give_back
 #: White space as Unicode defines it; no piece crosses it.
 CHUNK = re.compile("[^\x09-\x0d\x20\x85\xa0  -     　]+")
 #: Entries of a worker's memos; they go at the end of each task.
-MEMO = 80_000
+MEMO = 50_000
 #: Pieces of up to so many bytes are merged in batches.
 SHORT = 32
 #: Rows and characters that are encoded together.
-ROWS_OUT, CHARS_OUT = 2048, 2_000_000
+ROWS_OUT, CHARS_OUT = 2048, 500_000
 #: A text of more characters is encoded in parts of so many chunks; a chunk of more characters is never held in pieces.
 LONG_TEXT, PART, LONG_CHUNK = 500_000, 20_000, 4096
 #: Marks that often end a word.
@@ -79,7 +79,8 @@ def sufficient_lookahead(merges: list[tuple[str, str]], length: dict[str, int])
 
 
 class Vocabulary:
-    """A tokenizer file's merge list, ids and splitting rules."""
+    """A tokenizer file's merge list, ids and splitting rules. The driver reads the file and sends what comes out: reading it
+    takes more memory than keeping it, in each of a machine's workers."""
 
     def __init__(self, raw: bytes):
         spec = json.loads(raw)
@@ -89,7 +90,8 @@ class Vocabulary:
         self.ids: dict[str, int] = dict(model["vocab"])
         self.end = model.get("end_of_word_suffix") or ""
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
-        self.rank = {m: i for i, m in enumerate(merges)}
+        one = {t: t for t in self.ids}  # a text that stands in many rules is held once
+        self.rank = {(one.get(x, x), one.get(y, y)): i for i, (x, y) in enumerate(merges)}
         self.length = {t: len(t.removesuffix(self.end)) if self.end else len(t) for t in self.ids}
         self.longest = max(self.length.values())
         self.lookahead = sufficient_lookahead(merges, self.length)
@@ -212,18 +214,19 @@ class Codec:
     Pieces that fit the transducer's window are merged together, one numpy step for each merge of all of them;
     longer ones go through :class:`Transducer`."""
 
-    def __init__(self, raw: bytes):
-        self.v = v = Vocabulary(raw)
+    def __init__(self, source: bytes | Vocabulary):
+        self.v = v = Vocabulary(source) if isinstance(source, bytes) else source
         self.memo: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}
         self.pieces: dict[str, tuple[int, ...]] = {}
         self.start_id = np.array([v.ids[s] for s in v.symbol], "int64")
         self.last_id = np.array([v.ids[s + v.end] for s in v.symbol], "int64")
         self.plain_words = all(v.split.findall(t) == w for t, w in (("ab", ["ab"]), ("ab" + MARKS[0], ["ab", MARKS[0]])))
-        pairs = [(v.ids[x] << 20 | v.ids[y], r, v.ids[x + y]) for (x, y), r in v.rank.items()]
-        keys, ranks, made = (np.array(c, "int64") for c in zip(*sorted(pairs), strict=True))
-        self.keys, self.ranks = keys, ranks
-        self.made = np.empty(len(made), "int64")
+        n = len(v.rank)
+        keys, ranks, made = (np.fromiter(c, "int64", n) for c in ((v.ids[x] << 20 | v.ids[y] for x, y in v.rank), v.rank.values(), (v.ids[x + y] for x, y in v.rank)))
+        order = keys.argsort()
+        self.keys, self.ranks = keys[order], ranks[order]
+        self.made = np.empty(n, "int64")
         self.made[ranks] = made
 
     def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -383,17 +386,17 @@ class Codec:
 
 
 @functools.lru_cache(2)
-def _codec(digest: str, raw_of) -> Codec:
-    return Codec(raw_of())
+def _codec(digest: str, sent) -> Codec:
+    return Codec(sent())
 
 
 class _Shipped:
-    """A broadcast of the file that stays out of the cache key."""
+    """A broadcast of the vocabulary that stays out of the cache key."""
 
     def __init__(self, sent):
         self.sent = sent
 
-    def __call__(self) -> bytes:
+    def __call__(self) -> Vocabulary:
         return self.sent.value
 
     def __hash__(self):
@@ -417,11 +420,11 @@ def slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
 def round_trip(docs: DataFrame, tokenizer: str, text_col: str = "text", ids_as: str = "token_ids", text_as: str = "decoded_text") -> DataFrame:
     """All columns of docs, the ids of each whole text, and the text that these ids decode to.
 
-    tokenizer is the path of a tokenizer file that the driver reads; its contents go to the workers by
+    tokenizer is the path of a tokenizer file that the driver reads; its rules go to the workers by
     broadcast (a vocabulary, so of fixed size). Where docs has a column of a new name, that name gets an underscore."""
     with open(tokenizer, "rb") as f:
         raw = f.read()
-    digest, shipped = hashlib.sha256(raw).hexdigest(), _Shipped(docs.sparkSession.sparkContext.broadcast(raw))
+    digest, shipped = hashlib.sha256(raw).hexdigest(), _Shipped(docs.sparkSession.sparkContext.broadcast(Vocabulary(raw)))
     kept = docs.columns
     ids_as, text_as = free_name(ids_as, kept), free_name(text_as, kept)
     at = kept.index(text_col)
