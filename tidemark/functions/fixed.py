@@ -45,6 +45,14 @@ COPY_SUFFIXES = r"(?:\s*\(\d+\)|\s*-\s*\d+)"
 EDGE_MARKS = " -–—|_.,>"
 CASED_WORD = r"[A-Za-z]+(?:['’][A-Za-z]+)?"
 
+# Signs: without a match, none of the patterns that they stand for matches, so a cleaner can leave these out.
+#: DOMAIN, BPM, EMPTY_BRACKETS and all patterns of a noise pass.
+NOISE_SIGN = r"[./]|\d\s*(?:bpm|kbps)|[-–—|]\s*\d|[-–—|_\s](?:free|download|promo|official|youtube|soundcloud|mp3|flac|wav|aac|master|premaster|final|demo|energy)|[\[(](?:\s|\d|[|:/-]*[\])]|free|download|promo|official|youtube|soundcloud|exclusive|premiere|via|h[qdi]|mp3|flac|wav|aac)|\s[\])]"
+#: PRODUCER, BARE_PRODUCER, LEET_YEAR, DRM and underscores; TRACK_PREFIX, DASHED_VERSION and QUOTED_TITLE; PRODUCER, FEATURE and DASHED_FEATURE.
+CREDIT_SIGN = r"_|[\[(\s](?:\s*[12]|(?:co-)?prod|drm)"
+VERSION_SIGN = r"""^(?:\(?\d|['"])|[-–—]\s*\("""
+GUEST_SIGN = r"[\[(\s](?:(?:co-)?prod|feat|ft)"
+
 # Fixed values of tags in evidence.
 IMAGE_KEYS = ["apic", "attached picture", "cover art", "coverart", "covr", "metadata block picture", "metadata_block_picture", "picture", "wm/picture"]
 EVIDENCE_ALIASES = {

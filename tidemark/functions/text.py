@@ -34,6 +34,11 @@ def free_name(name: str, taken: list[str]) -> str:
     return name
 
 
+def where_signs(c: Column, sign: str, f: Callable[[Column], Column]) -> Column:
+    """f(c) where the sign is in c, else c: most texts have nothing to clean, and one search tells that for many patterns."""
+    return let(c, lambda x: F.when(x.rlike(f"(?iuU){sign}"), f(x)).otherwise(x))
+
+
 def blank_to_null(c: Column) -> Column:
     return let(c, lambda x: F.when(x != "", x))
 
@@ -69,7 +74,7 @@ def repair_mojibake(s: pd.Series) -> pd.Series:
         return odd >= 5 and 2 * odd >= len(letters)
 
     def repaired(text: str | None) -> str | None:
-        if text is None or not mostly(text, "À", "ÿ"):
+        if text is None or text.isascii() or not mostly(text, "À", "ÿ"):
             return text
         try:
             again = text.encode("latin-1").decode("cp1251")
@@ -100,8 +105,6 @@ def _noise_pass(c: Column) -> Column:
 
 def _noise_passes(c: Column) -> Column:
     """Passes until one changes nothing. Each that changes a text shortens it, so its length bounds their number."""
-    start = _sub(_sub(_sub(c, fixed.DOMAIN, " "), fixed.BPM, " "), fixed.EMPTY_BRACKETS, " ")
-
     def step(acc: Column, _: Column) -> Column:
         # Bytes are known without reading a text: comparing texts in every step that is left would make the whole quadratic.
         settled_now = F.octet_length(acc["text"]) == F.octet_length(acc["before"])
@@ -111,7 +114,7 @@ def _noise_passes(c: Column) -> Column:
         first = F.struct(x.alias("text"), F.lit(None).cast("string").alias("before"))
         return F.aggregate(F.sequence(F.lit(0), F.length(x)), first, step, lambda acc: acc["text"])
 
-    return let(start, settled)
+    return where_signs(c, fixed.NOISE_SIGN, lambda x: let(_sub(_sub(_sub(x, fixed.DOMAIN, " "), fixed.BPM, " "), fixed.EMPTY_BRACKETS, " "), settled))
 
 
 def remove_noise(c: Column) -> Column:
@@ -126,9 +129,8 @@ def noise_settled(c: Column) -> Column:
 def clean_artist(c: Column, unicode_forms: bool = True) -> Column:
     c = clean_optional(c, unicode_forms)
     c = _sub(_sub(c, fixed.PRICE_PREFIX), fixed.CODE_PREFIX)
-    c = _sub(remove_noise(_sub(c, fixed.AUDIO_SUFFIX)), fixed.PRODUCER, " ")
-    c = _sub(_sub(c, fixed.FEATURE, " feat. "), fixed.DASHED_FEATURE, " feat. $1")
-    return blank_to_null(clean_text(c))
+    guests = lambda x: _sub(_sub(_sub(x, fixed.PRODUCER, " "), fixed.FEATURE, " feat. "), fixed.DASHED_FEATURE, " feat. $1")
+    return blank_to_null(clean_text(where_signs(remove_noise(_sub(c, fixed.AUDIO_SUFFIX)), fixed.GUEST_SIGN, guests)))
 
 
 def clean_album(c: Column, unicode_forms: bool = True) -> Column:
@@ -145,16 +147,16 @@ def clean_album(c: Column, unicode_forms: bool = True) -> Column:
 
 def clean_title(c: Column, artist: Column, unicode_forms: bool = True) -> Column:
     c = remove_noise(_sub(clean_optional(c, unicode_forms), fixed.AUDIO_SUFFIX))
-    c = _sub(_sub(_sub(_sub(c, fixed.PRODUCER, " "), fixed.BARE_PRODUCER), fixed.LEET_YEAR, " ", "U"), fixed.DRM)
 
     def spaced(x: Column) -> Column:
         single = _sub(_sub(x, r"_+(?=[\s(\[\-–—|])", " "), r"(?<=[\s)\]\-–—|])_+", " ")
         return F.when(F.length(x) - F.length(F.replace(x, F.lit("_"), F.lit(""))) >= 2, F.translate(x, "_", " ")).otherwise(single)
 
-    c = remove_noise(let(c, spaced))
-    c = _sub(c, fixed.TRACK_PREFIX)
-    c = _sub(c, fixed.DASHED_VERSION, " $1")
-    c = _sub(c, fixed.QUOTED_TITLE, "$1")
+    def credits(x: Column) -> Column:
+        return let(_sub(_sub(_sub(_sub(x, fixed.PRODUCER, " "), fixed.BARE_PRODUCER), fixed.LEET_YEAR, " ", "U"), fixed.DRM), spaced)
+
+    c = remove_noise(where_signs(c, fixed.CREDIT_SIGN, credits))
+    c = where_signs(c, fixed.VERSION_SIGN, lambda x: _sub(_sub(_sub(x, fixed.TRACK_PREFIX), fixed.DASHED_VERSION, " $1"), fixed.QUOTED_TITLE, "$1"))
 
     def without_artist(s: Column) -> Column:
         """Patterns made of the artist: only for rows where the artist occurs, as each value compiles anew."""
@@ -167,7 +169,7 @@ def clean_title(c: Column, artist: Column, unicode_forms: bool = True) -> Column
 
     def split_off(s: Column) -> Column:
         left, right = F.regexp_extract(s["title"], r"(?s)^(.+?)\s*[-–—]\s*(.+)\z", 1), F.regexp_extract(s["title"], r"(?s)^(.+?)\s*[-–—]\s*(.+)\z", 2)
-        return F.when((right != "") & (folded_case(clean_artist(left, False)) == folded_case(s["artist"])), right).otherwise(s["title"])
+        return F.when(s["title"].rlike("[-–—]") & (right != "") & (folded_case(clean_artist(left, False)) == folded_case(s["artist"])), right).otherwise(s["title"])
 
     both = F.struct(c.alias("title"), artist.alias("artist"))
     return blank_to_null(F.btrim(clean_text(let(let(both, without_artist), split_off)), F.lit(" -–—|_")))
