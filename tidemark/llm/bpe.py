@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name, give_back
+from .common import free_name, give_back, small_batches
 
 #: White space as Unicode defines it; no piece crosses it.
 CHUNK = re.compile("[^\x09-\x0d\x20\x85\xa0  -     　]+")
@@ -422,6 +422,7 @@ def round_trip(docs: DataFrame, tokenizer: str, text_col: str = "text", ids_as:
 
     tokenizer is the path of a tokenizer file that the driver reads; its rules go to the workers by
     broadcast (a vocabulary, so of fixed size). Where docs has a column of a new name, that name gets an underscore."""
+    small_batches(docs.sparkSession)
     with open(tokenizer, "rb") as f:
         raw = f.read()
     digest, shipped = hashlib.sha256(raw).hexdigest(), _Shipped(docs.sparkSession.sparkContext.broadcast(Vocabulary(raw)))

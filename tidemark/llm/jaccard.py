@@ -43,7 +43,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, Scratch, give_back, join_by_hot_key, keep_ids
+from .common import BROADCAST_ROWS, Scratch, give_back, join_by_hot_key, keep_ids, small_batches
 from .components import components
 from .hashing import coded, distinct, joined, mixed
 
@@ -396,6 +396,7 @@ def _first_tries(pairs: DataFrame, far: DataFrame, shared: DataFrame, like: Like
 def joined_documents(docs: DataFrame, like: Likeness, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(rows, links): for each row of docs id_col, n_shingles and component_id; and verified links (a, b) between
     class representatives, which connect every pair of linked documents but need not name each pair of a component."""
+    small_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "jaccard")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     some_rows = rows.where("id is not null")
