@@ -6,12 +6,13 @@ import random
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, chat, common, exact_dedup, jaccard, language, licenses, line_dedup, mixing, quality, toxicity
+from tidemark.llm import bpe, chat, common, exact_dedup, jaccard, language, licenses, line_dedup, mixing, quality, queries, toxicity
 from tidemark.llm.components import components
 
 TOKENIZER = str(public_tokenizers.path("word_bpe_49k.json"))
@@ -333,6 +334,18 @@ def test_pages_report(spark):
     assert line_dedup.pages_report(pages.limit(0)).count() == 0
 
 
+def test_op6_keeps_lines_of_one_page(spark, tmp_path):
+    """On hosts of fewer than ten pages too, and its SQL does."""
+    texts = {1: ("a.com", ["Menu", "own 1"]), 2: ("a.com", ["Menu", "own 2"]), 3: ("a.com", ["Menu", "own 1"]), 4: ("b.org", ["alone", "here"])}
+    rows = [(i, f"http://{host}/{i}", "<br>".join(lines)) for i, (host, lines) in texts.items()]
+    spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    want = [(1, "a.com", 2, 2, ""), (2, "a.com", 2, 1, "own 2"), (3, "a.com", 2, 2, ""), (4, "b.org", 2, 0, "alone\nhere")]
+    assert sorted(map(tuple, queries.op6_line_dedup(spark, str(tmp_path)).collect())) == want
+    with duckdb.connect() as con:
+        con.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+        assert sorted(con.sql(queries.ORACLES["op6_line_dedup"]).fetchall()) == want
+
+
 CLASHING = ["epochs", "n_blocks", "last_block", "last_doc", "row", "host", "lines", "kept", "here", "gone", "line", "at", "__source", "__tokens", "__key", "__copies", "__m_w", "__m_text", "__m_kept", "tokens", "mix_epoch", "epoch", "order", "token_ids", "size"]
 
 
