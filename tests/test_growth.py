@@ -20,6 +20,17 @@ def test_pairs_of_rows_with_few_titles_are_made_by_all_cores(spark):
     assert pairs.where("key = 1").count() == 60 and pairs.distinct().count() == 30 * 3000
 
 
+def test_tasks_hold_few_pairs_of_rows(spark):
+    """What two lists are written out to is held until the next step takes it; lists meet in all tasks and not in one."""
+    rows = spark.range(3000).select(F.when(F.col("id") > 0, F.col("id")).alias("key"), F.lit("red bolt").alias("c"))
+    sizes = [r["n"] for r in link._lists(rows, "c", "key").select(F.size("keys").alias("n")).collect()]
+    assert sum(sizes) == 3000 and max(sizes) ** 2 <= 200_000
+    library = rows.withColumnRenamed("c", "title")
+    pairs = link.blocked(library.select(F.col("key").alias("item_id"), "title").limit(700), library, ascii_only=True)
+    assert pairs._jdf.queryExecution().executedPlan().toString().count("REPARTITION_BY_NUM") >= 2
+    assert pairs.count() == 700 * 3000 and pairs.where("key is null").count() == 700
+
+
 def test_rows_of_a_small_file_are_worked_on_by_all_cores(spark, tmp_path):
     spark.range(50).selectExpr("id as p_partkey", "'red bolt' as p_name", "'Brand#1' as p_brand", "'SMALL' as p_type", "cast(id as int) as p_size").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
     shares = TASKS * spark.sparkContext.defaultParallelism
